@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, rank_within, settle, text_buffer
+from .. import ship
+from .common import byte_batches, rank_within, settle
 
 PIECES = "_key long, piece int, start long, length long, ids_crc32 long"
 
@@ -161,6 +162,7 @@ def pack(
     are rows with a null key.  An empty table gives no rows.  Only the histogram of
     lengths (at most ``capacity`` rows) reaches the driver.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
     pieces = settle(rows.mapInArrow(lambda b: piece_rows(b, tokenizer, capacity, end_id), PIECES.replace("_key long", f"_key {kind}")))

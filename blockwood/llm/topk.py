@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from .common import settle
 
 _BLOCK = "block long, dims int, ids binary, rows binary"
@@ -70,6 +71,7 @@ def top_k(
     take no part.  A key that occurs several times is searched once for each of its
     distinct vectors and is a candidate once for each row.  With fewer than k candidates all are returned.
     """
+    ship(vectors.sparkSession)
     x = F.col("_vector")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("_vector"))
     rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
