@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in files of the shared folder, so a lost executor costs no recomputation."""
-    ship(df.sparkSession)
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as Parquet in the shared folder and reads it again.
+
+    Lineage ends in those files, so a lost executor costs no recomputation of what came
+    before, and later readers take only the columns they use.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/blockwood/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def by_group(df: DataFrame, group: str, columns: list[str], each, schema: str, columns_out: list[pa.DataType]) -> DataFrame:
+    """``each(lists of the columns of one group) -> rows`` over all groups, many groups to an Arrow batch.
+
+    Rows of a group are neighbours after one shuffle and sort, so small groups cost no
+    call into Arrow of their own; only one group is held at a time.
+    """
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in columns]
+        current, out = None, []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, columns_out, strict=True)], names=names)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            lists = [batch.column(i + 1).to_pylist() for i in range(len(columns))]
+            at = 0
+            while at < len(keys):
+                if current is not None and keys[at] != current:
+                    out.extend(each(*held))
+                    held = [[] for _ in columns]
+                current = keys[at]
+                to = at
+                while to < len(keys) and keys[to] == current:
+                    to += 1
+                for h, x in zip(held, lists, strict=True):
+                    h.extend(x[at:to])
+                at = to
+                if len(out) > 50_000:
+                    yield flush()
+        if current is not None:
+            out.extend(each(*held))
+        yield flush()
+
+    return df.select(group, *columns).repartition(F.col(group)).sortWithinPartitions(group).mapInArrow(run, schema)
 
 
 def ascii_lower(text: Column) -> Column:
