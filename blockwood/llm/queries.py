@@ -34,6 +34,12 @@ def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), SOURCE_WEIGHTS)
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digest, without_repeats
 
@@ -79,4 +85,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_pfair_mixing, op4_suffix_dedup, op5_jaccard_join, op6_revisit_resolution, op7_exact_top_k, op8_minimum_bin_slack, op9_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pfair_mixing, op3_katz_backoff, op4_suffix_dedup, op5_jaccard_join, op6_revisit_resolution, op7_exact_top_k, op8_minimum_bin_slack, op9_quality_rules, op10_license_scan)}
