@@ -109,13 +109,14 @@ def rank_within(df: DataFrame, key: str, ties: list[str], rank: str, buckets: in
     moved by the number of rows in the key's earlier buckets.  Rows equal in all of
     ``ties`` are interchangeable.  Null keys form a key of their own.
     """
-    split = df.withColumn("_rk_bucket", F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int"))
-    sizes = split.groupBy(key, "_rk_bucket").agg(F.count(F.lit(1)).alias("_rk_size"))
-    before = Window.partitionBy(key).orderBy("_rk_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(key).alias("_rk_key"), F.col("_rk_bucket").alias("_rk_at"), F.coalesce(F.sum("_rk_size").over(before), F.lit(0)).alias("_rk_before"))
-    inside = split.withColumn("_rk_place", F.row_number().over(Window.partitionBy(key, "_rk_bucket").orderBy(*ties)))
-    joined = inside.join(sizes, F.col(key).eqNullSafe(F.col("_rk_key")) & (F.col("_rk_bucket") == F.col("_rk_at")))
-    return joined.withColumn(rank, F.col("_rk_before") + F.col("_rk_place") - 1).drop("_rk_bucket", "_rk_key", "_rk_at", "_rk_before", "_rk_place")
+    # one hash of the key serves counting, ranking and joining, so rows are dealt once
+    split = df.withColumns({"_rk_code": F.xxhash64(key), "_rk_bucket": F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int")})
+    sizes = split.groupBy("_rk_code", "_rk_bucket").agg(F.count(F.lit(1)).alias("_rk_size"))
+    before = Window.partitionBy("_rk_code").orderBy("_rk_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_rk_code", "_rk_bucket", F.coalesce(F.sum("_rk_size").over(before), F.lit(0)).alias("_rk_before"))
+    inside = split.withColumn("_rk_place", F.row_number().over(Window.partitionBy("_rk_code", "_rk_bucket").orderBy(*ties)))
+    joined = inside.join(sizes, ["_rk_code", "_rk_bucket"])
+    return joined.withColumn(rank, F.col("_rk_before") + F.col("_rk_place") - 1).drop("_rk_code", "_rk_bucket", "_rk_before", "_rk_place")
 
 
 # ---------------------------------------------------------------- whole columns of text in numpy

@@ -271,7 +271,8 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = 200, carry: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` with its repeated bytes removed: ``key``, ``carry``, ``n_bytes``, ``spans`` (maximal removed stretches) and ``kept`` (binary).
+    """Every row of ``docs`` with its repeated bytes removed: ``key``, ``carry``, ``n_bytes``, ``spans`` (maximal removed stretches), ``kept`` (binary) and ``kept_text`` (the same as text, without
+    the bytes of characters that a cut left incomplete).
 
     Removes each UTF-8 byte covered by a ``least``-byte string that also starts elsewhere, in
     the same text or another; judged on the input, so all occurrences go.  Null is empty; texts
@@ -299,12 +300,12 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 spans_.append([{"from": a, "to": b} for a, b in gone])
                 kept.append(b"".join(rest))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in named], pa.array(size, pa.int64()), pa.array(spans_, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), pa.array(kept, pa.binary())],
-                names=[*named, "n_bytes", "spans", "kept"],
+                [*[batch.column(n) for n in named], pa.array(size, pa.int64()), pa.array(spans_, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                names=[*named, "n_bytes", "spans", "kept", "kept_text"],
             )
 
-    out = rows.mapInArrow(cut, f"{kinds}, n_bytes long, spans array<struct<from:int,to:int>>, kept binary")
-    return out.select(*[F.col(n).alias(c) for n, c in named.items()], "n_bytes", "spans", "kept")
+    out = rows.mapInArrow(cut, f"{kinds}, n_bytes long, spans array<struct<from:int,to:int>>, kept binary, kept_text string")
+    return out.select(*[F.col(n).alias(c) for n, c in named.items()], "n_bytes", "spans", "kept", "kept_text")
 
 
 def digest(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
