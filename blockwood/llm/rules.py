@@ -116,7 +116,8 @@ def quality_rules(
     named = {f"_keep_{i}": c for i, c in enumerate(keep)}
     body = F.coalesce(F.col(text), F.lit(""))
     listed = trusted.select(F.col(key).alias("_listed")).where(F.col("_listed").isNotNull()).distinct().withColumn("_trusted", F.lit(True))
-    tagged = docs.select(F.col(key).alias("_key"), body.alias("_text")).join(listed, F.col("_key") == F.col("_listed"), "left")
+    # the list grows with the corpus: one plan for every size, without a broadcast
+    tagged = docs.select(F.col(key).alias("_key"), body.alias("_text")).join(listed.hint("merge"), F.col("_key") == F.col("_listed"), "left")
     weights = llr_weights(*bucket_counts(tagged.select("_trusted", word_codes(words(F.col("_text"))).alias("_codes")), buckets), buckets)
     rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()], body.alias("_text"))
     rows = rows.withColumn("_words", words(F.col("_text"))).withColumn("_codes", word_codes(F.col("_words")))
