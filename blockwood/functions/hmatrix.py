@@ -1,0 +1,373 @@
+"""Arithmetic on one whole block tree inside a task."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from . import dense, lowrank
+
+
+class Block:
+    """A node of the tree: children by (i, j), or a full array, or a low-rank pair.  Offsets are internal positions."""
+
+    __slots__ = ("r0", "rn", "c0", "cn", "kids", "full", "rk", "order", "diag")
+
+    def __init__(self, r0: int, rn: int, c0: int, cn: int):
+        self.r0, self.rn, self.c0, self.cn = r0, rn, c0, cn
+        self.kids: dict[tuple[int, int], Block] | None = None
+        self.full = self.rk = self.order = self.diag = None
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.rn, self.cn
+
+    def grid(self) -> tuple[int, int]:
+        return 1 + max(i for i, _ in self.kids), 1 + max(j for _, j in self.kids)
+
+    def leaves(self):
+        if self.kids is None:
+            yield self
+        else:
+            for k in self.kids.values():
+                yield from k.leaves()
+
+    def dense(self) -> np.ndarray:
+        if self.full is not None:
+            return self.full
+        if self.rk is not None:
+            return self.rk[0] @ self.rk[1].T
+        out = np.zeros(self.shape, next((x.full if x.full is not None else x.rk[0]).dtype for x in self.leaves()))
+        for x in self.leaves():
+            out[x.r0 - self.r0 : x.r0 - self.r0 + x.rn, x.c0 - self.c0 : x.c0 - self.c0 + x.cn] = x.full if x.full is not None else x.rk[0] @ x.rk[1].T
+        return out
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """A x; rows of x are the block's columns."""
+        if self.full is not None:
+            return self.full @ x
+        if self.rk is not None:
+            return self.rk[0] @ (self.rk[1].T @ x)
+        out = np.zeros((self.rn, *x.shape[1:]), np.result_type(x, next(iter(self.leaves())).kind()))
+        for k in self.kids.values():
+            out[k.r0 - self.r0 : k.r0 - self.r0 + k.rn] += k.times(x[k.c0 - self.c0 : k.c0 - self.c0 + k.cn])
+        return out
+
+    def kind(self):
+        return (self.full if self.full is not None else self.rk[0]).dtype
+
+    def transposed(self) -> Block:
+        t = Block(self.c0, self.cn, self.r0, self.rn)
+        if self.full is not None:
+            t.full = self.full.T
+        elif self.rk is not None:
+            t.rk = (self.rk[1], self.rk[0])
+        else:
+            t.kids = {(j, i): k.transposed() for (i, j), k in self.kids.items()}
+        return t
+
+    def copy(self) -> Block:
+        c = Block(self.r0, self.rn, self.c0, self.cn)
+        c.full = None if self.full is None else self.full.copy()
+        c.rk = self.rk
+        c.kids = None if self.kids is None else {k: v.copy() for k, v in self.kids.items()}
+        return c
+
+    def add_full(self, m: np.ndarray, eps: float) -> None:
+        if self.full is not None:
+            self.full = self.full + m
+        elif self.rk is not None:
+            self.rk = lowrank.add([(1, self.rk), (1, lowrank.svd(m, eps))], eps)
+        else:
+            for k in self.kids.values():
+                k.add_full(m[k.r0 - self.r0 : k.r0 - self.r0 + k.rn, k.c0 - self.c0 : k.c0 - self.c0 + k.cn], eps)
+
+    def add_rk(self, a: np.ndarray, b: np.ndarray, eps: float) -> None:
+        if a.shape[1] == 0:
+            return
+        if self.full is not None:
+            self.full = self.full + a @ b.T
+        elif self.rk is not None:
+            self.rk = lowrank.add([(1, self.rk), (1, (a, b))], eps)
+        else:
+            for k in self.kids.values():
+                k.add_rk(a[k.r0 - self.r0 : k.r0 - self.r0 + k.rn], b[k.c0 - self.c0 : k.c0 - self.c0 + k.cn], eps)
+
+
+def gemm(alpha: complex, a: Block, b: Block, c: Block, eps: float) -> None:
+    """C += alpha A B, truncated to eps."""
+    if a.rk is not None:
+        c.add_rk(alpha * a.rk[0], b.transposed().times(a.rk[1]), eps)
+    elif b.rk is not None:
+        c.add_rk(alpha * a.times(b.rk[0]), b.rk[1], eps)
+    elif a.kids and b.kids and c.kids and a.grid()[1] == b.grid()[0] and a.grid()[0] == c.grid()[0] and b.grid()[1] == c.grid()[1]:
+        for (i, j), k in c.kids.items():
+            for m in range(a.grid()[1]):
+                if (i, m) in a.kids and (m, j) in b.kids:
+                    gemm(alpha, a.kids[i, m], b.kids[m, j], k, eps)
+    else:
+        c.add_full(alpha * (a.times(b.dense()) if a.full is None else b.transposed().times(a.full.T).T), eps)
+
+
+def solve_lower(low: Block, x, eps: float, unit: bool = False):
+    """L^-1 X for an array or, in place, a block; row exchanges of dense leaves are applied first."""
+    if isinstance(x, Block):
+        if x.rk is not None:
+            x.rk = (solve_lower(low, x.rk[0], eps, unit), x.rk[1])
+        elif x.full is not None:
+            x.full = solve_lower(low, x.full, eps, unit)
+        elif low.kids is None:
+            d = solve_lower(low, x.dense(), eps, unit)
+            x.add_full(d - x.dense(), eps)
+        else:
+            n, m = x.grid()
+            for j in range(m):
+                for i in range(n):
+                    for k in range(i):
+                        gemm(-1, low.kids[i, k], x.kids[k, j], x.kids[i, j], eps)
+                    solve_lower(low.kids[i, i], x.kids[i, j], eps, unit)
+        return x
+    if low.kids is None:
+        return dense.lower_solve(low.full, x if low.order is None else x[low.order], unit)
+    x = np.array(x, dtype=np.result_type(x, next(low.leaves()).kind()))
+    at = lambda k: slice(k.r0 - low.r0, k.r0 - low.r0 + k.rn)
+    n = low.grid()[0]
+    for i in range(n):
+        d = low.kids[i, i]
+        for k in range(i):
+            x[at(d)] -= low.kids[i, k].times(x[at(low.kids[k, k])])
+        x[at(d)] = solve_lower(d, x[at(d)], eps, unit)
+    return x
+
+
+def solve_upper(up: Block, x: np.ndarray, transpose_of_lower: bool = False, unit: bool = False) -> np.ndarray:
+    """U^-1 X; with ``transpose_of_lower`` U is the transpose of the given lower factor."""
+    if up.kids is None:
+        return dense.upper_solve(up.full.T if transpose_of_lower else up.full, x, unit)
+    x = np.array(x, dtype=np.result_type(x, next(up.leaves()).kind()))
+    at = lambda k: slice(k.r0 - up.r0, k.r0 - up.r0 + k.rn)
+    n = up.grid()[0]
+    for i in range(n - 1, -1, -1):
+        d = up.kids[i, i]
+        for k in range(i + 1, n):
+            m = up.kids[k, i].transposed() if transpose_of_lower else up.kids[i, k]
+            x[at(d)] -= m.times(x[at(up.kids[k, k])])
+        x[at(d)] = solve_upper(d, x[at(d)], transpose_of_lower, unit)
+    return x
+
+
+def solve_right_upper(up: Block, x: Block, eps: float) -> None:
+    """X U^-1 in place."""
+    if x.rk is not None:
+        x.rk = (x.rk[0], _left_of_transpose(up, x.rk[1]))
+    elif x.full is not None:
+        x.full = _left_of_transpose(up, x.full.T).T
+    elif up.kids is None:
+        x.add_full(_left_of_transpose(up, x.dense().T).T - x.dense(), eps)
+    else:
+        n, m = x.grid()
+        for i in range(n):
+            for j in range(m):
+                for k in range(j):
+                    gemm(-1, x.kids[i, k], up.kids[k, j], x.kids[i, j], eps)
+                solve_right_upper(up.kids[j, j], x.kids[i, j], eps)
+
+
+def _left_of_transpose(up: Block, x: np.ndarray) -> np.ndarray:
+    """(U^T)^-1 X."""
+    if up.kids is None:
+        return dense.lower_solve(up.full.T, x)
+    x = np.array(x, dtype=np.result_type(x, next(up.leaves()).kind()))
+    at = lambda k: slice(k.c0 - up.c0, k.c0 - up.c0 + k.cn)
+    for i in range(up.grid()[0]):
+        d = up.kids[i, i]
+        for k in range(i):
+            x[at(d)] -= up.kids[k, i].transposed().times(x[at(up.kids[k, k])])
+        x[at(d)] = _left_of_transpose(d, x[at(d)])
+    return x
+
+
+def factor_lu(a: Block, eps: float) -> None:
+    """A = L U in place, rows exchanged inside dense leaves only."""
+    if a.kids is None:
+        a.full, a.order = dense.lu(a.dense())
+        a.rk = None
+        return
+    n = a.grid()[0]
+    for k in range(n):
+        factor_lu(a.kids[k, k], eps)
+        for j in range(k + 1, n):
+            solve_lower(a.kids[k, k], a.kids[k, j], eps, unit=True)
+            solve_right_upper(a.kids[k, k], a.kids[j, k], eps)
+        for i in range(k + 1, n):
+            for j in range(k + 1, n):
+                gemm(-1, a.kids[i, k], a.kids[k, j], a.kids[i, j], eps)
+
+
+def factor_llt(a: Block, eps: float) -> None:
+    """Lower factor of A = L L^T in place; blocks above the diagonal are not read."""
+    if a.kids is None:
+        a.full, a.rk = dense.llt(a.dense()), None
+        return
+    n = a.grid()[0]
+    for k in range(n):
+        d = a.kids[k, k]
+        factor_llt(d, eps)
+        for i in range(k + 1, n):
+            t = a.kids[i, k].transposed()  # A_ik L^-T = (L^-1 A_ik^T)^T
+            solve_lower(d, t, eps)
+            a.kids[i, k] = t.transposed()
+        for i in range(k + 1, n):
+            for j in range(k + 1, i + 1):
+                gemm(-1, a.kids[i, k], a.kids[j, k].transposed(), a.kids[i, j], eps)
+
+
+def factor_ldlt(a: Block, eps: float) -> None:
+    """Unit lower L and ``diag`` on the diagonal leaves, A = L D L^T."""
+    factor_llt_like(a, eps)
+
+
+def diagonal_leaves(a: Block):
+    if a.kids is None:
+        yield a
+    else:
+        for k in range(a.grid()[0]):
+            yield from diagonal_leaves(a.kids[k, k])
+
+
+def factor_llt_like(a: Block, eps: float) -> None:
+    if a.kids is None:
+        (a.full, a.diag), a.rk = dense.ldlt(a.dense()), None
+        return
+    n = a.grid()[0]
+    for k in range(n):
+        d = a.kids[k, k]
+        factor_llt_like(d, eps)
+        scale = np.concatenate([x.diag for x in diagonal_leaves(d)])
+        panel = {}
+        for i in range(k + 1, n):
+            t = a.kids[i, k].transposed()  # L D M^T = A_ik^T
+            solve_lower(d, t, eps, unit=True)
+            panel[i] = t.transposed()  # L_ik D
+            a.kids[i, k] = panel[i].copy()
+            scale_columns(a.kids[i, k], 1 / scale)
+        for i in range(k + 1, n):
+            for j in range(k + 1, i + 1):
+                gemm(-1, a.kids[i, k], panel[j].transposed(), a.kids[i, j], eps)
+
+
+def scale_columns(a: Block, d: np.ndarray) -> None:
+    for x in a.leaves():
+        s = d[x.c0 - a.c0 : x.c0 - a.c0 + x.cn]
+        if x.full is not None:
+            x.full = x.full * s
+        else:
+            x.rk = (x.rk[0], x.rk[1] * s[:, None])
+
+
+def scale_rows(a: Block, d: np.ndarray) -> None:
+    for x in a.leaves():
+        s = d[x.r0 - a.r0 : x.r0 - a.r0 + x.rn]
+        if x.full is not None:
+            x.full = x.full * s[:, None]
+        else:
+            x.rk = (x.rk[0] * s[:, None], x.rk[1])
+
+
+def solve(a: Block, kind: str, x: np.ndarray, part: str = "both") -> np.ndarray:
+    """With the factor of ``kind`` (lu, llt, ldlt): whole, lower or upper part."""
+    if kind == "lu":
+        x = solve_lower(a, x, 0.0, unit=True) if part in ("both", "lower") else x
+        return solve_upper(a, x) if part in ("both", "upper") else x
+    if kind == "llt":
+        x = solve_lower(a, x, 0.0) if part in ("both", "lower") else x
+        return solve_upper(a, x, transpose_of_lower=True) if part in ("both", "upper") else x
+    if kind == "ldlt":
+        x = solve_lower(a, x, 0.0, unit=True) if part in ("both", "lower") else x
+        if part == "both":
+            d = np.concatenate([b.diag for b in diagonal_leaves(a)])
+            x = x / d.reshape(-1, *[1] * (x.ndim - 1))
+        return solve_upper(a, x, transpose_of_lower=True, unit=True) if part in ("both", "upper") else x
+    raise ValueError(kind)
+
+
+def log_determinant(a: Block, kind: str) -> float:
+    """log |det A| from its factor: sums of logarithms, so that nothing overflows."""
+    if kind == "ldlt":
+        return float(sum(np.log(np.abs(b.diag)).sum() for b in diagonal_leaves(a)))
+    half = sum(np.log(np.abs(np.diag(b.full))).sum() for b in diagonal_leaves(a))
+    return float(half if kind == "lu" else 2 * half)
+
+
+def inverse(a: Block, eps: float) -> None:
+    """A^-1 in place by block Gauss-Jordan; blocks on both sides of the diagonal must be there."""
+    if a.kids is None:
+        a.full, a.rk = np.linalg.inv(a.dense()), None
+        return
+    n = a.grid()[0]
+    for k in range(n):
+        d = a.kids[k, k]
+        inverse(d, eps)
+        right, left = {}, {}
+        for j in range(n):
+            if j != k:
+                right[j] = _product(d, a.kids[k, j], eps)  # D^-1 A_kj
+                left[j] = a.kids[j, k]
+        for i in left:
+            for j in right:
+                gemm(-1, left[i], right[j], a.kids[i, j], eps)
+        for j, x in right.items():
+            a.kids[k, j] = x
+        for i, x in left.items():
+            y = _product(x, d, eps)
+            for leaf in y.leaves():
+                if leaf.full is not None:
+                    leaf.full = -leaf.full
+                else:
+                    leaf.rk = (-leaf.rk[0], leaf.rk[1])
+            a.kids[i, k] = y
+
+
+def _product(a: Block, b: Block, eps: float) -> Block:
+    """A B in the structure of whichever of the two is not the square diagonal block."""
+    like = (b if (a.r0, a.rn) == (a.c0, a.cn) else a).copy()
+    for leaf in like.leaves():
+        if leaf.full is not None:
+            leaf.full = np.zeros_like(leaf.full)
+        else:
+            leaf.rk = lowrank.zero_rk(leaf.rn, leaf.cn, leaf.kind())
+    gemm(1, a, b, like, eps)
+    return like
+
+
+class Hodlr:
+    """Factor of a symmetric matrix whose off-diagonal blocks are low rank, by the Woodbury identity, bottom up."""
+
+    def __init__(self, a: Block):
+        self.n, self.cut, self.log = a.rn, None, 0.0
+        if a.kids is None:
+            self.factor = dense.lu(a.dense())
+            self.log = float(np.log(np.abs(np.diag(self.factor[0]))).sum())
+            return
+        self.left, self.right = Hodlr(a.kids[0, 0]), Hodlr(a.kids[1, 1])
+        low = a.kids[1, 0]
+        self.cut = a.kids[0, 0].rn
+        u, v = low.rk if low.rk is not None else lowrank.svd(low.dense(), 1e-15)  # A_10 = u v^T
+        r = u.shape[1]
+        self.u, self.v = u, v
+        self.xl, self.xr = self.left.solve(v), self.right.solve(u)
+        # (I + W^T D^-1 Z) with Z = [0 v; u 0], W = [v 0; 0 u]
+        core = np.eye(2 * r, dtype=np.result_type(u, v))
+        core[:r, r:] = v.T @ self.xl
+        core[r:, :r] = u.T @ self.xr
+        self.core = dense.lu(core) if r else None
+        self.log = self.left.log + self.right.log + (float(np.log(np.abs(np.diag(self.core[0]))).sum()) if r else 0.0)
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        if self.cut is None:
+            return dense.lu_solve(self.factor, b)
+        top, down = self.left.solve(b[: self.cut]), self.right.solve(b[self.cut :])
+        if self.core is not None:
+            r = self.u.shape[1]
+            y = dense.lu_solve(self.core, np.concatenate([self.v.T @ top, self.u.T @ down]))
+            top, down = top - self.xl @ y[r:], down - self.xr @ y[:r]
+        return np.concatenate([top, down])

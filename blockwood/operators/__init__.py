@@ -1 +1 @@
-
+"""Trees, blocks and matrices as DataFrames."""

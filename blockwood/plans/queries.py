@@ -1,7 +1,399 @@
-"""Registered queries of the matrix engine."""
+"""Registered queries of the matrix engine over the given tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..frames import shared_dir
+from ..functions.kernels import Kernel
+from ..operators.blocks import Admissibility
+from ..operators.cluster import Clustering, build_tree
+from ..operators.matrix import HMatrix, reordered, restored
+from ..sources import points as P
+from ..sources import storage
+
+EPS = 1e-12
+METHODS = ("svd", "aca_full", "aca_partial", "aca_plus", "aca_random", "rrqr")
+_KEPT: dict = {}
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return P.points(_table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"])
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    return P.points(_table(spark, d, "customer"), "c_custkey", ["c_acctbal"])
+
+
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    return P.points(_table(spark, d, "nation"), "n_nationkey", ["n_nationkey", "n_regionkey"])
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return P.points(_table(spark, d, "part"), "p_partkey", ["p_retailprice", "p_size"])
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return P.vectors(_table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+def _setting(spark: SparkSession, d: str, what: str = "sup", leaf: int = 12, admissibility: Admissibility = Admissibility("hodlr"), symmetric: bool = False, method: str = "svd", kernel: str = "exp", nugget: float = 0.0, strata: bool = False, eps: float = EPS) -> tuple[HMatrix, DataFrame]:
+    """A matrix over one of the point sets and its right-hand side; kept for later queries of the session."""
+    key = (spark.sparkContext.applicationId, d, what, leaf, admissibility, symmetric, method, kernel, nugget, strata, eps)
+    if key not in _KEPT:
+        cloud = {"sup": suppliers, "cus": customers, "nat": nations, "prt": parts, "emb": vectors}[what](spark, d)
+        length = P.correlation_length(cloud)
+        more = (Kernel("exp", 2 * length, scale=0.5),) if strata else ()
+        k = Kernel(kernel, length, wave=1 / length, nugget=nugget, strata=more)
+        m = HMatrix.build(cloud, k, clustering=Clustering("median", max_leaf=leaf), admissibility=admissibility, symmetric=symmetric, method=method, eps=eps, scalar="Z" if kernel == "helmholtz" else "D")
+        _KEPT[key] = (m, P.right_hand_side(cloud, length))
+    return _KEPT[key]
+
+
+def _y(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select("dof", (F.round("re", digits) + 0.0).alias("y"))
+
+
+def _number(spark: SparkSession, name: str, value: float, digits: int = 6) -> DataFrame:
+    return spark.createDataFrame([(round(value, digits) + 0.0,)], f"{name} double")
+
+
+STANDARD = Admissibility("standard", eta=2.0)
+
+
+def cluster_median_nodes(spark, d):
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("median", max_leaf=12))
+    return nodes.select("path", "off", "n", "is_leaf")
+
+
+def cluster_median_k3(spark, d):
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("median", divider=3, max_leaf=12))
+    return nodes.select("path", "off", "n", "is_leaf")
+
+
+def cluster_median_distributed(spark, d):
+    nodes, _ = build_tree(customers(spark, d), Clustering("median", max_leaf=100), task_points=400)
+    return nodes.select("path", "off", "n", "is_leaf")
+
+
+def cluster_perm(spark, d):
+    return build_tree(suppliers(spark, d), Clustering("median", max_leaf=12))[1].select("pos", "dof")
+
+
+def cluster_geometric(spark, d):
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("geometric", max_leaf=1, max_depth=1))
+    return nodes.where("is_leaf").select("path", "off", "n")
+
+
+def cluster_octree(spark, d):
+    nodes, perm = build_tree(nations(spark, d), Clustering("octree", max_depth=1))
+    return nodes.where("is_leaf").select("off", "n")
+
+
+def cluster_hybrid(spark, d):
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("hybrid", max_leaf=12))
+    return nodes.where("is_leaf").agg(F.sum("n").alias("points"), (F.max("n") <= 12).alias("small"))
+
+
+def cluster_ntiles(spark, d):
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("ntiles", tile=16, max_leaf=16))
+    return nodes.where("is_leaf").select("off", "n")
+
+
+def cluster_span(spark, d):
+    spans = P.spans(_table(spark, d, "orders"), "o_custkey", ["o_totalprice"])
+    nodes, _ = build_tree(spans, Clustering("span", ratio=0.5, max_leaf=100_000_000, inner=Clustering("median")))
+    return nodes.where("path = 'r'").select("off", "n")
+
+
+def cluster_grouped(spark, d):
+    cloud = P.points(_table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"], group="s_nationkey")
+    nodes, perm = build_tree(cloud, Clustering("median", max_leaf=12))
+    inside = perm.join(_table(spark, d, "supplier").select(F.col("s_suppkey").alias("dof"), "s_nationkey"), "dof")
+    return inside.groupBy("s_nationkey").agg(F.countDistinct("leaf").alias("leaves"))
+
+
+def cluster_boxes(spark, d):
+    nodes, _ = build_tree(parts(spark, d), Clustering("median", max_leaf=200))
+    return nodes.where("path = 'r'").select(F.col("bb_min")[0].alias("x0"), F.col("bb_max")[0].alias("x1"), F.col("bb_min")[1].alias("y0"), F.col("bb_max")[1].alias("y1"), "n")
+
+
+def perm_roundtrip(spark, d):
+    m, b = _setting(spark, d)
+    back = restored(reordered(b, m.row_perm), m.row_perm)
+    return _y(back, 9)
+
+
+def _blocks(m: HMatrix) -> DataFrame:
+    return m.blocks.where("kind <> 'node'").select("r_off", "r_n", "c_off", "c_n", "kind")
+
+
+def blocks_hodlr(spark, d):
+    return _blocks(_setting(spark, d)[0])
+
+
+def blocks_standard(spark, d):
+    return _blocks(_setting(spark, d, admissibility=STANDARD)[0])
+
+
+def blocks_lower_symmetric(spark, d):
+    return _blocks(_setting(spark, d, symmetric=True)[0])
+
+
+def blocks_always(spark, d):
+    m, _ = _setting(spark, d, admissibility=Admissibility("always", max_block=1 << 20))
+    return _blocks(m)
+
+
+def blocks_never(spark, d):
+    m, _ = _setting(spark, d, admissibility=Admissibility("never", max_block=1000))
+    return m.leaves.agg(F.sum(F.col("r_n") * F.col("c_n")).alias("cells"), F.max(F.col("r_n") * F.col("c_n") <= 1000).alias("small"), F.sum((F.col("kind") == "rk").cast("long")).alias("rk"))
+
+
+def matrix_info(spark, d):
+    return _setting(spark, d)[0].info().select("rk_count", "full_count", "rk_size", "full_size", "uncompressed_size", "compressed_size", "largest_rank")
+
+
+def matrix_profile(spark, d):
+    return _setting(spark, d)[0].profile().groupBy("kind").agg(F.sum("blocks").alias("blocks"))
+
+
+def json_dump(spark, d):
+    rows = storage.describe(_setting(spark, d)[0])
+    return rows.select(F.get_json_object("json", "$.kind").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gemv_n(spark, d):
+    m, b = _setting(spark, d, leaf=2 if d.endswith("sf0.001") else 12)
+    return _y(m.gemv(b))
+
+
+def gemv_t(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.gemv(b, op="T"))
+
+
+def gemv_symmetric(spark, d):
+    m, b = _setting(spark, d, admissibility=STANDARD, symmetric=True)
+    return _y(m.gemv(b))
+
+
+def gemv_alpha_beta(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.gemv(b, alpha=2.0, beta=-1.0, y=b))
+
+
+def gemv_multi_rhs(spark, d):
+    m, b = _setting(spark, d)
+    both = b.unionByName(b.select("dof", F.lit(1).alias("rhs"), (F.col("re") * (1 + F.col("dof") % 7)).alias("re")))
+    return m.gemv(both).select("dof", "rhs", (F.round("re", 6) + 0.0).alias("y"))
+
+
+def gemm_dense_right(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.gemm_right(b))
+
+
+def gemv_complex(spark, d):
+    m, b = _setting(spark, d, kernel="helmholtz", admissibility=STANDARD)
+    # the kernel's diagonal is 1 / (4 pi 1e-10): it is taken out before rounding
+    out = m.gemv(b).join(m.diagonal().select("dof", F.col("re").alias("d_re"), F.col("im").alias("d_im")), "dof").join(b.select("dof", F.col("re").alias("x")), "dof")
+    return out.select("dof", (F.round((F.col("re") - F.col("d_re") * F.col("x")) * 1000, 1) + 0.0).alias("re"))
+
+
+def gemv_strata(spark, d):
+    m, b = _setting(spark, d, strata=True)
+    return _y(m.gemv(b))
+
+
+def gemv_customers(spark, d):
+    m, b = _setting(spark, d, "cus", leaf=200, eps=1e-10)
+    return _y(m.gemv(b), 4)
+
+
+def gemv_parts(spark, d):
+    m, b = _setting(spark, d, "prt", leaf=200, admissibility=STANDARD, method="aca_plus", eps=1e-10)
+    return _y(m.gemv(b), 4)
+
+
+def gemv_embeddings(spark, d):
+    m, b = _setting(spark, d, "emb", leaf=100, admissibility=Admissibility("hodlr"), kernel="gram", method="rrqr")
+    return _y(m.gemv(b), 5)
+
+
+def norm_fro(spark, d):
+    return _number(spark, "norm", _setting(spark, d, admissibility=STANDARD, symmetric=True)[0].norm())
+
+
+def diagonal(spark, d):
+    return _y(_setting(spark, d, nugget=0.5)[0].diagonal())
+
+
+def eval_dense(spark, d):
+    return _setting(spark, d)[0].values().select("row_dof", "col_dof", (F.round("re", 6) + 0.0).alias("v"))
+
+
+def get_values(spark, d):
+    v = _setting(spark, d, admissibility=STANDARD, symmetric=True)[0].values()
+    return v.where("row_dof % 7 = 0 and col_dof % 5 = 0").select("row_dof", "col_dof", (F.round("re", 6) + 0.0).alias("v"))
+
+
+def get_block(spark, d):
+    b = _setting(spark, d)[0].block(3, 4, 1, 6)
+    return b.select("row_pos", "col_pos", (F.round("re", 6) + 0.0).alias("v"))
+
+
+def scale(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.scale(-2.5).gemv(b))
+
+
+def axpy(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.axpy(3.0, _setting(spark, d, strata=True)[0]).gemv(b))
+
+
+def add_identity(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.add_identity(0.75).gemv(b))
+
+
+def transpose(spark, d):
+    m, b = _setting(spark, d, admissibility=STANDARD)
+    return _y(m.transpose().transpose().gemv(b))
+
+
+def truncate(spark, d):
+    m, b = _setting(spark, d, strata=True)
+    return _y(m.with_epsilon(1e-11).truncate().gemv(b))
+
+
+def coarsen(spark, d):
+    m, b = _setting(spark, d, admissibility=STANDARD)
+    return _y(m.coarsen(1e-11).gemv(b))
+
+
+def copy_struct(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.copy_structure().gemv(b))
+
+
+def gemm_hh(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.multiply(m, b), 5)
+
+
+def _residual(spark, d, kind, **more):
+    m, b = _setting(spark, d, **more)
+    return _y(m.gemv(m.solve(b, kind).select("dof", "rhs", "re")), 6)
+
+
+def lu_solve(spark, d):
+    return _residual(spark, d, "lu", admissibility=STANDARD)
+
+
+def llt_solve(spark, d):
+    return _residual(spark, d, "llt", admissibility=STANDARD, symmetric=True)
+
+
+def ldlt_solve(spark, d):
+    return _residual(spark, d, "ldlt", symmetric=True)
+
+
+def hodlr_solve(spark, d):
+    return _residual(spark, d, "hodlr", symmetric=True)
+
+
+def solve_customers_nugget(spark, d):
+    return _residual(spark, d, "hodlr", what="cus", leaf=200, symmetric=True, nugget=1.0, eps=1e-13)
+
+
+def chol_lower_1d(spark, d):
+    m, b = _setting(spark, d, symmetric=True)
+    return _y(m.solve(b, "llt", part="lower"), 5)
+
+
+def _logdet(spark, d, kind, **more):
+    m, _ = _setting(spark, d, **more)
+    return m.log_determinant(kind).select((F.round("logdet", 5) + 0.0).alias("logdet"))
+
+
+def logdet_lu(spark, d):
+    return _logdet(spark, d, "lu")
+
+
+def logdet_llt(spark, d):
+    return _logdet(spark, d, "llt", symmetric=True)
+
+
+def logdet_ldlt(spark, d):
+    return _logdet(spark, d, "ldlt", symmetric=True)
+
+
+def logdet_hodlr(spark, d):
+    return _logdet(spark, d, "hodlr", symmetric=True)
+
+
+def inverse_diagonal(spark, d):
+    inv = _setting(spark, d)[0].inverse_values()
+    return inv.where("row_dof = col_dof").select(F.col("row_dof").alias("dof"), (F.round("re", 3) + 0.0).alias("y"))
+
+
+def _rank(method: str):
+    def run(spark, d):
+        m, _ = _setting(spark, d, method=method, eps=1e-9)
+        return m.leaves.where("kind = 'rk'").groupBy("rank").agg(F.count(F.lit(1)).alias("blocks"))
+
+    run.__name__ = f"rank_{method}"
+    return run
+
+
+def rank_gram_embeddings(spark, d):
+    m, _ = _setting(spark, d, "emb", leaf=100, kernel="gram", method="rrqr", eps=1e-9)
+    return m.leaves.where("kind = 'rk'").agg(F.max("rank").alias("rank"))
+
+
+def quantised_gemv(spark, d):
+    m, b = _setting(spark, d)
+    q, ratio = m.quantise(1e-9)
+    return _y(q.gemv(b), 4)
+
+
+def io_roundtrip(spark, d):
+    import uuid
+
+    m, b = _setting(spark, d)
+    path = f"{shared_dir(spark).rstrip('/')}/matrix-{uuid.uuid4().hex}"
+    storage.write_structure(m, path)
+    storage.write_data(m, path)
+    return _y(storage.read(spark, path).gemv(b))
+
+
+def power_iteration(spark, d):
+    m, _ = _setting(spark, d)
+    value = m.largest_eigenvalue(25)
+    inside = 1.0 <= value <= m.norm() + 1e-9
+    return spark.createDataFrame([(inside,)], "between_diagonal_and_norm boolean")
+
+
+def cylinder_points(spark, d):
+    return P.cylinder(spark, 500).select("dof", *[(F.round(F.col("coord")[i], 6) + 0.0).alias(c) for i, c in enumerate("xyz")])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        cluster_median_nodes, cluster_median_k3, cluster_median_distributed, cluster_perm, cluster_geometric, cluster_octree, cluster_hybrid, cluster_ntiles, cluster_span,
+        cluster_grouped, cluster_boxes, perm_roundtrip, blocks_hodlr, blocks_standard, blocks_lower_symmetric, blocks_always, blocks_never, matrix_info, matrix_profile,
+        json_dump, gemv_n, gemv_t, gemv_symmetric, gemv_alpha_beta, gemv_multi_rhs, gemm_dense_right, gemv_complex, gemv_strata, gemv_customers, gemv_parts,
+        gemv_embeddings, norm_fro, diagonal, eval_dense, get_values, get_block, scale, axpy, add_identity, transpose, truncate, coarsen, copy_struct, gemm_hh,
+        lu_solve, llt_solve, ldlt_solve, hodlr_solve, solve_customers_nugget, chol_lower_1d, logdet_lu, logdet_llt, logdet_ldlt, logdet_hodlr, inverse_diagonal,
+        *[_rank(m) for m in METHODS], rank_gram_embeddings, quantised_gemv, io_roundtrip, power_iteration, cylinder_points,
+    )
+    return {f.__name__: f for f in found}
