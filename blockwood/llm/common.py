@@ -6,9 +6,6 @@ Words everywhere are maximal runs of characters other than ASCII white space
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import ship
+from ..frames import settle, shared_dir  # noqa: F401  (used by the operators)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "\t\n\x0b\x0c\r"
@@ -26,30 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
-    context = spark.sparkContext
-    where = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = os.path.join(tempfile.gettempdir(), "checkpoints")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(where)
-    return where
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again.
-
-    Lineage ends in those files, so a lost executor costs no recomputation of what came
-    before, and later readers take only the columns they use.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/blockwood/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def by_group(df: DataFrame, group: str, columns: list[str], each, schema: str, columns_out: list[pa.DataType]) -> DataFrame:
     """``each(lists of the columns of one group) -> rows`` over all groups, many groups to an Arrow batch.
 

@@ -163,7 +163,7 @@ def _joined(groups: DataFrame, least: int) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
-def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = 200, gram: int = 50, most_members: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = 200, gram: int = 50, most_members: int = 20_000) -> DataFrame:
     """Byte stretches of every distinct text that a string of ``least`` bytes found elsewhere covers: ``text_key``, ``from``, ``to`` (not merged).
 
     ``text_key`` is xxhash64 of the text.  Matches never cross texts; a string that overlaps its other
@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     by_context = settle(by_context.select("context", "twice", "one.*"))
     whole = by_context.where("twice").select("context", (F.col("at") - F.col("first")).alias("back"), (F.col("last") + least - F.col("at")).alias("ahead"))
     # contexts that differ but share the gram and half of a window beside it
-    sides = by_context.select("context", F.explode(F.array("left", "right")).alias("group")).where("group <> 0")
+    sides = by_context.select("context", F.posexplode(F.array("left", "right")).alias("side", "group")).where("group <> 0")
     shared = sides.groupBy("group").agg(F.min("context").alias("lo"), F.max("context").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("group", "members")
     sides = settle(sides.join(shared, "group"))
     wanted = sides.select("context").distinct().join(by_context, "context").groupBy("row_key").agg(F.collect_list(F.struct("context", "at", "first", "last")).alias("parts"))
@@ -233,15 +233,10 @@ def _split_groups(grouped: DataFrame, least: int, gram: int, most_members: int)
     is missing a group shares a whole window and each member is covered by it.
     """
     half = (least - gram + 1) // 2
-    rows = grouped.select("context", "before", "after", "group", F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+    left_side = F.col("side") == 0
+    rows = grouped.select("context", "before", "after", "group", F.when(left_side, half).otherwise(0).alias("a"), F.when(left_side, 0).otherwise(half).alias("b"))
     out = None
-    first = True
     while True:
-        if first:  # which side the group shares is known by its hash only: try both
-            need = F.lit(half)
-            left = rows.where(F.length("before") >= half).withColumn("a", need).withColumn("b", F.lit(0))
-            right = rows.where(F.length("after") >= gram + half).withColumn("a", F.lit(0)).withColumn("b", need)
-            rows, first = left.unionByName(right), False
         rest = F.lit(least - gram) - F.col("a") - F.col("b")
         more = F.ceil(rest / 2).cast("int")
         left = rows.withColumn("a", F.col("a") + more).where(F.length("before") >= F.col("a"))
