@@ -284,7 +284,7 @@ def similarity_classes(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "_row", "n_shingles", "key", "cell"]
-        for batch in byte_batches(batches, "_text", 8 << 20):
+        for batch in byte_batches(batches, "_text", 3 << 20):
             number, code = shingle_sets(batch.column("_text"), width)
             first, size, keys = set_keys(number, code)
             n, k = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -318,7 +318,7 @@ def similarity_classes(
     texts = rows.join(chosen, F.col("_row") == F.col("_chosen")).select("key", "region", "_text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "_text", 8 << 20):
+        for batch in byte_batches(batches, "_text", 3 << 20):
             number, code = shingle_sets(batch.column("_text"), width)
             blobs = [x.tobytes() for x in np.split(code, np.flatnonzero(number[1:] != number[:-1]) + 1)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("region"), pa.array(blobs, pa.binary())], names=["key", "region", "shingles"])

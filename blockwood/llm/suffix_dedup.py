@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     schema = "text_key long, row_key long, copies boolean, at int, first int, last int, context long, left long, right long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "_text", 6 << 20):
+        for batch in byte_batches(batches, "_text", 3 << 20):
             keys = np.asarray(batch.column("text_key"))
             _, once, many = np.unique(keys, return_index=True, return_counts=True)
             order = np.argsort(once)
@@ -205,7 +205,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = rows.select("row_key", "_text").join(wanted.withColumnRenamed("row_key", "_row"), F.col("row_key") == F.col("_row")).select("row_key", "_text", "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "_text", 4 << 20):
+        for batch in byte_batches(batches, "_text", 3 << 20):
             out: dict[str, list] = {"context": [], "before": [], "after": []}
             for body, parts in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("parts").to_pylist(), strict=True):
                 for p in parts:
@@ -282,7 +282,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     kinds = ", ".join(f"{n} {dict(rows.dtypes)[n]}" for n in named)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "_text", 8 << 20):
+        for batch in byte_batches(batches, "_text", 4 << 20):
             size, spans_, kept = [], [], []
             for body, found in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_found").to_pylist(), strict=True):
                 gone = merged([(f["from"], f["to"]) for f in found or []])
