@@ -59,24 +59,27 @@ def _crosses(row_of: Callable, col_of: Callable, shape: tuple[int, int], eps: fl
     values) are entries that must be small before it ends; the largest one takes over as pivot.
     """
     n, m = shape
-    free, a, b, size, i, small = np.ones(n, bool), [], [], 0.0, start, 0
+    free, a, b, size, i, small, top = np.ones(n, bool), [], [], 0.0, start, 0, 0.0
     rest = None if samples is None else samples[2].copy()
     while len(a) < min(n, m) and free.any():
         free[i] = False
         row = row_of(i) - sum((x[i] * y for x, y in zip(a, b, strict=True)), np.zeros(m, kind))
         j = int(np.argmax(np.abs(row)))
-        done = row[j] == 0
-        if not done:
+        last, zero = None, np.abs(row[j]) <= 1e-15 * top
+        if not zero:
+            top = max(top, float(np.abs(row[j])))
             row = row / row[j]
-            col = col_of(j) - sum((y[j] * x for x, y in zip(a, b, strict=True)), np.zeros(n, kind))
-            size = _grown(size, a, b, col, row)
-            a.append(col)
-            b.append(row)
-            if rest is not None:
-                rest = rest - col[samples[0]] * row[samples[1]]
+            last = col_of(j) - sum((y[j] * x for x, y in zip(a, b, strict=True)), np.zeros(n, kind))
+            tiny = bool(a) and np.linalg.norm(last) * np.linalg.norm(row) <= eps * np.sqrt(max(size, 0))
             # two small crosses in a row end it, as one may come from an unlucky row
-            small = small + 1 if np.linalg.norm(col) * np.linalg.norm(row) <= eps * np.sqrt(max(size, 0)) else 0
-            done = small >= 2
+            small = small + 1 if tiny else 0
+            if not tiny:
+                size = _grown(size, a, b, last, row)
+                a.append(last)
+                b.append(row)
+                if rest is not None:
+                    rest = rest - last[samples[0]] * row[samples[1]]
+        done = zero or small >= 2
         if done and rest is not None:
             worst = int(np.argmax(np.abs(rest)))
             if np.abs(rest[worst]) > eps * np.sqrt(max(size, 0) / (n * m)) and free[samples[0][worst]]:
@@ -84,7 +87,7 @@ def _crosses(row_of: Callable, col_of: Callable, shape: tuple[int, int], eps: fl
                 continue
         if done and small >= 2 or not free.any():
             break
-        i = int(np.flatnonzero(free)[0]) if done else int(np.argmax(np.where(free, np.abs(a[-1]), -1)))
+        i = int(np.flatnonzero(free)[0]) if last is None else int(np.argmax(np.where(free, np.abs(last), -1)))
     return _stack(a, b, shape, kind)
 
 

@@ -218,7 +218,7 @@ class HMatrix:
             keep = table[names]
             if len(table) != table.k.iloc[0] or (table.kind != "rk").any():
                 return keep
-            x = table.iloc[0]
+            x = SimpleNamespace(**table.iloc[0].to_dict())
             a_parts, b_parts, cost = [], [], 0
             for row in table.itertuples():
                 a, b = payload(row)
