@@ -167,12 +167,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 
 def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``most`` bytes of text, or a single longer text."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = text_buffer(batch.column(column))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, offsets = text_buffer(batch.column(column))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+                yield batch.slice(at, to - at)
+                at = to
+    finally:  # workers outlive their tasks: an idle one keeps no tables
+        _POW.clear()
+        pa.default_memory_pool().release_unused()

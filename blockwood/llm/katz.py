@@ -366,8 +366,8 @@ def katz_scores(
         distinct, _, c, owner = seen_pairs(b, counts, got2)
         h, w = distinct >> 32, distinct & 0xFFFFFFFF
         mine = owner & (c > 0)
-        kept = np.bincount(h[mine], weights=(bi.of(c) * c)[mine], minlength=len(b.words) + 1)
-        lower = np.bincount(h[mine], weights=_lower(counts[w], uni, units, rest)[mine], minlength=len(b.words) + 1)
+        kept = np.bincount(h[mine], weights=(bi.of(c) * c)[mine], minlength=len(b.words) + 1).astype(np.float64)  # of no pairs bincount makes integers
+        lower = np.bincount(h[mine], weights=_lower(counts[w], uni, units, rest)[mine], minlength=len(b.words) + 1).astype(np.float64)
         total_h = history_counts(counts)
         ask = np.flatnonzero(total_h > 0)
         yield pa.RecordBatch.from_pylist([], pa.schema([("uid", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))

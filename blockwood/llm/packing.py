@@ -27,7 +27,7 @@ class PieceCoder:
     segments end to end are the ids of the text.
     """
 
-    def __init__(self, path: str, most_kept: int = 400_000):
+    def __init__(self, path: str, most_kept: int = 200_000):
         import re
 
         from tokenizers import Tokenizer
@@ -104,7 +104,7 @@ def piece_rows(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     coder = _CODERS.get(path) or _CODERS.setdefault(path, PieceCoder(path))
     end = np.array([end_id], dtype="<u4").tobytes()
-    for batch in byte_batches(batches, "_text", 4 << 20):
+    for batch in byte_batches(batches, "_text", 2 << 20):
         keys, out = batch.column("_key").to_pylist(), {"_key": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
         for key, ids in zip(keys, coder.encode([t or "" for t in batch.column("_text").to_pylist()]), strict=True):
             ids += end
