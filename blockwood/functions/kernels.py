@@ -7,9 +7,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from . import lowrank
+
 
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return np.sqrt(((p[:, None, :] - q[None, :, :]) ** 2).sum(-1))
+    out = np.zeros((len(p), len(q)))
+    for axis in range(p.shape[1]):  # never an array of rows x columns x axes
+        out += (p[:, None, axis] - q[None, :, axis]) ** 2
+    return np.sqrt(out)
 
 
 @dataclass(frozen=True)
@@ -44,3 +49,13 @@ class Kernel:
                 raise ValueError(self.name)
         out = self.scale * out
         return out + self.nugget * (rows[:, None] == cols[None, :]) if self.nugget else out
+
+    def compressed(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray, method: str, eps: float, seed: int, least_svd: int = 0):
+        """The block as a low-rank pair; cross methods evaluate the rows and columns they need, never the whole block."""
+        shape = (len(rows), len(cols))
+        if method not in lowrank.LAZY or max(shape) < least_svd:
+            return lowrank.compress(self.block(p, q, rows, cols), method, eps, seed, least_svd)
+        row = lambda i: self.block(p[i : i + 1], q, rows[i : i + 1], cols)[0]
+        col = lambda j: self.block(p, q[j : j + 1], rows, cols[j : j + 1])[:, 0]
+        some = lambda i, j: np.array([self.block(p[a : a + 1], q[b : b + 1], rows[a : a + 1], cols[b : b + 1])[0, 0] for a, b in zip(i, j, strict=True)])
+        return lowrank.aca_lazy(method, row, col, some, shape, eps, np.complex128 if self.name == "helmholtz" else np.float64, seed)

@@ -91,21 +91,22 @@ def _crosses(row_of: Callable, col_of: Callable, shape: tuple[int, int], eps: fl
     return _stack(a, b, shape, kind)
 
 
-def aca_partial(m: np.ndarray, eps: float) -> Rk:
-    return _crosses(lambda i: m[i], lambda j: m[:, j], m.shape, eps, m.dtype, 0)
+LAZY = ("aca_partial", "aca_plus", "aca_random")
 
 
-def aca_plus(m: np.ndarray, eps: float) -> Rk:
-    """Starts from the row where a reference column is smallest, as the reference row and column steer away from weak pivots."""
-    return _crosses(lambda i: m[i], lambda j: m[:, j], m.shape, eps, m.dtype, int(np.argmin(np.abs(m[:, m.shape[1] // 2]))))
+def aca_lazy(method: str, row_of: Callable, col_of: Callable, entries_of: Callable, shape: tuple[int, int], eps: float, kind, seed: int = 0) -> Rk:
+    """Cross approximation that asks for single rows, columns and entries only.
 
-
-def aca_random(m: np.ndarray, eps: float, seed: int = 0) -> Rk:
-    """Partial pivoting checked on max(rows, columns) random entries, from a fixed seed."""
-    rng = np.random.default_rng(seed)
-    count = max(m.shape)
-    i, j = rng.integers(0, m.shape[0], count), rng.integers(0, m.shape[1], count)
-    return _crosses(lambda r: m[r], lambda c: m[:, c], m.shape, eps, m.dtype, 0, (i, j, m[i, j]))
+    aca_plus starts from the row where a reference column is smallest, which steers away
+    from weak pivots; aca_random checks itself on max(rows, columns) random entries, from a fixed seed.
+    """
+    if method == "aca_plus":
+        return _crosses(row_of, col_of, shape, eps, kind, int(np.argmin(np.abs(col_of(shape[1] // 2)))))
+    if method == "aca_random":
+        rng, count = np.random.default_rng(seed), max(shape)
+        i, j = rng.integers(0, shape[0], count), rng.integers(0, shape[1], count)
+        return _crosses(row_of, col_of, shape, eps, kind, 0, (i, j, entries_of(i, j)))
+    return _crosses(row_of, col_of, shape, eps, kind, 0)
 
 
 def rrqr(m: np.ndarray, eps: float) -> Rk:
@@ -121,9 +122,9 @@ def compress(m: np.ndarray, method: str, eps: float, seed: int = 0, least_svd: i
         return zero_rk(*m.shape, m.dtype)
     if max(m.shape) < least_svd:
         return svd(m, eps)
-    if method == "aca_random":
-        return aca_random(m, eps, seed)
-    return {"svd": svd, "aca_full": aca_full, "aca_partial": aca_partial, "aca_plus": aca_plus, "rrqr": rrqr}[method](m, eps)
+    if method in LAZY:
+        return aca_lazy(method, lambda i: m[i], lambda j: m[:, j], lambda i, j: m[i, j], m.shape, eps, m.dtype, seed)
+    return {"svd": svd, "aca_full": aca_full, "rrqr": rrqr}[method](m, eps)
 
 
 def truncate(x: Rk, eps: float) -> Rk:

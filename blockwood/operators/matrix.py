@@ -94,13 +94,15 @@ class HMatrix:
                 out = []
                 for x in frame.itertuples():
                     p, q = np.asarray(x.r_coords, float).reshape(x.r_n, -1), np.asarray(x.c_coords, float).reshape(x.c_n, -1)
-                    parts = [k.block(p, q, np.asarray(x.r_dofs), np.asarray(x.c_dofs)) for k in (kernel, *kernel.strata)]
+                    where = (p, q, np.asarray(x.r_dofs), np.asarray(x.c_dofs))
+                    parts = (kernel, *kernel.strata)
                     if x.kind == "rk":
-                        value = lowrank.compress(parts[0], method, eps, seed=x.r_off * 1_000_003 + x.c_off, least_svd=least_svd)
-                        for more in parts[1:]:
-                            value = lowrank.add([(1, value), (1, lowrank.compress(more, method, eps, least_svd=least_svd))], eps)
+                        seed = x.r_off * 1_000_003 + x.c_off
+                        value = kernel.compressed(*where, method, eps, seed, least_svd)
+                        for more in kernel.strata:
+                            value = lowrank.add([(1, value), (1, more.compressed(*where, method, eps, seed, least_svd))], eps)
                     else:
-                        value = sum(parts[1:], parts[0])
+                        value = sum(k.block(*where) for k in parts)
                     row = {n: getattr(x, n) for n in names[:6]} | {"eps": eps, "dtype": scalar}
                     out.append(row | packed(SimpleNamespace(**row), value))
                 yield pd.DataFrame(out, columns=names)

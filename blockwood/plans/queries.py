@@ -214,7 +214,7 @@ def gemv_strata(spark, d):
 
 
 def gemv_customers(spark, d):
-    m, b = _setting(spark, d, "cus", leaf=200, eps=1e-10)
+    m, b = _setting(spark, d, "cus", leaf=200, method="aca_plus", eps=1e-10)
     return _y(m.gemv(b), 4)
 
 
@@ -312,7 +312,7 @@ def hodlr_solve(spark, d):
 
 
 def solve_customers_nugget(spark, d):
-    return _residual(spark, d, "hodlr", what="cus", leaf=200, symmetric=True, nugget=1.0, eps=1e-13)
+    return _residual(spark, d, "hodlr", what="cus", leaf=200, method="aca_plus", symmetric=True, nugget=1.0, eps=1e-13)
 
 
 def chol_lower_1d(spark, d):
