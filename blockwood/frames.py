@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ship
@@ -35,7 +36,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame, most: int = 20_000) -> DataFrame:
+def cut_rows(df: DataFrame, most: int = 20_000, bound: int | None = None) -> tuple[DataFrame, pa.Table | None]:
+    """As ``cut``, and the rows themselves if they are local.  A known ``bound`` on their number saves the jobs of a limit."""
+    rows = (df if bound is not None and bound <= most else df.limit(most + 1)).toArrow()
+    if rows.num_rows > most:
+        return settle(df), None
+    return df.sparkSession.createDataFrame(rows, df.schema), rows
+
+
+def cut(df: DataFrame, most: int = 20_000, bound: int | None = None) -> DataFrame:
     """``df`` without its lineage: a local table if it has at most ``most`` rows, else a written one.  For rows of metadata only."""
-    rows = df.limit(most + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else settle(df)
+    return cut_rows(df, most, bound)[0]

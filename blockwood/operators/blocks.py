@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cut
+from ..frames import cut, cut_rows
 
 
 @dataclass(frozen=True)
@@ -102,6 +102,8 @@ def build_blocks(row_nodes: DataFrame, col_nodes: DataFrame, condition: Admissib
     if size is None:
         return rows.sparkSession.createDataFrame([], "r string, c string, parent_r string, parent_c string, i int, j int, depth int, r_off long, r_n long, c_off long, c_n long, kind string, upper boolean")
     root = size["s"]
+    # a block has at most so many children
+    widest = ((rows.agg(F.max("r_child")).first()[0] or 0) + 1) * ((cols.agg(F.max("c_child")).first()[0] or 0) + 1)
     keep_rows, keep_cols = condition.sides()
     low, stop = condition.low_rank(), condition.stop(root)
     leaf = (F.col("r_leaf") & F.col("c_leaf")) | stop | (low & ~condition.forced(root))
@@ -109,14 +111,15 @@ def build_blocks(row_nodes: DataFrame, col_nodes: DataFrame, condition: Admissib
     row_next, col_next = cut(_next(rows, "r", "i")), cut(_next(cols, "c", "j"))
     start = rows.where("r_parent is null").crossJoin(cols.where("c_parent is null"))
     front = start.withColumns({"i": F.lit(0), "j": F.lit(0), "parent_r": F.lit(None).cast("string"), "parent_c": F.lit(None).cast("string"), "depth": F.lit(0), "diagonal": F.lit(lower_symmetric)})
-    levels = []
+    levels, bound = [], 1
     for depth in range(max_levels):
         front = front.withColumns({"kind": F.when(leaf, leaf_kind).otherwise("node"), "by_r": keep_rows, "by_c": keep_cols, "upper": F.lit(False)})
-        front = cut(front)
+        front, rows_here = cut_rows(front, bound=bound)
         levels.append(front.select(COLUMNS))
         open_ = front.where("kind = 'node'").select(F.col("r").alias("pr"), F.col("c").alias("pc"), "by_r", "by_c", "diagonal")
-        if not open_.limit(1).count():
+        if not (open_.limit(1).count() if rows_here is None else "node" in rows_here["kind"].to_pylist()):
             break
+        bound = None if rows_here is None else rows_here.num_rows * widest
         front = open_.join(row_next, (F.col("pr") == F.col("r_key")) & (F.col("by_r") == F.col("r_split")))
         front = front.join(col_next, (F.col("pc") == F.col("c_key")) & (F.col("by_c") == F.col("c_split"))).where("not diagonal or i >= j")
         front = front.withColumns({"parent_r": F.col("pr"), "parent_c": F.col("pc"), "depth": F.lit(depth + 1), "diagonal": F.col("diagonal") & (F.col("i") == F.col("j"))}).drop("pr", "pc", "by_r", "by_c", "r_key", "r_split", "c_key", "c_split")

@@ -214,7 +214,8 @@ def build_tree(points: DataFrame, algo: Clustering, task_points: int = 1_000_000
         kinds = [pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), doubles, doubles, pa.bool_(), pa.int64(), doubles]
         return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
 
-    found = cut(rows.groupBy("path").applyInArrow(finish, _SCHEMA))
+    # a tree has fewer nodes than twice its points, but for empty siblings
+    found = cut(rows.groupBy("path").applyInArrow(finish, _SCHEMA), bound=4 * total + 16)
     nodes = found.where("is_node").select("path", "depth", "off", "n", "axis", "bb_min", "bb_max", "is_leaf")
     for level in top:
         nodes = nodes.unionByName(level)
