@@ -67,6 +67,8 @@ def oracle_sql() -> dict[str, str]:
         "cluster_geometric": f"with {SUP}, m as (select (min(x) + max(x)) / 2 as m, min(x) as lo, max(x) as hi from p), c as (select count(*) filter (x < lo + 0.5 * (hi - lo)) as a, count(*) as n from p, m) select 'r0' as path, 0 as off, a as n from c union all select 'r1', a, n - a from c",
         "cluster_octree": "with p as (select n_nationkey as x, n_regionkey as y from nation), m as (select (min(x) + max(x)) / 2.0 as mx, (min(y) + max(y)) / 2.0 as my from p), q as (select cast(x >= mx as int) + 2 * cast(y >= my as int) as d, count(*) as n from p, m group by 1) select cast(coalesce(sum(n) over (order by d rows between unbounded preceding and 1 preceding), 0) as bigint) as off, n from q",
         "cluster_hybrid": f"with {SUP} select count(*) as points, true as small from p",
+        "cluster_ntiles": f"with {SUP}, n as (select count(*) as n from p), k as (select unnest(range(0, (n + 15) // 16)) as k, n from n) select 16 * k as off, least(16, n - 16 * k) as n from k",
+        "gemv_embeddings": "with p as (select vec_id as dof, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings), u as (select unnest(range(1, 65)) as k), f as (select dof, k, x[k] as v from p, u), c as (select k, avg(v) as m, max(v) - min(v) as e from f group by 1), l as (select 0.1 * max(e) as l from c), b as (select dof, exp(-sqrt(sum((v - m) ** 2)) / any_value(l)) as w from f join c using (k), l group by 1), z as (select k, sum(v * w) as z from f join b using (dof) group by 1) select dof, round(sum(v * z), 5) + 0.0 as y from f join z using (k) group by 1",
         "cluster_span": "select 0 as off, count(distinct o_custkey) as n from orders",
         "cluster_grouped": "select s_nationkey, cast(1 as bigint) as leaves from supplier group by 1",
         "cluster_boxes": "select min(p_retailprice) as x0, max(p_retailprice) as x1, cast(min(p_size) as double) as y0, cast(max(p_size) as double) as y1, count(*) as n from part",
