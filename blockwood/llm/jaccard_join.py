@@ -7,10 +7,11 @@ partitions narrow the search, each by pivots and windows that lose no link.
    size, and two linked sets differ by at most delta = (1/s - 1) * size elements.  Sizes form
    rings; sets inside the window of the next smaller ring are replicated to it.
 2. Unrelated texts are all at distance 1 from any document, so sampled documents cannot
-   split them.  Inside a ring the shingles are therefore dealt, by hash, to delta + 2 sub-spaces:
-   two linked sets agree wholly in two of them at least.  The pivots of a sub-space are all the
+   split them.  Inside a ring the shingles are therefore dealt, by hash, to m > delta + 1 sub-spaces:
+   two linked sets agree wholly in m - delta of them at least.  The pivots of a sub-space are all the
    restricted sets that occur, a set belongs to the Voronoi cell of the pivot at distance 0,
-   and cells that share members form one region.
+   and cells that share members form one region.  A set keeps the delta + 1 cells with the most
+   shingles (ties by hash): the first in this order of those where two linked sets agree is kept by both.
 3. In a region pivots are documents: every set goes to the nearest one and, within the
    window d(x, p) <= d(x, nearest) + 2r, to cells of earlier pivots.  Members within r of their
    pivot are linked to it; others, with those ball members that the triangle inequality
@@ -79,7 +80,11 @@ def set_keys(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def cells(code: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, set key) of every set in its own ring and, inside the window, in the next smaller one."""
+    """(cell, set key) of every set in its own ring and, inside the window, in the next smaller one.
+
+    The lower ``percent``, the fewer shingles a sub-space has: more of them then leave enough to choose from, so
+    that empty ones and those of one common shingle, which unrelated sets share, are not kept.
+    """
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     edges = rings(percent, int(size.max()))
@@ -93,7 +98,7 @@ def cells(code: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray
         take = (ring >= 0) & (delta > 0) & (size * percent <= 100 * top)
         if not take.any():
             continue
-        parts = np.where(take, delta + 2, 0)
+        parts = np.where(take, delta + 2 + (delta // 2 if percent < 90 else 0), 0)
         base = np.cumsum(parts) - parts
         owner = np.repeat(np.arange(len(first)), size)
         use = take[owner]
@@ -103,10 +108,9 @@ def cells(code: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray
         np.add.at(count, slot, 1)
         doc = np.repeat(np.arange(len(first)), parts)
         number = np.arange(len(doc)) - base[doc]
-        # two sub-spaces agree at least, so a single empty one may be left out
-        empty = count == 0
-        keep = ~empty | (np.bincount(doc, weights=empty, minlength=len(first)) > 1)[doc]
         cell = mixed(total ^ mixed((ring[doc] * (1 << 24) + number).astype(np.uint64)))
+        order = np.lexsort(((np.minimum(count, 255).astype(np.uint64) << np.uint64(56)) | (cell >> np.uint64(8)), doc))
+        keep = order[number >= (parts - delta - 1)[doc]]
         out_cell.append(cell[keep])
         out_key.append(key[doc[keep]])
     if not out_cell:
