@@ -21,6 +21,15 @@ def grams(codes: Column, buckets: int, each) -> Column:
     return F.zip_with(codes, nexts, lambda a, b: each(at(a), at(F.xxhash64(a, b))))
 
 
+def bucket_number(n_grams: int, least: int = 1 << 13, most: int = 1 << 18) -> int:
+    """Buckets for a corpus of ``n_grams`` 1- and 2-grams: the next power of two that gives each 64 of them at most, within ``least`` and ``most``.
+
+    With fewer, junk shares the buckets of frequent good words; with many more, the smoothing outweighs the counts.
+    ``most`` bounds the table in the driver and in every task.
+    """
+    return min(most, max(least, 1 << (-(-n_grams // 64) - 1).bit_length()))
+
+
 def bucket_counts(codes: DataFrame, buckets: int) -> tuple[dict[int, int], dict[int, int]]:
     """Occurrences of each bucket in the trusted texts and in all texts; at most 2 * ``buckets`` rows reach the driver.
 
@@ -95,7 +104,7 @@ def quality_rules(
     key: str = "doc_id",
     text: str = "text",
     keep: list[str] | None = None,
-    buckets: int = 8192,
+    buckets: int | None = None,
     threshold: float = -0.08,
     least_words: int = 20,
     most_repeated: int = 30,
@@ -105,7 +114,8 @@ def quality_rules(
     ``trusted`` lists the keys of trusted texts (repeats and nulls are ignored); the
     raw corpus is ``docs`` itself, counted in full.  ``llr`` is the sum over the
     text's hashed 1- and 2-grams of log P_trusted - log P_raw, divided by their
-    number.  ``kept`` is false if the base rules fail (fewer than ``least_words``
+    number.  ``buckets`` grows with the number of n-grams in ``docs`` unless it is given
+    (``bucket_number``).  ``kept`` is false if the base rules fail (fewer than ``least_words``
     words, or over ``most_repeated`` % of them in repeated 8-word windows), else
     ``llr >= threshold``.  Null and empty texts have no words, llr 0, and fail.
     Without any trusted or raw text llr is 0 for all and the base rules alone decide.
@@ -118,6 +128,8 @@ def quality_rules(
     listed = trusted.select(F.col(key).alias("_listed")).where(F.col("_listed").isNotNull()).distinct().withColumn("_trusted", F.lit(True))
     # the list grows with the corpus: one plan for every size, without a broadcast
     tagged = docs.select(F.col(key).alias("_key"), body.alias("_text")).join(listed.hint("merge"), F.col("_key") == F.col("_listed"), "left")
+    if buckets is None:
+        buckets = bucket_number(2 * (docs.agg(F.sum(F.size(words(body)).cast("long"))).first()[0] or 0))
     weights = llr_weights(*bucket_counts(tagged.select("_trusted", word_codes(words(F.col("_text"))).alias("_codes")), buckets), buckets)
     rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()], body.alias("_text"))
     rows = rows.withColumn("_words", words(F.col("_text"))).withColumn("_codes", word_codes(F.col("_words")))

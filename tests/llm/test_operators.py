@@ -63,6 +63,19 @@ def test_quality_rules(spark):
     assert rules.quality_rules(frame(spark, []), trusted).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_junk_fails_at_every_size(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = rules.quality_rules(docs, labels.where("quality = 1")).select("doc_id", "llr", "base_failed").localCheckpoint()
+    rows = rows.join(labels, "doc_id").where("not base_failed").collect()
+    good, junk = ([r.llr >= -0.08 for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(junk) <= 0.01 * len(junk) and sum(good) >= 0.99 * len(good)
+
+
+def test_buckets_grow_with_the_corpus():
+    assert [rules.bucket_number(n) for n in (0, 1, 780_342, 7_800_000, 10**12)] == [1 << 13, 1 << 13, 1 << 14, 1 << 17, 1 << 18]
+
+
 # ---------------------------------------------------------------- 10
 
 
