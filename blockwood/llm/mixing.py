@@ -30,20 +30,20 @@ def pfair_period(weights: list[int]) -> list[list[int]]:
     return slots
 
 
-def phases(blocks: list[int], weights: list[int], most_epochs: int) -> list[tuple[int, list[int], list[int], dict[int, list[int]]]]:
+def phases(blocks: list[int], weights: list[int], most_epochs: int | None) -> list[tuple[int, list[int], list[int], dict[int, list[int]]]]:
     """(first slot, blocks had before, blocks had after, period slots by source) for each set of live sources.
 
-    A source leaves when it has had ``most_epochs`` times its blocks; the rest go on, by
-    their own weights.  The schedule ends when each source has been seen once in full.
+    A source leaves when it has had ``most_epochs`` times its blocks (None: never); the rest go on,
+    by their own weights.  The schedule ends when each source has been seen once in full.
     """
     had, start, out = [0] * len(blocks), 0, []
     while any(h < n for h, n in zip(had, blocks, strict=True)):
-        live = [i for i in range(len(blocks)) if had[i] < most_epochs * blocks[i]]
+        live = [i for i in range(len(blocks)) if most_epochs is None or had[i] < most_epochs * blocks[i]]
         period = dict(zip(live, pfair_period([weights[i] for i in live]), strict=True))
         size = sum(weights[i] for i in live)
         end = lambda i, n: (n - 1) // weights[i] * size + period[i][(n - 1) % weights[i]] + 1  # noqa: B023, E731  slots until block n is done
         covered = max(end(i, blocks[i] - had[i]) for i in live if had[i] < blocks[i])
-        length = min([covered, *(end(i, most_epochs * blocks[i] - had[i]) for i in live)])
+        length = min([covered, *(end(i, most_epochs * blocks[i] - had[i]) for i in live if most_epochs is not None)])
         whole, part = divmod(length, size)
         now = list(had)
         for i in live:
@@ -59,7 +59,7 @@ def mix(
     *,
     default_weight: int = 1,
     block_rows: int = 64,
-    most_epochs: int = 4,
+    most_epochs: int | None = None,
     most_sources: int = 10_000,
     key: str = "doc_id",
     source: str = "source",
@@ -73,8 +73,9 @@ def mix(
     Target shares are weight / sum of the weights of the live sources; after any number of
     slots since the set of live sources last changed, a source has had less than one
     block more or fewer than its share.  Sources short of their share are read
-    again (``epoch`` counts from 0), up to ``most_epochs`` times; the schedule ends once every
-    source has been read in full, so no row is left out and none comes more than ``most_epochs`` times.
+    again (``epoch`` counts from 0) as often as it needs; the schedule ends once every source has
+    been read in full, so no row is left out and the shares hold over the whole schedule.  With
+    ``most_epochs`` no row comes more often than that, but a source that has come so often leaves and its share is missed.
 
     Null sources are a source of their own with the default weight.  Repeated rows are rows like any other.
     An empty table gives none.  The driver gets one count per source (an error above

@@ -136,6 +136,17 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), {"a": 3}).count() == 0
 
 
+def test_mixing_keeps_the_shares_to_the_end(spark):
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('src', id % 20) AS source")
+    rows = mixing.mix(docs, {"src0": 8}, block_rows=4).collect()
+    assert {r.doc_id for r in rows} == set(range(500))
+    order = [s for _, s in sorted({(r.slot, r.source) for r in rows})]
+    assert len(order) >= 7 * 27 - 26
+    for t in range(len(order) + 1):
+        seen = collections.Counter(order[:t])
+        assert all(abs(27 * seen[f"src{i}"] - t * (8 if i == 0 else 1)) < 27 for i in range(20))
+
+
 # ---------------------------------------------------------------- 3
 
 
