@@ -63,8 +63,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 # end of the fixed values
 
-# A sentence ends at a line break, or at . ; : ! ? before white space.
-SENTENCE_END = r"\n|(?<=[.;:!?])[\x20\x09\x0B-\x0D]+"
+# A sentence ends at . ; : ! ? before white space, or at a line without a letter or digit.
+SENTENCE_END = r"(?<=[.;:!?])[\x20\x09-\x0D]+|\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
+END = "\x01"
 
 
 def normalised(sentence: str) -> str:
@@ -96,23 +97,24 @@ def licence_scan(
 ) -> DataFrame:
     """Licences of every text: ``key``, ``n_sentences``, ``sentence_ids`` (known ones, in text order), ``licenses`` (all whose rule matches, in rule order) and ``license`` (the first, or null).
 
-    A sentence is lower-cased (A-Z), runs of other characters than a-z and 0-9 become
-    one space, and the result is looked up among the known sentences.  A rule matches
-    if its identifiers occur in this order, with any others between.  Null and empty
-    texts have no sentences and no licence; a sentence without a letter or digit
-    does not count.  Repeated rows give repeated results; other columns are ignored.
+    A sentence is lower-cased (A-Z), and runs of other characters than a-z and 0-9 become
+    one space; so do single line breaks with the comment marks (without letters) after them.
+    A known sentence is found between sentence ends or line breaks, on however many lines
+    it stands.  A rule matches if its identifiers occur in this order, with any others
+    between.  Null and empty texts have no sentences and no licence; a sentence without a
+    letter or digit does not count.  Repeated rows give repeated results; other columns are ignored.
     """
     table = known(sentences)
-    shortest, longest = min(map(len, table)), max(map(len, table))
-    ids = sorted(sentences)
     forms = F.map_from_arrays(F.split(F.lit("\n".join(table)), "\n"), F.split(F.lit("\n".join(table.values())), "\n"))
-    cut = F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END)
-    plain = lambda s: F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    rows = docs.select(F.col(key).alias("_key"), F.filter(cut, lambda s: s.rlike("[A-Za-z0-9]")).alias("_cut"))
-    # normalising never lengthens a sentence, and only those that are long enough can be known
-    found = F.filter(F.transform(F.filter("_cut", lambda s: (F.length(s) >= shortest) & s.rlike(_openers(table))), lambda s: F.element_at(forms, plain(s))), lambda x: x.isNotNull())
-    assert shortest <= longest and len(ids) == len(set(ids))
-    rows = rows.select("_key", F.size("_cut").cast("long").alias("n_sentences"), found.alias("sentence_ids"))
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + END, "abcdefghijklmnopqrstuvwxyz ")
+    plain = F.concat(F.lit(END), F.regexp_replace(plain, SENTENCE_END, END), F.lit(END))
+    # words are parted by one space, line break or END, whichever is the strongest between them
+    for run, one in ((f"[^a-z0-9\n{END}]+", " "), (" ?\n[ \n]*", "\n"), (f"[ \n]?{END}[ \n{END}]*", END)):
+        plain = F.regexp_replace(plain, run, one)
+    rows = docs.select(F.col(key).alias("_key"), plain.alias("_plain"))
+    n_sentences = F.length("_plain") - F.length(F.translate("_plain", END, "")) - 1
+    found = F.transform(F.regexp_extract_all("_plain", F.lit(_pattern(table)), F.lit(0)), lambda x: F.element_at(forms, F.translate(x, "\n" + END, "  ")))
+    rows = rows.select("_key", n_sentences.cast("long").alias("n_sentences"), found.alias("sentence_ids"))
     joined = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
     hits: list[Column] = [F.when(joined.rlike(".*".join(f" {i} " for i in order)), F.lit(name)) for name, order in rules]
     licences = F.when(F.size("sentence_ids") > 0, F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>"))
@@ -120,6 +122,7 @@ def licence_scan(
     return rows.select(F.col("_key").alias(key), "n_sentences", "sentence_ids", "licenses", F.get("licenses", F.lit(0)).alias("license"))
 
 
-def _openers(table: dict[str, str]) -> str:
-    """Pattern that each known sentence matches: its first word, in any case, after anything but letters and digits."""
-    return r"^[^A-Za-z0-9]*(?i:" + "|".join(sorted({t.split(" ")[0] for t in table})) + r")(?![A-Za-z0-9])"
+def _pattern(table: dict[str, str]) -> str:
+    """Pattern of all known sentences, longer ones first, over any line breaks."""
+    forms = sorted(table, key=lambda t: (-len(t), t))
+    return "(?<![a-z0-9 ])(?:" + "|".join(t.replace(" ", "[ \n]") for t in forms) + ")(?![a-z0-9 ])"

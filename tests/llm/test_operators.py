@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -89,6 +90,29 @@ def test_licences(spark):
     assert licenses.licence_scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_licences(spark):
+    notices = {
+        "MIT": ("MIT_GRANT", "MIT_NOTICE", "AS_IS"),
+        "Apache-2.0": ("APACHE2_REF", "APACHE2_OBEY", "APACHE2_COPY", "APACHE2_UNLESS"),
+        "BSD-3-Clause": ("BSD_REDIST", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE"),
+        "GPL-3.0-or-later": ("GPL3_TERMS", "GPL_HOPE"),
+        "GPL-2.0-or-later": ("GPL2_TERMS", "GPL_HOPE"),
+    }
+    texts, wanted = [], []
+    for name, parts in notices.items():
+        for mark, width in (("", 72), (" * ", 78), ("# ", 70), ("// ", 40)):
+            lines = []
+            for i, part in enumerate(parts):
+                form = licenses.SENTENCES[part][0]
+                lines += [*textwrap.wrap(form, width), *([""] if i % 2 else [])]
+            texts.append("Copyright 2020 A. Author\r\n\n" + "\n".join((mark + x).rstrip() for x in lines) + "\n\nint main() {}")
+            wanted.append((name, list(parts)))
+    texts += ["About this work\nMIT License\nCopyright 2020", "no stop before\n# Released under the\n# MIT License.\n# more", "released under the\n\nMIT License is", "\n" * 20000 + "語\n" * 20000 + "Licensed under CC BY 4.0."]
+    wanted += [("MIT", ["MIT_REF"]), ("MIT", ["MIT_REF"]), (None, []), ("CC-BY-4.0", ["CC_BY4_REF"])]
+    rows = licenses.licence_scan(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.license, r.sentence_ids) for r in rows] == wanted
+
+
 # ---------------------------------------------------------------- 1
 
 
