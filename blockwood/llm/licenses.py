@@ -75,15 +75,19 @@ def normalised(sentence: str) -> str:
 
 
 def known(sentences: dict[str, tuple[str, ...]]) -> dict[str, str]:
-    """Normalised text of each known sentence, or of each of its parts if the splitter cuts it, to its identifier."""
+    """Normalised text of each known sentence, with END where the splitter cuts it, to its identifier.
+
+    All parts of a cut sentence must follow each other; those before the longest one, which only
+    name the program, may be missing or worded otherwise.
+    """
     import re
 
     out: dict[str, str] = {}
     for name, forms in sentences.items():
         for form in forms:
             parts = [p for p in map(normalised, re.split(SENTENCE_END, form)) if p]
-            # several parts: the longest one stands for the sentence
-            out[max(parts, key=len)] = name
+            for first in range(parts.index(max(parts, key=len)) + 1):
+                out[END.join(parts[first:])] = name
     return out
 
 
@@ -105,7 +109,8 @@ def licence_scan(
     letter or digit does not count.  Repeated rows give repeated results; other columns are ignored.
     """
     table = known(sentences)
-    forms = F.map_from_arrays(F.split(F.lit("\n".join(table)), "\n"), F.split(F.lit("\n".join(table.values())), "\n"))
+    names = {t.replace(END, " "): name for t, name in table.items()}
+    forms = F.map_from_arrays(F.split(F.lit("\n".join(names)), "\n"), F.split(F.lit("\n".join(names.values())), "\n"))
     plain = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + END, "abcdefghijklmnopqrstuvwxyz ")
     plain = F.concat(F.lit(END), F.regexp_replace(plain, SENTENCE_END, END), F.lit(END))
     # words are parted by one space, line break or END, whichever is the strongest between them
@@ -123,6 +128,6 @@ def licence_scan(
 
 
 def _pattern(table: dict[str, str]) -> str:
-    """Pattern of all known sentences, longer ones first, over any line breaks."""
+    """Pattern of all known sentences, longer ones first, over any line breaks; a sentence end may stand where the known one has it."""
     forms = sorted(table, key=lambda t: (-len(t), t))
-    return "(?<![a-z0-9 ])(?:" + "|".join(t.replace(" ", "[ \n]") for t in forms) + ")(?![a-z0-9 ])"
+    return "(?<![a-z0-9 ])(?:" + "|".join(t.replace(" ", "[ \n]").replace(END, f"[ \n{END}]") for t in forms) + ")(?![a-z0-9 ])"

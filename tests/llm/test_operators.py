@@ -113,6 +113,15 @@ def test_wrapped_licences(spark):
     assert [(r.license, r.sentence_ids) for r in rows] == wanted
 
 
+def test_every_part_of_a_licence_sentence_counts(spark):
+    gpl = licenses.SENTENCES["GPL2_TERMS"][0]
+    texts = [gpl, gpl.replace("This program", "Foo"), gpl.replace("version 2", "version 3"), gpl.replace("either version 2 of the License, or (at your option) any later version.", "version 2 of the License."), gpl.replace("version 2", "version 2.1"), gpl.split("either")[0]]
+    mpl = licenses.SENTENCES["MPL2_REF"][0]
+    texts += [mpl, mpl.replace("2.0", "1.1"), licenses.SENTENCES["GPL3_TERMS"][0]]
+    rows = [r.license for r in licenses.licence_scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert rows == ["GPL-2.0-or-later"] * 2 + [None] * 4 + ["MPL-2.0", None, "GPL-3.0-or-later"]
+
+
 # ---------------------------------------------------------------- 1
 
 
