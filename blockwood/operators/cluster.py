@@ -195,6 +195,10 @@ def build_tree(points: DataFrame, algo: Clustering, task_points: int = 1_000_000
     if total > task_points:
         if algo.kind != "median" or algo.divider != 2:
             raise NotImplementedError("sets beyond task_points are split over the cluster by median bisection only")
+        if algo.by_depth:
+            raise NotImplementedError("sets beyond task_points are split over the cluster without a choice by depth")
+        if rows.where("group_id >= 0").limit(1).count():
+            raise NotImplementedError("sets beyond task_points are split over the cluster without groups")
         rows, top = _distributed_levels(rows, algo, task_points)
 
     def finish(table: pa.Table) -> pa.Table:
