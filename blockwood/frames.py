@@ -13,27 +13,69 @@ from . import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share; only a local session, which has one machine, gets one here if it has none."""
     context = spark.sparkContext
     where = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = os.path.join(tempfile.gettempdir(), "checkpoints")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(where)
     return where
 
 
+class Scratch:
+    """Collects the tables that ``settle`` writes while it is open (a context manager); ``drop`` deletes them.
+
+    Results are read from those tables lazily: drop them once the result is written or collected.
+    """
+
+    open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch.open.remove(self)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again.
 
     Lineage ends in those files, so a lost executor costs no recomputation of what came
-    before, and later readers take only the columns they use.
+    before, and later readers take only the columns they use.  ``discard`` or a ``Scratch`` deletes them.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/blockwood/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if Scratch.open:
+        Scratch.open[-1].paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_settled_at", None):
+            _delete(df.sparkSession, path)
 
 
 def cut_rows(df: DataFrame, most: int = 20_000, bound: int | None = None) -> tuple[DataFrame, pa.Table | None]:
