@@ -74,6 +74,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
+def rank_buckets(rows: int, each: int = 200_000) -> int:
+    """Buckets for ``rank_within``: so many that one of them holds about ``each`` rows even if one key holds all."""
+    return max(64, -(-rows // each))
+
+
 def rank_within(df: DataFrame, key: str, ties: list[str], rank: str, buckets: int = 1024) -> DataFrame:
     """Adds ``rank``: 0-based place of each row among the rows of its ``key``, in an order fixed by ``ties``.
 
@@ -99,8 +104,8 @@ _R_INV = pow(_R, -1, 1 << 64)
 _POW: dict[int, np.ndarray] = {}
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+_SPACE = ASCII_SPACE = np.zeros(256, dtype=bool)
+ASCII_SPACE[[32, *range(9, 14)]] = True
 
 
 def powers(n: int, base: int = _R) -> np.ndarray:
@@ -140,29 +145,47 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word."""
-    # a break after each text keeps words of neighbours apart
     n = len(data)
-    inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~_SPACE[data]
-    change = inside[1:] != inside[:-1]
-    starts = np.flatnonzero(inside[1:] & change)
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < n)]
-    cuts = np.unique(cuts)
-    cuts = cuts[inside[cuts] & inside[cuts + 1]]  # a word runs across this border
-    starts = np.union1d(starts, cuts)
-    ends = np.union1d(np.flatnonzero(inside[:-1] & change[:]), cuts)
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of the bytes of each word."""
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    inside = ~_SPACE[data]
+    border = np.zeros(n + 1, bool)  # a text begins here: words of neighbours stay apart
+    border[offsets] = True
+    begins, finishes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | border[1:-1]
+    finishes[:-1] &= ~inside[1:] | border[1:-1]
+    starts = np.flatnonzero(begins)
+    number = np.diff(np.searchsorted(starts, offsets))
+    return starts, np.flatnonzero(finishes) + 1, np.repeat(np.arange(len(number)), number)
+
+
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each word (A-Z lowered); another ``seed`` gives an independent one.
+
+    Eight bytes at a time go through a bijective mixer keyed by their place, so that no pattern of
+    a long word cancels out, as it would in a polynomial modulo 2**64.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    symbols = (_LOWERED[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(symbols * powers(len(data)), out=total[1:])
-    return mixed((total[ends] - total[starts]) * powers(len(data) + 1, _R_INV)[starts])
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = _LOWERED[data] if lower else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    size = ends - starts
+    steps = (size + 7) >> 3
+    key = np.uint64((0xD6E8FEB86659FD93 * (2 * seed + 1)) & (1 << 64) - 1)
+    if steps.max() == 1:
+        total = mixed((eight[starts] & _KEEP[size]) ^ key)
+    else:
+        first = np.cumsum(steps) - steps
+        step = np.arange(int(steps.sum())) - np.repeat(first, steps)
+        at = np.repeat(starts, steps) + 8 * step
+        part = eight[at] & _KEEP[np.minimum(np.repeat(ends, steps) - at, 8)]
+        place = mixed(step.astype(np.uint64) * np.uint64(_R)) ^ key  # 0 stays 0: short words hash alike on both paths
+        total = np.add.reduceat(mixed(part ^ place), first)
+    return mixed(total + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_within
+from .common import rank_buckets, rank_within
 
 
 def pfair_period(weights: list[int]) -> list[list[int]]:
@@ -17,40 +19,29 @@ def pfair_period(weights: list[int]) -> list[list[int]]:
     ceil((j+1) / w); each slot takes the released block with the earliest deadline (ties:
     the first source).  As the shares sum to 1 every deadline is met, so after any number
     t of slots a source has had less than one block more or fewer than w * t; after a period it
-    has had exactly its weight.
+    has had exactly its weight.  Two heaps: blocks by release, and released ones by deadline.
     """
     total = sum(weights)
-    done, slots = [0] * len(weights), [[] for _ in weights]
+    slots: list[list[int]] = [[] for _ in weights]
+    coming, ready = [(0, i) for i in range(len(weights))], []
     for t in range(total):
-        due = [(-(-(done[i] + 1) * total // w), i) for i, w in enumerate(weights) if done[i] * total // w <= t and done[i] < w]
-        deadline, i = min(due)
+        while coming and coming[0][0] <= t:
+            i = heapq.heappop(coming)[1]
+            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * total // weights[i]), i))
+        deadline, i = heapq.heappop(ready)
         assert t < deadline
         slots[i].append(t)
-        done[i] += 1
+        if len(slots[i]) < weights[i]:
+            heapq.heappush(coming, (len(slots[i]) * total // weights[i], i))
     return slots
 
 
-def phases(blocks: list[int], weights: list[int], most_epochs: int | None) -> list[tuple[int, list[int], list[int], dict[int, list[int]]]]:
-    """(first slot, blocks had before, blocks had after, period slots by source) for each set of live sources.
-
-    A source leaves when it has had ``most_epochs`` times its blocks (None: never); the rest go on,
-    by their own weights.  The schedule ends when each source has been seen once in full.
-    """
-    had, start, out = [0] * len(blocks), 0, []
-    while any(h < n for h, n in zip(had, blocks, strict=True)):
-        live = [i for i in range(len(blocks)) if most_epochs is None or had[i] < most_epochs * blocks[i]]
-        period = dict(zip(live, pfair_period([weights[i] for i in live]), strict=True))
-        size = sum(weights[i] for i in live)
-        end = lambda i, n: (n - 1) // weights[i] * size + period[i][(n - 1) % weights[i]] + 1  # noqa: B023, E731  slots until block n is done
-        covered = max(end(i, blocks[i] - had[i]) for i in live if had[i] < blocks[i])
-        length = min([covered, *(end(i, most_epochs * blocks[i] - had[i]) for i in live if most_epochs is not None)])
-        whole, part = divmod(length, size)
-        now = list(had)
-        for i in live:
-            now[i] += whole * weights[i] + sum(s < part for s in period[i])
-        out.append((start, had, now, period))
-        had, start = now, start + length
-    return out
+def turns(blocks: list[int], weights: list[int], period: list[list[int]]) -> list[int]:
+    """Blocks each source has in the shortest schedule that reads every source in full."""
+    size = sum(weights)
+    length = max(((n - 1) // w * size + s[(n - 1) % w] + 1 for n, w, s in zip(blocks, weights, period, strict=True) if n), default=0)
+    whole, part = divmod(length, size) if size else (0, 0)
+    return [whole * w + sum(t < part for t in s) for w, s in zip(weights, period, strict=True)]
 
 
 def mix(
@@ -59,8 +50,7 @@ def mix(
     *,
     default_weight: int = 1,
     block_rows: int = 64,
-    most_epochs: int | None = None,
-    most_sources: int = 10_000,
+    most_slots: int = 4_000_000,
     key: str = "doc_id",
     source: str = "source",
     ties: list[str] | None = None,
@@ -70,45 +60,44 @@ def mix(
 
     A source's rows, in an order fixed by hash, form blocks of ``block_rows`` rows (the last may be
     shorter).  ``slot`` is the block's turn, ``place`` the row's place in its block.
-    Target shares are weight / sum of the weights of the live sources; after any number of
-    slots since the set of live sources last changed, a source has had less than one
-    block more or fewer than its share.  Sources short of their share are read
+    Target shares are weight / sum of the weights of the sources that occur; after any number of
+    slots a source has had less than one block more or fewer than its share.  Sources short of their share are read
     again (``epoch`` counts from 0) as often as it needs; the schedule ends once every source has
-    been read in full, so no row is left out and the shares hold over the whole schedule.  With
-    ``most_epochs`` no row comes more often than that, but a source that has come so often leaves and its share is missed.
+    been read in full, so no row is left out and the shares hold over the whole schedule.
+
+    Weights are positive integers (else an error).  Null sources are a source of their own with the default weight.
+    Repeated rows are rows like any other.  An empty table gives none.  ``carry`` columns that are
+    called like a result come as ``carried_<name>``.
 
-    Null sources are a source of their own with the default weight.  Repeated rows are rows like any other.
-    An empty table gives none.  The driver gets one count per source (an error above
-    ``most_sources``) and a period of ``sum(weights)`` slots.
+    One period of the schedule serves all of it: block n of a source with weight w has slot
+    (n div w) * period + slot of block (n mod w).  The driver gets one count per source and
+    plans ``sum(weights)`` slots (by common divisor), at most ``most_slots`` (else an error): that bounds what is broadcast.
     """
     carry = carry or []
     ties = ties or [key, source]
     named = {f"_c{i}": c for i, c in enumerate(dict.fromkeys([key, *ties, *carry]))}
     back = {c: n for n, c in named.items()}
     rows = docs.select(F.col(source).alias("_source"), *[F.col(c).alias(n) for n, c in named.items()])
-    ranked = rank_within(rows, "_source", [back[c] for c in ties], "_rank", buckets=256)
-    counts = sorted(((r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(most_sources + 1).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
-    if len(counts) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    blocks = [-(-n // block_rows) for _, n in counts]
+    counts = sorted(((r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(most_slots + 1).collect()), key=lambda x: (x[0] is not None, str(x[0])))
     shares = [weights.get(s, default_weight) for s, _ in counts]
-    table, at = [], 0
-    for start, had, now, period in phases(blocks, shares, most_epochs):
-        for i, slots in period.items():
-            if now[i] > had[i]:
-                table.append((counts[i][0], had[i], now[i], shares[i], start, sum(shares[j] for j in period), blocks[i], slots))
-        at += 1
-    # one row per source and phase: bounded by most_sources squared and the weights, not by the rows
-    plan = docs.sparkSession.createDataFrame(table, "p_source string, p_from long, p_to long, p_weight long, p_start long, p_period long, p_blocks long, p_slots array<int>")
-    block = F.expr(f"_rank div {block_rows}L")
-    ranked = ranked.withColumn("_block", block)
-    # turns of the block that fall into the phase: _block + e * p_blocks in [p_from, p_to)
-    low = F.greatest(F.lit(0), F.ceil((F.col("p_from") - F.col("_block")) / F.col("p_blocks")))
-    high = F.ceil((F.col("p_to") - F.col("_block")) / F.col("p_blocks")) - 1
-    met = ranked.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("p_source")) & (high >= low))
-    met = met.withColumn("_epoch", F.explode(F.sequence(low, high)))
-    turn = F.col("_block") + F.col("_epoch") * F.col("p_blocks") - F.col("p_from")
-    slot = F.col("p_start") + F.expr("0L") + F.floor(turn / F.col("p_weight")) * F.col("p_period") + F.get("p_slots", F.pmod(turn, F.col("p_weight")).cast("int"))
+    if any(w <= 0 or w != int(w) for w in shares):
+        raise ValueError("weights are positive integers")
+    shared = math.gcd(*shares) or 1
+    shares = [w // shared for w in shares]
+    size = sum(shares)
+    if size > most_slots:
+        raise ValueError(f"a period of {size} slots; at most {most_slots} are planned")
+    period = pfair_period(shares)
+    blocks = [-(-n // block_rows) for _, n in counts]
+    table = [(c[0], w, b, n, s) for c, w, b, n, s in zip(counts, shares, blocks, turns(blocks, shares, period), period, strict=True)]
+    plan = docs.sparkSession.createDataFrame(table, f"p_source {dict(rows.dtypes)['_source']}, p_weight long, p_blocks long, p_turns long, p_slots array<int>")
+    ranked = rank_within(rows, "_source", [back[c] for c in ties], "_rank", buckets=rank_buckets(sum(n for _, n in counts)))
+    ranked = ranked.withColumn("_block", F.expr(f"_rank div {block_rows}L"))
+    met = ranked.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("p_source")))  # most_slots numbers at most
+    met = met.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(p_turns - 1 - _block) div p_blocks"))))
+    turn = F.col("_block") + F.col("_epoch") * F.col("p_blocks")
+    slot = F.floor(turn / F.col("p_weight")) * F.lit(size) + F.get("p_slots", F.pmod(turn, F.col("p_weight")).cast("int"))
+    results = {key, source, "slot", "epoch", "block", "place"}
     return met.select(
         F.col(back[key]).alias(key),
         F.col("_source").alias(source),
@@ -116,7 +105,7 @@ def mix(
         F.col("_epoch").cast("int").alias("epoch"),
         F.col("_block").alias("block"),
         F.pmod(F.col("_rank"), F.lit(block_rows)).cast("int").alias("place"),
-        *[F.col(back[c]).alias(c) for c in carry if c not in (key, source)],
+        *[F.col(back[c]).alias(f"carried_{c}" if c in results else c) for c in carry if c not in (key, source)],
     )
 
 

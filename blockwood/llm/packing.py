@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import byte_batches, rank_within, settle
+from .common import ASCII_SPACE, byte_batches, rank_buckets, rank_within, settle, text_buffer, word_hashes
 
 PIECES = "_key long, piece int, start long, length long, ids_crc32 long"
 
@@ -22,59 +22,114 @@ _CODERS: dict = {}
 class PieceCoder:
     """Token ids of whole texts, by the tokenizer file; ids of segments are kept, up to a bound.
 
-    A text is cut before every single space between two other characters; no token of
-    a byte-level BPE with the usual pattern crosses such a place, so the ids of the
-    segments end to end are the ids of the text.
+    A text is cut where white space follows another character, and behind a line break that stands
+    alone.  No token of a byte-level BPE with the usual pattern crosses such a place and none
+    looks beyond it, so the ids of the segments end to end are the ids of the text.  Texts with
+    added tokens or white space outside ASCII go to the library as a whole.  Equal segments of a batch
+    are found by two 64-bit hashes and coded once.
     """
 
-    def __init__(self, path: str, most_kept: int = 200_000):
+    def __init__(self, path: str, most_kept: int = 300_000):
+        import json
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t["content"].encode() for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])]
         # the same vocabulary for plain segments in a faster implementation of the same merges
         self.fast = _byte_pairs(path)
-        self.plain = re.compile(r"[ -~\n\u00c0-\u00ff]+")
-        self.cut = re.compile(r"(?<=\S)(?= \S)")
-        self.odd = re.compile(r"[^\S \n]")  # white space other than blanks and line breaks
-        self.kept: dict[str, bytes] = {}
+        self.plain = re.compile(r" ?[!-~\u00c0-\u00ff]+")
+        self.line = None if self.fast is None else self.fast.encode_to_numpy("\n")
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
         self.most_kept = most_kept
 
-    def parts(self, text: str) -> list[str]:
-        """Segments; those after the first are without the blank that begins them, if every cut is at a lone blank."""
-        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or self.odd.search(text):
-            head, *rest = self.cut.split(text)
-            return [head, *(r[1:] for r in rest)]
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        kept = self.kept  # ids of the segments that begin with a blank, known by what follows it
-        if len(kept) > self.most_kept:
-            kept.clear()
-        heads, tails = [], []
-        for t in texts:
-            head, *tail = self.parts(t)
-            heads.append(head)
-            tails.append(tail)
-        new = list({s for p in tails for s in p if s not in kept})
-        kept.update(zip(new, self._ids([" " + s for s in new]), strict=True))
-        get = kept.__getitem__
-        return [first + b"".join(map(get, p)) for first, p in zip(self._ids(heads), tails, strict=True)]
-
-    def _ids(self, segments: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(segments)
-        if self.fast is not None:
-            plain, fast = self.plain.fullmatch, self.fast.encode_to_numpy
-            for i, s in enumerate(segments):
-                if plain(s) and "<|" not in s:
-                    out[i] = fast(s).tobytes()
+    def odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts the library codes as a whole."""
+        if self.fast is None:
+            return np.ones(len(offsets) - 1, bool)
+        hit = (data >= 0x1C) & (data <= 0x1F)
+        if (data >= 0xC2).any():
+            a, b, c = (np.concatenate([data[k:], np.zeros(k, np.uint8)]) for k in range(3))
+            hit |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+            hit |= (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+            hit |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+            hit |= (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+            hit |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        at = np.flatnonzero(hit).tolist()
+        whole = data.tobytes()
+        for token in self.added:
+            place = whole.find(token) if token else -1
+            while place >= 0:
+                at.append(place)
+                place = whole.find(token, place + 1)
+        out = np.zeros(len(offsets) - 1, bool)
+        out[np.searchsorted(offsets, np.array(at, np.int64), side="right") - 1] = True
+        return out
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Little-endian uint32 ids of each text; null is empty."""
+        data, offsets = text_buffer(column)
+        odd = self.odd(data, offsets)
+        out: list[bytes] = [b""] * len(odd)
+        rest = np.flatnonzero(odd)
+        for i, ids in zip(rest, self._library([bytes(data[offsets[i] : offsets[i + 1]]).decode() for i in rest]), strict=True):
+            out[i] = ids.tobytes()
+        if odd.all() or not len(data):
+            return out
+        space = ASCII_SPACE[data]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets[:-1]] = True
+        first = begins[:-1] | np.r_[True, ~space[:-1]]  # no white space of the same text before this place
+        begins[:-1] |= space & first
+        begins[1:-1] |= ~space[1:] & (data[:-1] == 10) & first[:-1]
+        starts = np.flatnonzero(begins[:-1])
+        ends = np.r_[starts[1:], len(data)]
+        number = np.diff(np.searchsorted(starts, offsets))
+        take = np.repeat(~odd, number)
+        starts, ends = starts[take], ends[take]
+        ends = np.minimum(ends, np.repeat(offsets[1:], number)[take])
+        one, two = (word_hashes(data, starts, ends, lower=False, seed=k) for k in (0, 1))
+        distinct, at, place = np.unique(one, return_index=True, return_inverse=True)
+        if (two[at][place] != two).any():  # two segments share a hash: the library takes the batch
+            every = self._library([bytes(data[a:b]).decode() for a, b in zip(offsets, offsets[1:])])
+            return [x.tobytes() for x in every]
+        if len(self.kept) > self.most_kept:
+            self.kept.clear()
+        names = list(zip(distinct.tolist(), two[at].tolist()))
+        new = [i for i, n in enumerate(names) if n not in self.kept]
+        segments = [bytes(data[a:b]).decode() for a, b in zip(starts[at[new]], ends[at[new]])]
+        self.kept.update(zip([names[i] for i in new], self._ids(segments), strict=True))
+        codes = [self.kept[n] for n in names]
+        size = np.array([len(c) for c in codes], np.int64)
+        flat, begin = np.concatenate(codes), np.cumsum(size) - size
+        size_here = size[place]
+        end_here = np.cumsum(size_here)
+        ids = flat[np.repeat(begin[place] - (end_here - size_here), size_here) + np.arange(int(end_here[-1]))]
+        bounds = np.r_[0, end_here][np.r_[0, np.cumsum(np.where(odd, 0, number))]]
+        for i in np.flatnonzero(~odd):
+            out[i] = ids[bounds[i] : bounds[i + 1]].tobytes()
+        return out
+
+    def _ids(self, segments: list[str]) -> list[np.ndarray]:
+        """Plain segments are coded in one go, one to a line: a line break between two of them is a token of its own."""
+        out: list[np.ndarray | None] = [None] * len(segments)
+        plain = [i for i, s in enumerate(segments) if self.plain.fullmatch(s)] if len(self.line) == 1 else []
+        if plain:
+            ids = self.fast.encode_to_numpy("\n".join([segments[i] for i in plain]))
+            breaks = np.flatnonzero(ids == self.line[0])
+            if len(breaks) == len(plain) - 1:
+                for i, a, b in zip(plain, [0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)]):
+                    out[i] = ids[a:b]
         rest = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([segments[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        for i, x in zip(rest, self._library([segments[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for at in range(0, len(texts), 20_000):
+            out += [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
         return out
 
 
@@ -104,9 +159,9 @@ def piece_rows(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     coder = _CODERS.get(path) or _CODERS.setdefault(path, PieceCoder(path))
     end = np.array([end_id], dtype="<u4").tobytes()
-    for batch in byte_batches(batches, "_text", 2 << 20):
+    for batch in byte_batches(batches, "_text", 3 << 20):
         keys, out = batch.column("_key").to_pylist(), {"_key": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-        for key, ids in zip(keys, coder.encode([t or "" for t in batch.column("_text").to_pylist()]), strict=True):
+        for key, ids in zip(keys, coder.encode(batch.column("_text")), strict=True):
             ids += end
             n = len(ids) // 4
             first = (n - 1) % most + 1
@@ -213,7 +268,7 @@ def pack(
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_rows(minimum_bin_slack(counts, capacity))
     table = docs.sparkSession.createDataFrame(plan, "_length long, _from long, _to long, _per long, _bin long, _at long")
-    ranked = rank_within(pieces, "length", ["_key", "piece", "ids_crc32"], "_rank", buckets=256)
+    ranked = rank_within(pieces, "length", ["_key", "piece", "ids_crc32"], "_rank", buckets=rank_buckets(sum(counts.values())))
     # at most a few rows for each possible length: bounded by the capacity, not by the input
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     step = F.col("_rank") - F.col("_from")

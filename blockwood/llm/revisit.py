@@ -26,7 +26,16 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def resolve_revisits(records: DataFrame, *, chunks: int = 256) -> DataFrame:
+def lower_names(headers: Column) -> Column:
+    """Headers with lower-case names; of names that differ in case only, the one that sorts first stands (capitals before small letters). Null: none."""
+    entries = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("name"), e["value"].alias("value"))))
+    pair = lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))
+    first = lambda es: F.transform(F.filter(es, lambda e, i: (i == 0) | (e["key"] != F.get(es, i - 1)["key"])), pair)
+    one = F.get(F.transform(F.array(entries), first), F.lit(0))  # sorted once
+    return F.coalesce(F.map_from_entries(one), F.create_map().cast("map<string,string>"))
+
+
+def resolve_revisits(records: DataFrame, *, chunks: int | None = None) -> DataFrame:
     """One row per revisit of ``records`` (columns of ``RECORD``; others are ignored).
 
     Result: record_id, url_key, refers_to, outcome, headers, digest.  A revisit looks up
@@ -47,22 +56,25 @@ def resolve_revisits(records: DataFrame, *, chunks: int = 256) -> DataFrame:
     repeated rows give repeated results.
 
     A URL may hold a third of all rows, so its history is not sorted in one task: times
-    are cut into ``chunks`` equal parts, each part is searched for itself, and the
+    are cut into ``chunks`` parts of about as many records (default: one for each 50,000,
+    16 to 4,096), each part is searched for itself, and the
     last response of earlier parts comes from one row per URL and part.
+    Header names are compared in lower case (``lower_names``).
     """
     h = lambda name: F.element_at("headers", F.lit(name))
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url_key"), F.unix_micros("captured").alias("at"), "status", "headers", "digest")
     rows = rows.where(F.col("record_id").isNotNull())
-    headers = F.map_from_entries(F.array_distinct(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
-    rows = rows.withColumn("headers", F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    rows = rows.withColumn("headers", lower_names(F.col("headers")))
     full = (F.col("kind") == "response") & F.col("status").between(200, 299)
     revisit = (F.col("kind") == "revisit") & (F.col("status").isNull() | (F.col("status") == 304))
     rows = rows.where(full | revisit).withColumn("is_full", full)
     lost = F.col("url_key").isNull() | F.col("at").isNull()
-    span = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) // chunks))
-    known = rows.where(~lost).withColumn("chunk", F.expr(f"cast((at - {lo}L) div {width}L as int)"))
+    if chunks is None:
+        chunks = min(4096, max(16, -(-rows.count() // 50_000)))
+    cuts = rows.agg(F.percentile_approx("at", [i / chunks for i in range(1, chunks)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
+    # a sorted list of at most 4,095 times: the number of those at or before the record's, by halving
+    known = rows.where(~lost).withColumn("chunk", _at_or_before(edges, len(set(cuts)), F.col("at")))
     answer = F.when(F.col("is_full"), F.struct("at", "record_id", "headers", "digest"))
     inside = Window.partitionBy("url_key", "chunk").orderBy("at", "record_id", F.desc("is_full")).rowsBetween(Window.unboundedPreceding, -1)
     near = known.withColumn("near", F.last(answer, ignorenulls=True).over(inside)).where(~F.col("is_full"))
@@ -92,6 +104,13 @@ def resolve_revisits(records: DataFrame, *, chunks: int = 256) -> DataFrame:
     )
 
 
+def _at_or_before(edges: Column, n: int, value: Column) -> Column:
+    """How many of the ``n`` ascending ``edges`` are at most ``value``."""
+    step = 1 << max(0, n.bit_length() - 1)
+    steps = F.array(*[F.lit(step >> i) for i in range(n.bit_length())] or [F.lit(0)])
+    return F.aggregate(steps, F.lit(0), lambda done, s: F.when((s > 0) & (done + s <= n) & (F.coalesce(F.get(edges, done + s - 1), value + 1) <= value), done + s).otherwise(done))
+
+
 def captures_of_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """A crawl log over the whole pages table, as records for ``resolve_revisits``.
 

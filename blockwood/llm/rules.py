@@ -21,40 +21,27 @@ def grams(codes: Column, buckets: int, each) -> Column:
     return F.zip_with(codes, nexts, lambda a, b: each(at(a), at(F.xxhash64(a, b))))
 
 
-def bucket_number(n_grams: int, least: int = 1 << 13, most: int = 1 << 18) -> int:
-    """Buckets for a corpus of ``n_grams`` 1- and 2-grams: the next power of two that gives each 64 of them at most, within ``least`` and ``most``.
-
-    With fewer, junk shares the buckets of frequent good words; with many more, the smoothing outweighs the counts.
-    ``most`` bounds the table in the driver and in every task.
-    """
-    return min(most, max(least, 1 << (-(-n_grams // 64) - 1).bit_length()))
-
-
 def bucket_counts(codes: DataFrame, buckets: int) -> tuple[dict[int, int], dict[int, int]]:
-    """Occurrences of each bucket in the trusted texts and in all texts; at most 2 * ``buckets`` rows reach the driver.
+    """Occurrences of each bucket in the trusted texts and in all texts; at most ``buckets`` rows reach the driver.
 
     ``codes``: word codes ``_codes`` and ``_trusted`` of every text.
     """
-    rows = codes.select("_trusted", F.explode(F.flatten(grams(F.col("_codes"), buckets, lambda a, b: F.array(a, b)))).alias("b"))
-    trusted: dict[int, int] = {}
-    every: dict[int, int] = {}
-    for r in rows.groupBy("_trusted", "b").agg(F.count(F.lit(1)).alias("n")).collect():
-        every[r["b"]] = every.get(r["b"], 0) + r["n"]
-        if r["_trusted"]:
-            trusted[r["b"]] = r["n"]
-    return trusted, every
-
-
-def llr_weights(target: dict[int, int], raw: dict[int, int], buckets: int, smoothing: float = 1.0) -> list[float] | None:
-    """log P_target - log P_raw of each bucket, both additively smoothed; None without target or raw text."""
+    both = F.explode(F.flatten(grams(F.col("_codes"), buckets, lambda a, b: F.array(a, b)))).alias("b")
+    rows = codes.where(F.size("_codes") > 0).select(F.coalesce("_trusted", F.lit(False)).cast("long").alias("t"), both)
+    counts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect()
+    return {r["b"]: r["t"] for r in counts if r["t"]}, {r["b"]: r["n"] for r in counts}
+
+
+def llr_weights(target: dict[int, int], raw: dict[int, int], buckets: int, smoothing: float = 8192.0) -> list[float] | None:
+    """log P_target - log P_raw of each bucket, both smoothed by ``smoothing`` counts spread evenly over the buckets; None without target or raw text."""
     import math
 
     n_target, n_raw = sum(target.values()), sum(raw.values())
     if not n_target or not n_raw:
         return None
-    more = smoothing * buckets
+    one = smoothing / buckets
     return [
-        round(math.log((target.get(b, 0) + smoothing) / (n_target + more)) - math.log((raw.get(b, 0) + smoothing) / (n_raw + more)), 6)
+        round(math.log((target.get(b, 0) + one) / (n_target + smoothing)) - math.log((raw.get(b, 0) + one) / (n_raw + smoothing)), 6)
         for b in range(buckets)
     ]
 
@@ -104,18 +91,19 @@ def quality_rules(
     key: str = "doc_id",
     text: str = "text",
     keep: list[str] | None = None,
-    buckets: int | None = None,
+    buckets: int = 1 << 16,
     threshold: float = -0.08,
     least_words: int = 20,
     most_repeated: int = 30,
+    most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """Verdict on every row of ``docs``: its columns ``keep`` (default: the key), the base statistics, ``llr``, ``base_failed`` and ``kept``.
 
     ``trusted`` lists the keys of trusted texts (repeats and nulls are ignored); the
     raw corpus is ``docs`` itself, counted in full.  ``llr`` is the sum over the
     text's hashed 1- and 2-grams of log P_trusted - log P_raw, divided by their
-    number.  ``buckets`` grows with the number of n-grams in ``docs`` unless it is given
-    (``bucket_number``).  ``kept`` is false if the base rules fail (fewer than ``least_words``
+    number.  The trusted keys are broadcast up to ``most_broadcast`` of them (counted first),
+    beyond that they meet the texts in a merge join.  ``kept`` is false if the base rules fail (fewer than ``least_words``
     words, or over ``most_repeated`` % of them in repeated 8-word windows), else
     ``llr >= threshold``.  Null and empty texts have no words, llr 0, and fail.
     Without any trusted or raw text llr is 0 for all and the base rules alone decide.
@@ -126,10 +114,8 @@ def quality_rules(
     named = {f"_keep_{i}": c for i, c in enumerate(keep)}
     body = F.coalesce(F.col(text), F.lit(""))
     listed = trusted.select(F.col(key).alias("_listed")).where(F.col("_listed").isNotNull()).distinct().withColumn("_trusted", F.lit(True))
-    # the list grows with the corpus: one plan for every size, without a broadcast
-    tagged = docs.select(F.col(key).alias("_key"), body.alias("_text")).join(listed.hint("merge"), F.col("_key") == F.col("_listed"), "left")
-    if buckets is None:
-        buckets = bucket_number(2 * (docs.agg(F.sum(F.size(words(body)).cast("long"))).first()[0] or 0))
+    few = listed.limit(most_broadcast + 1).count() <= most_broadcast
+    tagged = docs.select(F.col(key).alias("_key"), body.alias("_text")).join(listed.hint("broadcast" if few else "merge"), F.col("_key") == F.col("_listed"), "left")
     weights = llr_weights(*bucket_counts(tagged.select("_trusted", word_codes(words(F.col("_text"))).alias("_codes")), buckets), buckets)
     rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()], body.alias("_text"))
     rows = rows.withColumn("_words", words(F.col("_text"))).withColumn("_codes", word_codes(F.col("_words")))

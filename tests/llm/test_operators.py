@@ -64,19 +64,35 @@ def test_quality_rules(spark):
     assert rules.quality_rules(frame(spark, []), trusted).count() == 0
 
 
+def test_likelihood_ratio_by_brute_force(spark):
+    """llr and kept from the hashed counts of all texts, computed again from the engine's word codes alone."""
+    random.seed(8)
+    texts = [" ".join(random.choice(["the", "of", "rain", "stone", "%%", "zz$"]) for _ in range(random.randrange(0, 50))) for _ in range(60)] + [*EDGES[:9], "long " * 250_000]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    docs, size = frame(spark, texts), 64
+    from pyspark.sql import functions as F
+
+    codes = {r.doc_id: list(r.c) for r in docs.select("doc_id", rules.word_codes(rules.words(F.col("text"))).alias("c")).collect()}
+    hashed = sorted({(a, b) for c in codes.values() for a, b in zip(c, [*c[1:], 0])})
+    pair = {(r.a, r.b): r.h for r in spark.createDataFrame(hashed, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    grams = {i: [g % size for a, b in zip(c, [*c[1:], 0]) for g in (a, pair[a, b])] for i, c in codes.items()}
+    raw, target = collections.Counter(g for x in grams.values() for g in x), collections.Counter(g for i, x in grams.items() if i < 60 and i % 3 == 0 for g in x)
+    weigh = lambda g: math.log((target[g] + 8192 / size) / (sum(target.values()) + 8192)) - math.log((raw[g] + 8192 / size) / (sum(raw.values()) + 8192))
+    for few in (10**6, 3):
+        rows = rules.quality_rules(docs, trusted, buckets=size, most_broadcast=few).collect()
+        for r in rows:
+            want = sum(map(weigh, grams[r.doc_id])) / max(1, len(grams[r.doc_id]))
+            assert r.llr == pytest.approx(want, abs=1e-5) and r.kept == (not r.base_failed and r.llr >= -0.08)
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_junk_fails_at_every_size(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
-    rows = rules.quality_rules(docs, labels.where("quality = 1")).select("doc_id", "llr", "base_failed").localCheckpoint()
-    rows = rows.join(labels, "doc_id").where("not base_failed").collect()
+    rows = rules.quality_rules(docs, labels.where("quality = 1")).select("doc_id", "llr", "base_failed").join(labels, "doc_id").where("not base_failed").collect()
     good, junk = ([r.llr >= -0.08 for r in rows if r.quality == q] for q in (1, 0))
     assert sum(junk) <= 0.01 * len(junk) and sum(good) >= 0.99 * len(good)
 
 
-def test_buckets_grow_with_the_corpus():
-    assert [rules.bucket_number(n) for n in (0, 1, 780_342, 7_800_000, 10**12)] == [1 << 13, 1 << 13, 1 << 14, 1 << 17, 1 << 18]
-
-
 # ---------------------------------------------------------------- 10
 
 
@@ -152,23 +168,43 @@ def test_pfair_deviation_is_below_one_block(weights):
 
 def test_mixing(spark):
     df = spark.createDataFrame([(i, "a" if i < 40 else "b" if i < 70 else None) for i in range(77)] + [(3, "a")], "doc_id long, source string")
-    rows = mixing.mix(df, {"a": 3}, block_rows=4, most_epochs=3).collect()
+    rows = mixing.mix(df, {"a": 3}, block_rows=4).collect()
     assert {(r.doc_id, r.source) for r in rows} == {(r.doc_id, r.source) for r in df.collect()}
     slots = collections.defaultdict(set)
     for r in rows:
         slots[r.slot].add((r.source, r.block, r.epoch))
     assert sorted(slots) == list(range(len(slots))) and all(len(x) == 1 for x in slots.values())
-    assert max(r.epoch for r in rows) < 3
     order = [next(iter(slots[t]))[0] for t in range(len(slots))]
-    blocks = {"a": 11, "b": 8, None: 2}
     for t in range(len(order)):
         seen = collections.Counter(order[:t])
-        if any(seen[s] >= 3 * n for s, n in blocks.items()):
-            break
         assert all(abs(seen[s] - t * w / 5) < 1 for s, w in (("a", 3), ("b", 1), (None, 1)))
     assert mixing.mix(df.limit(0), {"a": 3}).count() == 0
 
 
+def test_mixing_by_brute_force_with_clashing_columns(spark):
+    """Every source's blocks in turn, as a plain simulation of release times and deadlines gives them."""
+    kind = "doc_id long, source string, slot string, epoch int, place string, text string"
+    docs = spark.createDataFrame([(i, "abc"[min(i // 20, 2)], "s", 7, None, "x" * (i % 3) * 300_000) for i in range(70)], kind)
+    rows = mixing.mix(docs, {"a": 2, "b": 4, "c": 6}, block_rows=4, carry=["slot", "epoch", "place", "text"]).collect()
+    assert {(r.carried_slot, r.carried_epoch, r.carried_place, len(r.text or "")) for r in rows} == {("s", 7, None, 300_000 * k) for k in range(3)}
+    weights, blocks, had, order = {"a": 1, "b": 2, "c": 3}, {"a": 5, "b": 5, "c": 8}, collections.Counter(), []
+    while any(had[s] < n for s, n in blocks.items()):
+        t = len(order)
+        due = [(-(-(had[s] + 1) * 6 // w), s) for s, w in weights.items() if had[s] * 6 // w <= t]
+        order.append(min(due)[1])
+        had[order[-1]] += 1
+    assert {(r.slot, r.source) for r in rows} == set(enumerate(order))
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"a": 0})
+
+
+def test_ten_thousand_sources_are_planned_at_once():
+    weights = [1 + i % 13 for i in range(10_000)]
+    period = mixing.pfair_period(weights)
+    assert sorted(s for x in period for s in x) == list(range(sum(weights)))
+    assert all(abs(k * sum(weights) - w * s) < sum(weights) for x, w in zip(period[:50], weights) for k, s in enumerate(x))
+
+
 def test_mixing_keeps_the_shares_to_the_end(spark):
     docs = spark.range(500).selectExpr("id AS doc_id", "concat('src', id % 20) AS source")
     rows = mixing.mix(docs, {"src0": 8}, block_rows=4).collect()
@@ -333,13 +369,16 @@ def test_revisits(spark):
         (8, "revisit", None, at(20), 304, {}, None),
         (9, "response", "http://a.org/x", at(19), 500, {}, "D9"),
         (None, "revisit", "http://a.org/x", at(20), 304, {}, None),
+        (10, "revisit", "http://a.org/x", at(11), 304, {"etag": '"9"', "ETag": '"2"', "etaG": '"8"', "X": None}, None),
+        (11, "response", "http://b.org/", None, 200, {}, "D"),
     ]
-    df = spark.createDataFrame(rows, revisit.RECORD)
-    for chunks in (1, 2, 7):
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], revisit.RECORD + ", outcome string, url_key int")
+    for chunks in (1, 2, 7, None):
         got = {r.record_id: (r.refers_to, r.outcome, r.headers, r.digest) for r in revisit.resolve_revisits(df, chunks=chunks).collect()}
         assert got[3] == (1, "resolved", {"etag": 'W/"1"', "date": "d3", "server": "s"}, "D1")
         assert got[4][:2] == (2, "mismatch") and got[5][:2] == (2, "resolved") and got[6][:2] == (2, "unvalidated")
-        assert got[7][1] == got[8][1] == "no_original" and len(got) == 6
+        assert got[7][1] == got[8][1] == "no_original" and len(got) == 7
+        assert got[10][:3] == (2, "resolved", {"etag": '"2"', "date": "d2"})
     assert revisit.resolve_revisits(df.limit(0)).count() == 0
 
 
@@ -365,6 +404,21 @@ def test_top_k(spark):
 # ---------------------------------------------------------------- 8
 
 
+def test_segments_give_the_library_s_ids():
+    """Random Unicode, white space of all kinds and added tokens."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    random.seed(12)
+    pieces = ["stone", " ", "  ", "\n", "\n\n", "\t", "ü", "'s", "don't", "1", "x1", "\r\n", "\u00a0", "\u3000", "語", "<|endoftext|>", "é", "\u2003", "—", "🙂", "\x1c", "\x85", "_", "٣", "\x00", "e\u0301", "\u200b"]
+    texts = ["".join(random.choice(pieces) for _ in range(random.randrange(12))) for _ in range(5000)]
+    texts += ["".join(chr(random.choice([random.randrange(32, 127), random.randrange(0xA0, 0x600), random.randrange(0x3000, 0x30FF), 10, 32])) for _ in range(random.randrange(40))) for _ in range(5000)]
+    texts += ["word, another\n" * 90_000, None]
+    got = packing.PieceCoder(tokenizer_path()).encode(pa.array(texts))
+    tok = Tokenizer.from_file(tokenizer_path())
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
