@@ -126,10 +126,11 @@ def quality_rules(
         total = F.aggregate(grams(F.col("_codes"), buckets, lambda a, b: F.get(table, a) + F.get(table, b)), F.lit(0.0), lambda s, x: s + x)
         llr = F.when(F.size("_codes") > 0, F.round(total / (2 * F.size("_codes")), 9)).otherwise(F.lit(0.0))
     stats = base_rules(F.col("_text"), F.col("_words"), F.col("_codes"))
-    out = rows.select(*named, *[v.alias(k) for k, v in stats.items()], llr.alias("llr"))
+    # filters of later steps stop here: pushed further they would copy these long expressions over and over
+    out = rows.select(*named, *[v.alias(k) for k, v in stats.items()], llr.alias("llr"), F.monotonically_increasing_id().alias("_at")).where("_at >= 0")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return out.select(*[F.col(n).alias(c) for n, c in named.items()], *[c for c in out.columns if c not in named])
+    return out.select(*[F.col(n).alias(c) for n, c in named.items()], *[c for c in out.columns if c not in named and c != "_at"])
 
 
 def _let(value: Column, body) -> Column:
