@@ -5,10 +5,12 @@ A string of ``least`` bytes (a window) is *owned* by its anchor: the leftmost of
 window repeats exactly if it repeats among the contexts (the stretch of owned windows) of
 equal anchors.  The suffix array of the corpus thus falls apart into one sparse suffix array
 for each group of contexts: sorted by what follows the anchor, with the common prefixes of
-neighbours, whose common-prefix intervals a stack scan lists.  In each interval the
-members are told apart by what stands to the left of the anchor; where these differ the repeat
-cannot be extended for all of them, and each left class gives a maximal repeat with all its
-occurrences.
+neighbours, whose common-prefix intervals a stack scan lists.  Inside an interval the
+members' left sides form such intervals again.  A repeat is reported, with all its occurrences, where
+the members' extensions differ on both sides: it is maximal, and every shorter one lies in it.
+
+Contexts are known by hashes of 96 bits together and texts by 128; groups that only propose
+comparisons by 64.
 """
 
 from __future__ import annotations
@@ -17,26 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..frames import discard
 from .common import by_group, byte_batches, mixed, powers, settle, text_buffer
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_INVERSE = {b: pow(b, -1, 1 << 64) for b in _BASES}
+_STRETCH = 8 << 20  # longer texts are cut into stretches of so many windows
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-def rolling(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash; ``spans`` turns two of them into the hash of a stretch."""
+def rolling(data: np.ndarray, base: int = _BASES[0]) -> np.ndarray:
+    """Prefix sums of a polynomial hash; ``spans`` turns two of them into the hash of a (short) stretch."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=total[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), base), out=total[1:])
     return total
 
 
-def spans(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mixed((total[end] - total[start]) * powers(len(total), _BASE_INV)[start])
+def spans(total: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASES[0]) -> np.ndarray:
+    return mixed((total[end] - total[start]) * powers(len(total), _INVERSE[base])[start])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,14 +60,15 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> dict[str, np.ndarray]:
     """Anchors of all texts: text number, place, first and last owned window start, and hashes.
 
-    ``context``: of the anchor and all bytes of its windows, with the place of the anchor among them; ``left`` and
+    ``context`` and ``more``: of the anchor and all bytes of its windows, with the place of the anchor among them; ``left`` and
     ``right``: of the gram with the bytes that a window reaching mostly to that side
     holds (0 where no owned window does).
     """
-    names = ("text", "at", "first", "last", "context", "left", "right")
+    names = ("text", "at", "first", "last", "context", "more", "left", "right")
+    none = {k: np.zeros(0, np.int64 if k in names[:4] else np.uint64) for k in names}
     n = len(data)
     if n < least:
-        return {k: np.zeros(0, np.uint64 if k in ("context", "left", "right") else np.int64) for k in names}
+        return none
     total = rolling(data)
     grams = np.arange(n - gram + 1)
     code = spans(total, grams, grams + gram)
@@ -75,20 +80,33 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> dic
     inside = np.arange(len(owner)) + least <= offsets[text + 1]
     start, owner, text = np.flatnonzero(inside), owner[inside], text[inside]
     if not len(start):
-        return {k: np.zeros(0, np.uint64 if k in ("context", "left", "right") else np.int64) for k in names}
+        return none
     new = np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])]
     head = np.flatnonzero(new)
     tail = np.r_[head[1:], len(start)] - 1
     first, last, at, text = start[head], start[tail], owner[head], text[head]
     half = (least - gram + 1) // 2
     context = mixed(spans(total, first, last + least) + mixed((at - first).astype(np.uint64)) * _ODD[0])
+    more = mixed(spans(rolling(data, _BASES[1]), first, last + least, _BASES[1]) + mixed((at - first).astype(np.uint64)) * _ODD[1]) >> np.uint64(33)
     reach_left, reach_right = at - first >= half, least - gram - (at - last) >= half
     left = np.zeros(len(at), np.uint64)
     left[reach_left] = mixed(spans(total, at[reach_left] - half, at[reach_left] + gram) ^ _ODD[1])
     right = np.zeros(len(at), np.uint64)
     right[reach_right] = mixed(spans(total, at[reach_right], at[reach_right] + gram + half) ^ _ODD[2])
     base = offsets[text]
-    return dict(zip(names, (text, at - base, first - base, last - base, context, left, right), strict=True))
+    return dict(zip(names, (text, at - base, first - base, last - base, context, more, left, right), strict=True))
+
+
+def anchors_of_texts(data: np.ndarray, offsets: np.ndarray, least: int, gram: int, stretch: int = _STRETCH) -> dict[str, np.ndarray]:
+    """``anchors``; a text of more than ``stretch`` windows goes stretch by stretch, each with the bytes that its last window reaches."""
+    if len(data) <= stretch + least - 1 or len(offsets) != 2:
+        return anchors(data, offsets, least, gram)
+    parts = []
+    for at in range(0, len(data) - least + 1, stretch):
+        some = data[at : at + stretch + least - 1]
+        part = anchors(some, np.array([0, len(some)]), least, gram)
+        parts.append(part | {k: part[k] + at for k in ("at", "first", "last")})
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
 # ---------------------------------------------------------------- one group of contexts
@@ -108,24 +126,29 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def prefix_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(depth, from, to) of every node of the common-prefix interval tree; lcp[i] belongs to sorted neighbours i-1 and i."""
+def prefix_intervals(lcp: list[int], root: bool = False) -> Iterator[tuple[int, int, int]]:
+    """(depth, from, to) of every node of the common-prefix interval tree; lcp[i] belongs to sorted neighbours i-1 and i.
+
+    The root of depth 0, which holds all if some neighbours share nothing, only on request.
+    """
     stack = [(0, 0)]
     for i in range(1, len(lcp) + 1):
         depth, start = (lcp[i] if i < len(lcp) else -1), i - 1
         while stack and stack[-1][0] > depth:
             top, start = stack.pop()
-            if top > 0:
+            if top > 0 or root and 0 in lcp[1:]:
                 yield top, start, i - 1
         if depth > 0 and (not stack or stack[-1][0] < depth):
             stack.append((depth, start))
 
 
 def maximal_repeats(before: list[bytes], after: list[bytes], least: int) -> Iterator[tuple[int, int, list[int]]]:
-    """(bytes before, bytes after the anchor, members) of maximal repeats of ``least`` bytes or more around one anchor.
+    """(bytes before, bytes after the anchor, members) of all maximal repeats of ``least`` bytes or more around one anchor.
 
-    Members are contexts: what precedes the anchor (reversed) and what begins with it.
-    Every pair of contexts that shares such a string is together in some repeat that covers all they share.
+    Members are contexts: what precedes the anchor (reversed) and what begins with it.  The
+    tree of the right sides is scanned from a stack; the left sides of a node's members
+    form a tree of their own, whose nodes cannot be extended to the left (they branch there).  Of these only those are
+    reported whose members differ to the right as well, that is, lie in more than one child of the right node.
     """
     order = sorted(range(len(after)), key=after.__getitem__)
     lcp = [0] + [common_prefix(after[a], after[b]) for a, b in zip(order, order[1:])]
@@ -134,44 +157,48 @@ def maximal_repeats(before: list[bytes], after: list[bytes], least: int) -> Iter
     for depth, low, high in prefix_intervals(lcp):
         if depth + longest < least:
             continue
+        child, number = {}, 0
+        for i in range(low, high + 1):
+            number += i > low and lcp[i] == depth
+            child[order[i]] = number
         members = sorted(order[low : high + 1], key=place.__getitem__)
         back = [0] + [common_prefix(before[a], before[b]) for a, b in zip(members, members[1:])]
-        for shared, a, b in ((d, x, y) for d, x, y in prefix_intervals(back) if d + depth >= least):
-            yield shared, depth, members[a : b + 1]
-        if depth >= least:  # nothing is needed from the left
-            yield 0, depth, members
+        for shared, a, b in prefix_intervals(back, root=True):
+            if shared + depth >= least and len({child[m] for m in members[a : b + 1]}) > 1:
+                yield shared, depth, members[a : b + 1]
 
 
 def _joined(groups: DataFrame, least: int) -> DataFrame:
     """Covered stretches, relative to the anchor, of the contexts of each group."""
 
-    def each(ctx: list[int], before: list[bytes], after: list[bytes]) -> list[tuple[int, int, int]]:
-        take = list({c: i for i, c in enumerate(ctx)}.values())
-        ctx, before, after = [ctx[i] for i in take], [before[i][::-1] for i in take], [after[i] for i in take]
-        if len(ctx) == 2:
-            shared, depth = common_prefix(before[0], before[1]), common_prefix(after[0], after[1])
-            return [(c, shared, depth) for c in ctx] if shared + depth >= least else []
+    def each(ctx: list[int], more: list[int], before: list[bytes], after: list[bytes]) -> list[tuple[int, int, int, int]]:
+        take = list({c: i for i, c in enumerate(zip(ctx, more))}.values())
+        names, before, after = [(ctx[i], more[i]) for i in take], [before[i][::-1] for i in take], [after[i] for i in take]
         best: dict[tuple[int, int], int] = {}
         for shared, depth, members in maximal_repeats(before, after, least):
             for m in members:
-                best[ctx[m], depth] = max(shared, best.get((ctx[m], depth), 0))
-        return [(c, shared, depth) for (c, depth), shared in best.items()]
+                best[m, depth] = max(shared, best.get((m, depth), 0))
+        return [(*names[m], shared, depth) for (m, depth), shared in best.items()]
 
-    return by_group(groups, "group", ["context", "before", "after"], each, "context long, back int, ahead int", [pa.int64(), pa.int32(), pa.int32()])
+    return by_group(groups, "group", ["context", "more", "before", "after"], each, "context long, more int, back int, ahead int", [pa.int64(), pa.int32(), pa.int32(), pa.int32()])
 
 
 # ---------------------------------------------------------------- the operator
 
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = 200, gram: int = 50, most_members: int = 20_000) -> DataFrame:
-    """Byte stretches of every distinct text that a string of ``least`` bytes found elsewhere covers: ``text_key``, ``from``, ``to`` (not merged).
+    """Byte stretches of every distinct text that a string of ``least`` bytes found elsewhere covers: ``text_key``, ``text_more``, ``from``, ``to`` (not merged).
 
-    ``text_key`` is xxhash64 of the text.  Matches never cross texts; a string that overlaps its other
+    A text is known by two hashes (``text_codes``).  Matches never cross texts; a string that overlaps its other
     occurrence counts.  Null and short texts have none.  A text that occurs in several rows is covered as a whole.
+    Texts of any length are read whole.
     """
     ship(docs.sparkSession)
-    rows = docs.where(F.length(text) > 0).select(F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("text_key"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row_key"))
-    schema = "text_key long, row_key long, copies boolean, at int, first int, last int, context long, left long, right long"
+    if least - gram >= 1 << 15:
+        raise ValueError("windows are at most 32,767 bytes longer than grams")
+    rows = docs.where(F.length(text) > 0).select(F.col(text).alias("_text"), *text_codes(F.col(text)), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row_key"))
+    # place: of the anchor, 31 bits; what its windows reach before it and their number, 15 bits each; whether the text has copies
+    schema = "text_key long, text_more long, row_key long, place long, context long, more int, left long, right long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "_text", 3 << 20):
@@ -180,48 +207,61 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             order = np.argsort(once)
             once, many = once[order], many[order]
             some = batch.take(pa.array(once))
-            a = anchors(*text_buffer(some.column("_text")), least, gram)
+            a = anchors_of_texts(*text_buffer(some.column("_text")), least, gram)
             t = a["text"]
             signed = lambda n: pa.array(a[n].view(np.int64))  # noqa: B023, E731
-            small = lambda n: pa.array(a[n].astype(np.int32))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[once][t]), pa.array(np.asarray(batch.column("row_key"))[once][t]), pa.array((many > 1)[t]), small("at"), small("first"), small("last"), signed("context"), signed("left"), signed("right")],
-                names=["text_key", "row_key", "copies", "at", "first", "last", "context", "left", "right"],
-            )
+            place = a["at"] << 31 | (a["at"] - a["first"]) << 16 | (a["last"] - a["first"]) << 1 | (many > 1)[t]
+            whose = [pa.array(np.asarray(some.column(n))[t]) for n in ("text_key", "text_more", "row_key")]
+            yield pa.RecordBatch.from_arrays([*whose, pa.array(place), signed("context"), pa.array(a["more"].astype(np.int32)), signed("left"), signed("right")], names=["text_key", "text_more", "row_key", "place", "context", "more", "left", "right"])
 
     found = settle(rows.mapInArrow(scan, schema))
+    at = F.shiftright("place", 31)
+    first = (at - F.shiftright(F.col("place").bitwiseAND((1 << 31) - 1), 16)).cast("int")
+    last = (first + F.shiftright(F.col("place").bitwiseAND((1 << 16) - 1), 1)).cast("int")
+    at = at.cast("int")
     # a context that occurs twice: all its windows repeat
-    by_context = found.groupBy("context").agg(
-        F.min(F.struct("row_key", "at", "first", "last", "left", "right")).alias("one"),
-        (F.max("copies") | (F.count(F.lit(1)) > 1)).alias("twice"),
+    by_context = found.groupBy("context", "more").agg(
+        F.min(F.struct("row_key", "text_key", "place", "left", "right")).alias("one"),
+        ((F.max(F.col("place").bitwiseAND(1)) > 0) | (F.count(F.lit(1)) > 1)).alias("twice"),
     )
-    by_context = settle(by_context.select("context", "twice", "one.*"))
-    whole = by_context.where("twice").select("context", (F.col("at") - F.col("first")).alias("back"), (F.col("last") + least - F.col("at")).alias("ahead"))
+    by_context = settle(by_context.select("context", "more", "twice", "one.*"))
+    whole = by_context.where("twice").select("context", "more", (at - first).alias("back"), (last + least - at).alias("ahead"))
     # contexts that differ but share the gram and half of a window beside it
-    sides = by_context.select("context", F.posexplode(F.array("left", "right")).alias("side", "group")).where("group <> 0")
-    shared = sides.groupBy("group").agg(F.min("context").alias("lo"), F.max("context").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("group", "members")
+    sides = by_context.select("context", "more", F.posexplode(F.array("left", "right")).alias("side", "group")).where("group <> 0")
+    name = F.struct("context", "more")
+    shared = sides.groupBy("group").agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("group", "members")
     sides = settle(sides.join(shared, "group"))
-    wanted = sides.select("context").distinct().join(by_context, "context").groupBy("row_key").agg(F.collect_list(F.struct("context", "at", "first", "last")).alias("parts"))
-    texts = rows.select("row_key", "_text").join(wanted.withColumnRenamed("row_key", "_row"), F.col("row_key") == F.col("_row")).select("row_key", "_text", "parts")
+    wanted = sides.select("context", "more").distinct().join(by_context, ["context", "more"])
+    wanted = wanted.groupBy(F.col("row_key").alias("_row"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("context", "more", at.alias("at"), first.alias("first"), last.alias("last"))).alias("parts"))
+    texts = rows.select("row_key", "text_key", "_text").join(wanted, (F.col("row_key") == F.col("_row")) & (F.col("text_key") == F.col("_key"))).select("_text", "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "_text", 3 << 20):
-            out: dict[str, list] = {"context": [], "before": [], "after": []}
-            for body, parts in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                for p in parts:
-                    out["context"].append(p["context"])
-                    out["before"].append(body[p["first"] : p["at"]])
-                    out["after"].append(body[p["at"] : p["last"] + least])
-            yield pa.RecordBatch.from_arrays([pa.array(out["context"], pa.int64()), pa.array(out["before"], pa.binary()), pa.array(out["after"], pa.binary())], names=list(out))
-
-    contexts = texts.mapInArrow(cut, "context long, before binary, after binary").dropDuplicates(["context"])
-    grouped = settle(contexts.join(sides, "context"))
+            for body, parts in zip(batch.column("_text").cast(pa.large_binary()), batch.column("parts").to_pylist(), strict=True):
+                body = memoryview(body.as_buffer())
+                for k in range(0, len(parts), 20_000):
+                    out: dict[str, list] = {"context": [], "more": [], "before": [], "after": []}
+                    for p in parts[k : k + 20_000]:
+                        out["context"].append(p["context"])
+                        out["more"].append(p["more"])
+                        out["before"].append(bytes(body[p["first"] : p["at"]]))
+                        out["after"].append(bytes(body[p["at"] : p["last"] + least]))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=list(out))
+
+    contexts = texts.mapInArrow(cut, "context long, more int, before binary, after binary").dropDuplicates(["context", "more"])
+    grouped = settle(contexts.join(sides, ["context", "more"]))
     parts = _joined(grouped.where(F.col("members") <= most_members), least)
     if grouped.where(F.col("members") > most_members).limit(1).count():
         parts = parts.unionByName(_split_groups(grouped.where(F.col("members") > most_members).drop("members"), least, gram, most_members))
-    covered = whole.unionByName(parts).distinct()
-    out = found.select("text_key", "at", "context").join(covered, "context")
-    return out.select("text_key", (F.col("at") - F.col("back")).alias("from"), (F.col("at") + F.col("ahead")).alias("to"))
+    covered = settle(whole.unionByName(parts).distinct())
+    discard(by_context, sides, grouped)
+    out = found.select("text_key", "text_more", "context", "more", at.alias("at")).join(covered, ["context", "more"])
+    return out.select("text_key", "text_more", (F.col("at") - F.col("back")).alias("from"), (F.col("at") + F.col("ahead")).alias("to"))
+
+
+def text_codes(text: Column) -> tuple[Column, Column]:
+    """Two hashes that name a text."""
+    return F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text).alias("text_more")
 
 
 def _split_groups(grouped: DataFrame, least: int, gram: int, most_members: int) -> DataFrame:
@@ -234,7 +274,7 @@ def _split_groups(grouped: DataFrame, least: int, gram: int, most_members: int)
     """
     half = (least - gram + 1) // 2
     left_side = F.col("side") == 0
-    rows = grouped.select("context", "before", "after", "group", F.when(left_side, half).otherwise(0).alias("a"), F.when(left_side, 0).otherwise(half).alias("b"))
+    rows = grouped.select("context", "more", "before", "after", "group", F.when(left_side, half).otherwise(0).alias("a"), F.when(left_side, 0).otherwise(half).alias("b"))
     out = None
     while True:
         rest = F.lit(least - gram) - F.col("a") - F.col("b")
@@ -243,10 +283,10 @@ def _split_groups(grouped: DataFrame, least: int, gram: int, most_members: int)
         right = rows.withColumn("b", F.col("b") + more).where(F.length("after") >= gram + F.col("b"))
         rows = left.unionByName(right)
         string = F.concat(F.expr("substring(before, length(before) - a + 1, a)"), F.expr(f"substring(after, 1, {gram} + b)"))
-        rows = rows.withColumn("group", F.xxhash64("a", "b", string)).dropDuplicates(["context", "group", "a", "b"])
+        rows = rows.withColumn("group", F.xxhash64("a", "b", string)).dropDuplicates(["context", "more", "group", "a", "b"])
         sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         rows = settle(rows.join(sizes, "group"))
-        done = rows.where(F.col("a") + F.col("b") >= least - gram).select("context", F.col("a").alias("back"), (F.col("b") + gram).alias("ahead"))
+        done = rows.where(F.col("a") + F.col("b") >= least - gram).select("context", "more", F.col("a").alias("back"), (F.col("b") + gram).alias("ahead"))
         small = rows.where((F.col("a") + F.col("b") < least - gram) & (F.col("members") <= most_members))
         part = done.unionByName(_joined(small, least))
         out = part if out is None else out.unionByName(part)
@@ -276,9 +316,9 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     carry = carry or []
     names = [key, *[c for c in carry if c != key]]
     named = {f"_c{i}": c for i, c in enumerate(names)}
-    covered = repeated_spans(docs, key=key, text=text, least=least).groupBy("text_key").agg(F.collect_set(F.struct("from", "to")).alias("_found"))
+    covered = repeated_spans(docs, key=key, text=text, least=least).groupBy("text_key", "text_more").agg(F.collect_set(F.struct("from", "to")).alias("_found"))
     rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.join(covered, F.xxhash64("_text") == F.col("text_key"), "left").drop("text_key")
+    rows = rows.join(covered, [a == F.col(b) for a, b in zip(text_codes(F.col("_text")), ("text_key", "text_more"))], "left").drop("text_key", "text_more")
     kinds = ", ".join(f"{n} {dict(rows.dtypes)[n]}" for n in named)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

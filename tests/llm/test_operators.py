@@ -300,10 +300,47 @@ def test_suffix_dedup(spark, members):
     assert got == sorted((i, *x) for i, x in zip(ids, repeats_brute(texts), strict=True))
 
 
-def test_maximal_repeats_list_every_member():
-    before, after = [b"xy", b"xy", b"zy", b"q"], [b"abcd", b"abce", b"abcd", b"ab"]
-    found = {(s, d, tuple(sorted(m))) for s, d, m in suffix_dedup.maximal_repeats(before, after, 2)}
-    assert (0, 2, (0, 1, 2, 3)) in found and (2, 3, (0, 1)) in found and (0, 4, (0, 2)) in found
+def test_maximal_repeats_by_brute_force():
+    """All (shared, depth, members) that no common byte extends on either side; nothing else."""
+    random.seed(9)
+    for _ in range(200):
+        n = random.randrange(2, 7)
+        before = [bytes(random.choice(b"ab") for _ in range(random.randrange(5))) for _ in range(n)]
+        after = [bytes(random.choice(b"ab") for _ in range(1 + random.randrange(5))) for _ in range(n)]
+        want = set()
+        for shared in range(5):
+            for depth in range(1, 6):
+                groups = collections.defaultdict(list)
+                for i in range(n):
+                    if len(before[i]) >= shared and len(after[i]) >= depth:
+                        groups[before[i][:shared], after[i][:depth]].append(i)
+                for members in groups.values():
+                    nexts = [{x[m][k : k + 1] or m for m in members} for x, k in ((before, shared), (after, depth))]
+                    if len(members) > 1 and shared + depth >= 2 and all(len(x) > 1 for x in nexts):
+                        want.add((shared, depth, tuple(members)))
+        found = [(s, d, tuple(sorted(m))) for s, d, m in suffix_dedup.maximal_repeats(before, after, 2)]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_long_texts_go_by_stretches():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    whole = suffix_dedup.anchors(data, np.array([0, 5000]), 200, 50)
+    parts = suffix_dedup.anchors_of_texts(data, np.array([0, 5000]), 200, 50, stretch=700)
+    owned = lambda a: {w: x for x, f, l in zip(a["at"], a["first"], a["last"]) for w in range(f, l + 1)}  # noqa: E741, E731
+    assert owned(whole) == owned(parts) and len(owned(whole)) == 4801
+
+
+def test_suffix_dedup_of_a_text_above_64_mebibytes(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    body = np.random.default_rng(4).integers(33, 126, 68 << 20).astype(np.uint8).tobytes().decode()
+    texts = [body + body[7_000_000:7_001_000], body[5000:9000] + "end", None]
+    pq.write_table(pa.table({"doc_id": [1, 2, 3], "text": texts}), str(tmp_path / "d.parquet"))
+    cleaned = suffix_dedup.without_repeats(spark.read.parquet(str(tmp_path / "d.parquet")))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digest(cleaned).collect()}
+    assert got == {1: ((68 << 20) + 1000, 6000, 3), 2: (4003, 4000, 1), 3: (0, 0, 0)}
 
 
 # ---------------------------------------------------------------- 5
