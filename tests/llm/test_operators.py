@@ -425,7 +425,8 @@ def test_revisits(spark):
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)] + [(200 + i, [0.5] * 6) for i in range(30)] + [(400, None), (450, [float("nan")] * 6), (500, [None] * 6), (None, [0.1] * 6), (600, [1.0, 2.0])]
-    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), block=16, bins=7).orderBy("query_id", "rank").collect()]
+    table = spark.createDataFrame([(*r, 7, "x", 0) for r in rows], "vec_id long, embedding array<float>, rank int, query_id string, block int")
+    got = [tuple(r) for r in topk.top_k(table.repartition(3), block=4, bins=7).orderBy("query_id", "rank").collect()]
     fit = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows[:150]]
     want = []
     for i, q in fit:
