@@ -1,18 +1,22 @@
 """Exact n-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows.
 
-Jaccard distance d is a metric, and texts link when d <= r (r = 1 - similarity).  Three
-partitions narrow the search, each by pivots and windows that lose no link.
-
-1. Pivot "empty set": in the symmetric-difference metric a set's distance to it is its
+Jaccard distance d is a metric, and texts link when d <= r (r = 1 - similarity).  The search
+narrows by pivots and windows that lose no link.
+
+1. Sampled documents, far from each other, are the first pivots.  A set within ``INNER`` of one lies in the Voronoi cell
+   of the nearest, and in cells of earlier pivots inside the window d(x, p) <= d(x, nearest) + 2r; all others form the outer
+   cell, and those of them within INNER + r of a pivot are replicated to its cell.  Sets in a pivot's ball (d <= r) are
+   linked to it at once; they stay only if a set outside the ball can reach them.
+2. Pivot "empty set": in the symmetric-difference metric a set's distance to it is its
    size, and two linked sets differ by at most delta = (1/s - 1) * size elements.  Sizes form
    rings; sets inside the window of the next smaller ring are replicated to it.
-2. Unrelated texts are all at distance 1 from any document, so sampled documents cannot
-   split them.  Inside a ring the shingles are therefore dealt, by hash, to m > delta + 1 sub-spaces:
+3. Unrelated texts are all at distance 1 from any document, so that documents alone cannot
+   split the outer cell.  Inside a ring the shingles are therefore dealt, by hash, to m > delta + 1 sub-spaces:
    two linked sets agree wholly in m - delta of them at least.  The pivots of a sub-space are all the
    restricted sets that occur, a set belongs to the Voronoi cell of the pivot at distance 0,
    and cells that share members form one region.  A set keeps the delta + 1 cells with the most
    shingles (ties by hash): the first in this order of those where two linked sets agree is kept by both.
-3. In a region pivots are documents: every set goes to the nearest one and, within the
+4. In a region of more than three sets pivots are documents again: every set goes to the nearest one and, within the
    window d(x, p) <= d(x, nearest) + 2r, to cells of earlier pivots.  Members within r of their
    pivot are linked to it; others, with those ball members that the triangle inequality
    leaves in reach of them, join recursively.  Every reported link is verified on whole sets.
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..frames import discard
 from .common import byte_batches, mixed, settle, text_buffer, word_hashes, word_spans
 
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -79,6 +84,74 @@ def set_keys(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, size, key
 
 
+INNER = 0.5  # radius of a first pivot's cell
+
+
+class Pivots:
+    """First pivots: few sets, far from each other, and the distances of many sets to them."""
+
+    def __init__(self, sets: list[np.ndarray], keys: list[int]):
+        self.sets, self.keys = sets, np.array(keys, np.int64)
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        bit = np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
+        self.codes, place = np.unique(every, return_inverse=True)
+        self.masks = np.zeros(len(self.codes), np.uint64)
+        np.bitwise_or.at(self.masks, place, bit)
+
+    @staticmethod
+    def choose(sets: list[np.ndarray], keys: list[int], percent: int, most: int = 16) -> Pivots:
+        """Of sampled sets those with the most sets around them first, each more than 4r from the ones before."""
+        once = sorted({k: s for k, s in zip(keys, sets, strict=True) if len(s)}.items())
+        reach = 1 - percent / 100
+        if not once:
+            return Pivots([], [])
+        size = np.array([len(s) for _, s in once])
+        code, first = np.concatenate([s for _, s in once]), np.cumsum(size) - size
+        apart = []
+        for at in range(0, len(once), 64):
+            some = Pivots([s for _, s in once[at : at + 64]], [k for k, _ in once[at : at + 64]])
+            inter = some.shared(code, first, size)
+            apart.append(1 - inter / (size[None, :] + size[at : at + 64][:, None] - inter))
+        apart = np.concatenate(apart)
+        order = np.argsort(-(apart <= 4 * reach).sum(1), kind="stable")
+        out: list[int] = []
+        for i in order:
+            if len(out) < most and all(apart[i, j] > 4 * reach for j in out):
+                out.append(int(i))
+        return Pivots([once[i][1] for i in out], [once[i][0] for i in out])
+
+    def shared(self, code: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Intersection sizes: one row per pivot, one column per set."""
+        out = np.zeros((len(self.sets), len(first)), np.int64)
+        if not len(self.codes) or not len(first):
+            return out
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = np.flatnonzero(self.codes[at] == code)
+        owner, mask = np.repeat(np.arange(len(first)), size)[hit], self.masks[at[hit]]
+        for j in range(len(self.sets)):
+            out[j] = np.bincount(owner[(mask >> np.uint64(j)) & np.uint64(1) == 1], minlength=len(first))
+        return out
+
+    def places(self, code: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(set number, pivot or -1 for the outer cell, distance, whether in the pivot's ball) of every cell a set lies in."""
+        n, reach = len(first), 1 - percent / 100
+        outer = (np.arange(n), np.full(n, -1), np.ones(n), np.zeros(n, bool))
+        if not self.sets or not n:
+            return outer
+        inter = self.shared(code, first, size)
+        union = size[None, :] + np.array([len(s) for s in self.sets])[:, None] - inter
+        d = 1 - inter / union
+        home, near = np.argmin(d, axis=0), d.min(axis=0)
+        inside = near <= INNER
+        cell = np.arange(len(self.sets))[:, None]
+        member = np.where(inside, (cell == home) | ((cell < home) & (d <= near + 2 * reach + 1e-9)), d <= INNER + reach + 1e-9)
+        pivot, number = np.nonzero(member)
+        ball = 100 * inter[pivot, number] >= percent * union[pivot, number]
+        far = np.flatnonzero(~inside)
+        join = lambda a, b: np.concatenate([a, b])
+        return join(number, far), join(pivot, np.full(len(far), -1)), join(d[pivot, number], np.ones(len(far))), join(ball, np.zeros(len(far), bool))
+
+
 def cells(code: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(cell, set key) of every set in its own ring and, inside the window, in the next smaller one.
 
@@ -146,7 +219,8 @@ class Region:
         self.sets, self.percent = sets, percent
         self.size = np.array([len(s) for s in sets], np.int64)
         self.parent = np.arange(len(sets))
-        self.compared = 0
+        self.compared = self.by_pivot = self.by_scan = 0  # distances taken; links through pivots and within leaves
+        self.scanning = False
 
     def root(self, i: int) -> int:
         p = self.parent
@@ -158,6 +232,8 @@ class Region:
     def link(self, i: int, j: int) -> None:
         a, b = self.root(i), self.root(j)
         if a != b:
+            self.by_scan += self.scanning
+            self.by_pivot += not self.scanning
             self.parent[max(a, b)] = min(a, b)
 
     def common(self, pivot: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -183,6 +259,7 @@ class Region:
     def scan(self, rows: np.ndarray) -> None:
         """Each member against the later ones that may reach it and are not linked with it yet."""
         rows = rows[np.argsort(self.size[rows], kind="stable")]
+        self.scanning = True
         for n, i in enumerate(rows[:-1]):
             later = rows[n + 1 :]
             later = later[: np.searchsorted(self.size[later] * self.percent, 100 * self.size[i], side="right")]
@@ -190,8 +267,9 @@ class Region:
             later = np.array([j for j in later if self.root(int(j)) != mine], dtype=np.int64)
             if len(later):
                 self.against(int(i), later)
+        self.scanning = False
 
-    def join(self, rows: np.ndarray, leaf: int = 24, pivots: int = 6) -> None:
+    def join(self, rows: np.ndarray, leaf: int = 3, pivots: int = 6) -> None:
         while len(rows) > leaf:
             if self.one_class(rows):
                 return
@@ -235,7 +313,7 @@ def _region_classes(percent: int):
 # ---------------------------------------------------------------- classes of linked keys
 
 
-def classes(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def classes(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): every key that occurs with the smallest key it reaches.
 
     Alternates large and small stars: every key's larger, then its smaller neighbours are
@@ -243,20 +321,19 @@ def classes(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     settled = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = settled.unionByName(settled.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("k")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        settled = settle(small.where("u <> v").distinct())
+        old, settled = settled, settle(small.where("u <> v").distinct())
+        discard(old)
         now = settled.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("the links did not settle")
     return settled.select(F.col("u").alias("key"), F.col("v").alias("class")).unionByName(settled.select(F.col("v").alias("key"), F.col("v").alias("class")).distinct())
 
 
@@ -271,6 +348,7 @@ def similarity_classes(
     width: int = 3,
     percent: int = 90,
     task_shingles: int = 4_000_000,
+    sampled: int = 512,
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
 
@@ -279,6 +357,7 @@ def similarity_classes(
     ``percent`` * union.  Null and empty texts have no shingles and link with nothing: their
     component is their own key.  Copies share one set, which is compared once.  Null keys are
     never the smallest; a component of them alone is null.  Shingles and sets are known by 64-bit hashes.
+    The first pivots come from ``sampled`` texts of at most 65,536 characters; which ones changes the work, not the result.
 
     Regions of up to ``task_shingles`` shingles are joined in one task; larger ones are
     first split over the cluster (``_split_regions``) until they fit.
@@ -286,35 +365,72 @@ def similarity_classes(
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_row"))
 
+    few = rows.where(F.length("_text").between(1, 65_536)).select("_text", F.xxhash64("_row", F.lit("pivot")).alias("o")).orderBy("o").limit(sampled).select("_text").toArrow()
+    number, code = shingle_sets(few.column("_text"), width)
+    first, size, keys = set_keys(number, code)
+    pivots = Pivots.choose([code[a : a + n] for a, n in zip(first, size, strict=True)], keys.view(np.int64).tolist(), percent)
+    reach = 1 - percent / 100
+    kind = dict(rows.dtypes)["_id"]
+    names = ["_id", "_row", "n_shingles", "key", "cell", "pivot", "distance"]
+    types = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "_row", "n_shingles", "key", "cell"]
         for batch in byte_batches(batches, "_text", 3 << 20):
+            def rows_of(n: int, **given) -> pa.RecordBatch:
+                kinds = [batch.schema.field("_id").type, *types[1:]]  # noqa: B023
+                return pa.RecordBatch.from_arrays([(pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x, t) if isinstance(x := given[c], np.ndarray) else x) if c in given else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
+
             number, code = shingle_sets(batch.column("_text"), width)
             first, size, keys = set_keys(number, code)
             n, k = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             n[number[first]], k[number[first]] = size, keys.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), pa.array(n), pa.array(k), pa.nulls(len(n), pa.int64())], names=names)
+            yield rows_of(len(n), _id=batch.column("_id"), _row=batch.column("_row"), n_shingles=n, key=k)
             _, once = np.unique(keys, return_index=True)
-            cell, mine = cells(*_some(code, first, size, keys, np.sort(once)), percent)
-            if not len(cell):
-                continue
-            # of each cell its smallest key leaves the batch, and the links of the others to it
-            order = np.lexsort((mine, cell))
-            cell, mine = cell[order], mine[order]
-            head = np.r_[True, cell[1:] != cell[:-1]]
-            least = mine[head][np.cumsum(head) - 1]
-            pairs = np.unique(np.stack([mine[~head], least[~head]], axis=1), axis=0)
-            for a, b, c in ((mine[head], None, cell[head]), (pairs[:, 0], pairs[:, 1], None)):
-                some = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), batch.schema.field("_id").type), some(b), pa.nulls(len(a), pa.int64()), some(a), some(c)], names=names)
-
-    kind = dict(rows.dtypes)["_id"]
-    found = settle(rows.mapInArrow(scan, f"_id {kind}, _row long, n_shingles long, key long, cell long"))
+            code, first, size, keys = _some(code, first, size, keys, np.sort(once))
+            whose, pivot, distance, ball = pivots.places(code, first, size, percent)
+            for j in np.unique(pivot):
+                here = pivot == j
+                if j >= 0:
+                    linked = here & ball
+                    yield rows_of(int(linked.sum()), key=keys[whose[linked]], _row=np.full(linked.sum(), pivots.keys[j]), pivot=np.full(linked.sum(), j, np.int32))
+                    if (here & ~ball).any():  # the nearest set outside the ball
+                        yield rows_of(1, pivot=np.array([j], np.int32), distance=distance[here & ~ball].min(keepdims=True))
+                for inside in (False, True):
+                    take = np.sort(np.flatnonzero(here & (ball == inside)))
+                    if not len(take):
+                        continue
+                    take = take[np.argsort(whose[take])]
+                    cell, mine = cells(*_some(code, first, size, keys, whose[take]), percent)
+                    if not len(cell):
+                        continue
+                    if j >= 0:
+                        cell = mixed(cell ^ mixed(np.full(1, j + 1, np.uint64)))
+                    if inside:
+                        order = np.argsort(keys[whose[take]])
+                        far = distance[take][order][np.searchsorted(keys[whose[take]][order], mine)]
+                        yield rows_of(len(cell), key=mine, cell=cell, pivot=np.full(len(cell), j, np.int32), distance=far)
+                        continue
+                    # of each cell its smallest key leaves the batch, and the links of the others to it
+                    order = np.lexsort((mine, cell))
+                    cell, mine = cell[order], mine[order]
+                    head = np.r_[True, cell[1:] != cell[:-1]]
+                    least = mine[head][np.cumsum(head) - 1]
+                    pairs = np.unique(np.stack([mine[~head], least[~head]], axis=1), axis=0)
+                    yield rows_of(int(head.sum()), key=mine[head], cell=cell[head])
+                    yield rows_of(len(pairs), key=np.ascontiguousarray(pairs[:, 0]), _row=np.ascontiguousarray(pairs[:, 1]))
+
+    found = settle(rows.mapInArrow(scan, f"_id {kind}, _row long, n_shingles long, key long, cell long, pivot int, distance double"))
     meta = found.where("n_shingles is not null")
-    met = found.where("cell is not null").select("key", "cell")
-    least = met.withColumn("least", F.min("key").over(Window.partitionBy("cell")))  # a cell has one key for each batch at most
+    # a row for each pivot
+    rims = {r["pivot"]: r["rim"] for r in found.where("key is null and distance is not null").groupBy("pivot").agg(F.min("distance").alias("rim")).collect()}
+    inner = F.lit(False)
+    for j in range(len(pivots.sets)):
+        inner = inner | ((F.col("pivot") == j) & (F.col("distance") < rims.get(j, 3.0) - reach - 1e-9))
+    met = found.where(F.col("cell").isNotNull() & ~F.coalesce(inner, F.lit(False))).select("key", "cell")
+    balls = found.where("key is not null and cell is null and pivot is not null").select(F.col("key").alias("a"), F.col("_row").alias("b"))
+    least = met.withColumn("least", F.min("key").over(Window.partitionBy("cell")))  # a cell has one key for each batch at most, but for balls
     links = least.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    links = links.unionByName(found.where("n_shingles is null and cell is null").select(F.col("key").alias("a"), F.col("_row").alias("b")))
+    links = links.unionByName(found.where("n_shingles is null and cell is null and pivot is null").select(F.col("key").alias("a"), F.col("_row").alias("b")))
     regions = classes(links).withColumnRenamed("class", "region")
 
     # one row of docs stands for each set of a region
@@ -324,10 +440,14 @@ def similarity_classes(
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "_text", 3 << 20):
             number, code = shingle_sets(batch.column("_text"), width)
-            blobs = [x.tobytes() for x in np.split(code, np.flatnonzero(number[1:] != number[:-1]) + 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("region"), pa.array(blobs, pa.binary())], names=["key", "region", "shingles"])
+            first, size, keys = set_keys(number, code)
+            # a row that only shares its row hash with the chosen one is not its set
+            right = keys.view(np.int64) == np.asarray(batch.column("key"))[number[first]]
+            blobs = [code[a : a + n].tobytes() for a, n in zip(first[right], size[right], strict=True)]
+            at = pa.array(number[first][right])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("region").take(at), pa.array(blobs, pa.binary())], names=["key", "region", "shingles"])
 
-    sets = settle(texts.mapInArrow(build, "key long, region long, shingles binary"))
+    sets = sets_here = settle(texts.mapInArrow(build, "key long, region long, shingles binary"))
     weight = sets.groupBy("region").agg((F.sum(F.length("shingles")) / 8).cast("long").alias("weight"), F.count(F.lit(1)).alias("members"))
     sets = sets.join(weight, "region")
     joined = sets.where(F.col("weight") <= task_shingles).groupBy("region").applyInArrow(_region_classes(percent), "key long, class long")
@@ -335,6 +455,10 @@ def similarity_classes(
     if large.limit(1).count():
         joined = joined.unionByName(_split_regions(large.select("region", "key", "shingles"), percent, task_shingles))
     found_classes = settle(joined.distinct())
+    balls = balls.where("a <> b").distinct()
+    if balls.limit(1).count():  # sets of a ball are linked to its pivot, which may be linked to others
+        found_classes = settle(classes(balls.unionByName(found_classes.select(F.col("key").alias("a"), F.col("class").alias("b")))).distinct())
+    discard(sets_here)
 
     # smallest document of each class, then of each set; classes are small beside documents
     by_key = meta.where("n_shingles > 0").groupBy("key").agg(F.min("_id").alias("least")).join(found_classes, "key", "left").withColumn("class", F.coalesce("class", "key"))

@@ -14,6 +14,7 @@ import pytest
 pytest.importorskip("blockwood.llm")
 
 from blockwood.llm import katz, licenses, mixing, packing, revisit, rules, suffix_dedup, topk  # noqa: E402
+from blockwood.llm import jaccard_join as join  # noqa: E402
 from blockwood.llm.jaccard_join import similarity_classes  # noqa: E402
 from blockwood.llm.quality_qda import quality_classifier  # noqa: E402
 from blockwood.llm.queries import tokenizer_path  # noqa: E402
@@ -382,6 +383,90 @@ def test_jaccard_classes(spark, task):
     assert got == classes_brute(texts)
 
 
+def families(rng, sizes, members, vocabulary=10**6):
+    out = []
+    for size, n in zip(sizes, members, strict=True):
+        start = rng.integers(0, vocabulary, size)
+        for _ in range(n):
+            t = start.copy()
+            t[rng.integers(0, size, rng.integers(0, max(1, size // 25) + 1))] = rng.integers(0, vocabulary)
+            out.append(np.unique(t).astype(np.uint64))
+    return out
+
+
+def linked_brute(sets, percent):
+    least = list(range(len(sets)))
+    pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if 100 * len(np.intersect1d(a, sets[j])) >= percent * len(np.union1d(a, sets[j]))]
+    for _ in sets:
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_a_region_links_through_voronoi_cells(percent):
+    """Small regions too: most links come from pivots and their windows, few from leaves."""
+    rng, by_pivot, by_scan = np.random.default_rng(2), 0, 0
+    for _ in range(15):
+        sets = families(rng, rng.integers(20, 200, 3), rng.integers(1, 7, 3))
+        region = join.Region(sets, percent)
+        region.join(np.arange(len(sets)))
+        assert [region.root(i) for i in range(len(sets))] == linked_brute(sets, percent)
+        by_pivot, by_scan = by_pivot + region.by_pivot, by_scan + region.by_scan
+    assert by_pivot > 2 * by_scan
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_first_pivots_lose_no_link(percent):
+    """Any two linked sets share a cell; sets outside all balls that are linked with one inside meet it too."""
+    rng = np.random.default_rng(6)
+    sets = families(rng, [60, 80, 40, 100, 30], [40, 20, 10, 1, 1])
+    pivots = join.Pivots.choose(sets[::3], list(range(0, len(sets), 3)), percent)
+    assert len(pivots.sets) >= 3
+    size = np.array([len(s) for s in sets])
+    whose, pivot, distance, ball = pivots.places(np.concatenate(sets), np.cumsum(size) - size, size, percent)
+    cells_of = collections.defaultdict(set)
+    for i, j, d, b in zip(whose, pivot, distance, ball):
+        cells_of[i].add(j)
+        if j >= 0:
+            both = len(np.intersect1d(sets[i], pivots.sets[j]))
+            assert d == pytest.approx(1 - both / (len(sets[i]) + len(pivots.sets[j]) - both)) and b == (d <= 1 - percent / 100 + 1e-12)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(np.intersect1d(a, sets[j])) >= percent * len(np.union1d(a, sets[j])):
+                assert cells_of[i] & cells_of[j]
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_jaccard_classes_of_a_large_family(spark, width, percent):
+    """A family that holds a third of all texts, chained beyond its pivot's ball, and words that a polynomial hash confuses."""
+    random.seed(15)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    start = [random.choice(vocabulary) for _ in range(150)]
+    texts = []
+    for k in range(60):
+        t = list(start)
+        for i in range(k % 12):
+            t[(7 * i + k) % 150] = random.choice(vocabulary)
+        texts.append(" ".join(t))
+    texts += [" ".join(random.choice(vocabulary) for _ in range(40)) for _ in range(100)]
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    texts += [thue, thue.translate(str.maketrans("ab", "ba")), " ".join([texts[0], "x" * 1_500_000]), texts[0].upper()]
+    sets = []
+    for t in texts:
+        w = t.translate(LOWER).split()
+        sets.append(frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)]))
+    least = list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j in range(i) if 100 * len(a & sets[j]) >= percent * len(a | sets[j])]
+    for _ in range(len(texts)):
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    got = {r.doc_id: r.component_id for r in similarity_classes(frame(spark, texts), width=width, percent=percent).collect()}
+    assert got == dict(enumerate(least))
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert similarity_classes(frame(spark, [])).count() == 0
     rows = sorted(map(tuple, similarity_classes(frame(spark, ["a b c d", "a b c d", "", "x"], [None, 4, None, 2])).collect()), key=str)
