@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from .common import byte_batches, mixed, settle, text_buffer, word_hashes, word_spans
 
-END, BEGIN = np.uint64(1), np.uint64(2)  # word hashes of the marks; a word hashing to them is as likely as any collision
+END, BEGIN = np.uint64(1), np.uint64(2)  # word hashes of the marks
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _IN = "uid long, part int, words binary, counts binary"
 _OUT = "uid long, part int, answer binary, stats map<string,double>"
@@ -290,7 +290,7 @@ def katz_scores(
     folds: int = 7,
     held: int = 2,
     discounted: int = 5,
-    batch_bytes: int = 8 << 20,
+    batch_bytes: int | None = None,
     parts: int | None = None,
 ) -> DataFrame:
     """Scores of all rows: ``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10 probability of the text).
@@ -300,15 +300,19 @@ def katz_scores(
     keys learn).  ``base_score`` is the add-one unigram model's.  Repeated rows count each time.
     Without training rows every probability goes to the unknown word.  An empty table gives no rows.
 
-    A batch holds ``batch_bytes`` of text, a part as much as the batches together divided by ``parts``
-    (default: the session's shuffle partitions); raise both with the input.
+    A batch holds ``batch_bytes`` of text (default: 8 MiB, from 1 TiB of text on growing with its square root, to 32 MiB),
+    and there is a part for each 16 MiB of text unless ``parts`` is given.  A batch writes to a part only if it
+    has words or pairs for it, so messages are never more than distinct pairs in batches: in proportion to the text.
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out_fold = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == held, F.lit(False))
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), out_fold.alias("_held"))
     kind = dict(rows.dtypes)["_id"]
+    if parts is None or batch_bytes is None:
+        size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        parts = parts or max(8, -(-size // (16 << 20)))
+        batch_bytes = batch_bytes or int(min(32, max(8, 8 * (size / (1 << 40)) ** 0.5)) * (1 << 20))
     batches = settle(rows.mapInArrow(_tokenised(folds, held, batch_bytes), f"uid long, ids array<{kind}>, held binary, n_tokens binary, codes binary, words binary"))
 
     def ask_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,6 +220,20 @@ def test_mixing_keeps_the_shares_to_the_end(spark):
 # ---------------------------------------------------------------- 3
 
 
+def discounts(counts, most):
+    """Katz's formula, written anew: r* / r corrected so that the taken mass is that of the items seen once."""
+    of = collections.Counter(counts)
+    out = {}
+    for r in range(1, most + 1):
+        try:
+            star, common = (r + 1) * of[r + 1] / of[r], (most + 1) * of[most + 1] / of[1]
+            d = (star / r - common) / (1 - common)
+        except ZeroDivisionError:
+            d, common = 0, 1
+        out[r] = d if 0 < d < 1 and common < 1 else 1 - 1 / (2 * r)
+    return out
+
+
 def katz_brute(texts, most=5):
     toks = [(zlib.crc32(str(i).encode()) % 7 == 2, [*WORD.findall((t or "").translate(LOWER)), None]) for i, t in enumerate(texts)]
     c = collections.Counter(w for held, x in toks if not held for w in x)
@@ -227,8 +241,8 @@ def katz_brute(texts, most=5):
     history, n = collections.Counter(), sum(c.values())
     for (a, _), k in pairs.items():
         history[a] += k
-    uni, bi = (katz.GoodTuring.fit(collections.Counter(x.values()), most) for x in (c, pairs))
-    d = lambda g, r: g.factors[r - 1] if r <= most else 1.0
+    uni, bi = (discounts(x.values(), most) for x in (c, pairs))
+    d = lambda g, r: g.get(r, 1.0)
     taken = sum(k * (1 - d(uni, k)) for k in c.values())
     units = n if taken > 0 else n + 1
     rest = taken / units if taken > 0 else 1 / units
@@ -254,7 +268,7 @@ def katz_brute(texts, most=5):
 
 def test_katz(spark):
     random.seed(6)
-    texts = [" ".join(random.choice("abcdefgh") for _ in range(random.randrange(0, 30))) for _ in range(40)] + EDGES
+    texts = [" ".join(random.choice("abcdefgh") for _ in range(random.randrange(0, 30))) for _ in range(40)] + [*EDGES, "a b " * 300_000]
     want = katz_brute(texts)
     got = {r.doc_id: tuple(r)[1:] for r in katz.katz_scores(frame(spark, texts), batch_bytes=200, parts=5).collect()}
     assert got.keys() == want.keys()
