@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,13 @@ class PieceCoder:
         self.fast = _byte_pairs(path)
         self.plain = re.compile(r" ?[!-~\u00c0-\u00ff]+")
         self.line = None if self.fast is None else self.fast.encode_to_numpy("\n")
-        self.kept: dict[tuple[int, int], np.ndarray] = {}
         self.most_kept = most_kept
+        self.forget()
+
+    def forget(self) -> None:
+        """``kept``: first hash of a segment to its slot; by slot the second hash, and where its ids stand in ``flat``."""
+        self.kept: dict[int, int] = {}
+        self.check, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts the library codes as a whole."""
@@ -91,18 +97,22 @@ class PieceCoder:
         ends = np.minimum(ends, np.repeat(offsets[1:], number)[take])
         one, two = (word_hashes(data, starts, ends, lower=False, seed=k) for k in (0, 1))
         distinct, at, place = np.unique(one, return_index=True, return_inverse=True)
-        if (two[at][place] != two).any():  # two segments share a hash: the library takes the batch
-            every = self._library([bytes(data[a:b]).decode() for a, b in zip(offsets, offsets[1:])])
-            return [x.tobytes() for x in every]
         if len(self.kept) > self.most_kept:
-            self.kept.clear()
-        names = list(zip(distinct.tolist(), two[at].tolist()))
-        new = [i for i, n in enumerate(names) if n not in self.kept]
-        segments = [bytes(data[a:b]).decode() for a, b in zip(starts[at[new]], ends[at[new]])]
-        self.kept.update(zip([names[i] for i in new], self._ids(segments), strict=True))
-        codes = [self.kept[n] for n in names]
-        size = np.array([len(c) for c in codes], np.int64)
-        flat, begin = np.concatenate(codes), np.cumsum(size) - size
+            self.forget()
+        names, raw = distinct.tolist(), data.tobytes()
+        slot = np.fromiter(map(self.kept.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(slot < 0)
+        if (two[at][place] != two).any() or (self.check[slot[slot >= 0]] != two[at][slot >= 0]).any():
+            # two segments share their first hash: the library takes the batch
+            return [x.tobytes() for x in self._library([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])]
+        if len(new):
+            segments = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
+            begin, size, flat = self._ids(segments)
+            slot[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self.kept.update(zip([names[i] for i in new.tolist()], slot[new].tolist()))
+            self.check, self.size = np.r_[self.check, two[at[new]]], np.r_[self.size, size]
+            self.begin, self.flat = np.r_[self.begin, len(self.flat) + begin], np.r_[self.flat, flat]
+        size, begin, flat = self.size[slot], self.begin[slot], self.flat
         size_here = size[place]
         end_here = np.cumsum(size_here)
         ids = flat[np.repeat(begin[place] - (end_here - size_here), size_here) + np.arange(int(end_here[-1]))]
@@ -111,20 +121,27 @@ class PieceCoder:
             out[i] = ids[bounds[i] : bounds[i + 1]].tobytes()
         return out
 
-    def _ids(self, segments: list[str]) -> list[np.ndarray]:
-        """Plain segments are coded in one go, one to a line: a line break between two of them is a token of its own."""
-        out: list[np.ndarray | None] = [None] * len(segments)
-        plain = [i for i, s in enumerate(segments) if self.plain.fullmatch(s)] if len(self.line) == 1 else []
-        if plain:
-            ids = self.fast.encode_to_numpy("\n".join([segments[i] for i in plain]))
+    def _ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and number of each segment's ids in the third array.
+
+        Plain segments are coded in one go, one to a line: a line break between two of them is a token of its own.
+        """
+        begin, size, parts, used = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64), [], 0
+        rest = np.ones(len(segments), bool)
+        plain = np.flatnonzero([self.plain.fullmatch(s) is not None for s in segments]) if len(self.line) == 1 else []
+        if len(plain):
+            ids = self.fast.encode_to_numpy("\n".join([segments[i] for i in plain.tolist()]))
             breaks = np.flatnonzero(ids == self.line[0])
             if len(breaks) == len(plain) - 1:
-                for i, a, b in zip(plain, [0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)]):
-                    out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self._library([segments[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
+                begin[plain], size[plain] = np.r_[0, breaks + 1], np.r_[breaks, len(ids)] - np.r_[0, breaks + 1]
+                parts, used = [ids], len(ids)
+                rest[plain] = False
+        rest = np.flatnonzero(rest)
+        for i, x in zip(rest.tolist(), self._library([segments[i] for i in rest.tolist()]), strict=True):
+            begin[i], size[i] = used, len(x)
+            parts.append(x)
+            used += len(x)
+        return begin, size, np.concatenate(parts)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         out = []
