@@ -71,6 +71,11 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark's cleaner then deletes shuffle files that no plan can read any more."""
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes settled tables that nothing reads any more."""
     for df in tables:
