@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -73,7 +75,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Has the driver collect its garbage: Spark's cleaner then deletes shuffle files that no plan can read any more."""
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees what Python held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard(*tables: DataFrame) -> None:
