@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from ..frames import discard
+from ..frames import discard, sweep
 from .common import by_group, byte_batches, mixed, powers, settle, text_buffer
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -197,34 +197,44 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if least - gram >= 1 << 15:
         raise ValueError("windows are at most 32,767 bytes longer than grams")
     rows = docs.where(F.length(text) > 0).select(F.col(text).alias("_text"), *text_codes(F.col(text)), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row_key"))
-    # place: of the anchor, 31 bits; what its windows reach before it and their number, 15 bits each; whether the text has copies
-    schema = "text_key long, text_more long, row_key long, place long, context long, more int, left long, right long"
+    # place: of the anchor, 31 bits; what its windows reach before it and their number, 15 bits each; whether the text has copies.
+    # uid: number of a text in the scan; a row without a place says which text that is
+    schema = "uid long, place long, context long, more int, left long, right long, text_key long, text_more long, row_key long"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seen = TaskContext.get().partitionId() << 36
         for batch in byte_batches(batches, "_text", 3 << 20):
-            keys = np.asarray(batch.column("text_key"))
-            _, once, many = np.unique(keys, return_index=True, return_counts=True)
+            both = np.stack([np.asarray(batch.column(n)) for n in ("text_key", "text_more")], axis=1)
+            _, once, many = np.unique(both, axis=0, return_index=True, return_counts=True)
             order = np.argsort(once)
             once, many = once[order], many[order]
             some = batch.take(pa.array(once))
             a = anchors_of_texts(*text_buffer(some.column("_text")), least, gram)
-            t = a["text"]
+            t, uid = a["text"], seen + np.arange(len(once))
+            seen += len(once)
             signed = lambda n: pa.array(a[n].view(np.int64))  # noqa: B023, E731
             place = a["at"] << 31 | (a["at"] - a["first"]) << 16 | (a["last"] - a["first"]) << 1 | (many > 1)[t]
-            whose = [pa.array(np.asarray(some.column(n))[t]) for n in ("text_key", "text_more", "row_key")]
-            yield pa.RecordBatch.from_arrays([*whose, pa.array(place), signed("context"), pa.array(a["more"].astype(np.int32)), signed("left"), signed("right")], names=["text_key", "text_more", "row_key", "place", "context", "more", "left", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid[t]), pa.array(place), signed("context"), pa.array(a["more"].astype(np.int32)), signed("left"), signed("right"), *[pa.nulls(len(t), pa.int64())] * 3], names=names)
+            n = len(once)
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 2, *[some.column(c) for c in ("text_key", "text_more", "row_key")]], names=names)
 
-    found = settle(rows.mapInArrow(scan, schema))
+    scanned = settle(rows.mapInArrow(scan, schema))
+    found = scanned.where("place is not null").select("uid", "place", "context", "more", "left", "right")
+    known = scanned.where("place is null").select("uid", "text_key", "text_more", "row_key")
     at = F.shiftright("place", 31)
     first = (at - F.shiftright(F.col("place").bitwiseAND((1 << 31) - 1), 16)).cast("int")
     last = (first + F.shiftright(F.col("place").bitwiseAND((1 << 16) - 1), 1)).cast("int")
     at = at.cast("int")
     # a context that occurs twice: all its windows repeat
     by_context = found.groupBy("context", "more").agg(
-        F.min(F.struct("row_key", "text_key", "place", "left", "right")).alias("one"),
+        F.min(F.struct("uid", "place", "left", "right")).alias("one"),
         ((F.max(F.col("place").bitwiseAND(1)) > 0) | (F.count(F.lit(1)) > 1)).alias("twice"),
     )
     by_context = settle(by_context.select("context", "more", "twice", "one.*"))
+    sweep(docs.sparkSession)
     whole = by_context.where("twice").select("context", "more", (at - first).alias("back"), (last + least - at).alias("ahead"))
     # contexts that differ but share the gram and half of a window beside it
     sides = by_context.select("context", "more", F.posexplode(F.array("left", "right")).alias("side", "group")).where("group <> 0")
@@ -232,8 +242,10 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     shared = sides.groupBy("group").agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("group", "members")
     sides = settle(sides.join(shared, "group"))
     wanted = sides.select("context", "more").distinct().join(by_context, ["context", "more"])
-    wanted = wanted.groupBy(F.col("row_key").alias("_row"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("context", "more", at.alias("at"), first.alias("first"), last.alias("last"))).alias("parts"))
-    texts = rows.select("row_key", "text_key", "_text").join(wanted, (F.col("row_key") == F.col("_row")) & (F.col("text_key") == F.col("_key"))).select("_text", "parts")
+    wanted = wanted.groupBy("uid").agg(F.collect_list(F.struct("context", "more", at.alias("at"), first.alias("first"), last.alias("last"))).alias("parts"))
+    whose = ["row_key", "text_key", "text_more"]
+    # rows equal in key and text are each other's copies: one of them serves all of its parts
+    texts = rows.select(*whose, "_text").join(wanted.join(known, "uid"), whose).select("_text", "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "_text", 3 << 20):
@@ -250,13 +262,16 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     contexts = texts.mapInArrow(cut, "context long, more int, before binary, after binary").dropDuplicates(["context", "more"])
     grouped = settle(contexts.join(sides, ["context", "more"]))
+    sweep(docs.sparkSession)
     parts = _joined(grouped.where(F.col("members") <= most_members), least)
     if grouped.where(F.col("members") > most_members).limit(1).count():
         parts = parts.unionByName(_split_groups(grouped.where(F.col("members") > most_members).drop("members"), least, gram, most_members))
     covered = settle(whole.unionByName(parts).distinct())
     discard(by_context, sides, grouped)
-    out = found.select("text_key", "text_more", "context", "more", at.alias("at")).join(covered, ["context", "more"])
-    return out.select("text_key", "text_more", (F.col("at") - F.col("back")).alias("from"), (F.col("at") + F.col("ahead")).alias("to"))
+    sweep(docs.sparkSession)
+    out = found.select("uid", "context", "more", at.alias("at")).join(covered, ["context", "more"])
+    out = out.select("uid", (F.col("at") - F.col("back")).alias("from"), (F.col("at") + F.col("ahead")).alias("to"))
+    return out.join(known, "uid").select("text_key", "text_more", "from", "to")
 
 
 def text_codes(text: Column) -> tuple[Column, Column]:
