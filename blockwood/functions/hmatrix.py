@@ -10,12 +10,12 @@ from . import dense, lowrank
 class Block:
     """A node of the tree: children by (i, j), or a full array, or a low-rank pair.  Offsets are internal positions."""
 
-    __slots__ = ("r0", "rn", "c0", "cn", "kids", "full", "rk", "order", "diag")
+    __slots__ = ("r0", "rn", "c0", "cn", "kids", "full", "rk", "order", "diag", "name")
 
     def __init__(self, r0: int, rn: int, c0: int, cn: int):
         self.r0, self.rn, self.c0, self.cn = r0, rn, c0, cn
         self.kids: dict[tuple[int, int], Block] | None = None
-        self.full = self.rk = self.order = self.diag = None
+        self.full = self.rk = self.order = self.diag = self.name = None
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -57,6 +57,7 @@ class Block:
 
     def transposed(self) -> Block:
         t = Block(self.c0, self.cn, self.r0, self.rn)
+        t.name = self.name and self.name[::-1]
         if self.full is not None:
             t.full = self.full.T
         elif self.rk is not None:
@@ -67,6 +68,7 @@ class Block:
 
     def copy(self) -> Block:
         c = Block(self.r0, self.rn, self.c0, self.cn)
+        c.name = self.name
         c.full = None if self.full is None else self.full.copy()
         c.rk = self.rk
         c.kids = None if self.kids is None else {k: v.copy() for k, v in self.kids.items()}
@@ -290,6 +292,42 @@ def solve(a: Block, kind: str, x: np.ndarray, part: str = "both") -> np.ndarray:
     raise ValueError(kind)
 
 
+def factor_times(a: Block, kind: str, x: np.ndarray) -> np.ndarray:
+    """A x from its factor."""
+    if kind == "lu":
+        return _part_times(a, _part_times(a, x, "U", False, False), "L", False, True)
+    if kind == "llt":
+        return _part_times(a, _part_times(a, x, "L", True, False), "L", False, False)
+    d = np.concatenate([b.diag for b in diagonal_leaves(a)])
+    y = _part_times(a, x, "L", True, True)
+    return _part_times(a, d.reshape(-1, *[1] * (y.ndim - 1)) * y, "L", False, True)
+
+
+def _part_times(a: Block, x: np.ndarray, uplo: str, turned: bool, unit: bool) -> np.ndarray:
+    if a.kids is None:
+        t = np.tril(a.full) if uplo == "L" else np.triu(a.full)
+        if unit:
+            np.fill_diagonal(t, 1)
+        y = (t.T if turned else t) @ x
+        if a.order is None or uplo == "U":
+            return y
+        out = np.empty_like(y)
+        out[a.order] = y
+        return out
+    out = np.zeros(x.shape, np.result_type(x, next(a.leaves()).kind()))
+    at = lambda k: slice(k.r0 - a.r0, k.r0 - a.r0 + k.rn)
+    n = a.grid()[0]
+    for i in range(n):
+        out[at(a.kids[i, i])] += _part_times(a.kids[i, i], x[at(a.kids[i, i])], uplo, turned, unit)
+        for k in range(i) if uplo == "L" else range(i + 1, n):
+            block, to, of = a.kids[i, k], a.kids[i, i], a.kids[k, k]
+            if turned:
+                out[at(of)] += block.transposed().times(x[at(to)])
+            else:
+                out[at(to)] += block.times(x[at(of)])
+    return out
+
+
 def log_determinant(a: Block, kind: str) -> float:
     """log |det A| from its factor: sums of logarithms, so that nothing overflows."""
     if kind == "ldlt":
@@ -339,6 +377,244 @@ def _product(a: Block, b: Block, eps: float) -> Block:
     return like
 
 
+def triangular(a: Block, x: np.ndarray, uplo: str = "L", trans: str = "N", unit: bool = False) -> np.ndarray:
+    """op(T)^-1 X for the lower or upper part T of a factored tree; op is N, T or C.
+
+    Row exchanges of dense leaves belong to the lower part: they come before it, or after its transpose.
+    """
+    if trans == "C":
+        return triangular(a, x.conj(), uplo, "T", unit).conj()
+    if a.kids is None:
+        if uplo == "U":
+            return dense.trsm(a.full, x, uplo="U", trans=trans, unit=unit)
+        if a.order is None:
+            return dense.trsm(a.full, x, trans=trans, unit=unit)
+        if trans == "N":
+            return dense.trsm(a.full, x[a.order], unit=unit)
+        out = np.empty(x.shape, np.result_type(x, a.full))
+        out[a.order] = dense.trsm(a.full, x, trans="T", unit=unit)
+        return out
+    x = np.array(x, dtype=np.result_type(x, next(a.leaves()).kind()))
+    at = lambda k: slice(k.r0 - a.r0, k.r0 - a.r0 + k.rn)
+    n = a.grid()[0]
+    ahead = (uplo == "L") == (trans == "N")
+    for i in range(n) if ahead else range(n - 1, -1, -1):
+        d = a.kids[i, i]
+        for k in range(i) if ahead else range(i + 1, n):
+            block = a.kids[(i, k) if trans == "N" else (k, i)]
+            x[at(d)] -= (block if trans == "N" else block.transposed()).times(x[at(a.kids[k, k])])
+        x[at(d)] = triangular(d, x[at(d)], uplo, trans, unit)
+    return x
+
+
+def trsm(a: Block, x: np.ndarray, side: str = "L", uplo: str = "L", trans: str = "N", unit: bool = False, alpha: complex = 1) -> np.ndarray:
+    """alpha op(T)^-1 X or alpha X op(T)^-1."""
+    if side == "L":
+        return alpha * triangular(a, x, uplo, trans, unit)
+    if trans == "C":
+        return alpha * triangular(a, x.conj().T, uplo, "N", unit).conj().T
+    return alpha * triangular(a, x.T, uplo, "T" if trans == "N" else "N", unit).T
+
+
+def mirrored(a: Block) -> Block:
+    """The whole of a symmetric tree of which only blocks on and below the diagonal are stored."""
+    if a.kids is None:
+        return a
+    out = Block(a.r0, a.rn, a.c0, a.cn)
+    out.name = a.name
+    out.kids = {}
+    for (i, j), k in a.kids.items():
+        out.kids[i, j] = mirrored(k) if i == j else k
+        if i != j and (j, i) not in a.kids:
+            out.kids[j, i] = k.transposed()
+    return out
+
+
+def add_leaf(c: Block, x: Block, alpha: complex, eps: float) -> None:
+    """C += alpha X where leaf X may lie anywhere: every leaf of C takes its part of it."""
+    for leaf in c.leaves():
+        r0, r1 = max(leaf.r0, x.r0), min(leaf.r0 + leaf.rn, x.r0 + x.rn)
+        c0, c1 = max(leaf.c0, x.c0), min(leaf.c0 + leaf.cn, x.c0 + x.cn)
+        if r0 >= r1 or c0 >= c1:
+            continue
+        rows, cols = slice(r0 - leaf.r0, r1 - leaf.r0), slice(c0 - leaf.c0, c1 - leaf.c0)
+        mine, theirs = slice(r0 - x.r0, r1 - x.r0), slice(c0 - x.c0, c1 - x.c0)
+        if x.rk is not None:
+            a, b = np.zeros((leaf.rn, x.rk[0].shape[1]), x.kind()), np.zeros((leaf.cn, x.rk[0].shape[1]), x.kind())
+            a[rows], b[cols] = alpha * x.rk[0][mine], x.rk[1][theirs]
+            leaf.add_rk(a, b, eps)
+        else:
+            m = np.zeros((leaf.rn, leaf.cn), np.result_type(x.kind(), leaf.kind()))
+            m[rows, cols] = alpha * x.full[mine, theirs]
+            leaf.add_full(m, eps)
+
+
+def zeroed(a: Block) -> Block:
+    out = a.copy()
+    for leaf in out.leaves():
+        if leaf.full is not None:
+            leaf.full = np.zeros_like(leaf.full)
+        else:
+            leaf.rk = lowrank.zero_rk(leaf.rn, leaf.cn, leaf.kind())
+    return out
+
+
+def scaled(a: Block, alpha: complex) -> None:
+    for leaf in a.leaves():
+        if leaf.full is not None:
+            leaf.full = alpha * leaf.full
+        else:
+            leaf.rk = (alpha * leaf.rk[0], leaf.rk[1])
+
+
+def multiply_with_diagonal(a: Block, d: np.ndarray, side: str = "R", inverse: bool = False) -> None:
+    """A D, D A, A D^-1 or D^-1 A in place."""
+    (scale_columns if side == "R" else scale_rows)(a, 1 / d if inverse else d)
+
+
+def subtract_mdmt(c: Block, m: Block, d: np.ndarray, n: Block | None, eps: float) -> None:
+    """C -= M D N^T (N: M)."""
+    left = m.copy()
+    multiply_with_diagonal(left, d)
+    gemm(-1, left, (m if n is None else n).transposed(), c, eps)
+
+
+def flat(a: Block, path: str = "") -> list[tuple[str, str, np.ndarray]]:
+    """(path, name, array) of everything a factored tree holds."""
+    out = [(path, "place", np.array([a.r0, a.rn, a.c0, a.cn], np.int64))]
+    if a.kids is not None:
+        for (i, j), k in a.kids.items():
+            out += flat(k, f"{path}/{i},{j}")
+        return out
+    named = {"full": a.full, "order": a.order, "diag": a.diag} | ({"a": a.rk[0], "b": a.rk[1]} if a.rk is not None else {})
+    return out + [(path, n, v) for n, v in named.items() if v is not None]
+
+
+def from_flat(rows: list[tuple[str, str, np.ndarray]]) -> Block:
+    held: dict[str, dict[str, np.ndarray]] = {}
+    for path, name, array in rows:
+        held.setdefault(path, {})[name] = array
+    made: dict[str, Block] = {}
+    for path in sorted(held, key=lambda p: p.count("/")):
+        v = held[path]
+        b = made[path] = Block(*v["place"].tolist())
+        b.full, b.order, b.diag = v.get("full"), v.get("order"), v.get("diag")
+        b.rk = (v["a"], v["b"]) if "a" in v else None
+        if path:
+            up, _, last = path.rpartition("/")
+            made[up].kids = made[up].kids or {}
+            made[up].kids[tuple(map(int, last.split(",")))] = b
+    return made[""]
+
+
+class HodlrSymmetric:
+    """A = L W W^T L^T of a real symmetric positive definite tree with low-rank off-diagonal blocks.
+
+    A leaf is a Cholesky factor.  A node with A_10 = u v^T is D^1/2 (I + U X U^T) D^1/2 with
+    D^1/2 the factors of its halves, U orthonormal bases of the halves' transformed panels, and X small;
+    W = I + U (M - I) U^T with M M^T = I + X.
+    """
+
+    def __init__(self, a: Block):
+        self.n, self.cut = a.rn, 0
+        if a.kids is None:
+            self.low = dense.llt(a.dense())
+            return
+        self.left, self.right = HodlrSymmetric(a.kids[0, 0]), HodlrSymmetric(a.kids[1, 1])
+        self.cut = self.left.n
+        low = a.kids[1, 0]
+        u, v = low.rk if low.rk is not None else lowrank.svd(low.dense(), 1e-15)
+        top, tr = np.linalg.qr(self.left.half_solve(v))
+        down, dr = np.linalg.qr(self.right.half_solve(u))
+        self.top, self.down = top, down
+        r, q = tr.shape[0], dr.shape[0]
+        core = np.eye(r + q)
+        core[r:, :r] = dr @ tr.T
+        core[:r, r:] = core[r:, :r].T
+        self.core = dense.llt(core)
+
+    def _halves(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.top.T @ x[: self.cut], self.down.T @ x[self.cut :]])
+
+    def _with(self, x: np.ndarray, change) -> np.ndarray:
+        """x + U (change(y) - y), y = U^T x."""
+        y = self._halves(x)
+        z = change(y) - y
+        r = self.top.shape[1]
+        return np.concatenate([x[: self.cut] + self.top @ z[:r], x[self.cut :] + self.down @ z[r:]])
+
+    def _both(self, x: np.ndarray, what: str) -> np.ndarray:
+        return np.concatenate([getattr(self.left, what)(x[: self.cut]), getattr(self.right, what)(x[self.cut :])])
+
+    def half_solve(self, x: np.ndarray) -> np.ndarray:
+        """G^-1 x with A = G G^T."""
+        if not self.cut:
+            return dense.lower_solve(self.low, x)
+        return self._with(self._both(x, "half_solve"), lambda y: dense.lower_solve(self.core, y))
+
+    def half_solve_transposed(self, x: np.ndarray) -> np.ndarray:
+        if not self.cut:
+            return dense.upper_solve(self.low.T, x)
+        return self._both(self._with(x, lambda y: dense.upper_solve(self.core.T, y)), "half_solve_transposed")
+
+    def half_times(self, x: np.ndarray) -> np.ndarray:
+        """G x."""
+        if not self.cut:
+            return self.low @ x
+        return self._both(self._with(x, lambda y: self.core @ y), "half_times")
+
+    def half_times_transposed(self, x: np.ndarray) -> np.ndarray:
+        if not self.cut:
+            return self.low.T @ x
+        return self._with(self._both(x, "half_times_transposed"), lambda y: self.core.T @ y)
+
+    def solve(self, x: np.ndarray) -> np.ndarray:
+        return self.half_solve_transposed(self.half_solve(x))
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return self.half_times(self.half_times_transposed(x))
+
+    @property
+    def log(self) -> float:
+        if not self.cut:
+            return float(2 * np.log(np.diag(self.low)).sum())
+        return self.left.log + self.right.log + float(2 * np.log(np.diag(self.core)).sum())
+
+
+def flat_node(node, path: str = "") -> list[tuple[str, str, np.ndarray]]:
+    """As ``flat``, for the two HODLR factors."""
+    out = [(path, "n", np.array([node.n])), (path, "cut", np.array([node.cut or 0]))]
+    for name, v in vars(node).items():
+        if isinstance(v, np.ndarray):
+            out.append((path, name, v))
+        elif isinstance(v, tuple):
+            out += [(path, f"{name}:{i}", x) for i, x in enumerate(v)]
+        elif isinstance(v, float):
+            out.append((path, f"{name}:f", np.array([v])))
+        elif name in ("left", "right"):
+            out += flat_node(v, path + name[0])
+    return out
+
+
+def node_from_flat(kind: type, rows: list[tuple[str, str, np.ndarray]], path: str = ""):
+    node = kind.__new__(kind)
+    mine = {n: v for p, n, v in rows if p == path}
+    node.n, node.cut = int(mine.pop("n")[0]), int(mine.pop("cut")[0]) or (0 if kind is HodlrSymmetric else None)
+    if kind is Hodlr:
+        node.core = None
+    for name, v in mine.items():
+        if name.endswith(":f"):
+            setattr(node, name[:-2], float(v[0]))
+        elif name.endswith(":0"):
+            setattr(node, name[:-2], (v, mine[name[:-2] + ":1"]))
+        elif ":" not in name:
+            setattr(node, name, v)
+    if node.cut:
+        below = [r for r in rows if len(r[0]) > len(path) and r[0].startswith(path)]
+        node.left, node.right = (node_from_flat(kind, [r for r in below if r[0][len(path)] == c], path + c) for c in "lr")
+    return node
+
+
 class Hodlr:
     """Factor of a symmetric matrix whose off-diagonal blocks are low rank, by the Woodbury identity, bottom up."""
 

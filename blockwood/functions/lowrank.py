@@ -97,11 +97,10 @@ LAZY = ("aca_partial", "aca_plus", "aca_random")
 def aca_lazy(method: str, row_of: Callable, col_of: Callable, entries_of: Callable, shape: tuple[int, int], eps: float, kind, seed: int = 0) -> Rk:
     """Cross approximation that asks for single rows, columns and entries only.
 
-    aca_plus starts from the row where a reference column is smallest, which steers away
-    from weak pivots; aca_random checks itself on max(rows, columns) random entries, from a fixed seed.
+    aca_plus steers by a reference row and column (``aca_plus``); aca_random checks itself on max(rows, columns) random entries, from a fixed seed.
     """
     if method == "aca_plus":
-        return _crosses(row_of, col_of, shape, eps, kind, int(np.argmin(np.abs(col_of(shape[1] // 2)))))
+        return aca_plus(row_of, col_of, shape, eps, kind)
     if method == "aca_random":
         rng, count = np.random.default_rng(seed), max(shape)
         i, j = rng.integers(0, shape[0], count), rng.integers(0, shape[1], count)
@@ -109,6 +108,79 @@ def aca_lazy(method: str, row_of: Callable, col_of: Callable, entries_of: Callab
     return _crosses(row_of, col_of, shape, eps, kind, 0)
 
 
+def aca_plus(row_of: Callable, col_of: Callable, shape: tuple[int, int], eps: float, kind) -> Rk:
+    """Cross approximation whose pivots come from the remainders of a reference row and a reference column.
+
+    The reference column is in the middle, the reference row where that column is smallest.  The larger of the two
+    remainders names the next pivot's column or row; the other index is where that column's or row's own remainder is
+    largest.  A reference used as a pivot is replaced by an unused one where the other reference is smallest.
+    """
+    n, m = shape
+    a, b, size = [], [], 0.0
+    rows, cols = np.ones(n, bool), np.ones(m, bool)
+
+    def row(i: int) -> np.ndarray:
+        return row_of(i) - sum((x[i] * y for x, y in zip(a, b, strict=True)), np.zeros(m, kind))
+
+    def col(j: int) -> np.ndarray:
+        return col_of(j) - sum((y[j] * x for x, y in zip(a, b, strict=True)), np.zeros(n, kind))
+
+    def least(free: np.ndarray, values: np.ndarray) -> int:
+        return int(np.argmin(np.where(free, np.abs(values), np.inf)))
+
+    j_ref = m // 2
+    c_ref = col(j_ref)
+    i_ref = least(rows, c_ref)
+    r_ref, top = row(i_ref), 0.0
+    while len(a) < min(n, m):
+        most_r, most_c = np.abs(r_ref).max(), np.abs(c_ref).max()
+        top = max(top, float(most_r), float(most_c))
+        if max(most_r, most_c) <= 1e-15 * top:
+            # both references are exhausted: look at other rows, at all of them if there is no cross yet, else at three
+            for i_ref in np.flatnonzero(rows)[: 3 if a else n]:
+                r_ref, rows[i_ref] = row(int(i_ref)), False
+                if np.abs(r_ref).max() > 1e-15 * top:
+                    break
+            else:
+                break
+            i_ref, most_r, most_c = int(i_ref), 1.0, 0.0
+        if most_r > most_c:
+            j = int(np.argmax(np.abs(r_ref)))
+            left_part = col(j)
+            i = int(np.argmax(np.abs(left_part)))
+            right_part = row(i)
+        else:
+            i = int(np.argmax(np.abs(c_ref)))
+            right_part = row(i)
+            j = int(np.argmax(np.abs(right_part)))
+            left_part = col(j)
+        pivot = right_part[j]
+        if pivot == 0:
+            break
+        right_part = right_part / pivot
+        rows[i] = cols[j] = False
+        tiny = bool(a) and np.linalg.norm(left_part) * np.linalg.norm(right_part) <= eps * np.sqrt(max(size, 0))
+        size = _grown(size, a, b, left_part, right_part)
+        a.append(left_part)
+        b.append(right_part)
+        if tiny or not rows.any() or not cols.any():
+            break
+        if i == i_ref or j == j_ref:
+            if j == j_ref:
+                j_ref = least(cols, r_ref) if i != i_ref else int(np.flatnonzero(cols)[0])
+                c_ref = col(j_ref)
+            else:
+                c_ref = c_ref - left_part * right_part[j_ref]
+            if i == i_ref:
+                i_ref = least(rows, c_ref)
+                r_ref = row(i_ref)
+            else:
+                r_ref = r_ref - left_part[i_ref] * right_part
+        else:
+            c_ref, r_ref = c_ref - left_part * right_part[j_ref], r_ref - left_part[i_ref] * right_part
+    return _stack(a, b, shape, kind)
+
+
 def rrqr(m: np.ndarray, eps: float) -> Rk:
     q, r, order = pivoted_qr(m, eps)
     b = np.zeros((m.shape[1], q.shape[1]), m.dtype)

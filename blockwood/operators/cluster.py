@@ -70,32 +70,86 @@ def pick_axis(extent: np.ndarray, last: int) -> int:
     return best
 
 
+def group_bounds(order_group: np.ndarray, cut: int) -> tuple[int, int] | None:
+    """Begin and end of the group that a cut would part (negative ids: no group)."""
+    n = len(order_group)
+    if not 0 < cut < n or order_group[cut] < 0 or order_group[cut] != order_group[cut - 1]:
+        return None
+    other = np.flatnonzero(order_group != order_group[cut])
+    low, high = other[other < cut], other[other > cut]
+    return (int(low[-1]) + 1 if len(low) else 0), (int(high[0]) if len(high) else n)
+
+
+def off_group(cut: int, bounds: tuple[int, int] | None, n: int) -> int:
+    """The cut moved to the nearer end of the group (a tie: its begin) that is not an end of the node; a node that is one group is parted inside."""
+    if bounds is None or bounds == (0, n):
+        return cut
+    low, high = bounds
+    if low == 0 or high == n:
+        return high if low == 0 else low
+    return high if low + high - 1 < 2 * cut else low
+
+
 def snap(order_group: np.ndarray, cut: int) -> int:
-    """First place at or after ``cut`` that does not part a group (negative ids: no group)."""
-    while 0 < cut < len(order_group) and order_group[cut] >= 0 and order_group[cut] == order_group[cut - 1]:
-        cut += 1
-    return cut
+    return off_group(cut, group_bounds(order_group, cut), len(order_group))
+
+
+def pieces(order: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
+    ends = np.maximum.accumulate([0, *cuts, len(order)])
+    return [order[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def median_parts(c: Cloud, axis: int, divider: int) -> tuple[np.ndarray, list[np.ndarray]]:
     n = len(c.dof)
     order = np.lexsort((np.arange(n), c.coord[:, axis], c.group))
-    cuts = [0, *[snap(c.group[order], n * (i + 1) // divider) for i in range(divider - 1)], n]
-    return order, [order[a:b] for a, b in zip(cuts, cuts[1:])]
+    return order, pieces(order, [snap(c.group[order], n * (i + 1) // divider) for i in range(divider - 1)])
 
 
 def geometric_parts(c: Cloud, axis: int, divider: int, first_at: float | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    x = c.coord[:, axis]
-    order = np.lexsort((np.arange(len(x)), x, c.group))
-    low, high = x.min(), x.max()
-    cuts = [first_at] if first_at is not None and low < first_at < high else [low + (i + 1) / divider * (high - low) for i in range(divider - 1)]
-    where = np.searchsorted(cuts, x[order], side="right")
-    if (c.group >= 0).any():  # a group goes where its first member goes
-        ids = c.group[order]
-        for g in np.unique(ids[ids >= 0]):
-            where[ids == g] = where[ids == g][0]
-    parts = [order[where == i] for i in range(len(cuts) + 1)]
-    return order, [p for p in parts if len(p)]
+    """Cuts at equal distances (or all at ``first_at``), each before the first point at or beyond it; groups stay on the side of their nearer end."""
+    n = len(c.dof)
+    order = np.lexsort((np.arange(n), c.coord[:, axis], c.group))
+    x, group = c.coord[order, axis], c.group[order]
+    low, high = float(c.lo[:, axis].min()), float(c.hi[:, axis].max())
+    cuts, at = [], 0
+    for i in range(1, divider):
+        place = first_at if first_at is not None else low + i / divider * (high - low)
+        beyond = np.flatnonzero(x[at:] >= place)
+        at += int(beyond[0]) if len(beyond) else n - at
+        bounds = group_bounds(group, at)
+        if bounds not in (None, (0, n)):
+            begin, end = bounds
+            if begin == 0 or end == n:
+                at = end if begin == 0 else begin
+            else:
+                at = end if x[end] + x[begin - 1] < 2 * place else begin
+        cuts.append(at)
+    return order, [p for p in pieces(order, cuts) if len(p)]
+
+
+def octants(c: Cloud, cube: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """Members and cube of each octant that has points; an octant that has all of them is entered at once."""
+    lo, hi = cube
+    for _ in range(200):
+        centre = (lo + hi) / 2
+        upper = c.coord >= centre
+        digit = (upper << np.arange(c.coord.shape[1])).sum(1)
+        found = np.unique(digit)
+        if len(found) > 1 or not (c.coord != c.coord[0]).any():
+            break
+        lo, hi = np.where(upper[0], centre, lo), np.where(upper[0], hi, centre)
+    out = []
+    for d in found:
+        members = np.flatnonzero(digit == d)
+        side = upper[members[0]]
+        out.append((members, (np.where(side, centre, lo), np.where(side, hi, centre))))
+    return out
+
+
+def root_cube(c: Cloud) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi = c.lo.min(0), c.hi.max(0)
+    half = (hi - lo).max() / 2
+    return (lo + hi) / 2 - half, (lo + hi) / 2 + half
 
 
 def volume(c: Cloud) -> float:
@@ -121,10 +175,6 @@ def split(c: Cloud, algo: Clustering, depth: int, last: int) -> tuple[int, list[
         if whole > 0 and any(len(p) and volume(c.take(p)) > 0.8 * whole for p in parts):
             _, parts = geometric_parts(c, axis, algo.divider)
         return axis, parts
-    if algo.kind == "octree":
-        centre = (lo + hi) / 2
-        digit = ((c.coord >= centre) << np.arange(c.coord.shape[1])).sum(1)
-        return axis, [np.flatnonzero(digit == d) for d in np.unique(digit)]
     if algo.kind == "ntiles":
         return axis, tiles(c, algo, last)
     if algo.kind == "span":
@@ -154,13 +204,18 @@ def tiles(c: Cloud, algo: Clustering, last: int) -> list[np.ndarray]:
     return out
 
 
-def subtree(c: Cloud, algo: Clustering, path: str, off: int, depth: int, last: int) -> Iterator[tuple]:
+def subtree(c: Cloud, algo: Clustering, path: str, off: int, depth: int, last: int, cube: tuple | None = None) -> Iterator[tuple]:
     """Nodes ("node", path, depth, off, n, axis, lo, hi, leaf) and dofs ("dof", path, position, dof, coord) below one node."""
     lo, hi, here = c.lo.min(0), c.hi.max(0), algo.at(depth)
     axis, parts = -1, []
     limit = 1 if here.kind == "octree" else here.max_leaf
+    cubes = None
     if len(c.dof) > limit and depth < here.max_depth:
-        axis, parts = split(c, here, depth, last)
+        if here.kind == "octree":  # cubes are halved, whatever box the points have
+            axis, found = 0, octants(c, cube or root_cube(c))
+            parts, cubes = [m for m, _ in found], [b for _, b in found]
+        else:
+            axis, parts = split(c, here, depth, last)
         full = [p for p in parts if len(p)]
         if len(full) < 2 and here.kind != "void":
             axis, parts = -1, []
@@ -175,10 +230,20 @@ def subtree(c: Cloud, algo: Clustering, path: str, off: int, depth: int, last: i
             continue
         name = DIGITS[i] if len(parts) <= len(DIGITS) else f"{i:04d}"
         done = here.kind == "ntiles"  # tiles are leaves
-        yield from subtree(c.take(p), Clustering("median", max_leaf=len(p)) if done else algo, path + name, off, depth + 1, axis)
+        yield from subtree(c.take(p), Clustering("median", max_leaf=len(p)) if done else algo, path + name, off, depth + 1, axis, None if cubes is None else cubes[i])
         off += len(p)
 
 
+def assert_valid(points: DataFrame) -> None:
+    """An error for repeated or null dofs and for missing, unequally long or non-finite coordinates."""
+    bad = F.col("dof").isNull() | F.col("coord").isNull() | F.exists("coord", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    r = points.agg(F.sum(bad.cast("long")).alias("bad"), F.min(F.size("coord")).alias("least"), F.max(F.size("coord")).alias("most")).first()
+    if r["bad"] or r["least"] != r["most"]:
+        raise ValueError(f"{r['bad']} points without id or finite coordinates, of {r['least']} to {r['most']} dimensions")
+    if points.groupBy("dof").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("repeated dofs")
+
+
 _SCHEMA = "is_node boolean, path string, depth int, off long, n long, axis int, bb_min array<double>, bb_max array<double>, is_leaf boolean, dof long, coord array<double>"
 
 
@@ -186,19 +251,15 @@ def build_tree(points: DataFrame, algo: Clustering, task_points: int = 1_000_000
     """(nodes, perm) of a point set.
 
     nodes: path, parent, child_no, depth, off, n, axis, bb_min, bb_max, is_leaf.
-    perm: pos, dof, coord, leaf - the internal order.  Dofs must be distinct and coordinates finite.
+    perm: pos, dof, coord, leaf - the internal order.  Dofs must be distinct and coordinates finite (``assert_valid``).
+    Sets of more than ``task_points`` are first split over the cluster (``_distributed_levels``), with the same result;
+    hybrid, octree, ntiles and span trees, and geometric ones with groups, take sets of up to that size (else an error).
     """
     ship(points.sparkSession)
     rows = points.select("dof", "coord", "lo", "hi", F.coalesce("group_id", F.lit(-1)).alias("group_id"))
     rows = rows.withColumns({"path": F.lit("r"), "off": F.lit(0).cast("long"), "depth": F.lit(0), "last": F.lit(-1), "at": F.col("dof")})
     top, total = [], rows.count()
     if total > task_points:
-        if algo.kind != "median" or algo.divider != 2:
-            raise NotImplementedError("sets beyond task_points are split over the cluster by median bisection only")
-        if algo.by_depth:
-            raise NotImplementedError("sets beyond task_points are split over the cluster without a choice by depth")
-        if rows.where("group_id >= 0").limit(1).count():
-            raise NotImplementedError("sets beyond task_points are split over the cluster without groups")
         rows, top = _distributed_levels(rows, algo, task_points)
 
     def finish(table: pa.Table) -> pa.Table:
@@ -234,33 +295,70 @@ def build_tree(points: DataFrame, algo: Clustering, task_points: int = 1_000_000
 
 
 def _distributed_levels(rows: DataFrame, algo: Clustering, task_points: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Median bisection of nodes beyond ``task_points``.
+    """Splits of nodes beyond ``task_points`` by medians (any number of children, shuffled, void) or equal distances, level by level, as ``split`` makes them in one task.
 
-    A node's order along its axis is never sorted in one task: its extent is cut into 4,096 equal
-    parts, rows are ranked inside their part, and moved by the counts of the parts before.
+    A node's order (group, place on the axis, former order) is never sorted in one task: the extent is cut into 4,096 equal
+    parts, rows are ranked inside their group and part, and moved by the counts of those before.  The driver
+    holds one row for each node and cut.
     """
     top, size = [], rows.select(F.size("coord")).first()[0]
+    grouped = rows.where("group_id >= 0").limit(1).count() > 0
     for depth in range(algo.max_depth):
-        boxes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.first("last").alias("last"), F.first("off").alias("off"), *[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(size)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(size)]).where(F.col("n") > task_points)
+        here = algo.at(depth)
+        boxes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.first("last").alias("last"), F.first("off").alias("off"), *[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(size)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(size)]).where(F.col("n") > max(task_points, here.max_leaf))
         split_nodes = [r.asDict() for r in boxes.collect()]  # at most total / task_points rows
         if not split_nodes:
             return rows, top
+        if here.kind not in ("median", "shuffle", "void", "geometric") or (grouped and here.kind == "geometric"):
+            raise NotImplementedError(f"{here.kind} beyond task_points" + " with groups" * grouped)
+        divider = here.cycle[0] + depth % (here.cycle[1] - here.cycle[0] + 1) if here.kind == "shuffle" else here.divider
+        empty = here.kind == "void" and depth % 2
         plan = []
         for b in split_nodes:
             lo, hi = [b[f"lo{i}"] for i in range(size)], [b[f"hi{i}"] for i in range(size)]
-            plan.append((b["path"], b["n"], pick_axis(np.array(hi) - np.array(lo), b["last"]), depth, b["off"], lo, hi))
-        table = rows.sparkSession.createDataFrame(plan, "path string, n long, axis int, depth int, off long, bb_min array<double>, bb_max array<double>")
-        top.append(table.withColumn("is_leaf", F.lit(False)))
-        known = F.broadcast(table.select("path", "n", "axis", "bb_min", "bb_max"))
+            axis = pick_axis(np.array(hi) - np.array(lo), b["last"])
+            first = 0.0 if here.from_zero and depth == 0 else None
+            marks = [first if first is not None else lo[axis] + i / divider * (hi[axis] - lo[axis]) for i in range(1, divider)]
+            plan.append((b["path"], b["n"], axis, depth, b["off"], lo, hi, marks))
+        table = rows.sparkSession.createDataFrame(plan, "path string, n long, axis int, depth int, off long, bb_min array<double>, bb_max array<double>, marks array<double>")
+        top.append(table.drop("marks").withColumn("is_leaf", F.lit(False)))
+        known = F.broadcast(table.select("path", "n", "axis", "bb_min", "bb_max", "marks"))
         went = rows.join(known, "path").withColumn("x", F.element_at("coord", F.col("axis") + 1))
         low, high = F.element_at("bb_min", F.col("axis") + 1), F.element_at("bb_max", F.col("axis") + 1)
         went = went.withColumn("part", F.when(high > low, F.least(F.lit(4095), F.floor((F.col("x") - low) / (high - low) * 4096)).cast("int")).otherwise(0))
-        counts = went.groupBy("path", "part").agg(F.count(F.lit(1)).alias("m"))
-        counts = counts.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-        went = went.withColumn("rank", F.row_number().over(Window.partitionBy("path", "part").orderBy("x", "at"))).join(counts, ["path", "part"])
-        went = went.withColumn("rank", F.col("before") + F.col("rank") - 1)
-        half = F.expr("n div 2")
-        child = went.select("dof", "coord", "lo", "hi", "group_id", F.concat("path", F.when(F.col("rank") < half, "0").otherwise("1")).alias("path"), F.when(F.col("rank") < half, F.col("off")).otherwise(F.col("off") + half).alias("off"), F.lit(depth + 1).alias("depth"), F.col("axis").alias("last"), F.col("rank").alias("at"))
+        place = ["path", "group_id", "part"]
+        counts = went.groupBy(*place).agg(F.count(F.lit(1)).alias("m"))
+        before = Window.partitionBy("path").orderBy("group_id", "part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = settle(counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))))
+        cuts = {b["path"]: [b["n"] * (i + 1) // divider for i in range(divider - 1)] for b in split_nodes}
+        if empty:
+            cuts = {b["path"]: [] for b in split_nodes}
+        elif here.kind == "geometric":
+            below = went.groupBy("path").agg(*[F.sum((F.col("x") < F.col("marks")[i]).cast("long")).alias(f"m{i}") for i in range(divider - 1)])
+            cuts = {r["path"]: sorted(r[f"m{i}"] for i in range(divider - 1)) for r in below.collect()}
+        elif grouped:
+            wanted = rows.sparkSession.createDataFrame([(p, c) for p, cs in cuts.items() for c in cs], "path string, cut long")
+            bounds = counts.where("group_id >= 0").groupBy("path", "group_id").agg(F.min("before").alias("begin"), (F.min("before") + F.sum("m")).alias("end"))
+            held = bounds.join(F.broadcast(wanted), "path").where("begin < cut and cut < end").collect()
+            of = {(r["path"], r["cut"]): (r["begin"], r["end"]) for r in held}
+            n_of = {b["path"]: b["n"] for b in split_nodes}
+            cuts = {p: [off_group(c, of.get((p, c)), n_of[p]) for c in cs] for p, cs in cuts.items()}
+        ends = {p: np.maximum.accumulate([0, *cs]).tolist() for p, cs in cuts.items()}
+        if here.kind == "geometric":  # there children without points do not count
+            n_of = {b["path"]: b["n"] for b in split_nodes}
+            ends = {p: sorted({e for e in es if e < n_of[p]}) for p, es in ends.items()}
+            if all(len(e) == 1 for e in ends.values()):
+                raise ValueError("a node beyond task_points has all its points in one place")
+        begins = rows.sparkSession.createDataFrame([(p, e) for p, e in ends.items()], "path string, ends array<long>")
+        went = went.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("x", "at"))).join(counts.drop("m"), place)
+        went = went.withColumn("rank", F.col("before") + F.col("rank") - 1).join(F.broadcast(begins), "path")
+        number = F.size(F.filter("ends", lambda e: e <= F.col("rank"))) - 1
+        went = went.withColumn("number", number)
+        name = F.substring(F.lit(DIGITS), F.col("number") + 1, F.lit(1))
+        child = went.select("dof", "coord", "lo", "hi", "group_id", F.concat("path", name).alias("path"), (F.col("off") + F.get("ends", F.col("number"))).alias("off"), F.lit(depth + 1).alias("depth"), F.col("axis").alias("last"), F.col("rank").alias("at"))
         stay = rows.join(F.broadcast(table.select("path")), "path", "left_anti").select(child.columns)
         rows = settle(stay.unionByName(child))
+        if empty:
+            sides = [(b["path"] + DIGITS[i], 0, -1, depth + 1, b["off"] + b["n"], [b[f"lo{k}"] for k in range(size)], [b[f"lo{k}"] for k in range(size)], True) for b in split_nodes for i in range(1, here.divider)]
+            top.append(rows.sparkSession.createDataFrame(sides, "path string, n long, axis int, depth int, off long, bb_min array<double>, bb_max array<double>, is_leaf boolean"))
     return rows, top

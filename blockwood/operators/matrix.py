@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from types import SimpleNamespace
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,9 @@ from ..functions.kernels import Kernel
 from .blocks import Admissibility, build_blocks
 from .cluster import Clustering, build_tree
 
+if TYPE_CHECKING:
+    from .factor import Factor
+
 LEAF = "r string, c string, r_off long, r_n long, c_off long, c_n long, kind string, rank int, eps double, dtype string, a binary, b binary, d binary"
 _NUM = {"S": np.float32, "D": np.float64, "C": np.complex64, "Z": np.complex128}
 
@@ -77,9 +81,14 @@ class HMatrix:
         col_nodes, col_perm = (row_nodes, row_perm) if columns is None else build_tree(columns, clustering)
         blocks = build_blocks(row_nodes, col_nodes, admissibility, symmetric)
         empty = HMatrix(row_nodes, row_perm, col_nodes, col_perm, blocks, None, symmetric)
-        return replace(empty, leaves=settle(empty.assembled(kernel, method, eps, scalar, least_svd)))
+        out = replace(empty, leaves=settle(empty.assembled(kernel, method, eps, scalar, least_svd)))
+        if validate:
+            worst = out.validated(kernel).where(F.col("error") > 10 * eps * F.col("norm")).orderBy(F.desc("error")).first()
+            if worst is not None:
+                raise ValueError(f"a block misses its precision: {worst}")
+        return out
 
-    def assembled(self, kernel: Kernel, method: str = "svd", eps: float = 1e-4, scalar: str = "D", least_svd: int = 0) -> DataFrame:
+    def assembled(self, kernel: Kernel, method: str = "svd", eps: float = 1e-4, scalar: str = "D", least_svd: int = 0, dense: bool = False) -> DataFrame:
         """Leaf payloads: each block with the coordinates of its two clusters is one row of one task.
 
         Values are computed in double precision, compressed (strata one by one, truncated after each), then stored as ``scalar``.
@@ -96,14 +105,14 @@ class HMatrix:
                     p, q = np.asarray(x.r_coords, float).reshape(x.r_n, -1), np.asarray(x.c_coords, float).reshape(x.c_n, -1)
                     where = (p, q, np.asarray(x.r_dofs), np.asarray(x.c_dofs))
                     parts = (kernel, *kernel.strata)
-                    if x.kind == "rk":
+                    if x.kind == "rk" and not dense:
                         seed = x.r_off * 1_000_003 + x.c_off
                         value = kernel.compressed(*where, method, eps, seed, least_svd)
                         for more in kernel.strata:
                             value = lowrank.add([(1, value), (1, more.compressed(*where, method, eps, seed, least_svd))], eps)
                     else:
                         value = sum(k.block(*where) for k in parts)
-                    row = {n: getattr(x, n) for n in names[:6]} | {"eps": eps, "dtype": scalar}
+                    row = {n: getattr(x, n) for n in names[:6]} | {"eps": eps, "dtype": scalar if not dense else "Z" if np.iscomplexobj(value) else "D"}
                     out.append(row | packed(SimpleNamespace(**row), value))
                 yield pd.DataFrame(out, columns=names)
 
@@ -168,24 +177,33 @@ class HMatrix:
 
     def transpose(self) -> HMatrix:
         flip = {"r": "c", "c": "r", "r_off": "c_off", "r_n": "c_n", "c_off": "r_off", "c_n": "r_n"}
-        turned = self.map_leaves(lambda x, v: v if isinstance(v, tuple) else v)
         names = [x.split()[0] for x in LEAF.split(", ")]
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                out = []
-                for x in frame.itertuples():
-                    v = payload(x)
-                    row = {n: getattr(x, flip.get(n, n)) for n in names}
-                    out.append(row | packed(x, (v[1], v[0]) if isinstance(v, tuple) else v.T))
-                yield pd.DataFrame(out, columns=names)
+                frame["d"] = [np.ascontiguousarray(np.frombuffer(d, _NUM[t]).reshape(int(n), -1).T).tobytes() for d, t, n in zip(frame.d, frame.dtype, frame.c_n)]
+                yield frame[names]
 
+        turned = self.leaves.select([F.col({"a": "b", "b": "a"}.get(n, flip.get(n, n))).alias(n) for n in names])
+        leaves = turned.where("kind = 'rk'").unionByName(turned.where("kind <> 'rk'").mapInPandas(run, LEAF))
         back = {"parent_r": "parent_c", "parent_c": "parent_r", "i": "j", "j": "i"} | flip
         blocks = self.blocks.select([F.col(back.get(n, n)).alias(n) for n in self.blocks.columns])
-        return HMatrix(self.col_nodes, self.col_perm, self.row_nodes, self.row_perm, blocks, turned.leaves.mapInPandas(run, LEAF), self.symmetric)
+        return HMatrix(self.col_nodes, self.col_perm, self.row_nodes, self.row_perm, blocks, leaves, self.symmetric)
 
     def axpy(self, alpha: complex, other: HMatrix) -> HMatrix:
-        """self + alpha * other, block by block; both have the same block tree."""
+        """self + alpha * other, block by block; with another block tree every leaf takes its part of the other's, in one task."""
+        if (self.row_perm is not other.row_perm or self.col_perm is not other.col_perm) and self._order(other):
+            raise ValueError("the two matrices number their points differently")
+        mine, yours = self.leaves.select("r", "c"), other.leaves.select("r", "c")
+        if self.symmetric != other.symmetric or mine.join(yours, ["r", "c"], "full_outer").count() != mine.join(yours, ["r", "c"]).count():
+            eps, whole = self.leaves.agg(F.max("eps")).first()[0], other.symmetric
+
+            def work(trees: list[hmatrix.Block]) -> hmatrix.Block:
+                for leaf in (hmatrix.mirrored(trees[1]) if whole else trees[1]).leaves():
+                    hmatrix.add_leaf(trees[0], leaf, alpha, eps)
+                return trees[0]
+
+            return self._from_tree(work, (other,))
         names = [x.split()[0] for x in LEAF.split(", ")]
         theirs = other.leaves.select("r", "c", *[F.col(n).alias(f"o_{n}") for n in names[2:]])
 
@@ -208,6 +226,10 @@ class HMatrix:
 
         return replace(self, leaves=self.leaves.join(theirs, ["r", "c"], "left").mapInPandas(run, LEAF))
 
+    def _order(self, other: HMatrix) -> bool:
+        """Whether positions belong to other dofs than in ``other``."""
+        return any(a.select("pos", "dof").join(b.select("pos", "dof"), ["pos", "dof"], "full_outer").count() != a.join(b.select("pos", "dof"), ["pos", "dof"]).count() for a, b in ((self.row_perm, other.row_perm), (self.col_perm, other.col_perm)))
+
     def coarsen(self, eps: float) -> HMatrix:
         """Merges sibling blocks that are all low rank where one block is cheaper, from the leaves up, level by level."""
         names = [x.split()[0] for x in LEAF.split(", ")]
@@ -267,10 +289,122 @@ class HMatrix:
         c = self.col_perm.select(F.col("pos").alias("col_pos"), F.col("dof").alias("col_dof"))
         return e.join(r, "row_pos").join(c, "col_pos").select("row_dof", "col_dof", "re", "im")
 
+    def get_values(self, rows: DataFrame, cols: DataFrame) -> DataFrame:
+        """(row_dof, col_dof, re, im) for all of ``rows`` (dof) with all of ``cols`` (dof); leaves that none of them meets are not touched.
+
+        The ids go to the clusters that hold them, each leaf meets the two lists on its sides and evaluates those entries alone.
+        """
+        names = ["r", "c", "r_off", "r_n", "c_off", "c_n", "kind", "rank", "dtype", "a", "b", "d"]
+
+        def held(ids: DataFrame, perm: DataFrame, side: str) -> DataFrame:
+            up = perm.join(ids.select("dof").distinct(), "dof").withColumn(side, F.explode(F.transform(F.sequence(F.lit(1), F.length("leaf")), lambda k: F.substring("leaf", F.lit(1), k))))
+            return up.groupBy(side).agg(F.sort_array(F.collect_list(F.struct("pos", "dof"))).alias(f"{side}_ids"))
+
+        def evaluate(turned: bool):
+            def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    for x in frame.itertuples():
+                        v = payload(x)
+                        if turned:
+                            v = (v[1], v[0]) if isinstance(v, tuple) else v.T
+                        lists = [(np.array([e["pos"] for e in ids]), np.array([e["dof"] for e in ids])) for ids in (x.r_ids, x.c_ids)]
+                        (i, di), (j, dj) = ((lists[1], lists[0]) if turned else lists)
+                        i, j = i - (x.c_off if turned else x.r_off), j - (x.r_off if turned else x.c_off)
+                        m = v[0][i] @ v[1][j].T if isinstance(v, tuple) else v[np.ix_(i, j)]
+                        yield pd.DataFrame({"row_dof": np.repeat(di, len(dj)), "col_dof": np.tile(dj, len(di)), "re": m.real.ravel(), "im": m.imag.ravel() if np.iscomplexobj(m) else 0.0})
+
+            return run
+
+        kind = "row_dof long, col_dof long, re double, im double"
+        leaves = self.leaves.select(names)
+        out = leaves.join(held(rows, self.row_perm, "r"), "r").join(held(cols, self.col_perm, "c"), "c").mapInPandas(evaluate(False), kind)
+        if self.symmetric:
+            low = leaves.where("r_off <> c_off")
+            out = out.unionByName(low.join(held(cols, self.row_perm, "r"), "r").join(held(rows, self.col_perm, "c"), "c").mapInPandas(evaluate(True), kind))
+        return out
+
+    def child(self, i: int, j: int) -> HMatrix:
+        """The sub-matrix of the root's block (i, j); positions stay those of the whole."""
+        root = self.blocks.where("parent_r is null").select(F.col("r").alias("root_r"), F.col("c").alias("root_c")).first()
+        if root is None:
+            raise ValueError("an empty matrix")
+        here = self.blocks.where((F.col("parent_r") == root["root_r"]) & (F.col("parent_c") == root["root_c"]) & (F.col("i") == i) & (F.col("j") == j)).select("r", "c", "r_off", "c_off").first()
+        if here is None:
+            raise ValueError(f"no block ({i}, {j})")
+        inside = F.col("r").startswith(here["r"]) & F.col("c").startswith(here["c"])
+        top = (F.col("r") == here["r"]) & (F.col("c") == here["c"])
+        blocks = self.blocks.where(inside).withColumns({n: F.when(~top, F.col(n)) for n in ("parent_r", "parent_c")})
+        side = lambda nodes, path: nodes.where(F.col("path").startswith(path))
+        perm = lambda p, path: p.where(F.col("leaf").startswith(path))
+        return HMatrix(side(self.row_nodes, here["r"]), perm(self.row_perm, here["r"]), side(self.col_nodes, here["c"]), perm(self.col_perm, here["c"]), blocks, self.leaves.where(inside), self.symmetric and here["r"] == here["c"])
+
+    def subset(self, r0: int, rn: int, c0: int, cn: int, eps: float | None = None) -> DataFrame:
+        """Leaves (``LEAF``) cut to a rectangle in internal numbering; with ``eps`` low-rank ones are truncated again."""
+        names = [x.split()[0] for x in LEAF.split(", ")]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for x in frame.itertuples():
+                    rows, cols = (max(x.r_off, r0), min(x.r_off + x.r_n, r0 + rn)), (max(x.c_off, c0), min(x.c_off + x.c_n, c0 + cn))
+                    i, j = slice(rows[0] - x.r_off, rows[1] - x.r_off), slice(cols[0] - x.c_off, cols[1] - x.c_off)
+                    v = payload(x)
+                    v = (v[0][i], v[1][j]) if isinstance(v, tuple) else v[i, j]
+                    if isinstance(v, tuple) and eps is not None:
+                        v = lowrank.truncate(v, eps)
+                    row = {n: getattr(x, n) for n in names} | {"r_off": rows[0], "r_n": rows[1] - rows[0], "c_off": cols[0], "c_n": cols[1] - cols[0]}
+                    out.append(row | packed(x, v))
+                yield pd.DataFrame(out, columns=names)
+
+        return self._meeting(r0, rn, c0, cn).select(names).mapInPandas(run, LEAF)
+
+    def _meeting(self, r0: int, rn: int, c0: int, cn: int) -> DataFrame:
+        return self.leaves.where((F.col("r_off") < r0 + rn) & (F.col("r_off") + F.col("r_n") > r0) & (F.col("c_off") < c0 + cn) & (F.col("c_off") + F.col("c_n") > c0))
+
+    def diagonal_blocks(self, size: int) -> DataFrame:
+        """(block, i, j, re, im) of the blocks of ``size`` x ``size`` positions on the diagonal; only leaves that meet them are expanded."""
+        meets = (F.expr(f"(r_off div {size}L) <= ((c_off + c_n - 1) div {size}L)")) & F.expr(f"(c_off div {size}L) <= ((r_off + r_n - 1) div {size}L)")
+        e = replace(self, leaves=self.leaves.where(meets)).entries().where(F.expr(f"row_pos div {size}L = col_pos div {size}L"))
+        if self.symmetric:
+            e = e.unionByName(e.select(F.col("col_pos").alias("row_pos"), F.col("row_pos").alias("col_pos"), "re", "im")).dropDuplicates(["row_pos", "col_pos"])
+        return e.select(F.expr(f"row_pos div {size}L").alias("block"), (F.col("row_pos") % size).cast("int").alias("i"), (F.col("col_pos") % size).cast("int").alias("j"), "re", "im")
+
+    def checks(self) -> DataFrame:
+        """One row: stored numbers, how many are zero and how many not finite, bytes, and whether all are zero."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for x in frame.itertuples():
+                    parts = v if isinstance(v := payload(x), tuple) else (v,)
+                    out.append({"stored": sum(p.size for p in parts), "zeros": sum(int((p == 0).sum()) for p in parts), "not_finite": sum(int((~np.isfinite(p)).sum()) for p in parts), "bytes": sum(len(b) for b in (x.a, x.b, x.d) if b is not None)})
+                yield pd.DataFrame(out)
+
+        kinds = "stored long, zeros long, not_finite long, bytes long"
+        sums = self.leaves.mapInPandas(run, kinds).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("stored", "zeros", "not_finite", "bytes")])
+        return sums.withColumn("all_zero", F.col("zeros") == F.col("stored"))
+
+    def validated(self, kernel: Kernel) -> DataFrame:
+        """Each low-rank leaf against the kernel's own block: r_off, c_off, rank, error and norm (Frobenius)."""
+        exact = replace(self, leaves=self.assembled(kernel, dense=True)).leaves.select("r", "c", F.col("d").alias("o_d"))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for x in frame.itertuples():
+                    m = np.frombuffer(x.o_d, np.complex128 if x.dtype in "CZ" else np.float64).reshape(int(x.r_n), -1)
+                    out.append({"r_off": x.r_off, "c_off": x.c_off, "rank": x.rank, "error": float(np.linalg.norm(dense_of(payload(x)) - m)), "norm": float(np.linalg.norm(m))})
+                yield pd.DataFrame(out, columns=["r_off", "c_off", "rank", "error", "norm"])
+
+        return self.leaves.where("kind = 'rk'").join(exact, ["r", "c"]).mapInPandas(run, "r_off long, c_off long, rank int, error double, norm double")
+
+    def full_gemm(self, x: DataFrame, **more) -> DataFrame:
+        """X A for dense X, rows as right-hand sides."""
+        return self.gemm_right(x, **more)
+
     def block(self, r0: int, rn: int, c0: int, cn: int) -> DataFrame:
         """Entries of a rectangle in internal numbering; only leaves that meet it are expanded."""
-        hit = self.leaves.where((F.col("r_off") < r0 + rn) & (F.col("r_off") + F.col("r_n") > r0) & (F.col("c_off") < c0 + cn) & (F.col("c_off") + F.col("c_n") > c0))
-        e = replace(self, leaves=hit).entries()
+        e = replace(self, leaves=self._meeting(r0, rn, c0, cn)).entries()
         return e.where((F.col("row_pos") >= r0) & (F.col("row_pos") < r0 + rn) & (F.col("col_pos") >= c0) & (F.col("col_pos") < c0 + cn))
 
     def diagonal(self) -> DataFrame:
@@ -328,12 +462,12 @@ class HMatrix:
     # -------------------------------------------------------- products
 
     def _segments_of(self, x: DataFrame, perm: DataFrame, paths: DataFrame, side: str) -> DataFrame:
-        """(side path, rhs, re[], im[]) of vectors (dof, rhs, re[, im]) on the clusters ``paths``."""
+        """(side path, rhs[], re[], im[]) of vectors (dof, rhs, re[, im]) on the clusters ``paths``: all right-hand sides of a cluster in one row, by rhs and position."""
         if "im" not in x.columns:
             x = x.withColumn("im", F.lit(0.0))
         up = perm.join(x, "dof").withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("leaf")), lambda k: F.substring("leaf", F.lit(1), k)))).join(paths.distinct(), "path", "left_semi")
-        s = F.sort_array(F.collect_list(F.struct("pos", "re", "im")))
-        return up.groupBy("path", "rhs").agg(s.alias("s")).select(F.col("path").alias(side), "rhs", F.col("s.re").alias("x_re"), F.col("s.im").alias("x_im"))
+        s = F.sort_array(F.collect_list(F.struct("rhs", "pos", "re", "im")))
+        return up.groupBy("path").agg(s.alias("s")).select(F.col("path").alias(side), F.col("s.rhs").alias("x_rhs"), F.col("s.re").alias("x_re"), F.col("s.im").alias("x_im"))
 
     def gemv(self, x: DataFrame, *, alpha: complex = 1, beta: complex = 0, y: DataFrame | None = None, op: str = "N") -> DataFrame:
         """alpha op(A) x + beta y for every right-hand side: (dof, rhs, re, im); op is N, T or C.
@@ -348,13 +482,21 @@ class HMatrix:
         def times(turned: bool):
             def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for frame in frames:
+                    out: list[tuple] = []
                     for z in frame.itertuples():
                         v = payload(z)
                         if turned:
                             v = (v[1], v[0]) if isinstance(v, tuple) else v.T
-                        piece = np.asarray(z.x_re, float) + 1j * np.asarray(z.x_im, float)
-                        out = alpha * (v[0] @ (v[1].T @ piece) if isinstance(v, tuple) else v @ piece)
-                        yield pd.DataFrame({"pos": (z.c_off if turned else z.r_off) + np.arange(len(out)), "rhs": z.rhs, "re": out.real, "im": out.imag})
+                        width = len(v[1]) if isinstance(v, tuple) else v.shape[1]
+                        re, im = np.asarray(z.x_re, float), np.asarray(z.x_im, float)
+                        piece = (re + 1j * im if im.any() else re).reshape(-1, width).T
+                        y = v[0] @ (v[1].T @ piece) if isinstance(v, tuple) else v @ piece
+                        y = (alpha * y).T  # a row for each right-hand side
+                        pos = (z.c_off if turned else z.r_off) + np.arange(y.shape[1])
+                        rhs = np.asarray(z.x_rhs)[::width]
+                        out.append((np.tile(pos, len(rhs)), np.repeat(rhs, len(pos)), y.real.ravel(), y.imag.ravel() if np.iscomplexobj(y) else np.zeros(y.size)))
+                    if out:
+                        yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(("pos", "rhs", "re", "im"), zip(*out), strict=True)})
 
             return run
 
@@ -381,120 +523,137 @@ class HMatrix:
 
     # -------------------------------------------------------- whole matrix in one task
 
-    def whole(self, work: Callable, schema: str, *others: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
-        """``work(block tree, frames of the others) -> pandas`` in one task, for matrices of up to ``most_bytes`` of payload.
+    def whole(self, work: Callable, schema: str, rows: DataFrame | None = None, matrices: tuple[HMatrix, ...] = (), most_bytes: int = 1 << 30) -> DataFrame:
+        """``work(block trees, frame of rows) -> pandas`` in one task, for matrices (this one first) of up to ``most_bytes`` of payload together.
 
-        Factorizations follow a sequential elimination order; below this size one task is the quickest way.
+        Factorizations follow a sequential elimination order; below this size one task is the quickest way.  Symmetric
+        matrices come as stored, without their upper half.
         """
-        size = self.leaves.agg(F.sum(F.coalesce(F.length("d"), F.length("a") + F.length("b")))).first()[0] or 0
-        if size > most_bytes:
-            raise NotImplementedError(f"{size} bytes of payload; a single task takes {most_bytes}")
-        everything = self.blocks.select("r", "c", "parent_r", "parent_c", "i", "j", "depth", "r_off", "r_n", "c_off", "c_n", F.col("kind").alias("b_kind")).join(self.leaves.select("r", "c", "kind", "rank", "dtype", "a", "b", "d"), ["r", "c"], "left").withColumn("one", F.lit(1))
-        symmetric = self.symmetric
+        every = None
+        for number, m in enumerate((self, *matrices)):
+            size = F.coalesce(F.length("d"), F.length("a") + F.length("b"))
+            most_bytes -= m.leaves.agg(F.sum(size)).first()[0] or 0
+            if most_bytes < 0:
+                raise NotImplementedError("more payload than a single task takes")
+            blocks = m.blocks.select("r", "c", "parent_r", "parent_c", "i", "j", "depth", "r_off", "r_n", "c_off", "c_n", F.col("kind").alias("b_kind"))
+            part = blocks.join(m.leaves.select("r", "c", "kind", "rank", "dtype", "a", "b", "d"), ["r", "c"], "left").withColumn("number", F.lit(number))
+            every = part if every is None else every.unionByName(part)
+        every = every.withColumn("one", F.lit(1))
 
         def grow(frame: pd.DataFrame) -> hmatrix.Block:
-            made = {}
+            made, root = {}, None
             for x in frame.sort_values("depth").itertuples():
                 b = hmatrix.Block(int(x.r_off), int(x.r_n), int(x.c_off), int(x.c_n))
+                b.name = (x.r, x.c)
                 if x.b_kind != "node":
                     v = payload(x)
-                    if isinstance(v, tuple):
-                        b.rk = v
-                    else:
-                        b.full = v
+                    b.rk, b.full = (v, None) if isinstance(v, tuple) else (None, v)
                 made[x.r, x.c] = b
-                if x.parent_r is not None:
+                if isinstance(x.parent_r, str):
                     up = made[x.parent_r, x.parent_c]
                     up.kids = up.kids or {}
                     up.kids[int(x.i), int(x.j)] = b
-            return made["r", "r"]
+                else:
+                    root = b
+            return root
+
+        def trees(frame: pd.DataFrame) -> list[hmatrix.Block]:
+            return [grow(part) for _, part in frame.groupby("number", sort=True)]
 
-        if others:
-            tagged = others[0].withColumn("one", F.lit(1))
-            return everything.groupBy("one").cogroup(tagged.groupBy("one")).applyInPandas(lambda m, o: work(grow(m), o, symmetric), schema)
-        return everything.groupBy("one").applyInPandas(lambda m: work(grow(m), None, symmetric), schema)
+        if rows is not None:
+            tagged = rows.withColumn("one", F.lit(1))
+            return every.groupBy("one").cogroup(tagged.groupBy("one")).applyInPandas(lambda m, o: work(trees(m), o), schema)
+        return every.groupBy("one").applyInPandas(lambda m: work(trees(m), None), schema)
+
+    def _from_tree(self, work: Callable, matrices: tuple[HMatrix, ...] = ()) -> HMatrix:
+        """The matrix whose leaves are those of the tree ``work(trees)``, which has this one's structure."""
+        dtype, eps = self.leaves.select("dtype", "eps").first() or ("D", 1e-12)
+
+        def run(trees: list[hmatrix.Block], _) -> pd.DataFrame:
+            out = []
+            for leaf in work(trees).leaves():
+                x = SimpleNamespace(dtype=dtype)
+                row = {"r": leaf.name[0], "c": leaf.name[1], "r_off": leaf.r0, "r_n": leaf.rn, "c_off": leaf.c0, "c_n": leaf.cn, "eps": eps, "dtype": dtype}
+                out.append(row | packed(x, leaf.rk if leaf.rk is not None else leaf.full))
+            return pd.DataFrame(out, columns=[n.split()[0] for n in LEAF.split(", ")])
+
+        return replace(self, leaves=settle(self.whole(run, LEAF, None, matrices)))
 
     def _right(self, x: DataFrame, perm: DataFrame) -> DataFrame:
         x = x if "im" in x.columns else x.withColumn("im", F.lit(0.0))
         return perm.select("pos", "dof").join(x, "dof").select("pos", "dof", "rhs", "re", "im")
 
+    def factorize(self, kind: str = "lu", eps: float = 1e-12) -> Factor:
+        """A kept factor: lu, llt, ldlt, hodlr or hodlrsym (real); see ``Factor``."""
+        from .factor import Factor
+
+        return Factor.of(self, kind, eps)
+
     def solve(self, b: DataFrame, kind: str = "lu", part: str = "both", eps: float = 1e-12) -> DataFrame:
-        """x with A x = b by a factorization: lu, llt, ldlt or hodlr; ``part`` lower or upper uses that factor alone (internal order matters)."""
-
-        def work(tree: hmatrix.Block, rhs: pd.DataFrame, symmetric: bool) -> pd.DataFrame:
-            rhs = rhs.sort_values(["rhs", "pos"])
-            n = tree.rn
-            m = rhs.re.to_numpy().reshape(-1, n).T + (1j * rhs.im.to_numpy().reshape(-1, n).T if (rhs.im != 0).any() else 0)
-            if kind == "hodlr":
-                x = hmatrix.Hodlr(tree).solve(m)
-            else:
-                factorise(tree, kind, eps)
-                x = hmatrix.solve(tree, kind, m, part)
-            flat = x.T.ravel()
-            return pd.DataFrame({"dof": rhs.dof, "rhs": rhs.rhs, "re": flat.real, "im": flat.imag if np.iscomplexobj(flat) else 0.0})
-
-        return self.whole(work, "dof long, rhs int, re double, im double", self._right(b, self.col_perm))
+        """x with A x = b through ``factorize``: once for this call; keep the factor to solve again."""
+        return self.factorize(kind, eps).solve(b, part)
 
     def log_determinant(self, kind: str = "lu", eps: float = 1e-12) -> DataFrame:
         """One row: logdet (of A) and factor_logdet (of the stored triangular factor alone)."""
+        return self.factorize(kind, eps).log_determinant()
 
-        def work(tree: hmatrix.Block, _, symmetric: bool) -> pd.DataFrame:
-            if kind == "hodlr":
-                value = hmatrix.Hodlr(tree).log
-            else:
-                factorise(tree, kind, eps)
-                value = hmatrix.log_determinant(tree, kind)
-            return pd.DataFrame({"logdet": [value], "factor_logdet": [value if kind == "lu" else value / 2]})
-
-        return self.whole(work, "logdet double, factor_logdet double")
-
-    def inverse_values(self, eps: float = 1e-12) -> DataFrame:
-        """(row_dof, col_dof, re) of A^-1; needs both halves."""
+    def inverse(self, eps: float = 1e-12) -> HMatrix:
+        """A^-1 in the structure of A; needs both halves."""
         if self.symmetric:
             raise ValueError("the inverse needs both halves of the matrix")
 
-        def work(tree: hmatrix.Block, perm: pd.DataFrame, symmetric: bool) -> pd.DataFrame:
-            hmatrix.inverse(tree, eps)
-            m = tree.dense()
-            dof = perm.sort_values("pos").dof.to_numpy()
-            return pd.DataFrame({"row_dof": np.repeat(dof, len(dof)), "col_dof": np.tile(dof, len(dof)), "re": m.real.ravel()})
-
-        return self.whole(work, "row_dof long, col_dof long, re double", self.row_perm.select("pos", "dof"))
-
-    def multiply(self, other: HMatrix, x: DataFrame, eps: float = 1e-12) -> DataFrame:
-        """(A B) x through the hierarchical product of two matrices over the same trees."""
-        mine = self.axpy(0, self)
-        both = other.leaves.select([F.col(n).alias(f"o_{n}") for n in ("r", "c", "kind", "rank", "dtype", "a", "b", "d")])
-        rhs = self._right(x, other.col_perm).withColumn("what", F.lit("x"))
-        extra = other.blocks.join(both, (F.col("r") == F.col("o_r")) & (F.col("c") == F.col("o_c")), "left").select(*[F.col(c).alias(c) for c in other.blocks.columns], *[F.col(f"o_{n}").alias(f"o_{n}") for n in ("kind", "rank", "dtype", "a", "b", "d")]).withColumn("what", F.lit("b"))
-        union = extra.unionByName(rhs, allowMissingColumns=True)
-
-        def work(tree: hmatrix.Block, rows: pd.DataFrame, symmetric: bool) -> pd.DataFrame:
-            b = rows[rows.what == "b"].sort_values("depth")
-            made = {}
-            for z in b.itertuples():
-                node = hmatrix.Block(int(z.r_off), int(z.r_n), int(z.c_off), int(z.c_n))
-                if z.kind != "node":
-                    v = payload(SimpleNamespace(**{"kind": z.o_kind, "rank": z.o_rank, "dtype": z.o_dtype, "a": z.o_a, "b": z.o_b, "d": z.o_d, "r_n": int(z.r_n), "c_n": int(z.c_n)}))
-                    node.rk, node.full = (v, None) if isinstance(v, tuple) else (None, v)
-                made[z.r, z.c] = node
-                if isinstance(z.parent_r, str):
-                    up = made[z.parent_r, z.parent_c]
-                    up.kids = up.kids or {}
-                    up.kids[int(z.i), int(z.j)] = node
-            right = made["r", "r"]
-            out = tree.copy()
-            for leaf in out.leaves():
-                if leaf.full is not None:
-                    leaf.full = 0 * leaf.full
-                else:
-                    leaf.rk = lowrank.zero_rk(leaf.rn, leaf.cn, leaf.kind())
-            hmatrix.gemm(1, tree, right, out, eps)
-            r = rows[rows.what == "x"].sort_values(["rhs", "pos"])
-            y = out.times(r.re.to_numpy().reshape(-1, right.cn).T).T.ravel()
-            return pd.DataFrame({"dof": r.dof.astype("int64"), "rhs": r.rhs.astype("int32"), "re": y.real})
+        def work(trees: list[hmatrix.Block]) -> hmatrix.Block:
+            hmatrix.inverse(trees[0], eps)
+            return trees[0]
+
+        return self._from_tree(work)
+
+    def multiply(self, other: HMatrix, alpha: complex = 1, beta: complex = 0, into: HMatrix | None = None, op: tuple[str, str] = ("N", "N"), eps: float = 1e-12) -> HMatrix:
+        """alpha op(A) op(B) + beta C as a matrix in the structure of C (default: that of A, with beta 0); op is N, T or C.
+
+        Where the trees of the three do not fit each other, blocks are multiplied densely.  Symmetric A and B take part as a whole; C may be a lower half.
+        """
+        symmetric, target = (self.symmetric, other.symmetric), self if into is None else into
+
+        def work(trees: list[hmatrix.Block]) -> hmatrix.Block:
+            c, a, b = trees
+            a, b = (hmatrix.mirrored(x) if s else x for x, s in zip((a, b), symmetric, strict=True))
+            a, b = (x if o == "N" else x.transposed() for x, o in zip((a, b), op, strict=True))
+            for x in {id(x): x for x, o in zip((a, b), op, strict=True) if o == "C"}.values():
+                for leaf in x.leaves():
+                    leaf.full, leaf.rk = (None if leaf.full is None else leaf.full.conj()), (None if leaf.rk is None else (leaf.rk[0].conj(), leaf.rk[1].conj()))
+            out = hmatrix.zeroed(c) if beta == 0 else c
+            if beta not in (0, 1):
+                hmatrix.scaled(out, beta)
+            hmatrix.gemm(alpha, a, b, out, eps)
+            return out
+
+        return target._from_tree(work, (self, other))
+
+    def multiply_with_diagonal(self, d: DataFrame, side: str = "R", inverse: bool = False) -> HMatrix:
+        """A D or D A (or with D^-1) for a diagonal given as (dof, re); one join of leaves with their piece of it."""
+        perm, name = (self.col_perm, "c") if side == "R" else (self.row_perm, "r")
+        pieces = self._segments_of(d.withColumn("rhs", F.lit(0)), perm, self.leaves.select(F.col(name).alias("path")), name)
+        names = [x.split()[0] for x in LEAF.split(", ")]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for x in frame.itertuples():
+                    v, s = payload(x), np.asarray(x.x_re, float)
+                    s = 1 / s if inverse else s
+                    if isinstance(v, tuple):
+                        v = (v[0], v[1] * s[:, None]) if side == "R" else (v[0] * s[:, None], v[1])
+                    else:
+                        v = v * (s if side == "R" else s[:, None])
+                    out.append({n: getattr(x, n) for n in names} | packed(x, v))
+                yield pd.DataFrame(out, columns=names)
+
+        return replace(self, leaves=self.leaves.join(pieces, name).mapInPandas(run, LEAF))
 
-        return mine.whole(work, "dof long, rhs int, re double", union)
+    def subtract_mdmt(self, m: HMatrix, d: DataFrame, n: HMatrix | None = None, eps: float = 1e-12) -> HMatrix:
+        """self - M D N^T (N: M), D given as (dof, re)."""
+        return m.multiply_with_diagonal(d).multiply(m if n is None else n, -1, 1, self, ("N", "T"), eps)
 
     def largest_eigenvalue(self, rounds: int = 20, seed: int = 0) -> float:
         """Power iteration with one distributed product per round."""
@@ -508,10 +667,6 @@ class HMatrix:
         return value
 
 
-def factorise(tree: hmatrix.Block, kind: str, eps: float) -> None:
-    {"lu": hmatrix.factor_lu, "llt": hmatrix.factor_llt, "ldlt": hmatrix.factor_ldlt}[kind](tree, eps)
-
-
 def _window(*names: str):
     from pyspark.sql import Window
 

@@ -37,10 +37,10 @@ def _blocks_standard() -> str:
     from t, s where {low} or (rn <= 12 and cn <= 12) or rn < 2 or cn < 2"""
 
 
-def _blocks_hodlr(which: str = "true") -> str:
-    tree = _tree(2, 12)
+def _blocks_hodlr(which: str = "true", leaf: int = 12) -> str:
+    tree = _tree(2, leaf)
     return tree + f"""select a.off as r_off, a.n as r_n, c.off as c_off, c.n as c_n, case when a.path = c.path then 'full' else 'rk' end as kind
-    from t a, t c where ((a.path = c.path and a.n <= 12) or (a.path <> c.path and left(a.path, -1) = left(c.path, -1))) and ({which})"""
+    from t a, t c where ((a.path = c.path and a.n <= {leaf}) or (a.path <> c.path and left(a.path, -1) = left(c.path, -1))) and ({which})"""
 
 
 RHS = f"with {SUP}, {BASE} select dof, round(v, 6) + 0.0 as y from b"
@@ -64,19 +64,21 @@ def oracle_sql() -> dict[str, str]:
         "cluster_median_k3": _tree(3, 12) + " select path, off, n, n <= 12 as is_leaf from t",
         "cluster_median_distributed": cus_tree + " select path, off, n, n <= 100 as is_leaf from t",
         "cluster_perm": f"with {SUP} select row_number() over (order by x, dof) - 1 as pos, dof from p",
-        "cluster_geometric": f"with {SUP}, m as (select (min(x) + max(x)) / 2 as m, min(x) as lo, max(x) as hi from p), c as (select count(*) filter (x < lo + 0.5 * (hi - lo)) as a, count(*) as n from p, m) select 'r0' as path, 0 as off, a as n from c union all select 'r1', a, n - a from c",
-        "cluster_octree": "with p as (select n_nationkey as x, n_regionkey as y from nation), m as (select (min(x) + max(x)) / 2.0 as mx, (min(y) + max(y)) / 2.0 as my from p), q as (select cast(x >= mx as int) + 2 * cast(y >= my as int) as d, count(*) as n from p, m group by 1) select cast(coalesce(sum(n) over (order by d rows between unbounded preceding and 1 preceding), 0) as bigint) as off, n from q",
-        "cluster_hybrid": f"with {SUP} select count(*) as points, true as small from p",
+        "cluster_geometric": f"with {SUP}, a as (select x, x >= (select (min(x) + max(x)) / 2 from p) as d from p), m as (select d, (min(x) + max(x)) / 2 as m from a group by d), c as (select cast(a.d as int) || cast(cast(x >= m as int) as varchar) as k, count(*) as n from a join m on a.d = m.d group by 1) select 'r' || k as path, cast(coalesce(sum(n) over (order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as off, n from c",
+        "cluster_octree": "with p as (select p_retailprice as x, cast(p_size as double) as y from part), b as (select (min(x) + max(x)) / 2 as mx, (min(y) + max(y)) / 2 as my, greatest(max(x) - min(x), max(y) - min(y)) / 4 as q from p), a as (select x >= mx as dx, y >= my as dy, x >= mx + (case when x >= mx then q else -q end) as ex, y >= my + (case when y >= my then q else -q end) as ey from p, b), c as (select 1000 * cast(dx as int) + 2000 * cast(dy as int) + cast(ex as int) + 2 * cast(ey as int) as k, count(*) as n from a group by 1) select cast(coalesce(sum(n) over (order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as off, n from c",
+        "cluster_hybrid": f"with {SUP}, o as (select x, row_number() over (order by x, dof) - 1 as k, count(*) over () as n from p), h as (select greatest(max(x) filter (k < n // 2) - min(x), max(x) - min(x) filter (k >= n // 2)) > 0.8 * (max(x) - min(x)) as geo, (min(x) + max(x)) / 2 as mid, any_value(n) as n from o), c as (select case when geo then (select count(*) from o where x < mid) else n // 2 end as a, n from h) select 'r0' as path, 0 as off, a as n from c union all select 'r1', a, n - a from c",
+        "cluster_void": f"with recursive {SUP}, k as (select unnest([0, 1]) as k), t(path, off, n, depth) as (select 'r', cast(0 as bigint), (select count(*) from p), 0 union all select path || k, case when depth % 2 = 1 then off + k * n else off + n * k // 2 end, case when depth % 2 = 1 then n * (1 - k) else n * (k + 1) // 2 - n * k // 2 end, depth + 1 from t, k where n > 12) select path, off, n from t",
+        "cluster_shuffle": f"with recursive {CUS}, k as (select unnest(range(0, 4)) as k), t(path, off, n, depth) as (select 'r', cast(0 as bigint), (select count(*) from p), 0 union all select path || k, off + n * k // (2 + depth % 3), n * (k + 1) // (2 + depth % 3) - n * k // (2 + depth % 3), depth + 1 from t, k where n > 100 and k < 2 + depth % 3) select path, off, n from t",
         "cluster_ntiles": f"with {SUP}, n as (select count(*) as n from p), k as (select unnest(range(0, (n + 15) // 16)) as k, n from n) select 16 * k as off, least(16, n - 16 * k) as n from k",
         "gemv_embeddings": "with p as (select vec_id as dof, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings), u as (select unnest(range(1, 65)) as k), f as (select dof, k, x[k] as v from p, u), c as (select k, avg(v) as m, max(v) - min(v) as e from f group by 1), l as (select 0.1 * max(e) as l from c), b as (select dof, exp(-sqrt(sum((v - m) ** 2)) / any_value(l)) as w from f join c using (k), l group by 1), z as (select k, sum(v * w) as z from f join b using (dof) group by 1) select dof, round(sum(v * z), 5) + 0.0 as y from f join z using (k) group by 1",
-        "cluster_span": "select 0 as off, count(distinct o_custkey) as n from orders",
+        "cluster_span": "with p as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders group by o_custkey), e as (select 0.8 * (max(hi) - min(lo)) as e from p), c as (select count(*) filter (hi - lo > e) as w, count(*) as n from p, e), h as (select case when w = n then 0 else w end as w, n from c) select 'r0' as path, 0 as off, (n - w) // 2 as n from h union all select 'r1', (n - w) // 2, n - w - (n - w) // 2 from h union all select 'r2', n - w, w from h where w > 0",
         "cluster_grouped": "select s_nationkey, cast(1 as bigint) as leaves from supplier group by 1",
         "cluster_boxes": "select min(p_retailprice) as x0, max(p_retailprice) as x1, cast(min(p_size) as double) as y0, cast(max(p_size) as double) as y1, count(*) as n from part",
         "perm_roundtrip": f"with {SUP}, {BASE} select dof, round(v, 9) + 0.0 as y from b",
         "blocks_hodlr": _blocks_hodlr(),
         "blocks_standard": _blocks_standard(),
         "blocks_lower_symmetric": _blocks_hodlr("a.off >= c.off"),
-        "blocks_always": f"with {SUP} select 0 as r_off, count(*) as r_n, 0 as c_off, count(*) as c_n, 'rk' as kind from p",
+        "blocks_always": f"with recursive {SUP}, t(ro, rn, co, cn) as (select cast(0 as bigint), (select count(*) from p), cast(0 as bigint), (select count(*) from p) union all select ro + rn * i // 2, rn * (i + 1) // 2 - rn * i // 2, co + cn * j // 2, cn * (j + 1) // 2 - cn * j // 2 from t, (values (0), (1)) as a(i), (values (0), (1)) as c(j) where rn * cn > 1000 and rn > 12 and cn > 12) select ro as r_off, rn as r_n, co as c_off, cn as c_n, 'rk' as kind from t where rn * cn <= 1000",
         "blocks_never": f"with {SUP} select cast(count(*) * count(*) as bigint) as cells, true as small, cast(0 as bigint) as rk from p",
         "matrix_info": _info(),
         "matrix_profile": f"with h as ({_blocks_hodlr()}) select kind, count(*) as blocks from h group by 1",
@@ -94,16 +96,34 @@ def oracle_sql() -> dict[str, str]:
         "norm_fro": f"with {SUP}, {BASE} select round(sqrt(sum({E} * {E})), 6) + 0.0 as norm from b i, b j, l",
         "diagonal": f"with {SUP} select dof, 1.5 as y from p",
         "eval_dense": f"with {SUP}, {BASE} select i.dof as row_dof, j.dof as col_dof, round({E}, 6) + 0.0 as v from b i, b j, l",
-        "get_values": f"with {SUP}, {BASE} select i.dof as row_dof, j.dof as col_dof, round({E}, 6) + 0.0 as v from b i, b j, l where i.dof % 7 = 0 and j.dof % 5 = 0",
+        "get_values": f"with {SUP}, {BASE} select i.dof as row_dof, j.dof as col_dof, round({E}, 6) + 0.0 as v from b i, b j, l where j.dof in (select n_nationkey from nation)",
         "get_block": sorted_values + f" select i.k as row_pos, j.k as col_pos, round({E}, 6) + 0.0 as v from o i, o j, l where i.k between 3 and 6 and j.k between 1 and 6",
         "scale": _dense(outer="-2.5 * {s}"),
         "axpy": _dense(f"(4 * {E} + 1.5 * exp(-abs(i.x - j.x) / (2 * l)))"),
         "add_identity": _dense(outer="{s} + 0.75 * i.v"),
-        "transpose": gemv,
+        "transpose": _dense(outer="i.v * {s}"),
         "truncate": _dense(f"({E} + 0.5 * exp(-abs(i.x - j.x) / (2 * l)))"),
         "coarsen": gemv,
         "copy_struct": f"with {SUP} select dof, 0.0 as y from p",
         "gemm_hh": f"with {SUP}, {BASE}, y as (select i.dof, i.x, sum({E} * j.v) as v from b i, b j, l group by 1, 2) select i.dof, round(sum({E} * j.v), 5) + 0.0 as y from y i, y j, l group by 1",
+        "gemm_into": f"with {SUP}, {BASE}, y as (select i.dof, i.x, sum({E} * j.v) as v from b i, b j, l group by 1, 2) select i.dof, round(2 * sum({E} * j.v) - any_value(i.v), 5) + 0.0 as y from y i, y j, l group by 1",
+        "diagonal_blocks": f"with {SUP}, {BASE}, o as (select x, row_number() over (order by x, dof) - 1 as k from p) select i.k // 7 as block, cast(i.k % 7 as int) as i, cast(j.k % 7 as int) as j, round({E}, 6) + 0.0 as v from o i, o j, l where i.k // 7 = j.k // 7",
+        "child_gemv": f"with {SUP}, {BASE}, o as (select dof, x, v, row_number() over (order by x, dof) - 1 as k, count(*) over () as n from b) select i.dof, round(sum({E} * j.v), 6) + 0.0 as y from o i, o j, l where i.k < i.n // 2 and j.k < j.n // 2 group by 1",
+        "multiply_diagonal": _dense(weight="j.v * j.v"),
+        "subtract_mdmt": f"with {SUP}, {BASE}, y as (select i.dof, i.x, i.v as b, sum({E} * j.v) as v from b i, b j, l group by 1, 2, 3) select i.dof, round(any_value(i.v) - sum({E} * j.b * j.v), 4) + 0.0 as y from y i, y j, l group by 1",
+        "matrix_checks": f"with h as ({_blocks_hodlr()}) select cast(sum(case when kind = 'rk' then r_n + c_n else r_n * c_n end) as bigint) as stored, cast(0 as bigint) as not_finite, false as all_zero from h",
+        "compression_errors": f"with h as ({_blocks_standard()}) select count(*) as blocks, cast(0 as bigint) as beyond from h where kind = 'rk'",
+        "axpy_other_tree": _dense(outer="4 * {s}"),
+        "gemv_conjugate": f"with {SUP}, {BASE} select i.dof, round(-sum(sin((abs(i.x - j.x) + 1e-10) / l) / (4 * pi() * (abs(i.x - j.x) + 1e-10)) * j.v) * 1000, 1) + 0.0 as im from b i, b j, l where i.dof <> j.dof group by 1",
+        "hodlrsym_solve": RHS,
+        "hodlrsym_times": gemv,
+        "llt_times": gemv,
+        "factor_reuse": f"with {SUP}, {BASE} select dof, k as rhs, round((k + 1) * v, 6) + 0.0 as y from b, (values (0), (1)) as r(k)",
+        "solve_transposed": RHS,
+        "trsm_llt": RHS,
+        "trsm_lu_right": RHS,
+        "logdet_hodlrsym": LOGDET,
+        "inverse_gemv": RHS.replace(", 6)", ", 5)"),
         "lu_solve": RHS,
         "llt_solve": RHS,
         "ldlt_solve": RHS,
@@ -121,4 +141,6 @@ def oracle_sql() -> dict[str, str]:
         "power_iteration": "select true as between_diagonal_and_norm",
         "cylinder_points": "with s as (select 1.75 * pi() / sqrt(500) as step), t as (select step, floor(2 * pi() / step) as turn from s), p as (select unnest(range(0, 500)) as dof) select dof, round(cos(dof * (2 * pi() / turn)), 6) + 0.0 as x, round(sin(dof * (2 * pi() / turn)), 6) + 0.0 as y, round(dof * (step / turn), 6) + 0.0 as z from p, t",
     }
-    return out | {f"rank_{m}": rank for m in ("svd", "aca_full", "aca_partial", "aca_plus", "aca_random", "rrqr")}
+    two = f"with h as ({_blocks_hodlr(leaf=30)}) select 2 as rank, count(*) as blocks from h where kind = 'rk'"
+    methods = ("svd", "aca_full", "aca_partial", "aca_plus", "aca_random", "rrqr")
+    return out | {f"rank_{m}": rank for m in methods} | {f"rank_two_{m}": two for m in methods}

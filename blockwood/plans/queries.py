@@ -11,6 +11,7 @@ from ..frames import shared_dir
 from ..functions.kernels import Kernel
 from ..operators.blocks import Admissibility
 from ..operators.cluster import Clustering, build_tree
+from ..operators.factor import Factor
 from ..operators.matrix import HMatrix, reordered, restored
 from ..sources import points as P
 from ..sources import storage
@@ -53,6 +54,8 @@ def _setting(spark: SparkSession, d: str, what: str = "sup", leaf: int = 12, adm
         more = (Kernel("exp", 2 * length, scale=0.5),) if strata else ()
         k = Kernel(kernel, length, wave=1 / length, nugget=nugget, strata=more)
         m = HMatrix.build(cloud, k, clustering=Clustering("median", max_leaf=leaf), admissibility=admissibility, symmetric=symmetric, method=method, eps=eps, scalar="Z" if kernel == "helmholtz" else "D")
+        while len(_KEPT) >= 16:  # the oldest goes
+            _KEPT.pop(next(iter(_KEPT)))
         _KEPT[key] = (m, P.right_hand_side(cloud, length))
     return _KEPT[key]
 
@@ -88,18 +91,18 @@ def cluster_perm(spark, d):
 
 
 def cluster_geometric(spark, d):
-    nodes, _ = build_tree(suppliers(spark, d), Clustering("geometric", max_leaf=1, max_depth=1))
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("geometric", max_leaf=1, max_depth=2))
     return nodes.where("is_leaf").select("path", "off", "n")
 
 
 def cluster_octree(spark, d):
-    nodes, perm = build_tree(nations(spark, d), Clustering("octree", max_depth=1))
+    nodes, _ = build_tree(parts(spark, d), Clustering("octree", max_depth=2))
     return nodes.where("is_leaf").select("off", "n")
 
 
 def cluster_hybrid(spark, d):
-    nodes, _ = build_tree(suppliers(spark, d), Clustering("hybrid", max_leaf=12))
-    return nodes.where("is_leaf").agg(F.sum("n").alias("points"), (F.max("n") <= 12).alias("small"))
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("hybrid", max_leaf=1, max_depth=1))
+    return nodes.where("is_leaf").select("path", "off", "n")
 
 
 def cluster_ntiles(spark, d):
@@ -108,14 +111,25 @@ def cluster_ntiles(spark, d):
 
 
 def cluster_span(spark, d):
+    """Customers as the spans of their orders: wide ones apart, the others by median."""
     spans = P.spans(_table(spark, d, "orders"), "o_custkey", ["o_totalprice"])
-    nodes, _ = build_tree(spans, Clustering("span", ratio=0.5, max_leaf=100_000_000, inner=Clustering("median")))
-    return nodes.where("path = 'r'").select("off", "n")
+    nodes, _ = build_tree(spans, Clustering("span", ratio=0.8, max_leaf=1, max_depth=1, inner=Clustering("median")))
+    return nodes.where("is_leaf").select("path", "off", "n")
+
+
+def cluster_void(spark, d):
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("void", max_leaf=12))
+    return nodes.select("path", "off", "n")
+
+
+def cluster_shuffle(spark, d):
+    nodes, _ = build_tree(customers(spark, d), Clustering("shuffle", max_leaf=100), task_points=400)
+    return nodes.select("path", "off", "n")
 
 
 def cluster_grouped(spark, d):
     cloud = P.points(_table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"], group="s_nationkey")
-    nodes, perm = build_tree(cloud, Clustering("median", max_leaf=12))
+    nodes, perm = build_tree(cloud, Clustering("median", max_leaf=12), task_points=40)
     inside = perm.join(_table(spark, d, "supplier").select(F.col("s_suppkey").alias("dof"), "s_nationkey"), "dof")
     return inside.groupBy("s_nationkey").agg(F.countDistinct("leaf").alias("leaves"))
 
@@ -148,7 +162,7 @@ def blocks_lower_symmetric(spark, d):
 
 
 def blocks_always(spark, d):
-    m, _ = _setting(spark, d, admissibility=Admissibility("always", max_block=1 << 20))
+    m, _ = _setting(spark, d, admissibility=Admissibility("always", max_block=1000))
     return _blocks(m)
 
 
@@ -171,7 +185,7 @@ def json_dump(spark, d):
 
 
 def gemv_n(spark, d):
-    m, b = _setting(spark, d, leaf=2 if d.endswith("sf0.001") else 12)
+    m, b = _setting(spark, d, leaf=4)
     return _y(m.gemv(b))
 
 
@@ -241,8 +255,47 @@ def eval_dense(spark, d):
 
 
 def get_values(spark, d):
-    v = _setting(spark, d, admissibility=STANDARD, symmetric=True)[0].values()
-    return v.where("row_dof % 7 = 0 and col_dof % 5 = 0").select("row_dof", "col_dof", (F.round("re", 6) + 0.0).alias("v"))
+    """All suppliers against those whose id is a nation's."""
+    m, _ = _setting(spark, d, admissibility=STANDARD, symmetric=True)
+    ids = lambda t, c: _table(spark, d, t).select(F.col(c).cast("long").alias("dof"))
+    return m.get_values(ids("supplier", "s_suppkey"), ids("nation", "n_nationkey")).select("row_dof", "col_dof", (F.round("re", 6) + 0.0).alias("v"))
+
+
+def diagonal_blocks(spark, d):
+    e = _setting(spark, d, admissibility=STANDARD, symmetric=True)[0].diagonal_blocks(7)
+    return e.select("block", "i", "j", (F.round("re", 6) + 0.0).alias("v"))
+
+
+def child_gemv(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.child(0, 0).gemv(b))
+
+
+def multiply_diagonal(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.multiply_with_diagonal(b).gemv(b))
+
+
+def subtract_mdmt(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.subtract_mdmt(m, b).gemv(b), 4)
+
+
+def matrix_checks(spark, d):
+    return _setting(spark, d)[0].checks().select("stored", "not_finite", "all_zero")
+
+
+def compression_errors(spark, d):
+    from ..sources.points import correlation_length
+
+    m, _ = _setting(spark, d, "sup", admissibility=STANDARD, method="aca_plus", eps=1e-8)
+    errors = m.validated(Kernel("exp", correlation_length(suppliers(spark, d)), wave=1 / correlation_length(suppliers(spark, d))))
+    return errors.agg(F.count(F.lit(1)).alias("blocks"), F.sum((F.col("error") > 1e-7 * F.col("norm")).cast("long")).alias("beyond"))
+
+
+def axpy_other_tree(spark, d):
+    m, b = _setting(spark, d)
+    return _y(m.axpy(3.0, _setting(spark, d, admissibility=STANDARD, symmetric=True)[0]).gemv(b))
 
 
 def get_block(spark, d):
@@ -266,8 +319,15 @@ def add_identity(spark, d):
 
 
 def transpose(spark, d):
+    """(K D)^T b, so that it matters."""
     m, b = _setting(spark, d, admissibility=STANDARD)
-    return _y(m.transpose().transpose().gemv(b))
+    return _y(m.multiply_with_diagonal(b).transpose().gemv(b))
+
+
+def gemv_conjugate(spark, d):
+    m, b = _setting(spark, d, kernel="helmholtz", admissibility=STANDARD)
+    out = m.gemv(b, op="C").join(m.diagonal().select("dof", F.col("im").alias("d_im")), "dof").join(b.select("dof", F.col("re").alias("x")), "dof")
+    return out.select("dof", (F.round((F.col("im") + F.col("d_im") * F.col("x")) * 1000, 1) + 0.0).alias("im"))
 
 
 def truncate(spark, d):
@@ -287,7 +347,13 @@ def copy_struct(spark, d):
 
 def gemm_hh(spark, d):
     m, b = _setting(spark, d)
-    return _y(m.multiply(m, b), 5)
+    return _y(m.multiply(m).gemv(b), 5)
+
+
+def gemm_into(spark, d):
+    """2 A B - C with A, C of one block tree and B, a stored lower half, of another."""
+    m, b = _setting(spark, d)
+    return _y(m.multiply(_setting(spark, d, admissibility=STANDARD, symmetric=True)[0], 2.0, -1.0, m).gemv(b), 5)
 
 
 def _residual(spark, d, kind, **more):
@@ -311,6 +377,54 @@ def hodlr_solve(spark, d):
     return _residual(spark, d, "hodlr", symmetric=True)
 
 
+def hodlrsym_solve(spark, d):
+    return _residual(spark, d, "hodlrsym", symmetric=True)
+
+
+def hodlrsym_times(spark, d):
+    m, b = _setting(spark, d, symmetric=True)
+    return _y(m.factorize("hodlrsym").times(b))
+
+
+def llt_times(spark, d):
+    m, b = _setting(spark, d, symmetric=True)
+    return _y(m.factorize("llt").times(b))
+
+
+def factor_reuse(spark, d):
+    """One kept factor solves twice, the second time after it was saved and loaded."""
+    import uuid
+
+    m, b = _setting(spark, d, admissibility=STANDARD)
+    f = m.factorize("lu")
+    path = f"{shared_dir(spark).rstrip('/')}/factor-{uuid.uuid4().hex}"
+    f.save(path)
+    twice = b.select("dof", F.lit(1).alias("rhs"), (2 * F.col("re")).alias("re"))
+    x = f.solve(b).unionByName(Factor.load(spark, path).solve(twice))
+    return m.gemv(x.select("dof", "rhs", "re")).select("dof", "rhs", (F.round("re", 6) + 0.0).alias("y"))
+
+
+def solve_transposed(spark, d):
+    """(K D)^T x = b with the factor of K D."""
+    m, b = _setting(spark, d)
+    a = m.multiply_with_diagonal(b.withColumn("re", 1 + F.col("re")))
+    return _y(a.gemv(a.factorize("lu").solve(b, op="T").select("dof", "rhs", "re"), op="T"))
+
+
+def trsm_llt(spark, d):
+    """L^-T (L^-1 b)."""
+    m, b = _setting(spark, d, symmetric=True)
+    f = m.factorize("llt")
+    return _y(m.gemv(f.trsm(f.trsm(b), trans="T").select("dof", "rhs", "re")))
+
+
+def trsm_lu_right(spark, d):
+    """(b U^-1) L^-1, the rows solved from the right."""
+    m, b = _setting(spark, d)
+    f = m.factorize("lu")
+    return _y(m.gemv(f.trsm(f.trsm(b, side="R", uplo="U"), side="R").select("dof", "rhs", "re"), op="T"))
+
+
 def solve_customers_nugget(spark, d):
     return _residual(spark, d, "hodlr", what="cus", leaf=200, method="aca_plus", symmetric=True, nugget=1.0, eps=1e-13)
 
@@ -341,9 +455,18 @@ def logdet_hodlr(spark, d):
     return _logdet(spark, d, "hodlr", symmetric=True)
 
 
+def logdet_hodlrsym(spark, d):
+    return _logdet(spark, d, "hodlrsym", symmetric=True)
+
+
 def inverse_diagonal(spark, d):
-    inv = _setting(spark, d)[0].inverse_values()
-    return inv.where("row_dof = col_dof").select(F.col("row_dof").alias("dof"), (F.round("re", 3) + 0.0).alias("y"))
+    return _y(_setting(spark, d)[0].inverse().diagonal(), 3)
+
+
+def inverse_gemv(spark, d):
+    """A^-1 (A b)."""
+    m, b = _setting(spark, d, admissibility=STANDARD)
+    return _y(m.inverse().gemv(m.gemv(b).select("dof", "rhs", "re")), 5)
 
 
 def _rank(method: str):
@@ -355,6 +478,26 @@ def _rank(method: str):
     return run
 
 
+def _rank_two(method: str):
+    """Ranks of a user's kernel, the sum of two exponentials: 2 off the diagonal."""
+
+    def run(spark, d):
+        cloud = suppliers(spark, d)
+        length = P.correlation_length(cloud)
+
+        def both(p, q, rows, cols):
+            import numpy as np
+
+            r = np.abs(p[:, None, 0] - q[None, :, 0])
+            return np.exp(-r / length) + 0.5 * np.exp(-r / (2 * length))
+
+        m = HMatrix.build(cloud, Kernel("user", user=both), clustering=Clustering("median", max_leaf=30), admissibility=Admissibility("hodlr"), method=method, eps=1e-9)
+        return m.leaves.where("kind = 'rk'").groupBy("rank").agg(F.count(F.lit(1)).alias("blocks"))
+
+    run.__name__ = f"rank_two_{method}"
+    return run
+
+
 def rank_gram_embeddings(spark, d):
     m, _ = _setting(spark, d, "emb", leaf=100, kernel="gram", method="rrqr", eps=1e-9)
     return m.leaves.where("kind = 'rk'").agg(F.max("rank").alias("rank"))
@@ -394,6 +537,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         json_dump, gemv_n, gemv_t, gemv_symmetric, gemv_alpha_beta, gemv_multi_rhs, gemm_dense_right, gemv_complex, gemv_strata, gemv_customers, gemv_parts,
         gemv_embeddings, norm_fro, diagonal, eval_dense, get_values, get_block, scale, axpy, add_identity, transpose, truncate, coarsen, copy_struct, gemm_hh,
         lu_solve, llt_solve, ldlt_solve, hodlr_solve, solve_customers_nugget, chol_lower_1d, logdet_lu, logdet_llt, logdet_ldlt, logdet_hodlr, inverse_diagonal,
-        *[_rank(m) for m in METHODS], rank_gram_embeddings, quantised_gemv, io_roundtrip, power_iteration, cylinder_points,
+        *[_rank(m) for m in METHODS], *[_rank_two(m) for m in METHODS], cluster_void, cluster_shuffle, diagonal_blocks, child_gemv, multiply_diagonal, subtract_mdmt, matrix_checks,
+        compression_errors, axpy_other_tree, gemv_conjugate, gemm_into, hodlrsym_solve, hodlrsym_times, llt_times, factor_reuse, solve_transposed, trsm_llt, trsm_lu_right, logdet_hodlrsym, inverse_gemv, rank_gram_embeddings, quantised_gemv, io_roundtrip, power_iteration, cylinder_points,
     )
     return {f.__name__: f for f in found}
