@@ -1,14 +1,15 @@
-"""Katz back-off bigram model: Good-Turing discounts and exactly normalised back-off weights.
+"""Katz back-off model of any order: Good-Turing discounts and exactly normalised back-off weights.
 
 Texts are tokenised once into batches of word numbers.  Counts and weights live in
-tables partitioned by hash: a batch sends each part the distinct words (or word pairs, or
+tables partitioned by hash: a batch sends each part the distinct words (or n-grams, or
 histories) it holds, with their training counts; the part adds up all batches, and sends each batch
-the totals of what it asked for.  Words and pairs are known by 64-bit hashes.
+the totals of what it asked for.  Words and n-grams are known by 64-bit hashes.
 
 P(w) = d(c) c / N for known words, and what the discounts leave for the unknown word.
-P(w | h) = d(c) c(h, w) / c(h) for pairs seen in training; else a(h) P(w), with
-a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of P(w) over the same words).  After a
-history without training (unknown words) P(w | h) = P(w).  For every history the probabilities of
+P(w | h) = d(c) c(h, w) / c(h) for n-grams seen in training; else a(h) P(w | h'), where h' is h without its
+first word and a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of P(w | h') over the same words).  After a
+history without training P(w | h) = P(w | h').  So a token is scored from the word alone upwards, one level for
+each further word of its history.  For every history the probabilities of
 all known words, the end and the unknown word sum to 1.
 """
 
@@ -140,23 +141,26 @@ class Batch:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.code[self.train], minlength=len(self.words))
 
-    def history(self) -> np.ndarray:
-        """Code of the token before each token; len(words) at the begin of a text."""
-        out = np.r_[0, self.code[:-1]]
-        out[self.begin] = len(self.words)
-        return out
+    def grams(self, below: Grams) -> Grams:
+        """The n-grams one word longer than those ``below``: at each token the gram before it, and its word."""
+        before = np.r_[0, below.number[:-1]]
+        before[self.begin] = len(below.hashes)  # the begin of the text
+        joint, first, number = np.unique(before << 32 | self.code, return_index=True, return_inverse=True)
+        history = joint >> 32
+        hashes = mixed(mixed(np.r_[below.hashes, BEGIN][history] * _MIX) + self.words[joint & 0xFFFFFFFF])
+        return Grams(number, hashes, np.bincount(number[self.train], minlength=len(joint)), history, below.number[first])
 
-    def history_words(self) -> np.ndarray:
-        return np.r_[self.words, BEGIN]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (history code, word code) pairs, their number for each token, and their training counts."""
-        joint = self.history() << 32 | self.code
-        distinct, number = np.unique(joint, return_inverse=True)
-        return distinct, number, np.bincount(number[self.train], minlength=len(distinct))
+@dataclass(frozen=True)
+class Grams:
+    """Distinct n-grams of a batch: each token's number among them, hashes, training counts here, and each one's
+    history and shorter gram (without its first word) among the grams one word shorter; the history after those is the begin of a text."""
 
-    def pair_hashes(self, distinct: np.ndarray) -> np.ndarray:
-        return mixed(mixed(self.history_words()[distinct >> 32] * _MIX) + self.words[distinct & 0xFFFFFFFF])
+    number: np.ndarray
+    hashes: np.ndarray
+    train: np.ndarray
+    history: np.ndarray
+    shorter: np.ndarray
 
 
 def _requests(uid: int, hashes: np.ndarray, values: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
@@ -289,6 +293,7 @@ def katz_scores(
     text: str = "text",
     folds: int = 7,
     held: int = 2,
+    order: int = 2,
     discounted: int = 5,
     batch_bytes: int | None = None,
     parts: int | None = None,
@@ -299,6 +304,7 @@ def katz_scores(
     alone.  Learns from rows whose crc32(key as text) mod ``folds`` is not ``held`` (null
     keys learn).  ``base_score`` is the add-one unigram model's.  Repeated rows count each time.
     Without training rows every probability goes to the unknown word.  An empty table gives no rows.
+    ``order`` is the number of words of the longest n-grams (1: words alone).
 
     A batch holds ``batch_bytes`` of text (default: 8 MiB, from 1 TiB of text on growing with its square root, to 32 MiB),
     and there is a part for each 16 MiB of text unless ``parts`` is given.  A batch writes to a part only if it
@@ -336,63 +342,78 @@ def katz_scores(
             counts[place] = unpacked_counts(answer)
         return counts
 
-    def askable(b: Batch, counts: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-        """Pairs that can have been seen in training."""
-        of = np.r_[counts, 1]
-        return np.flatnonzero((of[distinct >> 32] > 0) & (counts[distinct & 0xFFFFFFFF] > 0))
-
-    def ask_pairs(b: Batch, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        counts = known(b, got)
-        distinct, _, train = b.pairs()
-        some = askable(b, counts, distinct)
-        yield pa.RecordBatch.from_pylist([], pa.schema([("uid", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
-        yield from _requests(b.uid, b.pair_hashes(distinct[some]), [train[some]], parts)
-
-    two = settle(_per_batch(batches, [one], ask_pairs, _IN).groupBy("part").applyInArrow(_count_pairs(discounted), _OUT))
-    of_pairs = _total(two)
-    bi = GoodTuring.fit({r: of_pairs.get(str(r), 0.0) for r in range(1, discounted + 2)}, discounted)
     n_texts = batches_texts(batches)
+    empty = pa.schema([("uid", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+    discounts = [uni]
+    exchanges = [one]
 
-    def seen_pairs(b: Batch, counts: np.ndarray, got: dict[int, bytes]):
-        distinct, number, _ = b.pairs()
-        some = askable(b, counts, distinct)
-        answer = np.zeros(len(distinct), np.int64)
-        for place, reply in _answers(b.pair_hashes(distinct[some]), parts, got):
-            answer[some[place]] = unpacked_counts(reply)
-        return distinct, number, answer >> 1, (answer & 1).astype(bool)
-
-    def history_counts(counts: np.ndarray) -> np.ndarray:
-        """Training counts as a history: the end never is one, the begin is one for each text."""
-        return np.r_[counts, n_texts]
-
-    def ask_histories(b: Batch, got1: dict[int, bytes], got2: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        counts = known(b, got1)
-        distinct, _, c, owner = seen_pairs(b, counts, got2)
-        h, w = distinct >> 32, distinct & 0xFFFFFFFF
-        mine = owner & (c > 0)
-        kept = np.bincount(h[mine], weights=(bi.of(c) * c)[mine], minlength=len(b.words) + 1).astype(np.float64)  # of no pairs bincount makes integers
-        lower = np.bincount(h[mine], weights=_lower(counts[w], uni, units, rest)[mine], minlength=len(b.words) + 1).astype(np.float64)
-        total_h = history_counts(counts)
-        ask = np.flatnonzero(total_h > 0)
-        yield pa.RecordBatch.from_pylist([], pa.schema([("uid", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
-        yield from _requests(b.uid, b.history_words()[ask], [total_h[ask], kept[ask], lower[ask]], parts)
-
-    three = settle(_per_batch(batches, [one, two], ask_histories, _IN).groupBy("part").applyInArrow(_weigh_histories, _OUT))
-
-    def score(b: Batch, got1: dict[int, bytes], got2: dict[int, bytes], got3: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        counts = known(b, got1)
-        distinct, number, c, _ = seen_pairs(b, counts, got2)
-        h, w = distinct >> 32, distinct & 0xFFFFFFFF
-        total_h = history_counts(counts)
-        ask = np.flatnonzero(total_h > 0)
-        weight, bottom = np.zeros(len(total_h)), np.zeros(len(total_h))
-        for place, reply in _answers(b.history_words()[ask], parts, got3):
-            x = unpacked(reply, np.float64).reshape(-1, 2)
-            weight[ask[place]], bottom[ask[place]] = x[:, 0], x[:, 1]
+    def bottom_level(b: Batch, got: dict[int, bytes]) -> tuple[Grams, np.ndarray, np.ndarray]:
+        counts = known(b, got)
+        none = np.zeros(len(b.words), np.int64)
         with np.errstate(divide="ignore"):
-            seen = np.log10(bi.of(c) * c) - bottom[h]
-        back = weight[h] + np.log10(_lower(counts[w], uni, units, rest))
-        of_pair = np.where(c > 0, seen, back)
+            return Grams(b.code, b.words, none, none, none), counts, np.log10(_lower(counts, uni, units, rest))
+
+    def level(b: Batch, below: tuple[Grams, np.ndarray, np.ndarray]):
+        """Grams one word longer, and which of them can have been seen: both their history and their shorter gram were."""
+        grams = b.grams(below[0])
+        some = np.flatnonzero((np.r_[below[1], 1][grams.history] > 0) & (below[1][grams.shorter] > 0))
+        return grams, some
+
+    def totals(grams: Grams, some: np.ndarray, got: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts over all batches, and whether this batch owns the gram."""
+        answer = np.zeros(len(grams.hashes), np.int64)
+        for place, reply in _answers(grams.hashes[some], parts, got):
+            answer[some[place]] = unpacked_counts(reply)
+        return answer >> 1, (answer & 1).astype(bool)
+
+    def history_table(below: tuple[Grams, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and training counts of all histories (a gram with the end never is one, the begin is one for each text), and those to ask for."""
+        counts = np.r_[below[1], n_texts]
+        return np.r_[below[0].hashes, BEGIN], counts, np.flatnonzero(counts > 0)
+
+    def scored(b: Batch, got: list[dict[int, bytes]]) -> tuple[Grams, np.ndarray, np.ndarray]:
+        """The longest grams whose two exchanges ``got`` holds: grams, counts, log10 probabilities."""
+        state = bottom_level(b, got[0])
+        for k in range(1, len(got) - 1, 2):
+            grams, some = level(b, state)
+            counts, _ = totals(grams, some, got[k])
+            hashes, total, ask = history_table(state)
+            weight, bottom = np.zeros(len(total)), np.zeros(len(total))
+            for place, reply in _answers(hashes[ask], parts, got[k + 1]):
+                x = unpacked(reply, np.float64).reshape(-1, 2)
+                weight[ask[place]], bottom[ask[place]] = x[:, 0], x[:, 1]
+            with np.errstate(divide="ignore"):
+                seen = np.log10(discounts[(k + 1) // 2].of(counts) * counts) - bottom[grams.history]
+            state = grams, counts, np.where(counts > 0, seen, weight[grams.history] + state[2][grams.shorter])
+        return state
+
+    for _ in range(2, order + 1):
+
+        def ask_grams(b: Batch, *got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+            grams, some = level(b, scored(b, list(got)))
+            yield pa.RecordBatch.from_pylist([], empty)
+            yield from _requests(b.uid, grams.hashes[some], [grams.train[some]], parts)
+
+        exchanges.append(settle(_per_batch(batches, exchanges, ask_grams, _IN).groupBy("part").applyInArrow(_count_pairs(discounted), _OUT)))
+        of_grams = _total(exchanges[-1])
+        discounts.append(GoodTuring.fit({r: of_grams.get(str(r), 0.0) for r in range(1, discounted + 2)}, discounted))
+
+        def ask_histories(b: Batch, *got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+            below = scored(b, list(got[:-1]))
+            grams, some = level(b, below)
+            counts, owner = totals(grams, some, got[-1])
+            hashes, total, ask = history_table(below)
+            mine = owner & (counts > 0)
+            put = lambda w: np.bincount(grams.history[mine], weights=w[mine], minlength=len(total)).astype(np.float64)  # noqa: E731  of no grams bincount makes integers
+            kept, lower = put(discounts[-1].of(counts) * counts), put(10.0 ** below[2][grams.shorter])
+            yield pa.RecordBatch.from_pylist([], empty)
+            yield from _requests(b.uid, hashes[ask], [total[ask], kept[ask], lower[ask]], parts)
+
+        exchanges.append(settle(_per_batch(batches, exchanges, ask_histories, _IN).groupBy("part").applyInArrow(_weigh_histories, _OUT)))
+
+    def score(b: Batch, *got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        grams, _, log_p = scored(b, list(got))
+        counts = known(b, got[0])
         texts = len(b.n_tokens)
         base = np.log10((counts + 1.0) / (n + v + 1.0))
         at = lambda x: np.bincount(b.text, weights=x, minlength=texts)
@@ -404,7 +425,7 @@ def katz_scores(
                 pa.array(at(counts[b.code] > 0).astype(np.int64)),
                 pa.array(np.full(texts, int(n))),
                 pa.array(at(base[b.code])),
-                pa.array(at(of_pair[number])),
+                pa.array(at(log_p[grams.number])),
             ],
             names=["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
@@ -412,7 +433,7 @@ def katz_scores(
     from pyspark.sql.pandas.types import to_arrow_type
 
     dict_kind = to_arrow_type(rows.schema["_id"].dataType)
-    out = _per_batch(batches, [one, two, three], score, f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = _per_batch(batches, exchanges, score, f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("_id", key)
 
 

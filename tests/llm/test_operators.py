@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on ties, nulls, copies, empty and long texts, empty tables and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -234,43 +235,61 @@ def discounts(counts, most):
     return out
 
 
-def katz_brute(texts, most=5):
+def katz_brute(texts, order, most=5):
+    """Recursive back-off over tuples of words: 0 is the begin, None the end, a line break an unknown word."""
     toks = [(zlib.crc32(str(i).encode()) % 7 == 2, [*WORD.findall((t or "").translate(LOWER)), None]) for i, t in enumerate(texts)]
-    c = collections.Counter(w for held, x in toks if not held for w in x)
-    pairs = collections.Counter(p for held, x in toks if not held for p in zip([0, *x[:-1]], x))
-    history, n = collections.Counter(), sum(c.values())
-    for (a, _), k in pairs.items():
-        history[a] += k
-    uni, bi = (discounts(x.values(), most) for x in (c, pairs))
-    d = lambda g, r: g.get(r, 1.0)
-    taken = sum(k * (1 - d(uni, k)) for k in c.values())
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for held, x in toks:
+        for t in range(0 if not held else len(x), len(x)):
+            for k in range(1, order + 1):
+                counts[k][(*([0] if t - k + 1 < 0 else []), *x[max(0, t - k + 1) : t + 1])] += 1
+    c = collections.Counter({w[0]: k for w, k in counts[1].items()})
+    n = sum(c.values())
+    d = [None, *[discounts(x.values(), most) for x in counts[1:]]]
+    taken = sum(k * (1 - d[1].get(k, 1.0)) for k in c.values())
     units = n if taken > 0 else n + 1
     rest = taken / units if taken > 0 else 1 / units
-    one = lambda w: d(uni, c[w]) * c[w] / units if c[w] else rest
-    kept, low = collections.Counter(), collections.Counter()
-    for (a, b), k in pairs.items():
-        kept[a] += d(bi, k) * k
-        low[a] += one(b)
-
-    def p(a, w):
-        if not history[a]:
-            return one(w)
-        bottom = history[a] if history[a] - kept[a] > 1e-9 * history[a] else history[a] + 1
-        return d(bi, pairs[a, w]) * pairs[a, w] / bottom if pairs[a, w] else (1 - kept[a] / bottom) / (1 - low[a]) * one(w)
-
-    for a in [*history, "unseen"]:
-        assert sum(p(a, w) for w in c) + p(a, "\n") == pytest.approx(1)
+    after = [collections.defaultdict(list) for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            after[k][g[:-1]].append(g[-1])
+
+    @functools.lru_cache(None)
+    def weights(k, h):
+        total = sum(counts[k][(*h, w)] for w in after[k][h])
+        kept = sum(d[k].get(counts[k][(*h, w)], 1.0) * counts[k][(*h, w)] for w in after[k][h])
+        bottom = total if total - kept > 1e-9 * total else total + 1
+        return bottom, (1 - kept / bottom) / (1 - sum(p(k - 1, shorter(k, h), w) for w in after[k][h]))
+
+    def shorter(k, h):  # histories on level k - 1 have k - 2 words at most
+        return h[2 - k :] if k > 2 else ()
+
+    @functools.lru_cache(None)
+    def p(k, h, w):
+        if k == 1:
+            return d[1].get(c[w], 1.0) * c[w] / units if c[w] else rest
+        g = (*h, w)
+        if not after[k][h]:
+            return p(k - 1, shorter(k, h), w)
+        bottom, back = weights(k, h)
+        return d[k].get(counts[k][g], 1.0) * counts[k][g] / bottom if counts[k][g] else back * p(k - 1, shorter(k, h), w)
+
+    history = lambda x, t: tuple(([0] if t - order + 1 < 0 else []) + x[max(0, t - order + 1) : t])
+    if order > 1:
+        for h in [*after[order]][:60]:
+            assert sum(p(order, h, w) for w in c) + p(order, h, "\n") == pytest.approx(1)
     return {
-        i: (held, len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in x), sum(math.log10(p(a, w)) for a, w in zip([0, *x[:-1]], x)))
+        i: (held, len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in x), sum(math.log10(p(order, history(x, t), w)) for t, w in enumerate(x)))
         for i, (held, x) in enumerate(toks)
     }
 
 
-def test_katz(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(spark, order):
     random.seed(6)
-    texts = [" ".join(random.choice("abcdefgh") for _ in range(random.randrange(0, 30))) for _ in range(40)] + [*EDGES, "a b " * 300_000]
-    want = katz_brute(texts)
-    got = {r.doc_id: tuple(r)[1:] for r in katz.katz_scores(frame(spark, texts), batch_bytes=200, parts=5).collect()}
+    texts = [" ".join(random.choice("abcdefgh") for _ in range(random.randrange(0, 30))) for _ in range(60)] + [*EDGES, "a b " * (300_000 if order == 2 else 300)]
+    want = katz_brute(texts, order)
+    got = {r.doc_id: tuple(r)[1:] for r in katz.katz_scores(frame(spark, texts), order=order, batch_bytes=200, parts=5).collect()}
     assert got.keys() == want.keys()
     for i in want:
         assert got[i][:4] == want[i][:4] and got[i][4:] == pytest.approx(want[i][4:])
