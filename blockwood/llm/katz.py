@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..frames import sweep
 from .common import byte_batches, mixed, settle, text_buffer, word_hashes, word_spans
 
 END, BEGIN = np.uint64(1), np.uint64(2)  # word hashes of the marks
@@ -145,7 +146,14 @@ class Batch:
         """The n-grams one word longer than those ``below``: at each token the gram before it, and its word."""
         before = np.r_[0, below.number[:-1]]
         before[self.begin] = len(below.hashes)  # the begin of the text
-        joint, first, number = np.unique(before << 32 | self.code, return_index=True, return_inverse=True)
+        joint = before << 32 | self.code
+        del before
+        order = np.argsort(joint)
+        joint = joint[order]
+        head = np.r_[True, joint[1:] != joint[:-1]]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(head) - 1
+        joint, first = joint[head], order[head]
         history = joint >> 32
         hashes = mixed(mixed(np.r_[below.hashes, BEGIN][history] * _MIX) + self.words[joint & 0xFFFFFFFF])
         return Grams(number, hashes, np.bincount(number[self.train], minlength=len(joint)), history, below.number[first])
@@ -306,7 +314,7 @@ def katz_scores(
     Without training rows every probability goes to the unknown word.  An empty table gives no rows.
     ``order`` is the number of words of the longest n-grams (1: words alone).
 
-    A batch holds ``batch_bytes`` of text (default: 8 MiB, from 1 TiB of text on growing with its square root, to 32 MiB),
+    A batch holds ``batch_bytes`` of text (default: 6 MiB, from 1 TiB of text on growing with its square root, to 32 MiB),
     and there is a part for each 16 MiB of text unless ``parts`` is given.  A batch writes to a part only if it
     has words or pairs for it, so messages are never more than distinct pairs in batches: in proportion to the text.
     """
@@ -318,7 +326,7 @@ def katz_scores(
     if parts is None or batch_bytes is None:
         size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
         parts = parts or max(8, -(-size // (16 << 20)))
-        batch_bytes = batch_bytes or int(min(32, max(8, 8 * (size / (1 << 40)) ** 0.5)) * (1 << 20))
+        batch_bytes = batch_bytes or int(min(32, max(6, 6 * (size / (1 << 40)) ** 0.5)) * (1 << 20))
     batches = settle(rows.mapInArrow(_tokenised(folds, held, batch_bytes), f"uid long, ids array<{kind}>, held binary, n_tokens binary, codes binary, words binary"))
 
     def ask_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,6 +402,7 @@ def katz_scores(
             yield pa.RecordBatch.from_pylist([], empty)
             yield from _requests(b.uid, grams.hashes[some], [grams.train[some]], parts)
 
+        sweep(spark)
         exchanges.append(settle(_per_batch(batches, exchanges, ask_grams, _IN).groupBy("part").applyInArrow(_count_pairs(discounted), _OUT)))
         of_grams = _total(exchanges[-1])
         discounts.append(GoodTuring.fit({r: of_grams.get(str(r), 0.0) for r in range(1, discounted + 2)}, discounted))
@@ -409,8 +418,11 @@ def katz_scores(
             yield pa.RecordBatch.from_pylist([], empty)
             yield from _requests(b.uid, hashes[ask], [total[ask], kept[ask], lower[ask]], parts)
 
+        sweep(spark)
         exchanges.append(settle(_per_batch(batches, exchanges, ask_histories, _IN).groupBy("part").applyInArrow(_weigh_histories, _OUT)))
 
+    sweep(spark)
+
     def score(b: Batch, *got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         grams, _, log_p = scored(b, list(got))
         counts = known(b, got[0])

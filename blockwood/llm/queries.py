@@ -37,7 +37,7 @@ def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import katz_scores
 
-    return katz_scores(documents(spark, sf_dir), order=3)
+    return katz_scores(documents(spark, sf_dir), order=2)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
