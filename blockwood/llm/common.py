@@ -6,6 +6,8 @@ Words everywhere are maximal runs of characters other than ASCII white space
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,3 +205,5 @@ def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> I
     finally:  # workers outlive their tasks: an idle one keeps no tables
         _POW.clear()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can hand freed memory back
+            ctypes.CDLL(None).malloc_trim(0)

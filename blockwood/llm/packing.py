@@ -17,9 +17,6 @@ from .common import ASCII_SPACE, byte_batches, rank_buckets, rank_within, settle
 PIECES = "_key long, piece int, start long, length long, ids_crc32 long"
 
 
-_CODERS: dict = {}
-
-
 class PieceCoder:
     """Token ids of whole texts, by the tokenizer file; ids of segments are kept, up to a bound.
 
@@ -174,7 +171,7 @@ def piece_rows(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    coder = _CODERS.get(path) or _CODERS.setdefault(path, PieceCoder(path))
+    coder = PieceCoder(path)  # not kept: an idle worker holds no vocabulary
     end = np.array([end_id], dtype="<u4").tobytes()
     for batch in byte_batches(batches, "_text", 3 << 20):
         keys, out = batch.column("_key").to_pylist(), {"_key": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
