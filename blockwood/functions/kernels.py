@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -22,6 +22,8 @@ class Kernel:
     """``name``: exp, laplace, helmholtz, gram or a user's block function (coordinates and ids of rows and columns).
 
     ``strata``: further kernels whose blocks are added one by one.  ``nugget`` stands on the diagonal.
+    ``null_rows`` and ``null_cols`` (coordinates and ids -> booleans) name rows and columns that are known to be zero:
+    they are never evaluated, or, with ``check_nulls``, evaluated and held against zero.
     """
 
     name: str
@@ -31,8 +33,32 @@ class Kernel:
     scale: float = 1.0
     strata: tuple[Kernel, ...] = field(default=())
     user: Callable | None = None
+    null_rows: Callable | None = None
+    null_cols: Callable | None = None
+    check_nulls: bool = False
+
+    def _kept(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the rows and columns that no hint calls zero."""
+        known = [np.zeros(len(ids), bool) if hint is None else np.asarray(hint(at, ids), bool) for hint, at, ids in ((self.null_rows, p, rows), (self.null_cols, q, cols))]
+        return np.flatnonzero(~known[0]), np.flatnonzero(~known[1])
 
     def block(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        i, j = self._kept(p, q, rows, cols)
+        if len(i) == len(rows) and len(j) == len(cols):
+            return self._values(p, q, rows, cols)
+        if self.check_nulls:
+            out = self._values(p, q, rows, cols)
+            wrong = out != 0
+            wrong[np.ix_(i, j)] = False
+            if wrong.any():
+                raise ValueError("a row or column that a hint calls zero is not")
+            return out
+        some = self._values(p[i], q[j], rows[i], cols[j])
+        out = np.zeros((len(rows), len(cols)), some.dtype)
+        out[np.ix_(i, j)] = some
+        return out
+
+    def _values(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         if self.name == "gram":
             out = p @ q.T
         elif self.name == "user":
@@ -53,6 +79,14 @@ class Kernel:
     def compressed(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray, method: str, eps: float, seed: int, least_svd: int = 0):
         """The block as a low-rank pair; cross methods evaluate the rows and columns they need, never the whole block."""
         shape = (len(rows), len(cols))
+        i, j = self._kept(p, q, rows, cols)
+        if (len(i), len(j)) != shape and not self.check_nulls:
+            if not len(i) or not len(j):
+                return lowrank.zero_rk(*shape)
+            some = replace(self, null_rows=None, null_cols=None).compressed(p[i], q[j], rows[i], cols[j], method, eps, seed, least_svd)
+            out = tuple(np.zeros((n, x.shape[1]), x.dtype) for n, x in zip(shape, some, strict=True))
+            out[0][i], out[1][j] = some
+            return out
         if method not in lowrank.LAZY or max(shape) < least_svd:
             return lowrank.compress(self.block(p, q, rows, cols), method, eps, seed, least_svd)
         row = lambda i: self.block(p[i : i + 1], q, rows[i : i + 1], cols)[0]

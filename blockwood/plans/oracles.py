@@ -83,6 +83,13 @@ def oracle_sql() -> dict[str, str]:
         "matrix_info": _info(),
         "matrix_profile": f"with h as ({_blocks_hodlr()}) select kind, count(*) as blocks from h group by 1",
         "json_dump": _tree(2, 12) + ", h as (select case when a.path = c.path then case when a.n <= 12 then 'full' else 'node' end else 'rk' end as kind from t a, t c where a.path = c.path or (left(a.path, -1) = left(c.path, -1))) select kind, count(*) as n from h group by 1",
+        "text_points": "select row_number() over (order by s_suppkey) - 1 as dof, s_acctbal as x from supplier",
+        "array_file": f"with {SUP}, {BASE}, o as (select v, row_number() over (order by x, dof) - 1 as k from b) select k as row, cast(0 as bigint) as col, round(v, 9) + 0.0 as y from o union all select k, 1, round(v * (k % 7), 9) + 0.0 from o",
+        "gemv_null_hints": _dense("case when i.x < 0 or j.x < 0 then 0 else exp(-abs(i.x - j.x) / l) end"),
+        "tree_walk": _tree(2, 12) + " select a.path, count(*) filter (b.off + b.n <= a.off or (b.path <> a.path and starts_with(a.path, b.path))) as pre, count(*) filter (b.off + b.n <= a.off or (b.path <> a.path and starts_with(b.path, a.path))) as post from t a, t b group by 1",
+        "tree_slice": f"with {SUP}, o as (select dof, row_number() over (order by x, dof) - 1 as pos, count(*) over () as n from p) select pos, dof from o where pos >= n // 2 and pos < n // 2 + (n - n // 2) // 2",
+        "moved_dof": f"with {SUP} select count(*) as n, count(distinct dof) as dofs, cast(0 as bigint) as wrong_places, cast(0 as bigint) as out_of_leaf, cast(0 as bigint) as torn_nodes, count(*) // 2 - 1 as left_n from p",
+        "json_points": f"with {SUP} select row_number() over (order by x, dof) - 1 as pos, dof, x as coord from p",
         "gemv_n": gemv,
         "gemv_t": gemv,
         "gemv_symmetric": gemv,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from ..frames import shared_dir
 from ..functions.kernels import Kernel
 from ..operators.blocks import Admissibility
+from ..operators import trees as T
 from ..operators.cluster import Clustering, build_tree
 from ..operators.factor import Factor
 from ..operators.matrix import HMatrix, reordered, restored
 from ..sources import points as P
 from ..sources import storage
+from ..sources.arrays import read_array, write_array
 
 EPS = 1e-12
 METHODS = ("svd", "aca_full", "aca_partial", "aca_plus", "aca_random", "rrqr")
@@ -530,6 +533,62 @@ def cylinder_points(spark, d):
     return P.cylinder(spark, 500).select("dof", *[(F.round(F.col("coord")[i], 6) + 0.0).alias(c) for i, c in enumerate("xyz")])
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/blockwood/{uuid.uuid4().hex}"
+
+
+def text_points(spark, d):
+    """Suppliers as a text file, read again: line numbers and coordinates."""
+    path = _scratch(spark)
+    P.write_text(suppliers(spark, d), path)
+    return P.read_text(spark, path).select("dof", F.col("coord")[0].alias("x"))
+
+
+def array_file(spark, d):
+    """Two right-hand sides through a dense array file."""
+    m, b = _setting(spark, d)
+    rows = m.row_perm.join(b, "dof").select(F.col("pos").alias("row"), F.posexplode(F.array("re", F.col("re") * (F.col("pos") % 7))).alias("col", "re"))
+    path = _scratch(spark)
+    write_array(rows, path, m.row_perm.count(), 2)
+    return read_array(spark, path).select("row", "col", (F.round("re", 9) + 0.0).alias("y"))
+
+
+def gemv_null_hints(spark, d):
+    """Rows and columns of negative balance are known to be zero and never evaluated."""
+    cloud = suppliers(spark, d)
+    length = P.correlation_length(cloud)
+    negative = lambda at, ids: at[:, 0] < 0
+    m = HMatrix.build(cloud, Kernel("exp", length, null_rows=negative, null_cols=negative), clustering=Clustering("median", max_leaf=12), admissibility=Admissibility("hodlr"), method="aca_partial", eps=EPS)
+    return _y(m.gemv(P.right_hand_side(cloud, length)))
+
+
+def tree_walk(spark, d):
+    """Places of every cluster before, and after, its children."""
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("median", max_leaf=12))
+    post = T.walk(nodes, "post").select("path", F.col("step").alias("post"))
+    return T.walk(nodes, "pre").select("path", F.col("step").alias("pre")).join(post, "path")
+
+
+def tree_slice(spark, d):
+    nodes, perm = build_tree(suppliers(spark, d), Clustering("median", max_leaf=12))
+    return T.indices(T.subtree(nodes, perm, "r1")[1], "r10")
+
+
+def moved_dof(spark, d):
+    """The first supplier of the left half goes to the right half; the tree stays valid."""
+    nodes, perm = build_tree(suppliers(spark, d), Clustering("median", max_leaf=1, max_depth=1))
+    nodes, perm = T.move_dof(nodes, perm, "r0", 0)
+    return T.check(nodes, perm).crossJoin(F.broadcast(nodes.where("path = 'r0'").select(F.col("n").alias("left_n"))))
+
+
+def json_points(spark, d):
+    """Points and mapping as the JSON description gives them."""
+    m, _ = _setting(spark, d)
+    _, points = storage.describe_tree(m.row_nodes, m.row_perm)
+    get = lambda k, kind: F.get_json_object("json", f"$.{k}").cast(kind).alias(k.strip("[0]"))
+    return points.select(get("pos", "long"), get("dof", "long"), get("coord[0]", "double"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         cluster_median_nodes, cluster_median_k3, cluster_median_distributed, cluster_perm, cluster_geometric, cluster_octree, cluster_hybrid, cluster_ntiles, cluster_span,
@@ -539,5 +598,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lu_solve, llt_solve, ldlt_solve, hodlr_solve, solve_customers_nugget, chol_lower_1d, logdet_lu, logdet_llt, logdet_ldlt, logdet_hodlr, inverse_diagonal,
         *[_rank(m) for m in METHODS], *[_rank_two(m) for m in METHODS], cluster_void, cluster_shuffle, diagonal_blocks, child_gemv, multiply_diagonal, subtract_mdmt, matrix_checks,
         compression_errors, axpy_other_tree, gemv_conjugate, gemm_into, hodlrsym_solve, hodlrsym_times, llt_times, factor_reuse, solve_transposed, trsm_llt, trsm_lu_right, logdet_hodlrsym, inverse_gemv, rank_gram_embeddings, quantised_gemv, io_roundtrip, power_iteration, cylinder_points,
+        text_points, array_file, gemv_null_hints, tree_walk, tree_slice, moved_dof, json_points,
     )
     return {f.__name__: f for f in found}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,9 +31,16 @@ def spans(df: DataFrame, dof: str, coords: list[str], group: str | None = None)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """One point per line, numbers between white space; dof is the file's line order."""
-    rows = spark.read.text(path, wholetext=False).withColumn("dof", F.monotonically_increasing_id())
-    rows = rows.where(F.trim("value") != "")
+    """One point per line, numbers between white space; dof counts the lines that are not blank, file by file in the order of their names.
+
+    A file may be read in several splits: the lines before each are counted, and the driver holds no row of either.
+    """
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    parts = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    parts = parts.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = rows.join(parts, ["file", "start"]).withColumn("dof", F.col("before") + F.col("at") - F.col("first"))
     coord = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))
     return rows.select("dof", coord.alias("coord"), coord.alias("lo"), coord.alias("hi"), F.lit(None).cast("int").alias("group_id"))
 
