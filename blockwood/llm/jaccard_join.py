@@ -455,20 +455,42 @@ def similarity_classes(
     if large.limit(1).count():
         joined = joined.unionByName(_split_regions(large.select("region", "key", "shingles"), percent, task_shingles))
     found_classes = settle(joined.distinct())
-    balls = balls.where("a <> b").distinct()
-    if balls.limit(1).count():  # sets of a ball are linked to its pivot, which may be linked to others
-        found_classes = settle(classes(balls.unionByName(found_classes.select(F.col("key").alias("a"), F.col("class").alias("b")))).distinct())
+    found_classes, labels = _with_balls(found_classes, balls, pivots)
     discard(sets_here)
 
     # smallest document of each class, then of each set; classes are small beside documents
     by_key = meta.where("n_shingles > 0").groupBy("key").agg(F.min("_id").alias("least")).join(found_classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     by_class = by_key.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = by_key.join(by_class, "class").select(F.col("key").alias("_set"), "component_id")
+    # the classes of balls, which may hold a third of all sets, are few: their sets stay where they are
+    large = F.col("class").isin(labels)
+    named = by_key.where(~large).join(by_class.where(~large), "class").unionByName(by_key.where(large).join(F.broadcast(by_class.where(large)), "class")).select(F.col("key").alias("_set"), "component_id")
     out = meta.where("n_shingles > 0").join(named, F.col("key") == F.col("_set")).select("_id", "n_shingles", "component_id")
     out = out.unionByName(meta.where("n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("component_id")))
     return out.select(F.col("_id").alias(key), "n_shingles", "component_id")
 
 
+def _with_balls(found: DataFrame, balls: DataFrame, pivots: Pivots) -> tuple[DataFrame, list[int]]:
+    """Classes (key, class) after the links (a, b) of ball members with pivots, and the at most 16 names of classes that hold a pivot.
+
+    A class is joined to every pivot that one of its sets is linked to; pivots that meet in a class are one.  Only
+    pairs of pivots reach the driver, and no ball is ever gathered under one key.
+    """
+    members = balls.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("near"))
+    named = settle(found.join(members, F.col("key") == F.col("a"), "full_outer").select(F.coalesce("key", "a").alias("key"), F.coalesce("class", "key", "a").alias("class"), "near"))
+    met = named.where("near is not null").groupBy("class").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("near")))).alias("near"))
+    met = settle(met)
+    name = {int(k): int(k) for k in pivots.keys}
+    for r in met.select(F.explode("near").alias("b"), F.col("near")[0].alias("a")).where("a <> b").distinct().collect():  # at most 16 * 15 / 2 pairs
+        low, high = sorted((name[r["a"]], name[r["b"]]))
+        name = {k: low if v == high else v for k, v in name.items()}
+    if not name:
+        return named.select("key", "class"), []
+    label = F.create_map(*[F.lit(x).cast("long") for pair in name.items() for x in pair])
+    linked = named.where("near is not null").select("key", label[F.col("near")[0]].alias("class"))
+    others = named.where("near is null").select("key", "class").join(met.select("class", label[F.col("near")[0]].alias("label")), "class", "left")
+    return linked.unionByName(others.select("key", F.coalesce("label", "class").alias("class"))), sorted(set(name.values()))
+
+
 def _some(code: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray, which: np.ndarray):
     """The sets ``which`` alone."""
     take = np.zeros(len(first), bool)

@@ -610,3 +610,17 @@ def test_minimum_bin_slack_packs_all():
         for k, n in lengths.items():
             used[k] += n * times
     assert used == counts and sum(t for t, _ in bins) == 8
+
+
+def test_balls_that_meet_in_a_class(spark):
+    """Pivots 10, 20, 30: a set near 10 is of one class with a set near 20; 30 stays apart, and so do the classes without pivots."""
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (30, 30), (40, 40), (41, 40)], "key long, class long")
+    balls = spark.createDataFrame([(10, 10), (20, 20), (30, 30), (1, 10), (2, 20), (5, 20), (6, 30)], "a long, b long")
+    pivots = join.Pivots([np.array([k], np.uint64) for k in (10, 20, 30)], [10, 20, 30])
+    classes, labels = join._with_balls(found, balls, pivots)
+    got = {r.key: r["class"] for r in classes.collect()}
+    assert classes.count() == len(got) == 10
+    assert {got[k] for k in (1, 2, 3, 5, 10, 20)} == {10} and {got[6], got[30]} == {30} and {got[40], got[41]} == {40}
+    assert labels == [10, 30]
+    none, labels = join._with_balls(found, balls.limit(0), join.Pivots([], []))
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, found.collect())) and labels == []
