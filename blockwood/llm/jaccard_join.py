@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ship
-from ..frames import discard
+from ..frames import discard, sweep
 from .common import byte_batches, mixed, settle, text_buffer, word_hashes, word_spans
 
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -191,6 +191,22 @@ def cells(code: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray
     return np.concatenate(out_cell), np.concatenate(out_key)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every key of the links (a, b) with the smallest that it reaches: fewer links, the same components."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low, high = place[: len(a)], place[len(a) :]
+    root = np.arange(len(names))
+    while len(low):
+        before = root.copy()
+        np.minimum.at(root, low, before[high])
+        np.minimum.at(root, high, before[low])
+        root = root[root]
+        if (root == before).all():
+            break
+    moved = root != np.arange(len(names))
+    return names[moved], names[root[moved]]
+
+
 # ---------------------------------------------------------------- joining one region in one task
 
 
@@ -371,8 +387,17 @@ def similarity_classes(
     pivots = Pivots.choose([code[a : a + n] for a, n in zip(first, size, strict=True)], keys.view(np.int64).tolist(), percent)
     reach = 1 - percent / 100
     kind = dict(rows.dtypes)["_id"]
-    names = ["_id", "_row", "n_shingles", "key", "cell", "pivot", "distance"]
-    types = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+    names = ["_id", "_row", "n_shingles", "key", "pivot", "distance"]
+    types = [None, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+
+    def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """Sizes and keys of all texts, and the batch's sets, each once."""
+        number, code = shingle_sets(batch.column("_text"), width)
+        first, size, keys = set_keys(number, code)
+        n, k = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        n[number[first]], k[number[first]] = size, keys.view(np.int64)
+        _, once = np.unique(keys, return_index=True)
+        return n, k, _some(code, first, size, keys, np.sort(once))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "_text", 2 << 20):
@@ -380,58 +405,52 @@ def similarity_classes(
                 kinds = [batch.schema.field("_id").type, *types[1:]]  # noqa: B023
                 return pa.RecordBatch.from_arrays([(pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x, t) if isinstance(x := given[c], np.ndarray) else x) if c in given else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
-            number, code = shingle_sets(batch.column("_text"), width)
-            first, size, keys = set_keys(number, code)
-            n, k = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            n[number[first]], k[number[first]] = size, keys.view(np.int64)
+            n, k, (code, first, size, keys) = sets_of(batch)
             yield rows_of(len(n), _id=batch.column("_id"), _row=batch.column("_row"), n_shingles=n, key=k)
-            _, once = np.unique(keys, return_index=True)
-            code, first, size, keys = _some(code, first, size, keys, np.sort(once))
             whose, pivot, distance, ball = pivots.places(code, first, size, percent)
-            for j in np.unique(pivot):
+            for j in np.unique(pivot[pivot >= 0]):
                 here = pivot == j
-                if j >= 0:
-                    linked = here & ball
-                    yield rows_of(int(linked.sum()), key=keys[whose[linked]], _row=np.full(linked.sum(), pivots.keys[j]), pivot=np.full(linked.sum(), j, np.int32))
-                    if (here & ~ball).any():  # the nearest set outside the ball
-                        yield rows_of(1, pivot=np.array([j], np.int32), distance=distance[here & ~ball].min(keepdims=True))
-                for inside in (False, True):
-                    take = np.sort(np.flatnonzero(here & (ball == inside)))
-                    if not len(take):
-                        continue
-                    take = take[np.argsort(whose[take])]
-                    cell, mine = cells(*_some(code, first, size, keys, whose[take]), percent)
-                    if not len(cell):
-                        continue
-                    if j >= 0:
-                        cell = mixed(cell ^ mixed(np.full(1, j + 1, np.uint64)))
-                    if inside:
-                        order = np.argsort(keys[whose[take]])
-                        far = distance[take][order][np.searchsorted(keys[whose[take]][order], mine)]
-                        yield rows_of(len(cell), key=mine, cell=cell, pivot=np.full(len(cell), j, np.int32), distance=far)
-                        continue
-                    # of each cell its smallest key leaves the batch, and the links of the others to it
-                    order = np.lexsort((mine, cell))
-                    cell, mine = cell[order], mine[order]
-                    head = np.r_[True, cell[1:] != cell[:-1]]
-                    least = mine[head][np.cumsum(head) - 1]
-                    pairs = np.unique(np.stack([mine[~head], least[~head]], axis=1), axis=0)
-                    yield rows_of(int(head.sum()), key=mine[head], cell=cell[head])
-                    yield rows_of(len(pairs), key=np.ascontiguousarray(pairs[:, 0]), _row=np.ascontiguousarray(pairs[:, 1]))
-
-    found = settle(rows.mapInArrow(scan, f"_id {kind}, _row long, n_shingles long, key long, cell long, pivot int, distance double"))
+                linked = here & ball
+                yield rows_of(int(linked.sum()), key=keys[whose[linked]], _row=np.full(linked.sum(), pivots.keys[j]), pivot=np.full(linked.sum(), j, np.int32))
+                if (here & ~ball).any():  # the nearest set outside the ball
+                    yield rows_of(1, pivot=np.array([j], np.int32), distance=distance[here & ~ball].min(keepdims=True))
+
+    found = settle(rows.mapInArrow(scan, f"_id {kind}, _row long, n_shingles long, key long, pivot int, distance double"))
     meta = found.where("n_shingles is not null")
     # a row for each pivot
-    rims = {r["pivot"]: r["rim"] for r in found.where("key is null and distance is not null").groupBy("pivot").agg(F.min("distance").alias("rim")).collect()}
-    inner = F.lit(False)
-    for j in range(len(pivots.sets)):
-        inner = inner | ((F.col("pivot") == j) & (F.col("distance") < rims.get(j, 3.0) - reach - 1e-9))
-    met = found.where(F.col("cell").isNotNull() & ~F.coalesce(inner, F.lit(False))).select("key", "cell")
-    balls = found.where("key is not null and cell is null and pivot is not null").select(F.col("key").alias("a"), F.col("_row").alias("b"))
-    least = met.withColumn("least", F.min("key").over(Window.partitionBy("cell")))  # a cell has one key for each batch at most, but for balls
+    rims = {r["pivot"]: r["rim"] for r in found.where("distance is not null").groupBy("pivot").agg(F.min("distance").alias("rim")).collect()}
+    balls = found.where("n_shingles is null and key is not null").select(F.col("key").alias("a"), F.col("_row").alias("b"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "_text", 2 << 20):
+            _, _, (code, first, size, keys) = sets_of(batch)
+            whose, pivot, distance, ball = pivots.places(code, first, size, percent)
+            spots = []
+            for j in np.unique(pivot):
+                # of a ball stay those that a set outside it can reach
+                take = np.flatnonzero((pivot == j) & ~(ball & (distance < rims.get(int(j), 3.0) - reach - 1e-9)))
+                cell, mine = cells(*_some(code, first, size, keys, np.sort(whose[take])), percent)
+                spots.append((mixed(cell ^ mixed(np.full(1, j + 1, np.uint64))) if j >= 0 else cell, mine))
+            if not spots:
+                continue
+            cell, mine = (np.concatenate(x) for x in zip(*spots, strict=True))
+            # of each cell its smallest key leaves the batch; the links of the others to it are cells of two
+            order = np.lexsort((mine, cell))
+            cell, mine = cell[order], mine[order]
+            head = np.r_[True, cell[1:] != cell[:-1]][: len(cell)]
+            least = mine[head][np.cumsum(head) - 1]
+            apart = least != mine
+            a, b = forest(mine[apart], least[apart])
+            pair = mixed(mixed(a ^ _SEED) + b * _ODD[3])
+            cell, mine = np.concatenate([cell[head], pair, pair]), np.concatenate([mine[head], a, b])
+            yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64)), pa.array(cell.view(np.int64))], names=["key", "cell"])
+
+    # the cells, 16 bytes to every second to fifth shingle, are dealt as they are found and never written as a table
+    met = rows.select("_text").mapInArrow(deal, "key long, cell long")
+    least = met.withColumn("least", F.min("key").over(Window.partitionBy("cell")))  # a cell has one key for each batch at most
     links = least.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    links = links.unionByName(found.where("n_shingles is null and cell is null and pivot is null").select(F.col("key").alias("a"), F.col("_row").alias("b")))
     regions = classes(links).withColumnRenamed("class", "region")
+    sweep(docs.sparkSession)
 
     # one row of docs stands for each set of a region
     chosen = meta.where("n_shingles > 0").groupBy("key").agg(F.min("_row").alias("_row")).join(regions, "key").select("key", "region", F.col("_row").alias("_chosen"))
@@ -448,6 +467,7 @@ def similarity_classes(
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("region").take(at), pa.array(blobs, pa.binary())], names=["key", "region", "shingles"])
 
     sets = sets_here = settle(texts.mapInArrow(build, "key long, region long, shingles binary"))
+    sweep(docs.sparkSession)
     weight = sets.groupBy("region").agg((F.sum(F.length("shingles")) / 8).cast("long").alias("weight"), F.count(F.lit(1)).alias("members"))
     sets = sets.join(weight, "region")
     joined = sets.where(F.col("weight") <= task_shingles).groupBy("region").applyInArrow(_region_classes(percent), "key long, class long")
@@ -457,6 +477,7 @@ def similarity_classes(
     found_classes = settle(joined.distinct())
     found_classes, labels = _with_balls(found_classes, balls, pivots)
     discard(sets_here)
+    sweep(docs.sparkSession)
 
     # smallest document of each class, then of each set; classes are small beside documents
     by_key = meta.where("n_shingles > 0").groupBy("key").agg(F.min("_id").alias("least")).join(found_classes, "key", "left").withColumn("class", F.coalesce("class", "key"))

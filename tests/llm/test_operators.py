@@ -14,6 +14,7 @@ import pytest
 
 pytest.importorskip("blockwood.llm")
 
+from blockwood import frames  # noqa: E402
 from blockwood.llm import katz, licenses, mixing, packing, revisit, rules, suffix_dedup, topk  # noqa: E402
 from blockwood.llm import jaccard_join as join  # noqa: E402
 from blockwood.llm.jaccard_join import similarity_classes  # noqa: E402
@@ -500,6 +501,36 @@ def test_jaccard_classes_of_a_large_family(spark, width, percent):
     assert got == dict(enumerate(least))
 
 
+def test_links_of_a_batch_become_a_forest():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 400, (2, 300)).astype(np.uint64)
+    least = {int(x): int(x) for x in np.r_[a, b]}
+    for _ in least:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            least[i] = least[j] = min(least[i], least[j])
+    key, root = join.forest(a, b)
+    assert dict(zip(key.tolist(), root.tolist(), strict=True)) == {k: v for k, v in least.items() if k != v}
+    assert [len(x) for x in join.forest(a[:0], b[:0])] == [0, 0]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_writes_no_table_of_cells(spark, monkeypatch, width, percent):
+    rng = random.Random(11)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(40)]
+    texts += [" ".join([*t.split()[:-3], "x", "y", "z"]) for t in texts[:20]]
+    written = []
+
+    def counted(df):
+        out = frames.settle(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(join, "settle", counted)
+    got = {r.doc_id: r.component_id for r in similarity_classes(frame(spark, texts), width=width, percent=percent).collect()}
+    assert got == {i: i - 40 if i >= 40 else i for i in range(60)}
+    assert max(written) <= 3 * len(texts)
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert similarity_classes(frame(spark, [])).count() == 0
     rows = sorted(map(tuple, similarity_classes(frame(spark, ["a b c d", "a b c d", "", "x"], [None, 4, None, 2])).collect()), key=str)
