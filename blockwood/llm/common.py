@@ -25,13 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def by_group(df: DataFrame, group: str, columns: list[str], each, schema: str, columns_out: list[pa.DataType]) -> DataFrame:
+def by_group(df: DataFrame, group: str, columns: list[str], each, schema: str, columns_out: list[pa.DataType], names: list[str] | None = None) -> DataFrame:
     """``each(lists of the columns of one group) -> rows`` over all groups, many groups to an Arrow batch.
 
     Rows of a group are neighbours after one shuffle and sort, so small groups cost no
-    call into Arrow of their own; only one group is held at a time.
+    call into Arrow of their own; only one group is held at a time.  ``names``: those of a schema with commas inside its types.
     """
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    names = names or [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in columns]

@@ -45,6 +45,17 @@ select n.doc_id, n.n as n_bytes, cast(coalesce(t.removed, 0) as bigint) as n_rem
 from n join k using (rid) left join t using (rid)
 """
 
+SHARED_LINES = """
+with d as (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+l as (select rid, doc_id, unnest(l) as line, unnest(range(len(l))) as pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+m as (select k.*, f.last is not null and f.last <> k.doc_id as gone from k left join f using (key))
+select doc_id, count(*) as n_lines, cast(sum(cast(gone as int)) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from m group by rid, doc_id
+"""
+
 
 def _canonical(url: str) -> str:
     bare = f"regexp_replace(regexp_replace(trim({url}), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
@@ -76,4 +87,4 @@ from o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": REPEATS, "op5_jaccard_join": JACCARD, "op6_revisit_resolution": _revisits(), "op7_exact_top_k": TOP_K}
+    return {"op4_suffix_dedup": REPEATS, "op5_jaccard_join": JACCARD, "op6_revisit_resolution": _revisits(), "op7_exact_top_k": TOP_K, "op11_line_dedup": SHARED_LINES}

@@ -84,5 +84,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(documents(spark, sf_dir))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import digest, line_bitmaps, without_shared_lines
+
+    docs = documents(spark, sf_dir)
+    return digest(without_shared_lines(docs, line_bitmaps(docs)))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import by_component, whiten
+
+    return by_component(whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, digest, repaired
+
+    return digest(repaired(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), present="present"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_pfair_mixing, op3_katz_backoff, op4_suffix_dedup, op5_jaccard_join, op6_revisit_resolution, op7_exact_top_k, op8_minimum_bin_slack, op9_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pfair_mixing, op3_katz_backoff, op4_suffix_dedup, op5_jaccard_join, op6_revisit_resolution, op7_exact_top_k, op8_minimum_bin_slack, op9_quality_rules, op10_license_scan, op11_line_dedup, op12_embedding_whitening, op13_conversation_repair)}
