@@ -4,115 +4,54 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import settle
-from ..functions import hmatrix
+from . import hodlr, tiles
 from .matrix import HMatrix
 
 KINDS = ("lu", "llt", "ldlt", "hodlr", "hodlrsym")
-ARRAYS = "path string, name string, dtype string, shape array<int>, data binary"
-_RHS = "dof long, rhs int, re double, im double"
 
 
-def _packed(rows: list[tuple[str, str, np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame([{"path": p, "name": n, "dtype": v.dtype.str, "shape": list(v.shape), "data": np.ascontiguousarray(v).tobytes()} for p, n, v in rows], columns=["path", "name", "dtype", "shape", "data"])
-
-
-def _grown(frame: pd.DataFrame, kind: str):
-    rows = [(x.path, x.name_, np.frombuffer(x.data, np.dtype(x.dtype)).reshape([int(k) for k in x.shape])) for x in frame.rename(columns={"name": "name_"}).itertuples()]
-    if kind == "hodlr":
-        return hmatrix.node_from_flat(hmatrix.Hodlr, rows)
-    if kind == "hodlrsym":
-        return hmatrix.node_from_flat(hmatrix.HodlrSymmetric, rows)
-    return hmatrix.from_flat(rows)
+def _conjugate(x: DataFrame) -> DataFrame:
+    return x.withColumn("im", -F.col("im")) if "im" in x.columns else x
 
 
 @dataclass(frozen=True)
 class Factor:
-    """``arrays``: what the factor consists of, one row for each array of a node; ``perm``: pos and dof of the matrix.
+    """``tables``: what the factor consists of (see ``tiles.factor`` and ``hodlr.factor``).
 
-    kind is lu (rows exchanged inside dense leaves), llt, ldlt (both of the lower half), hodlr (Woodbury) or hodlrsym
-    (A = L W W^T L^T).  Complex factorizations use the plain transpose; hodlrsym is real.
+    kind is lu (rows exchanged inside diagonal tiles only), llt, ldlt (both of the lower half), hodlr (Woodbury) or hodlrsym
+    (A = L W W^T L^T).  Complex factorizations use the plain transpose; hodlrsym is real.  Work is spread over strips of up to
+    ``strip_points`` points: a task holds a tile of that side, or a strip's diagonal block and panels.
     """
 
     kind: str
-    arrays: DataFrame
-    perm: DataFrame
+    tables: dict[str, DataFrame]
 
     @staticmethod
-    def of(m: HMatrix, kind: str, eps: float = 1e-12) -> Factor:
+    def of(m: HMatrix, kind: str, eps: float = 1e-12, strip_points: int | None = None) -> Factor:
         if kind not in KINDS:
             raise ValueError(f"{kind} is none of {KINDS}")
         if kind == "lu" and m.symmetric:
             raise ValueError("lu needs both halves of the matrix")
-
-        def work(trees: list[hmatrix.Block], _) -> pd.DataFrame:
-            tree = trees[0]
-            if kind == "hodlr":
-                return _packed(hmatrix.flat_node(hmatrix.Hodlr(tree)))
-            if kind == "hodlrsym":
-                return _packed(hmatrix.flat_node(hmatrix.HodlrSymmetric(tree)))
-            {"lu": hmatrix.factor_lu, "llt": hmatrix.factor_llt, "ldlt": hmatrix.factor_ldlt}[kind](tree, eps)
-            return _packed(hmatrix.flat(tree))
-
-        return Factor(kind, settle(m.whole(work, ARRAYS)), m.col_perm.select("pos", "dof"))
-
-    def _with(self, x: DataFrame, change) -> DataFrame:
-        """``change(factor, array of right-hand sides in internal order)`` in one task, back in the users' numbering."""
-        x = x if "im" in x.columns else x.withColumn("im", F.lit(0.0))
-        x = self.perm.join(x, "dof").select("pos", "dof", "rhs", "re", "im").withColumn("one", F.lit(1))
-        kind = self.kind
-
-        def run(arrays: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-            rhs = rhs.sort_values(["rhs", "pos"])
-            n = int((rhs.rhs == rhs.rhs.iloc[0]).sum()) if len(rhs) else 0
-            if not n:
-                return pd.DataFrame(columns=["dof", "rhs", "re", "im"])
-            m = rhs.re.to_numpy().reshape(-1, n).T
-            if (rhs.im != 0).any():
-                m = m + 1j * rhs.im.to_numpy().reshape(-1, n).T
-            out = change(_grown(arrays, kind), m).T.ravel()
-            return pd.DataFrame({"dof": rhs.dof, "rhs": rhs.rhs, "re": out.real, "im": out.imag if np.iscomplexobj(out) else 0.0})
-
-        return self.arrays.withColumn("one", F.lit(1)).groupBy("one").cogroup(x.groupBy("one")).applyInPandas(run, _RHS)
+        if kind.startswith("hodlr"):
+            return Factor(kind, hodlr.factor(m, kind, strip_points or 512))
+        return Factor(kind, tiles.factor(m, kind, eps, strip_points or 1024))
 
     def solve(self, b: DataFrame, part: str = "both", op: str = "N") -> DataFrame:
         """x with op(A) x = b; ``part`` lower or upper solves with that factor alone (L and L^T of the symmetric kinds)."""
         kind = self.kind
-
-        def change(f, x: np.ndarray) -> np.ndarray:
-            if op == "C":
-                return turned(f, x.conj()).conj()
-            return turned(f, x) if op == "T" else straight(f, x)
-
-        def straight(f, x: np.ndarray) -> np.ndarray:
-            if kind == "hodlr":
-                return f.solve(x)
-            if kind == "hodlrsym":
-                return {"both": f.solve, "lower": f.half_solve, "upper": f.half_solve_transposed}[part](x)
-            return hmatrix.solve(f, kind, x, part)
-
-        def turned(f, x: np.ndarray) -> np.ndarray:
-            if kind != "lu":
-                if part != "both":
-                    return straight_part(f, x, "upper" if part == "lower" else "lower")
-                return straight(f, x)  # symmetric
-            if part in ("both", "upper"):
-                x = hmatrix.triangular(f, x, "U", "T")
-            return hmatrix.triangular(f, x, "L", "T", unit=True) if part in ("both", "lower") else x
-
-        def straight_part(f, x: np.ndarray, which: str) -> np.ndarray:
-            if kind == "hodlrsym":
-                return {"lower": f.half_solve, "upper": f.half_solve_transposed}[which](x)
-            return hmatrix.solve(f, kind, x, which)
-
         if kind == "hodlr" and part != "both":
             raise ValueError("a hodlr factor has no parts")
-        return self._with(b, change)
+        if op == "C":
+            return _conjugate(self.solve(_conjugate(b), part, "T"))
+        if not kind.startswith("hodlr"):
+            return tiles.of_vectors(self.tables, b, lambda x, scalar: tiles.solve(self.tables, kind, x, scalar, part, op))
+        if kind == "hodlr":
+            return hodlr.apply(self.tables, kind, b, ["solve"])
+        turn = {"N": {"lower": "half_solve", "upper": "half_solve_t"}, "T": {"lower": "half_solve_t", "upper": "half_solve"}}[op]
+        return hodlr.apply(self.tables, kind, b, ["half_solve", "half_solve_t"] if part == "both" else [turn[part]])
 
     def trsm(self, x: DataFrame, *, side: str = "L", uplo: str = "L", trans: str = "N", unit: bool | None = None, alpha: complex = 1) -> DataFrame:
         """alpha op(T)^-1 X, or alpha X op(T)^-1 for rows of X given as right-hand sides, with a triangular part of an lu, llt or ldlt factor."""
@@ -120,35 +59,45 @@ class Factor:
         if kind not in ("lu", "llt", "ldlt") or (uplo == "U" and kind != "lu"):
             raise ValueError(f"a {kind} factor has no such part")
         ones = (kind == "ldlt" or (kind == "lu" and uplo == "L")) if unit is None else unit
-        return self._with(x, lambda f, m: hmatrix.trsm(f, m, side, uplo, trans, ones, alpha) if side == "L" else hmatrix.trsm(f, m.T, side, uplo, trans, ones, alpha).T)
+        if side == "R" and trans == "C":  # X T^-H = conj(conj(X) T^-T), solved from the left with T
+            return _scaled(_conjugate(self.trsm(_conjugate(x), uplo=uplo, unit=ones)), alpha)
+        op = {"N": "T", "T": "N"}[trans] if side == "R" else trans
+        return _scaled(tiles.of_vectors(self.tables, x, lambda p, scalar: tiles.triangular(self.tables, p, scalar, uplo, op, ones)), alpha)
 
     def times(self, x: DataFrame) -> DataFrame:
         """A x from the factors: L U x, L L^T x, L D L^T x, or L W W^T L^T x."""
         kind = self.kind
         if kind == "hodlr":
             raise ValueError("a hodlr factor only solves")
-
-        def change(f, m: np.ndarray) -> np.ndarray:
-            return f.times(m) if kind == "hodlrsym" else hmatrix.factor_times(f, kind, m)
-
-        return self._with(x, change)
+        if kind == "hodlrsym":
+            return hodlr.apply(self.tables, kind, x, ["half_times_t", "half_times"])
+        return tiles.of_vectors(self.tables, x, lambda p, scalar: tiles.times(self.tables, kind, p, scalar))
 
     def log_determinant(self) -> DataFrame:
         """One row: logdet (of A, its modulus) and factor_logdet (of the stored triangular factor alone)."""
-        kind = self.kind
-
-        def run(arrays: pd.DataFrame) -> pd.DataFrame:
-            f = _grown(arrays, kind)
-            value = f.log if kind.startswith("hodlr") else hmatrix.log_determinant(f, kind)
-            return pd.DataFrame({"logdet": [value], "factor_logdet": [value if kind == "lu" else value / 2]})
+        return hodlr.log_determinant(self.tables) if self.kind.startswith("hodlr") else tiles.log_determinant(self.tables, self.kind)
 
-        return self.arrays.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "logdet double, factor_logdet double")
+    def inverse_parts(self) -> DataFrame:
+        """A^-1 as dense blocks (``product.PART``), from the columns of the identity, a strip of them at a time."""
+        if self.kind.startswith("hodlr"):
+            raise ValueError("the inverse comes from tiles")
+        return tiles.inverse_parts(self.tables, self.kind)
 
     def save(self, path: str) -> None:
-        self.arrays.withColumn("kind", F.lit(self.kind)).write.mode("overwrite").parquet(f"{path}/arrays")
-        self.perm.write.mode("overwrite").parquet(f"{path}/perm")
+        for name, table in self.tables.items():
+            table.withColumn("_factor", F.lit(self.kind)).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Factor:
-        arrays = spark.read.parquet(f"{path}/arrays")
-        return Factor(arrays.select("kind").first()["kind"], arrays.drop("kind"), spark.read.parquet(f"{path}/perm"))
+        first = spark.read.parquet(f"{path}/strips").select("_factor").first()
+        kind = first["_factor"] if first else "lu"
+        names = {"lu": ("places", "strips", "diagonal", "low", "up"), "llt": ("places", "strips", "diagonal", "low")}
+        names |= {"ldlt": names["llt"], "hodlr": ("places", "strips", "panels", "cores"), "hodlrsym": ("places", "strips", "panels", "cores")}
+        return Factor(kind, {n: spark.read.parquet(f"{path}/{n}").drop("_factor") for n in names[kind]})
+
+
+def _scaled(x: DataFrame, alpha: complex) -> DataFrame:
+    a = complex(alpha)
+    if a == 1:
+        return x
+    return x.select("dof", "rhs", (a.real * F.col("re") - a.imag * F.col("im")).alias("re"), (a.real * F.col("im") + a.imag * F.col("re")).alias("im"))

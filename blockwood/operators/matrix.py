@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..frames import cut, settle
-from ..functions import hmatrix, lowrank
+from ..functions import lowrank
 from ..functions.kernels import Kernel
 from .blocks import Admissibility, build_blocks
 from .cluster import Clustering, build_tree
+from . import product
 
 if TYPE_CHECKING:
     from .factor import Factor
@@ -191,19 +192,13 @@ class HMatrix:
         return HMatrix(self.col_nodes, self.col_perm, self.row_nodes, self.row_perm, blocks, leaves, self.symmetric)
 
     def axpy(self, alpha: complex, other: HMatrix) -> HMatrix:
-        """self + alpha * other, block by block; with another block tree every leaf takes its part of the other's, in one task."""
+        """self + alpha * other, block by block; with another block tree the other's leaves are cut to those of this one that they meet."""
         if (self.row_perm is not other.row_perm or self.col_perm is not other.col_perm) and self._order(other):
             raise ValueError("the two matrices number their points differently")
         mine, yours = self.leaves.select("r", "c"), other.leaves.select("r", "c")
         if self.symmetric != other.symmetric or mine.join(yours, ["r", "c"], "full_outer").count() != mine.join(yours, ["r", "c"]).count():
-            eps, whole = self.leaves.agg(F.max("eps")).first()[0], other.symmetric
-
-            def work(trees: list[hmatrix.Block]) -> hmatrix.Block:
-                for leaf in (hmatrix.mirrored(trees[1]) if whole else trees[1]).leaves():
-                    hmatrix.add_leaf(trees[0], leaf, alpha, eps)
-                return trees[0]
-
-            return self._from_tree(work, (other,))
+            eps = self.leaves.agg(F.max("eps")).first()[0]
+            return replace(self, leaves=product.accumulate(self, product.parts_of(other, alpha), eps))
         names = [x.split()[0] for x in LEAF.split(", ")]
         theirs = other.leaves.select("r", "c", *[F.col(n).alias(f"o_{n}") for n in names[2:]])
 
@@ -228,7 +223,14 @@ class HMatrix:
 
     def _order(self, other: HMatrix) -> bool:
         """Whether positions belong to other dofs than in ``other``."""
-        return any(a.select("pos", "dof").join(b.select("pos", "dof"), ["pos", "dof"], "full_outer").count() != a.join(b.select("pos", "dof"), ["pos", "dof"]).count() for a, b in ((self.row_perm, other.row_perm), (self.col_perm, other.col_perm)))
+        return self._order_of(self.row_perm, other.row_perm) or self._order_of(self.col_perm, other.col_perm)
+
+    @staticmethod
+    def _order_of(a: DataFrame, b: DataFrame) -> bool:
+        if a is b:
+            return False
+        a, b = a.select("pos", "dof"), b.select("pos", "dof").toDF("pos", "dof")
+        return a.join(b, ["pos", "dof"], "full_outer").count() != a.join(b, ["pos", "dof"]).count()
 
     def coarsen(self, eps: float) -> HMatrix:
         """Merges sibling blocks that are all low rank where one block is cheaper, from the leaves up, level by level."""
@@ -521,73 +523,13 @@ class HMatrix:
         """X A for rows of X given as right-hand sides: A^T on each."""
         return self.gemv(x, op="T", **more)
 
-    # -------------------------------------------------------- whole matrix in one task
+    # -------------------------------------------------------- factors, products
 
-    def whole(self, work: Callable, schema: str, rows: DataFrame | None = None, matrices: tuple[HMatrix, ...] = (), most_bytes: int = 1 << 30) -> DataFrame:
-        """``work(block trees, frame of rows) -> pandas`` in one task, for matrices (this one first) of up to ``most_bytes`` of payload together.
-
-        Factorizations follow a sequential elimination order; below this size one task is the quickest way.  Symmetric
-        matrices come as stored, without their upper half.
-        """
-        every = None
-        for number, m in enumerate((self, *matrices)):
-            size = F.coalesce(F.length("d"), F.length("a") + F.length("b"))
-            most_bytes -= m.leaves.agg(F.sum(size)).first()[0] or 0
-            if most_bytes < 0:
-                raise NotImplementedError("more payload than a single task takes")
-            blocks = m.blocks.select("r", "c", "parent_r", "parent_c", "i", "j", "depth", "r_off", "r_n", "c_off", "c_n", F.col("kind").alias("b_kind"))
-            part = blocks.join(m.leaves.select("r", "c", "kind", "rank", "dtype", "a", "b", "d"), ["r", "c"], "left").withColumn("number", F.lit(number))
-            every = part if every is None else every.unionByName(part)
-        every = every.withColumn("one", F.lit(1))
-
-        def grow(frame: pd.DataFrame) -> hmatrix.Block:
-            made, root = {}, None
-            for x in frame.sort_values("depth").itertuples():
-                b = hmatrix.Block(int(x.r_off), int(x.r_n), int(x.c_off), int(x.c_n))
-                b.name = (x.r, x.c)
-                if x.b_kind != "node":
-                    v = payload(x)
-                    b.rk, b.full = (v, None) if isinstance(v, tuple) else (None, v)
-                made[x.r, x.c] = b
-                if isinstance(x.parent_r, str):
-                    up = made[x.parent_r, x.parent_c]
-                    up.kids = up.kids or {}
-                    up.kids[int(x.i), int(x.j)] = b
-                else:
-                    root = b
-            return root
-
-        def trees(frame: pd.DataFrame) -> list[hmatrix.Block]:
-            return [grow(part) for _, part in frame.groupby("number", sort=True)]
-
-        if rows is not None:
-            tagged = rows.withColumn("one", F.lit(1))
-            return every.groupBy("one").cogroup(tagged.groupBy("one")).applyInPandas(lambda m, o: work(trees(m), o), schema)
-        return every.groupBy("one").applyInPandas(lambda m: work(trees(m), None), schema)
-
-    def _from_tree(self, work: Callable, matrices: tuple[HMatrix, ...] = ()) -> HMatrix:
-        """The matrix whose leaves are those of the tree ``work(trees)``, which has this one's structure."""
-        dtype, eps = self.leaves.select("dtype", "eps").first() or ("D", 1e-12)
-
-        def run(trees: list[hmatrix.Block], _) -> pd.DataFrame:
-            out = []
-            for leaf in work(trees).leaves():
-                x = SimpleNamespace(dtype=dtype)
-                row = {"r": leaf.name[0], "c": leaf.name[1], "r_off": leaf.r0, "r_n": leaf.rn, "c_off": leaf.c0, "c_n": leaf.cn, "eps": eps, "dtype": dtype}
-                out.append(row | packed(x, leaf.rk if leaf.rk is not None else leaf.full))
-            return pd.DataFrame(out, columns=[n.split()[0] for n in LEAF.split(", ")])
-
-        return replace(self, leaves=settle(self.whole(run, LEAF, None, matrices)))
-
-    def _right(self, x: DataFrame, perm: DataFrame) -> DataFrame:
-        x = x if "im" in x.columns else x.withColumn("im", F.lit(0.0))
-        return perm.select("pos", "dof").join(x, "dof").select("pos", "dof", "rhs", "re", "im")
-
-    def factorize(self, kind: str = "lu", eps: float = 1e-12) -> Factor:
+    def factorize(self, kind: str = "lu", eps: float = 1e-12, strip_points: int | None = None) -> Factor:
         """A kept factor: lu, llt, ldlt, hodlr or hodlrsym (real); see ``Factor``."""
         from .factor import Factor
 
-        return Factor.of(self, kind, eps)
+        return Factor.of(self, kind, eps, strip_points)
 
     def solve(self, b: DataFrame, kind: str = "lu", part: str = "both", eps: float = 1e-12) -> DataFrame:
         """x with A x = b through ``factorize``: once for this call; keep the factor to solve again."""
@@ -597,38 +539,23 @@ class HMatrix:
         """One row: logdet (of A) and factor_logdet (of the stored triangular factor alone)."""
         return self.factorize(kind, eps).log_determinant()
 
-    def inverse(self, eps: float = 1e-12) -> HMatrix:
-        """A^-1 in the structure of A; needs both halves."""
+    def inverse(self, eps: float = 1e-12, strip_points: int | None = None) -> HMatrix:
+        """A^-1 in the structure of A, tile by tile from its LU factor; needs both halves."""
         if self.symmetric:
             raise ValueError("the inverse needs both halves of the matrix")
 
-        def work(trees: list[hmatrix.Block]) -> hmatrix.Block:
-            hmatrix.inverse(trees[0], eps)
-            return trees[0]
-
-        return self._from_tree(work)
+        f = self.factorize("lu", eps, strip_points)
+        return replace(self, leaves=product.accumulate(self, f.inverse_parts(), eps, beta=0))
 
     def multiply(self, other: HMatrix, alpha: complex = 1, beta: complex = 0, into: HMatrix | None = None, op: tuple[str, str] = ("N", "N"), eps: float = 1e-12) -> HMatrix:
         """alpha op(A) op(B) + beta C as a matrix in the structure of C (default: that of A, with beta 0); op is N, T or C.
 
-        Where the trees of the three do not fit each other, blocks are multiplied densely.  Symmetric A and B take part as a whole; C may be a lower half.
+        The block trees of the three may differ, but not how they number points.  Symmetric A and B take part as a whole; C may be a lower half.
         """
-        symmetric, target = (self.symmetric, other.symmetric), self if into is None else into
-
-        def work(trees: list[hmatrix.Block]) -> hmatrix.Block:
-            c, a, b = trees
-            a, b = (hmatrix.mirrored(x) if s else x for x, s in zip((a, b), symmetric, strict=True))
-            a, b = (x if o == "N" else x.transposed() for x, o in zip((a, b), op, strict=True))
-            for x in {id(x): x for x, o in zip((a, b), op, strict=True) if o == "C"}.values():
-                for leaf in x.leaves():
-                    leaf.full, leaf.rk = (None if leaf.full is None else leaf.full.conj()), (None if leaf.rk is None else (leaf.rk[0].conj(), leaf.rk[1].conj()))
-            out = hmatrix.zeroed(c) if beta == 0 else c
-            if beta not in (0, 1):
-                hmatrix.scaled(out, beta)
-            hmatrix.gemm(alpha, a, b, out, eps)
-            return out
-
-        return target._from_tree(work, (self, other))
+        a, b = (product.unfolded(x) for x in (self, other))
+        a, b = (x if o == "N" else x.transpose() if o == "T" else x.transpose().conjugate() for x, o in zip((a, b), op, strict=True))
+        target = self if into is None else into
+        return replace(target, leaves=product.multiply(a, b, target, alpha, beta, eps))
 
     def multiply_with_diagonal(self, d: DataFrame, side: str = "R", inverse: bool = False) -> HMatrix:
         """A D or D A (or with D^-1) for a diagonal given as (dof, re); one join of leaves with their piece of it."""

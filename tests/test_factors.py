@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockwood.functions import dense, hmatrix, lowrank
+from blockwood.functions import dense, lowrank
 from blockwood.functions.kernels import Kernel
 from blockwood.operators.blocks import Admissibility
 from blockwood.operators.cluster import Clustering
 from blockwood.operators.factor import Factor
+from blockwood.operators import strips, tiles
 from blockwood.operators.matrix import HMatrix
 from blockwood.sources import points as P
 
@@ -48,21 +49,88 @@ def x():
     return np.random.default_rng(0).normal(size=(N, 2))
 
 
-@pytest.mark.parametrize("kind", ["lu", "llt", "ldlt", "hodlr", "hodlrsym"])
-def test_one_factor_solves_again_after_it_was_saved(spark, line, x, tmp_path, kind):
+@pytest.mark.parametrize(("kind", "points"), [("lu", None), ("lu", 16), ("llt", 16), ("ldlt", 16), ("hodlr", 16), ("hodlrsym", 16)])
+def test_one_factor_solves_again_after_it_was_saved(spark, line, x, tmp_path, kind, points):
+    """In one strip, and in four to eight strips or tiles."""
     m = build(line, symmetric=kind != "lu")
     a = whole(m)
-    f = m.factorize(kind)
+    f = m.factorize(kind, strip_points=points)
+    assert (f.tables["strips"].count() > 3) == (points is not None)
     f.save(str(tmp_path / "f"))
-    for g in (f, Factor.load(spark, str(tmp_path / "f"))):
-        assert np.allclose(a @ array(g.solve(vectors(spark, x))), x, atol=1e-8)
-        assert g.log_determinant().first().logdet == pytest.approx(np.linalg.slogdet(a)[1])
+    assert np.allclose(a @ array(f.solve(vectors(spark, x))), x, atol=1e-8)
+    g = Factor.load(spark, str(tmp_path / "f"))
+    assert np.allclose(a @ array(g.solve(vectors(spark, x), op="T")), x, atol=1e-8) if kind != "lu" else np.allclose(a.T @ array(g.solve(vectors(spark, x), op="T")), x, atol=1e-8)
+    assert g.log_determinant().first().logdet == pytest.approx(np.linalg.slogdet(a)[1])
     if kind != "hodlr":
-        assert np.allclose(array(f.times(vectors(spark, x))), a @ x, atol=1e-8)
+        assert np.allclose(array(g.times(vectors(spark, x))), a @ x, atol=1e-8)
         halves = f.solve(f.solve(vectors(spark, x), "lower").select("dof", "rhs", "re"), "upper")
         assert np.allclose(a @ array(halves), x, atol=1e-8) or kind == "ldlt"
 
 
+def test_blocks_of_a_standard_matrix_in_tiles(spark, line, x):
+    """Leaves larger and smaller than a tile, and one vector that names few dofs."""
+    m = build(line, symmetric=True, admissibility=Admissibility("standard"))
+    a, f = whole(m), m.factorize("llt", strip_points=16)
+    few = vectors(spark, x).where("dof in (3, 40) and rhs = 1")
+    want = np.zeros((N, 2))
+    want[[3, 40], 1] = x[[3, 40], 1]
+    assert np.allclose(a @ array(f.solve(few)), want, atol=1e-8)
+    low = array(f.solve(vectors(spark, np.eye(N)), "lower"), N)  # L^-1 in the users' numbering
+    assert np.allclose(low.T @ low, np.linalg.inv(a), atol=1e-8)
+    with pytest.raises(ValueError):
+        m.factorize("hodlr", strip_points=16)
+
+
+def test_complex_factor(spark):
+    cloud = P.cylinder(spark, N)
+    m = HMatrix.build(cloud, Kernel("helmholtz", wave=2.0, nugget=0.0), clustering=Clustering(max_leaf=8), admissibility=Admissibility("hodlr"), eps=1e-12, scalar="Z")
+    b = spark.range(N).selectExpr("id AS dof", "0 AS rhs", "1.0 + id % 3 AS re", "0.5 * (id % 5) AS im")
+    for kind in ("lu", "hodlr"):
+        x = m.factorize(kind, strip_points=20).solve(b)
+        rest = {r.dof: complex(r.re, r.im) for r in m.gemv(x).collect()}
+        assert all(abs(rest[i] - complex(1 + i % 3, 0.5 * (i % 5))) < 1e-6 for i in range(N))
+
+
+def test_trsm_in_all_cases(spark, line):
+    """Against the inverses of both parts, which multiply to that of the matrix."""
+    m = build(line).multiply_with_diagonal(vectors(spark, 1 + np.arange(N)[:, None] % 3.0).drop("rhs"))
+    a, f, eye = whole(m), m.factorize("lu", strip_points=31), vectors(spark, np.eye(N))
+    inv = {u: array(f.trsm(eye, uplo=u), N) for u in "LU"}
+    assert np.allclose(inv["U"] @ inv["L"], np.linalg.inv(a), atol=1e-8)
+    b = np.random.default_rng(1).normal(size=(N, 2))
+    for uplo in "LU":
+        for trans, op in (("N", inv[uplo]), ("T", inv[uplo].T), ("C", inv[uplo].T)):
+            assert np.allclose(array(f.trsm(vectors(spark, b), uplo=uplo, trans=trans, alpha=2)), 2 * op @ b, atol=1e-8)
+            assert np.allclose(array(f.trsm(vectors(spark, b), side="R", uplo=uplo, trans=trans)).T, b.T @ op, atol=1e-8)
+
+
+def test_strips_do_without_order(spark):
+    """QR of stacked strips in rounds of two, sums of arrays, and strips of a tree."""
+    rng = np.random.default_rng(3)
+    parts = [rng.normal(size=(n, 4)) for n in (3, 9, 1, 6, 5)]
+    rows = [("p", k, "D", 4, np.linalg.qr(y, mode="r").tobytes()) for k, y in enumerate(parts)]
+    r = strips.tree_qr(spark.createDataFrame(rows, "key string, num long, kind string, columns int, r binary"), ["key"], 5, fan=2).collect()
+    y, found = np.concatenate(parts), strips.matrix(r[0].r, "D", 4)
+    assert len(r) == 1 and np.allclose(found.T @ found, y.T @ y)
+    b, t = strips.basis(found)
+    assert np.allclose((y @ b).T @ (y @ b), np.eye(4)) and np.allclose(y @ b @ t, y)
+    assert strips.basis(np.zeros((4, 4)))[0].shape == (4, 0)
+    sums = strips.summed(spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [5.0])], "key string, g array<double>"), ["key"]).collect()
+    assert {s.key: s.g for s in sums} == {"a": [4.0, 6.0], "b": [5.0]}
+
+
+def test_sums_of_tiles():
+    rng = np.random.default_rng(4)
+    low = [(rng.normal(size=(12, 2)), rng.normal(size=(9, 2))) for _ in range(9)]
+    want = sum(a @ b.T for a, b in low)
+    dense_of = lambda v: v[0] @ v[1].T if isinstance(v, tuple) else v
+    assert np.allclose(dense_of(tiles.total(low, (12, 9), 1e-13)), want)
+    assert np.allclose(dense_of(tiles.total([*low, np.ones((12, 9))], (12, 9), 1e-13)), want + 1)
+    for p in (low[0], want):
+        for q in (low[1], want):
+            assert np.allclose(dense_of(tiles.product(p, tiles.turned(q))), dense_of(p) @ dense_of(q).T)
+
+
 def test_lu_of_half_and_unknown_kinds_are_refused(line):
     m = build(line, symmetric=True)
     for kind in ("lu", "qr"):
@@ -70,41 +138,6 @@ def test_lu_of_half_and_unknown_kinds_are_refused(line):
             m.factorize(kind)
 
 
-def tree(a, r0=0, c0=0, leaf=6):
-    b = hmatrix.Block(r0, len(a), c0, a.shape[1])
-    if min(a.shape) <= leaf:
-        b.full = a.copy()
-    elif abs(r0 - c0) >= len(a) * 2:
-        b.rk = lowrank.svd(a, 1e-15)
-    else:
-        n, m = len(a) // 2, a.shape[1] // 2
-        b.kids = {(i, j): tree(a[i * n : n if i == 0 else None, j * m : m if j == 0 else None], r0 + i * n, c0 + j * m, leaf) for i in (0, 1) for j in (0, 1)}
-    return b
-
-
-@pytest.mark.parametrize("side", ["L", "R"])
-@pytest.mark.parametrize("uplo", ["L", "U"])
-@pytest.mark.parametrize("trans", ["N", "T", "C"])
-def test_trsm_in_all_cases(side, uplo, trans):
-    rng = np.random.default_rng(1)
-    a = rng.normal(size=(40, 40)) + 1j * rng.normal(size=(40, 40)) + 40 * np.eye(40)
-    t = tree(np.tril(a) if uplo == "L" else np.triu(a))
-    b = rng.normal(size=(40, 3)) if side == "L" else rng.normal(size=(3, 40))
-    op = {"N": t.dense(), "T": t.dense().T, "C": t.dense().conj().T}[trans]
-    want = 2 * (np.linalg.solve(op, b) if side == "L" else np.linalg.solve(op.T, b.T).T)
-    assert np.allclose(hmatrix.trsm(t, b, side, uplo, trans, alpha=2), want)
-
-
-def test_symmetric_hodlr_is_a_square_root():
-    x = np.sort(np.random.default_rng(3).uniform(0, 10, 48))
-    a = np.exp(-np.abs(x[:, None] - x)) + 0.3 * np.exp(-np.abs(x[:, None] - x) / 4) + 0.1 * np.eye(48)
-    f = hmatrix.HodlrSymmetric(tree(a, leaf=8))
-    g = f.half_times(np.eye(48))
-    assert np.allclose(g @ g.T, a) and np.allclose(f.half_solve(g), np.eye(48)) and np.allclose(f.half_times_transposed(np.eye(48)), g.T)
-    back = hmatrix.node_from_flat(hmatrix.HodlrSymmetric, hmatrix.flat_node(f))
-    assert np.allclose(back.solve(a), np.eye(48)) and back.log == pytest.approx(np.linalg.slogdet(a)[1])
-
-
 def test_products_sums_and_parts(spark, line, x):
     m, s = build(line), build(line, admissibility=Admissibility("standard"), symmetric=True)
     a = whole(m)
@@ -117,6 +150,14 @@ def test_products_sums_and_parts(spark, line, x):
     assert np.allclose(array(md.gemv(vectors(spark, x), op="C")), (a * x[:, 0]).T @ x)
     assert np.allclose(whole(m.multiply(md, op=("T", "T"))), a.T @ (a * x[:, 0]).T, atol=1e-8)
     assert np.allclose(whole(m.inverse()) @ a, np.eye(N), atol=1e-7)
+    assert np.allclose(whole(m.inverse(strip_points=31)) @ a, np.eye(N), atol=1e-7)
+    assert np.allclose(whole(s.multiply(m, 2.0, -1.0, s)), 2 * a @ a - a, atol=1e-8)
+    full = build(line, admissibility=Admissibility("never", max_block=400))
+    assert np.allclose(whole(full.multiply(m, 1.0, 1.0, full)), a @ a + a, atol=1e-8)
+    assert np.allclose(whole(m.multiply(full)), a @ a, atol=1e-8)
+    other = build(line, clustering=Clustering("median", divider=3, max_leaf=5))
+    if not m._order(other):  # other cuts of the same order
+        assert np.allclose(whole(m.axpy(2.0, other)), 3 * a, atol=1e-8)
     assert np.allclose(whole(m.subtract_mdmt(m, d)), a - (a * x[:, 0]) @ a.T, atol=1e-8)
     ids = spark.createDataFrame([(3,), (59,), (7,), (99,)], "dof long")
     for h in (m, s):
