@@ -94,7 +94,7 @@ def mix(
     ranked = rank_within(rows, "_source", [back[c] for c in ties], "_rank", buckets=rank_buckets(sum(n for _, n in counts)))
     ranked = ranked.withColumn("_block", F.expr(f"_rank div {block_rows}L"))
     met = ranked.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("p_source")))  # most_slots numbers at most
-    met = met.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(p_turns - 1 - _block) div p_blocks"))))
+    met = _repeated(met, max((t // b for (_, _, b, t, _) in table if b), default=0))
     turn = F.col("_block") + F.col("_epoch") * F.col("p_blocks")
     slot = F.floor(turn / F.col("p_weight")) * F.lit(size) + F.get("p_slots", F.pmod(turn, F.col("p_weight")).cast("int"))
     results = {key, source, "slot", "epoch", "block", "place"}
@@ -109,6 +109,24 @@ def mix(
     )
 
 
+def _repeated(rows: DataFrame, most: int, at_once: int = 4096) -> DataFrame:
+    """Each row once for every epoch of its source (``_epoch``).
+
+    Rows of small sources may come again very often: beyond ``at_once`` epochs they are multiplied in two
+    steps, dealt over the cluster between them, so that no task and no array holds more than ``at_once`` copies of a row.
+    """
+    last = F.expr("(p_turns - 1 - _block) div p_blocks")
+    if most <= at_once:
+        return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    often = F.expr("p_turns div p_blocks") > at_once
+    few = rows.where(~often).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    many = rows.where(often).withColumns({"_last": last, "_chunk": F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / at_once)))})
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: few bytes here, many rows after
+    many = many.repartition(parts, "_source", "_rank", "_chunk")
+    inside = F.sequence(F.col("_chunk") * at_once, F.least(F.col("_last"), (F.col("_chunk") + 1) * at_once - 1))
+    return few.unionByName(many.withColumn("_epoch", F.explode(inside)).drop("_last", "_chunk"))
+
+
 def share_bound(period: list[list[int]], weights: list[int]) -> Fraction:
     """Largest deviation of any source from its share over one period, in blocks (below 1)."""
     total, worst = sum(weights), Fraction(0)

@@ -97,6 +97,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> dic
     return dict(zip(names, (text, at - base, first - base, last - base, context, more, left, right), strict=True))
 
 
+def runs(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every run of neighbours in one text with equal contexts, as periodic stretches have them.
+
+    Neighbouring anchors own neighbouring windows, so a run covers one stretch of its text; if it is longer than one, its context repeats by itself.
+    """
+    n = len(a["text"])
+    same = np.zeros(n + 1, bool)
+    if n:
+        same[1:n] = np.logical_and.reduce([a[k][1:] == a[k][:-1] for k in ("text", "context", "more")])
+    return np.flatnonzero(~same[:n]), np.flatnonzero(~same[1:])
+
+
 def anchors_of_texts(data: np.ndarray, offsets: np.ndarray, least: int, gram: int, stretch: int = _STRETCH) -> dict[str, np.ndarray]:
     """``anchors``; a text of more than ``stretch`` windows goes stretch by stretch, each with the bytes that its last window reaches."""
     if len(data) <= stretch + least - 1 or len(offsets) != 2:
@@ -191,14 +203,14 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     A text is known by two hashes (``text_codes``).  Matches never cross texts; a string that overlaps its other
     occurrence counts.  Null and short texts have none.  A text that occurs in several rows is covered as a whole.
-    Texts of any length are read whole.
+    Texts of any length are read whole.  Periodic stretches (a repeated byte, rules of tables) count as one run, not as an anchor for each period.
     """
     ship(docs.sparkSession)
     if least - gram >= 1 << 15:
         raise ValueError("windows are at most 32,767 bytes longer than grams")
     rows = docs.where(F.length(text) > 0).select(F.col(text).alias("_text"), *text_codes(F.col(text)), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row_key"))
     # place: of the anchor, 31 bits; what its windows reach before it and their number, 15 bits each; whether the text has copies.
-    # uid: number of a text in the scan; a row without a place says which text that is
+    # uid: number of a text in the scan; a row without a place says which text that is, or, without that as well, which stretch (left to right) a run covers
     schema = "uid long, place long, context long, more int, left long, right long, text_key long, text_more long, row_key long"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -213,17 +225,22 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             once, many = once[order], many[order]
             some = batch.take(pa.array(once))
             a = anchors_of_texts(*text_buffer(some.column("_text")), least, gram)
+            head, tail = runs(a)
+            again, ends = tail > head, a["last"][tail] + least
+            a = {k: v[head] for k, v in a.items()}
             t, uid = a["text"], seen + np.arange(len(once))
             seen += len(once)
             signed = lambda n: pa.array(a[n].view(np.int64))  # noqa: B023, E731
-            place = a["at"] << 31 | (a["at"] - a["first"]) << 16 | (a["last"] - a["first"]) << 1 | (many > 1)[t]
+            place = a["at"] << 31 | (a["at"] - a["first"]) << 16 | (a["last"] - a["first"]) << 1 | ((many > 1)[t] | again)
             yield pa.RecordBatch.from_arrays([pa.array(uid[t]), pa.array(place), signed("context"), pa.array(a["more"].astype(np.int32)), signed("left"), signed("right"), *[pa.nulls(len(t), pa.int64())] * 3], names=names)
+            if n := int(again.sum()):
+                yield pa.RecordBatch.from_arrays([pa.array(uid[t[again]]), *[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.int32()), pa.array(a["first"][again]), pa.array(ends[again]), *[pa.nulls(n, pa.int64())] * 3], names=names)
             n = len(once)
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 2, *[some.column(c) for c in ("text_key", "text_more", "row_key")]], names=names)
 
     scanned = settle(rows.mapInArrow(scan, schema))
     found = scanned.where("place is not null").select("uid", "place", "context", "more", "left", "right")
-    known = scanned.where("place is null").select("uid", "text_key", "text_more", "row_key")
+    known = scanned.where("place is null and row_key is not null").select("uid", "text_key", "text_more", "row_key")
     at = F.shiftright("place", 31)
     first = (at - F.shiftright(F.col("place").bitwiseAND((1 << 31) - 1), 16)).cast("int")
     last = (first + F.shiftright(F.col("place").bitwiseAND((1 << 16) - 1), 1)).cast("int")
@@ -271,6 +288,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sweep(docs.sparkSession)
     out = found.select("uid", "context", "more", at.alias("at")).join(covered, ["context", "more"])
     out = out.select("uid", (F.col("at") - F.col("back")).alias("from"), (F.col("at") + F.col("ahead")).alias("to"))
+    out = out.unionByName(scanned.where("place is null and row_key is null").select("uid", F.col("left").cast("int").alias("from"), F.col("right").cast("int").alias("to")))
     return out.join(known, "uid").select("text_key", "text_more", "from", "to")
 
 
