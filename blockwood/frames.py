@@ -47,11 +47,12 @@ class Scratch:
 
     def drop(self) -> None:
         for path in self.paths:
-            _delete(self.spark, path)
+            delete(self.spark, path)
         self.paths.clear()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``settle`` or a caller wrote."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -85,7 +86,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes settled tables that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_settled_at", None):
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def cut_rows(df: DataFrame, most: int = 20_000, bound: int | None = None) -> tuple[DataFrame, pa.Table | None]:
