@@ -18,7 +18,7 @@ from ..functions import lowrank
 from ..functions.kernels import Kernel
 from .blocks import Admissibility, build_blocks
 from .cluster import Clustering, build_tree
-from . import product
+from . import product, wide
 
 if TYPE_CHECKING:
     from .factor import Factor
@@ -75,26 +75,32 @@ class HMatrix:
     # -------------------------------------------------------- building
 
     @staticmethod
-    def build(points: DataFrame, kernel: Kernel, *, columns: DataFrame | None = None, clustering: Clustering = Clustering(), admissibility: Admissibility = Admissibility(), symmetric: bool = False, method: str = "svd", eps: float = 1e-4, scalar: str = "D", least_svd: int = 0, validate: bool = False) -> HMatrix:
-        """Trees, block tree and assembled leaves of k(p, q) over ``points`` (rows) and ``columns`` (default: the same)."""
+    def build(points: DataFrame, kernel: Kernel, *, columns: DataFrame | None = None, clustering: Clustering = Clustering(), admissibility: Admissibility = Admissibility(), symmetric: bool = False, method: str = "svd", eps: float = 1e-4, scalar: str = "D", least_svd: int = 0, validate: bool = False, task_points: int = 1_000_000) -> HMatrix:
+        """Trees, block tree and assembled leaves of k(p, q) over ``points`` (rows) and ``columns`` (default: the same); ``task_points``: see ``assembled``."""
         ship(points.sparkSession)
         row_nodes, row_perm = build_tree(points, clustering)
         col_nodes, col_perm = (row_nodes, row_perm) if columns is None else build_tree(columns, clustering)
         blocks = build_blocks(row_nodes, col_nodes, admissibility, symmetric)
         empty = HMatrix(row_nodes, row_perm, col_nodes, col_perm, blocks, None, symmetric)
-        out = replace(empty, leaves=settle(empty.assembled(kernel, method, eps, scalar, least_svd)))
+        out = replace(empty, leaves=settle(empty.assembled(kernel, method, eps, scalar, least_svd, task_points=task_points)))
         if validate:
             worst = out.validated(kernel).where(F.col("error") > 10 * eps * F.col("norm")).orderBy(F.desc("error")).first()
             if worst is not None:
                 raise ValueError(f"a block misses its precision: {worst}")
         return out
 
-    def assembled(self, kernel: Kernel, method: str = "svd", eps: float = 1e-4, scalar: str = "D", least_svd: int = 0, dense: bool = False) -> DataFrame:
+    def assembled(self, kernel: Kernel, method: str = "svd", eps: float = 1e-4, scalar: str = "D", least_svd: int = 0, dense: bool = False, task_points: int = 1_000_000) -> DataFrame:
         """Leaf payloads: each block with the coordinates of its two clusters is one row of one task.
 
         Values are computed in double precision, compressed (strata one by one, truncated after each), then stored as ``scalar``.
+        Low-rank blocks of more than ``task_points`` rows and columns are compressed over the cluster (``wide``), whatever the method.
         """
         open_ = self.blocks.where("kind <> 'node'").select("r", "c", "r_off", "r_n", "c_off", "c_n", "kind")
+        large = open_.where(f"kind = 'rk' and r_n + c_n > {task_points}").withColumn("id", F.concat_ws(":", "r", "c"))
+        if not dense and large.limit(1).count():
+            panels = wide.cross_approximation(large, self.row_perm, self.col_perm, kernel, eps, max(1, min(10_000, task_points // 2)), "Z" if scalar in "CZ" else "D")
+            rest = replace(self, blocks=self.blocks.where(f"kind = 'full' or (kind = 'rk' and r_n + c_n <= {task_points})"))
+            return rest.assembled(kernel, method, eps, scalar, least_svd).unionByName(wide.leaves_of(panels, large, eps, scalar))
         rows = segments(self.row_perm, open_.select(F.col("r").alias("path"))).select(F.col("path").alias("r"), F.col("dofs").alias("r_dofs"), F.col("coords").alias("r_coords"))
         cols = segments(self.col_perm, open_.select(F.col("c").alias("path"))).select(F.col("path").alias("c"), F.col("dofs").alias("c_dofs"), F.col("coords").alias("c_coords"))
         names = [x.split()[0] for x in LEAF.split(", ")]

@@ -9,7 +9,7 @@ from blockwood.functions.kernels import Kernel
 from blockwood.operators.blocks import Admissibility
 from blockwood.operators.cluster import Clustering
 from blockwood.operators.factor import Factor
-from blockwood.operators import strips, tiles
+from blockwood.operators import strips, tiles, wide
 from blockwood.operators.matrix import HMatrix
 from blockwood.sources import points as P
 
@@ -197,3 +197,20 @@ def test_compressors_find_ranks_above_one(method):
     a, b = lowrank.compress(block, method, 1e-10)
     assert np.allclose(a @ b.T, block, atol=1e-8) or method == "aca_random"
     assert dense.rank_by(np.linalg.svd(block)[1], 1e-10) == 1
+
+
+def test_blocks_beyond_a_task(spark):
+    """Every low-rank block of more than 50 points is compressed in strips of 25: as good as in one task; panels are truncated by a tree of QRs."""
+    n = 120
+    cloud = P.points(spark.range(n).selectExpr("id", "double(id * id % 121) AS x", "double(id % 7) AS y"), "id", ["x", "y"])
+    kernel = Kernel("exp", 6.0, nugget=0.5)
+    m = HMatrix.build(cloud, kernel, clustering=Clustering(max_leaf=30), admissibility=Admissibility("hodlr"), eps=1e-9, task_points=50)
+    worst = m.validated(kernel).agg(F.max(F.col("error") / F.col("norm")), F.max("rank"), F.count(F.lit(1))).first()
+    assert worst[0] < 1e-7 and worst[1] <= 25 and worst[2] == 6
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(50, 9)) * 10.0 ** -np.arange(9), rng.normal(size=(31, 9))
+    rows = [("p", side, k, 7 * k, len(part), 9, "D", part.tobytes()) for side, x in ((0, a), (1, b)) for k, part in enumerate(np.split(x, range(7, len(x), 7)))]
+    cut = wide.truncated(spark.createDataFrame(rows, wide.PANEL), 1e-5).collect()
+    panels = [np.concatenate([np.frombuffer(r.panel).reshape(r.n, r["rank"]) for r in sorted(cut, key=lambda r: r.num) if r.side == side]) for side in (0, 1)]
+    one = lowrank.truncate((a, b), 1e-5)
+    assert panels[0].shape == one[0].shape and panels[1].shape == one[1].shape and np.allclose(panels[0] @ panels[1].T, one[0] @ one[1].T, atol=1e-12)
