@@ -236,14 +236,3 @@ def add(parts: list[tuple[complex, Rk]], eps: float) -> Rk:
 def norm_squared(x: Rk) -> float:
     a, b = x
     return float(((a.conj().T @ a) * (b.conj().T @ b)).sum().real) if a.shape[1] else 0.0
-
-
-def quantised(x: np.ndarray, eps: float) -> tuple[np.ndarray, float]:
-    """(integers, step): values rounded to a grid so that no entry moves by more than eps times the largest."""
-    top = float(np.abs(x).max()) if x.size else 0.0
-    step = 2 * eps * top
-    if step == 0:
-        return np.zeros(x.shape, np.int8), 0.0
-    q = np.rint(x / step)
-    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.abs(q).max() <= np.iinfo(k).max)
-    return q.astype(kind), step

@@ -39,7 +39,7 @@ def factor(m, kind: str, strip_points: int) -> dict[str, DataFrame]:
     numbered = [(r["strip"], r["off"], r["n"], i) for i, r in enumerate(strips.orderBy("off").collect())]  # one row a strip
     strips = m.leaves.sparkSession.createDataFrame(numbered, "strip string, off long, n long, num long")
     tagged = _inside(m, strips)
-    scalar = "Z" if (m.leaves.agg(F.max(F.col("dtype").isin("C", "Z"))).first()[0] or False) else "D"
+    scalar = "Z" if (m.leaves.agg(F.max(F.col("dtype").isin("C", "Z", "Q"))).first()[0] or False) else "D"
     up = np.complex128 if scalar == "Z" else np.float64
     if kind == "hodlrsym" and scalar == "Z":
         raise ValueError("hodlrsym is for real matrices")

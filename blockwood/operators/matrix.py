@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..frames import cut, settle
-from ..functions import lowrank
+from ..functions import bits, lowrank
 from ..functions.kernels import Kernel
 from .blocks import Admissibility, build_blocks
 from .cluster import Clustering, build_tree
@@ -25,6 +25,8 @@ if TYPE_CHECKING:
 
 LEAF = "r string, c string, r_off long, r_n long, c_off long, c_n long, kind string, rank int, eps double, dtype string, a binary, b binary, d binary"
 _NUM = {"S": np.float32, "D": np.float64, "C": np.complex64, "Z": np.complex128}
+_PACKED = {"P": "D", "Q": "Z"}  # leaves as packed integers (``bits``): what they become once changed
+COMPLEX = ("C", "Z", "Q")
 
 
 def _array(blob: bytes, kind: str, rows: int) -> np.ndarray:
@@ -33,7 +35,9 @@ def _array(blob: bytes, kind: str, rows: int) -> np.ndarray:
 
 def payload(x) -> np.ndarray | lowrank.Rk:
     """A leaf row's full array or low-rank pair, in double precision."""
-    up = np.complex128 if x.dtype in "CZ" else np.float64
+    up = np.complex128 if x.dtype in COMPLEX else np.float64
+    if x.dtype in _PACKED:
+        return bits.numbers(x.d, x.dtype == "Q") if x.kind == "full" else tuple(bits.numbers(p, x.dtype == "Q") for p in (x.a, x.b))
     if x.kind == "full":
         return np.frombuffer(x.d, _NUM[x.dtype]).reshape(x.r_n, x.c_n).astype(up)
     k = int(x.rank)
@@ -42,10 +46,11 @@ def payload(x) -> np.ndarray | lowrank.Rk:
 
 def packed(x, value) -> dict:
     """Columns of a leaf row with another payload."""
-    kind = _NUM[x.dtype]
+    dtype = _PACKED.get(x.dtype, x.dtype)
+    kind = _NUM[dtype]
     if isinstance(value, tuple):
-        return {"kind": "rk", "rank": value[0].shape[1], "a": np.ascontiguousarray(value[0], kind).tobytes(), "b": np.ascontiguousarray(value[1], kind).tobytes(), "d": None}
-    return {"kind": "full", "rank": None, "a": None, "b": None, "d": np.ascontiguousarray(value, kind).tobytes()}
+        return {"dtype": dtype, "kind": "rk", "rank": value[0].shape[1], "a": np.ascontiguousarray(value[0], kind).tobytes(), "b": np.ascontiguousarray(value[1], kind).tobytes(), "d": None}
+    return {"dtype": dtype, "kind": "full", "rank": None, "a": None, "b": None, "d": np.ascontiguousarray(value, kind).tobytes()}
 
 
 def dense_of(value) -> np.ndarray:
@@ -98,7 +103,7 @@ class HMatrix:
         open_ = self.blocks.where("kind <> 'node'").select("r", "c", "r_off", "r_n", "c_off", "c_n", "kind")
         large = open_.where(f"kind = 'rk' and r_n + c_n > {task_points}").withColumn("id", F.concat_ws(":", "r", "c"))
         if not dense and large.limit(1).count():
-            panels = wide.cross_approximation(large, self.row_perm, self.col_perm, kernel, eps, max(1, min(10_000, task_points // 2)), "Z" if scalar in "CZ" else "D")
+            panels = wide.cross_approximation(large, self.row_perm, self.col_perm, kernel, eps, max(1, min(10_000, task_points // 2)), "Z" if scalar in COMPLEX else "D")
             rest = replace(self, blocks=self.blocks.where(f"kind = 'full' or (kind = 'rk' and r_n + c_n <= {task_points})"))
             return rest.assembled(kernel, method, eps, scalar, least_svd).unionByName(wide.leaves_of(panels, large, eps, scalar))
         rows = segments(self.row_perm, open_.select(F.col("r").alias("path"))).select(F.col("path").alias("r"), F.col("dofs").alias("r_dofs"), F.col("coords").alias("r_coords"))
@@ -188,8 +193,11 @@ class HMatrix:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                frame["d"] = [np.ascontiguousarray(np.frombuffer(d, _NUM[t]).reshape(int(n), -1).T).tobytes() for d, t, n in zip(frame.d, frame.dtype, frame.c_n)]
-                yield frame[names]
+                out = []
+                for x in frame.itertuples():
+                    before = SimpleNamespace(kind="full", dtype=x.dtype, d=x.d, r_n=int(x.c_n), c_n=int(x.r_n))
+                    out.append({n: getattr(x, n) for n in names} | packed(x, payload(before).T))
+                yield pd.DataFrame(out, columns=names)
 
         turned = self.leaves.select([F.col({"a": "b", "b": "a"}.get(n, flip.get(n, n))).alias(n) for n in names])
         leaves = turned.where("kind = 'rk'").unionByName(turned.where("kind <> 'rk'").mapInPandas(run, LEAF))
@@ -400,7 +408,7 @@ class HMatrix:
             for frame in frames:
                 out = []
                 for x in frame.itertuples():
-                    m = np.frombuffer(x.o_d, np.complex128 if x.dtype in "CZ" else np.float64).reshape(int(x.r_n), -1)
+                    m = np.frombuffer(x.o_d, np.complex128 if x.dtype in COMPLEX else np.float64).reshape(int(x.r_n), -1)
                     out.append({"r_off": x.r_off, "c_off": x.c_off, "rank": x.rank, "error": float(np.linalg.norm(dense_of(payload(x)) - m)), "norm": float(np.linalg.norm(m))})
                 yield pd.DataFrame(out, columns=["r_off", "c_off", "rank", "error", "norm"])
 
@@ -446,26 +454,31 @@ class HMatrix:
         return float(self.leaves.mapInPandas(run, "twice boolean, s double").agg(F.sqrt(F.sum(weight * F.col("s")))).first()[0] or 0.0)
 
     def quantise(self, eps: float) -> tuple[HMatrix, DataFrame]:
-        """Payloads rounded to the coarsest integer grid within eps of each block's largest entry, and stored bytes against raw bytes by kind."""
+        """Leaves stored as packed integers, and their bytes (``stored``) against those of plain numbers (``raw``) by kind.
+
+        Low-rank leaves move by at most eps of their largest singular value, dense ones by eps of their norm (``bits``).  Products read them
+        as they are; operators that change a leaf store it unpacked.
+        """
+        names = [x.split()[0] for x in LEAF.split(", ")]
 
-        def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 out = []
                 for x in frame.itertuples():
                     v = payload(x)
-                    parts = list(v) if isinstance(v, tuple) else [v]
-                    real = [y for p in parts for y in ([p.real, p.imag] if np.iscomplexobj(p) else [p])]
-                    out.append({"kind": x.kind, "raw": sum(p.nbytes for p in parts), "stored": sum(lowrank.quantised(y, eps)[0].nbytes + 8 for y in real)})
-                yield pd.DataFrame(out)
-
-        def rounded(p: np.ndarray) -> np.ndarray:
-            if np.iscomplexobj(p):
-                return rounded(p.real) + 1j * rounded(p.imag)
-            q, step = lowrank.quantised(p, eps)
-            return q * step
+                    row = {n: getattr(x, n) for n in names} | {"dtype": "Q" if x.dtype in COMPLEX else "P", "raw": sum(p.size * _NUM[_PACKED.get(x.dtype, x.dtype)]().nbytes for p in (v if isinstance(v, tuple) else (v,)))}
+                    if isinstance(v, tuple):
+                        a, b = bits.panels(v, eps)
+                        row |= {"a": a, "b": b, "rank": int(np.frombuffer(a, np.int64, 2)[1]) // (2 if row["dtype"] == "Q" else 1)}
+                    else:
+                        row["d"] = bits.block(v, eps)
+                    out.append(row)
+                yield pd.DataFrame(out, columns=[*names, "raw"])
 
-        ratio = self.leaves.mapInPandas(sizes, "kind string, raw long, stored long").groupBy("kind").agg(F.sum("raw").alias("raw"), F.sum("stored").alias("stored"))
-        return self.map_leaves(lambda x, v: (rounded(v[0]), rounded(v[1])) if isinstance(v, tuple) else rounded(v)), ratio
+        small = settle(self.leaves.mapInPandas(run, LEAF + ", raw long"))
+        stored = F.coalesce(F.length("d"), F.length("a") + F.length("b"))
+        ratio = small.groupBy("kind").agg(F.sum("raw").alias("raw"), F.sum(stored).alias("stored"))
+        return replace(self, leaves=small.drop("raw")), ratio
 
     # -------------------------------------------------------- products
 

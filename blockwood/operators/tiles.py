@@ -87,7 +87,7 @@ def tiles_of(m, strips: DataFrame, lower: bool, eps: float) -> tuple[DataFrame,
     """The leaves of a matrix cut to tiles and put together again: ``TILE``, and the kind of numbers.  ``lower``: tiles on and below the diagonal, mirrored inside those on it."""
     from .matrix import payload
 
-    kind = "Z" if (m.leaves.agg(F.max(F.col("dtype").isin("C", "Z"))).first()[0] or False) else "D"
+    kind = "Z" if (m.leaves.agg(F.max(F.col("dtype").isin("C", "Z", "Q"))).first()[0] or False) else "D"
     cover = settle(covers(m.row_nodes, strips))
     leaves = m.leaves.select("r", "c", "r_off", "r_n", "c_off", "c_n", "kind", "rank", "dtype", "a", "b", "d")
     if lower:

@@ -1,11 +1,13 @@
-"""Dense and low-rank kernels, without Spark."""
+"""Dense and low-rank kernels, and packed leaves."""
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
-from blockwood.functions import dense, hmatrix, lowrank
+from blockwood.functions import bits, dense, lowrank
+from blockwood.functions.kernels import Kernel
+from blockwood.operators.cluster import Clustering
+from blockwood.operators.matrix import HMatrix
+from blockwood.sources import points as P
 
 RNG = np.random.default_rng(1)
 
@@ -71,37 +73,36 @@ def test_factorizations():
         dense.lu(np.zeros((2, 2)))
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.integers(1, 12), st.integers(1, 12), st.floats(1e-8, 0.5))
-def test_quantisation_bound(n, m, eps):
-    x = np.random.default_rng(n * 100 + m).normal(size=(n, m))
-    q, step = lowrank.quantised(x, eps)
-    assert np.abs(q * step - x).max() <= eps * np.abs(x).max() * (1 + 1e-9)
-
-
-def tree(m, r0, c0, leaf):
-    b = hmatrix.Block(r0, m.shape[0], c0, m.shape[1])
-    if r0 != c0:
-        b.rk = lowrank.svd(m, 1e-13)
-    elif len(m) <= leaf:
-        b.full = m
-    else:
-        h = len(m) // 2
-        b.kids = {(i, j): tree(m[s, t], r0 + i * h, c0 + j * h, leaf) for i, s in enumerate((slice(0, h), slice(h, None))) for j, t in enumerate((slice(0, h), slice(h, None)))}
-    return b
-
-
-@pytest.mark.parametrize("kind", ["lu", "llt", "ldlt"])
-def test_tree_factorizations(kind):
-    x = np.sort(RNG.uniform(size=50))
-    a = np.exp(-np.abs(x[:, None] - x)) + 0.1 * np.eye(50)
-    t = tree(a, 0, 0, 8)
-    {"lu": hmatrix.factor_lu, "llt": hmatrix.factor_llt, "ldlt": hmatrix.factor_ldlt}[kind](t, 1e-14)
-    b = RNG.normal(size=(50, 2))
-    assert np.allclose(a @ hmatrix.solve(t, kind, b), b)
-    assert hmatrix.log_determinant(t, kind) == pytest.approx(np.linalg.slogdet(a)[1])
-    h = hmatrix.Hodlr(tree(a, 0, 0, 8))
-    assert np.allclose(a @ h.solve(b), b) and h.log == pytest.approx(np.linalg.slogdet(a)[1])
-    i = tree(a, 0, 0, 8)
-    hmatrix.inverse(i, 1e-14)
-    assert np.allclose(i.dense() @ a, np.eye(50), atol=1e-8)
+def test_packed_columns():
+    """Every number within half a step; small columns take few bits; nothing is lost with steps of one."""
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=(37, 5)) * [1e6, 1, 1e-6, 0, 1]
+    steps = np.array([1.0, 0.01, 1e-6, 0.0, 1e-9])
+    data = bits.pack(m, steps)
+    assert (np.abs(bits.unpack(data) - m) <= steps / 2 * (1 + 1e-9)).all() and len(data) < m.nbytes
+    whole = rng.integers(-(2**40), 2**40, (9, 3)).astype(float)
+    assert (bits.unpack(bits.pack(whole, np.ones(3))) == whole).all()
+    for shape in ((0, 3), (4, 0), (1, 1)):
+        assert bits.unpack(bits.pack(np.zeros(shape), np.ones(shape[1]))).shape == shape
+    for kind in (1, 1j):
+        a, b = rng.normal(size=(60, 6)) * 10.0 ** -np.arange(6) + kind * rng.normal(size=(60, 6)) * 10.0 ** -np.arange(6), rng.normal(size=(45, 6))
+        exact = a @ b.T
+        for eps in (1e-2, 1e-6):
+            x, y = (bits.numbers(p, np.iscomplexobj(a)) for p in bits.panels((a, b.astype(a.dtype)), eps))
+            assert np.linalg.norm(x @ y.T - exact) <= eps * np.linalg.norm(exact, 2) * 1.01
+            assert np.linalg.norm(bits.numbers(bits.block(exact, eps), np.iscomplexobj(a)) - exact) <= eps * np.linalg.norm(exact)
+
+
+@pytest.mark.parametrize("scalar", ["D", "Z"])
+def test_packed_leaves(spark, scalar):
+    cloud = P.cylinder(spark, 90)
+    kernel = Kernel("exp", 1.0) if scalar == "D" else Kernel("helmholtz", wave=2.0)
+    m = HMatrix.build(cloud, kernel, clustering=Clustering(max_leaf=15), eps=1e-9, scalar=scalar)
+    q, ratio = m.quantise(1e-5)
+    sizes = {r.kind: (r.raw, r.stored) for r in ratio.collect()}
+    bytes_of = lambda h: h.checks().first().bytes
+    assert sum(s for _, s in sizes.values()) == bytes_of(q) and sum(r for r, _ in sizes.values()) == bytes_of(m) and 2 * bytes_of(q) < bytes_of(m)
+    entries = lambda h: {(r.row_pos, r.col_pos): complex(r.re, r.im) for r in h.entries().collect()}
+    a, b = entries(m), entries(q)
+    assert sum(abs(a[k] - b[k]) ** 2 for k in a) ** 0.5 <= 1e-5 * m.norm()
+    assert entries(q.scale(2.0)) == {k: pytest.approx(2 * v) for k, v in b.items()} and entries(q.transpose()) == {(j, i): pytest.approx(v) for (i, j), v in b.items()}
