@@ -25,31 +25,55 @@ def svd(m: np.ndarray, eps: float) -> Rk:
     return u[:, :k] * root, vt[:k].T * root
 
 
+class Crosses:
+    """A growing sum of crosses (column times row), stored so that remainders of single rows and columns are one product."""
+
+    def __init__(self, row_of: Callable, col_of: Callable, shape: tuple[int, int], kind):
+        self.of, self.shape, self.kind, self.rank, self.size = (row_of, col_of), shape, kind, 0, 0.0
+        self._parts = tuple(np.zeros((8, n), kind) for n in shape)
+
+    @property
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and rows so far, one a line."""
+        return self._parts[0][: self.rank], self._parts[1][: self.rank]
+
+    def remainder(self, side: int, i: int) -> np.ndarray:
+        """What row i (side 0) or column i (side 1) has beyond the crosses."""
+        mine, other = self.parts[side], self.parts[1 - side]
+        return self.of[side](i) - mine[:, i] @ other
+
+    def step(self, col: np.ndarray, row: np.ndarray, eps: float) -> bool:
+        """Whether a cross is small against the sum."""
+        return self.rank > 0 and np.linalg.norm(col) * np.linalg.norm(row) <= eps * np.sqrt(max(self.size, 0))
+
+    def add(self, col: np.ndarray, row: np.ndarray) -> None:
+        cols, rows = self.parts
+        overlap = ((cols.conj() @ col) * (rows.conj() @ row)).sum().real
+        self.size += 2 * float(overlap) + float(np.linalg.norm(col) ** 2 * np.linalg.norm(row) ** 2)
+        if self.rank == len(self._parts[0]):
+            self._parts = tuple(np.concatenate([p, np.zeros_like(p)]) for p in self._parts)
+        for p, x in zip(self._parts, (col, row), strict=True):
+            p[self.rank] = x
+        self.rank += 1
+
+    def result(self) -> Rk:
+        return tuple(np.ascontiguousarray(p.T) for p in self.parts)
+
+
 def aca_full(m: np.ndarray, eps: float) -> Rk:
     """Cross approximation with the largest entry of the remainder as pivot."""
-    rest, a, b, size = np.array(m), [], [], 0.0
+    rest = np.array(m)
+    found = Crosses(None, None, m.shape, m.dtype)
     for _ in range(min(m.shape)):
         i, j = np.unravel_index(int(np.argmax(np.abs(rest))), rest.shape)
         if rest[i, j] == 0:
             break
         col, row = rest[:, j].copy(), rest[i] / rest[i, j]
         rest -= np.outer(col, row)
-        size = _grown(size, a, b, col, row)
-        a.append(col)
-        b.append(row)
-        if np.linalg.norm(rest) <= eps * np.sqrt(size):
+        found.add(col, row)
+        if np.linalg.norm(rest) <= eps * np.sqrt(max(found.size, 0)):
             break
-    return _stack(a, b, m.shape, m.dtype)
-
-
-def _grown(size: float, a: list, b: list, col: np.ndarray, row: np.ndarray) -> float:
-    """Squared norm of the sum of crosses, after one more."""
-    cross = sum((np.vdot(x, col) * np.vdot(y, row)).real for x, y in zip(a, b, strict=True))
-    return size + 2 * cross + float(np.linalg.norm(col) ** 2 * np.linalg.norm(row) ** 2)
-
-
-def _stack(a: list, b: list, shape: tuple[int, int], kind) -> Rk:
-    return (np.stack(a, axis=1), np.stack(b, axis=1)) if a else zero_rk(*shape, kind)
+    return found.result()
 
 
 def _crosses(row_of: Callable, col_of: Callable, shape: tuple[int, int], eps: float, kind, start: int, samples: tuple | None = None) -> Rk:
@@ -59,36 +83,35 @@ def _crosses(row_of: Callable, col_of: Callable, shape: tuple[int, int], eps: fl
     values) are entries that must be small before it ends; the largest one takes over as pivot.
     """
     n, m = shape
-    free, a, b, size, i, small, top = np.ones(n, bool), [], [], 0.0, start, 0, 0.0
+    found = Crosses(row_of, col_of, shape, kind)
+    free, i, small, top = np.ones(n, bool), start, 0, 0.0
     rest = None if samples is None else samples[2].copy()
-    while len(a) < min(n, m) and free.any():
+    while found.rank < min(n, m) and free.any():
         free[i] = False
-        row = row_of(i) - sum((x[i] * y for x, y in zip(a, b, strict=True)), np.zeros(m, kind))
+        row = found.remainder(0, i)
         j = int(np.argmax(np.abs(row)))
         last, zero = None, np.abs(row[j]) <= 1e-15 * top
         if not zero:
             top = max(top, float(np.abs(row[j])))
             row = row / row[j]
-            last = col_of(j) - sum((y[j] * x for x, y in zip(a, b, strict=True)), np.zeros(n, kind))
-            tiny = bool(a) and np.linalg.norm(last) * np.linalg.norm(row) <= eps * np.sqrt(max(size, 0))
+            last = found.remainder(1, j)
+            tiny = found.step(last, row, eps)
             # two small crosses in a row end it, as one may come from an unlucky row
             small = small + 1 if tiny else 0
             if not tiny:
-                size = _grown(size, a, b, last, row)
-                a.append(last)
-                b.append(row)
+                found.add(last, row)
                 if rest is not None:
                     rest = rest - last[samples[0]] * row[samples[1]]
         done = zero or small >= 2
         if done and rest is not None:
             worst = int(np.argmax(np.abs(rest)))
-            if np.abs(rest[worst]) > eps * np.sqrt(max(size, 0) / (n * m)) and free[samples[0][worst]]:
+            if np.abs(rest[worst]) > eps * np.sqrt(max(found.size, 0) / (n * m)) and free[samples[0][worst]]:
                 i, small = int(samples[0][worst]), 0
                 continue
         if done and small >= 2 or not free.any():
             break
         i = int(np.flatnonzero(free)[0]) if last is None else int(np.argmax(np.where(free, np.abs(last), -1)))
-    return _stack(a, b, shape, kind)
+    return found.result()
 
 
 LAZY = ("aca_partial", "aca_plus", "aca_random")
@@ -109,76 +132,66 @@ def aca_lazy(method: str, row_of: Callable, col_of: Callable, entries_of: Callab
 
 
 def aca_plus(row_of: Callable, col_of: Callable, shape: tuple[int, int], eps: float, kind) -> Rk:
-    """Cross approximation whose pivots come from the remainders of a reference row and a reference column.
+    """Cross approximation steered by a reference row and a reference column (Grasedyck 2005, Bebendorf 2008).
 
-    The reference column is in the middle, the reference row where that column is smallest.  The larger of the two
-    remainders names the next pivot's column or row; the other index is where that column's or row's own remainder is
-    largest.  A reference used as a pivot is replaced by an unused one where the other reference is smallest.
+    Both remainders are state: ``at[0]`` and ``seen[0]`` of the reference row, ``at[1]`` and ``seen[1]`` of the reference column.  The side whose
+    remainder has the larger entry proposes a cross.  Afterwards a reference that lies on the cross is replaced by an unused index
+    where the other reference is least (columns first), and is read anew; the other one loses what the cross took.
     """
-    n, m = shape
-    a, b, size = [], [], 0.0
-    rows, cols = np.ones(n, bool), np.ones(m, bool)
-
-    def row(i: int) -> np.ndarray:
-        return row_of(i) - sum((x[i] * y for x, y in zip(a, b, strict=True)), np.zeros(m, kind))
-
-    def col(j: int) -> np.ndarray:
-        return col_of(j) - sum((y[j] * x for x, y in zip(a, b, strict=True)), np.zeros(n, kind))
-
-    def least(free: np.ndarray, values: np.ndarray) -> int:
-        return int(np.argmin(np.where(free, np.abs(values), np.inf)))
-
-    j_ref = m // 2
-    c_ref = col(j_ref)
-    i_ref = least(rows, c_ref)
-    r_ref, top = row(i_ref), 0.0
-    while len(a) < min(n, m):
-        most_r, most_c = np.abs(r_ref).max(), np.abs(c_ref).max()
-        top = max(top, float(most_r), float(most_c))
-        if max(most_r, most_c) <= 1e-15 * top:
-            # both references are exhausted: look at other rows, at all of them if there is no cross yet, else at three
-            for i_ref in np.flatnonzero(rows)[: 3 if a else n]:
-                r_ref, rows[i_ref] = row(int(i_ref)), False
-                if np.abs(r_ref).max() > 1e-15 * top:
+    found = Crosses(row_of, col_of, shape, kind)
+    unused = [np.ones(k, bool) for k in shape]
+    top = 0.0
+
+    def least(side: int, by: np.ndarray) -> int:
+        """The unused row (side 0) or column where a vector over rows or columns is least."""
+        return int(np.argmin(np.where(unused[side], np.abs(by), np.inf)))
+
+    def proposed(side: int) -> tuple[list[int], list[np.ndarray]]:
+        """A cross from one side's remainder: (row, column) of the pivot, and the remainders of that row and column."""
+        other = int(np.argmax(np.abs(seen[side])))
+        across = found.remainder(1 - side, other)
+        mine = int(np.argmax(np.abs(across)))
+        along = found.remainder(side, mine)
+        return ([mine, other], [along, across]) if side == 0 else ([other, mine], [across, along])
+
+    at = [0, shape[1] // 2]
+    seen = [None, found.remainder(1, at[1])]
+    at[0] = least(0, seen[1])
+    seen[0] = found.remainder(0, at[0])
+    while found.rank < min(shape):
+        sizes = [float(np.abs(v).max()) for v in seen]
+        top = max(top, *sizes)
+        side = int(sizes[1] >= sizes[0])
+        if sizes[side] <= 1e-15 * top:
+            # nothing left on either: other rows, all of them as long as there is no cross, else three
+            for i in np.flatnonzero(unused[0])[: 3 if found.rank else None]:
+                unused[0][i] = False
+                at[0], seen[0], side = int(i), found.remainder(0, int(i)), 0
+                if np.abs(seen[0]).max() > 1e-15 * top:
                     break
             else:
                 break
-            i_ref, most_r, most_c = int(i_ref), 1.0, 0.0
-        if most_r > most_c:
-            j = int(np.argmax(np.abs(r_ref)))
-            left_part = col(j)
-            i = int(np.argmax(np.abs(left_part)))
-            right_part = row(i)
-        else:
-            i = int(np.argmax(np.abs(c_ref)))
-            right_part = row(i)
-            j = int(np.argmax(np.abs(right_part)))
-            left_part = col(j)
-        pivot = right_part[j]
-        if pivot == 0:
+        pivot, (row, col) = proposed(side)
+        if row[pivot[1]] == 0:
             break
-        right_part = right_part / pivot
-        rows[i] = cols[j] = False
-        tiny = bool(a) and np.linalg.norm(left_part) * np.linalg.norm(right_part) <= eps * np.sqrt(max(size, 0))
-        size = _grown(size, a, b, left_part, right_part)
-        a.append(left_part)
-        b.append(right_part)
-        if tiny or not rows.any() or not cols.any():
+        row = row / row[pivot[1]]
+        last = found.step(col, row, eps)
+        found.add(col, row)
+        for k in (0, 1):
+            unused[k][pivot[k]] = False
+        if last or not unused[0].any() or not unused[1].any():
             break
-        if i == i_ref or j == j_ref:
-            if j == j_ref:
-                j_ref = least(cols, r_ref) if i != i_ref else int(np.flatnonzero(cols)[0])
-                c_ref = col(j_ref)
-            else:
-                c_ref = c_ref - left_part * right_part[j_ref]
-            if i == i_ref:
-                i_ref = least(rows, c_ref)
-                r_ref = row(i_ref)
-            else:
-                r_ref = r_ref - left_part[i_ref] * right_part
-        else:
-            c_ref, r_ref = c_ref - left_part * right_part[j_ref], r_ref - left_part[i_ref] * right_part
-    return _stack(a, b, shape, kind)
+        stale = [pivot[k] == at[k] for k in (0, 1)]
+        took = (col[at[0]] * row, row[at[1]] * col)
+        for k in (1, 0):
+            if not stale[k]:
+                seen[k] = seen[k] - took[k]
+        for k in (1, 0):
+            if stale[k]:
+                # a reference runs along the other axis: seen[1 - k] is a vector over the indices of side k
+                at[k] = int(np.argmax(unused[k])) if stale[1 - k] and k == 1 else least(k, seen[1 - k])
+                seen[k] = found.remainder(k, at[k])
+    return found.result()
 
 
 def rrqr(m: np.ndarray, eps: float) -> Rk:
