@@ -253,14 +253,14 @@ def build_tree(points: DataFrame, algo: Clustering, task_points: int = 1_000_000
     nodes: path, parent, child_no, depth, off, n, axis, bb_min, bb_max, is_leaf.
     perm: pos, dof, coord, leaf - the internal order.  Dofs must be distinct and coordinates finite (``assert_valid``).
     Sets of more than ``task_points`` are first split over the cluster (``_distributed_levels``), with the same result;
-    hybrid, octree, ntiles and span trees, and geometric ones with groups, take sets of up to that size (else an error).
+    ntiles and span trees, and geometric and hybrid ones with groups, take sets of up to that size (else an error).
     """
     ship(points.sparkSession)
     rows = points.select("dof", "coord", "lo", "hi", F.coalesce("group_id", F.lit(-1)).alias("group_id"))
     rows = rows.withColumns({"path": F.lit("r"), "off": F.lit(0).cast("long"), "depth": F.lit(0), "last": F.lit(-1), "at": F.col("dof")})
-    top, total = [], rows.count()
+    top, cubes, total = [], {}, rows.count()
     if total > task_points:
-        rows, top = _distributed_levels(rows, algo, task_points)
+        rows, top, cubes = _distributed_levels(rows, algo, task_points)
 
     def finish(table: pa.Table) -> pa.Table:
         table = table.sort_by("at")
@@ -268,7 +268,7 @@ def build_tree(points: DataFrame, algo: Clustering, task_points: int = 1_000_000
         c = Cloud(np.asarray(table.column("dof")), wide("coord"), wide("lo"), wide("hi"), np.asarray(table.column("group_id")))
         path, off, depth, last = (table.column(n)[0].as_py() for n in ("path", "off", "depth", "last"))
         out = {n: [] for n in ("is_node", "path", "depth", "off", "n", "axis", "bb_min", "bb_max", "is_leaf", "dof", "coord")}
-        for x in subtree(c, algo, path, off, depth, last):
+        for x in subtree(c, algo, path, off, depth, last, cubes.get(path)):
             if x[0] == "node":
                 row = (True, x[1], x[2], x[3], x[4], x[5], x[6].tolist(), x[7].tolist(), x[8], None, None)
             else:
@@ -294,22 +294,94 @@ def build_tree(points: DataFrame, algo: Clustering, task_points: int = 1_000_000
     return nodes, perm
 
 
-def _distributed_levels(rows: DataFrame, algo: Clustering, task_points: int) -> tuple[DataFrame, list[DataFrame]]:
+def _numbered(went: DataFrame, counts: DataFrame, place: list[str], begins: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place of a row in its node, and ``number``, the child that it falls to by the children's ``ends``."""
+    went = went.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("x", "at"))).join(counts.drop("m"), place)
+    went = went.withColumn("rank", F.col("before") + F.col("rank") - 1).join(F.broadcast(begins), "path")
+    return went.withColumn("number", F.size(F.filter("ends", lambda e: e <= F.col("rank"))) - 1)
+
+
+def _bulky(went: DataFrame, counts: DataFrame, place: list[str], nodes: list[dict], cuts: dict[str, list[int]], size: int) -> set[str]:
+    """Nodes of which a child by these cuts has more than 0.8 of the volume."""
+    begins = went.sparkSession.createDataFrame([(p, [0, *c]) for p, c in cuts.items()], "path string, ends array<long>")
+    sides = [f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("lo", F.min), ("hi", F.max)) for i in range(size)]
+    boxes = _numbered(went, counts, place, begins).groupBy("path", "number").agg(*sides).collect()
+    of = lambda b: float(np.prod([b[f"hi{i}"] - b[f"lo{i}"] for i in range(size)]))
+    whole = {b["path"]: of(b) for b in nodes}
+    return {b["path"] for b in boxes if whole[b["path"]] > 0 and of(b) > 0.8 * whole[b["path"]]}
+
+
+def _octant_level(rows: DataFrame, nodes: list[dict], size: int, depth: int, cubes: dict[str, tuple]) -> tuple[DataFrame, DataFrame]:
+    """Splits nodes into the octants of their cubes: points by one comparison an axis, octants by counts; no order is needed.
+
+    An octant that has all points of its node is entered at once, as ``octants`` does.  The driver holds the nodes' cubes and the counts of their octants.
+    """
+    spark = rows.sparkSession
+    for b in nodes:
+        if b["path"] not in cubes:
+            lo, hi = (np.array([b[f"{s}{i}"] for i in range(size)]) for s in ("lo", "hi"))
+            half = (hi - lo).max() / 2
+            cubes[b["path"]] = ((lo + hi) / 2 - half, (lo + hi) / 2 + half)
+    digit = sum((F.element_at("coord", i + 1) >= F.element_at("centre", i + 1)).cast("int") * (1 << i) for i in range(size)).alias("digit")
+
+    def met(paths: list[str]) -> DataFrame:
+        centres = spark.createDataFrame([(p, ((cubes[p][0] + cubes[p][1]) / 2).tolist()) for p in paths], "path string, centre array<double>")
+        return rows.join(F.broadcast(centres), "path").select(*rows.columns, digit)
+
+    found: dict[str, dict[int, int]] = {}
+    open_ = [b["path"] for b in nodes]
+    for _ in range(200):
+        counts: dict[str, dict[int, int]] = {p: {} for p in open_}
+        for r in met(open_).groupBy("path", "digit").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["path"]][r["digit"]] = r["n"]
+        found |= counts
+        open_ = [p for p, c in counts.items() if len(c) == 1]
+        if not open_:
+            break
+        for p in open_:
+            (lo, hi), up = cubes[p], np.array([next(iter(counts[p])) >> i & 1 for i in range(size)], bool)
+            centre = (lo + hi) / 2
+            cubes[p] = np.where(up, centre, lo), np.where(up, hi, centre)
+    else:
+        raise ValueError("a node beyond task_points has all its points in one place")
+    plan = []
+    for p, counts in found.items():
+        (lo, hi), off = cubes[p], next(b["off"] for b in nodes if b["path"] == p)
+        centre = (lo + hi) / 2
+        for number, d in enumerate(sorted(counts)):
+            up = np.array([d >> i & 1 for i in range(size)], bool)
+            name = p + DIGITS[number]
+            cubes[name] = np.where(up, centre, lo), np.where(up, hi, centre)
+            plan.append((p, d, name, off))
+            off += counts[d]
+    named = spark.createDataFrame(plan, "path string, digit int, name string, begin long")
+    child = met(list(found)).join(F.broadcast(named), ["path", "digit"])
+    child = child.select("dof", "coord", "lo", "hi", "group_id", F.col("name").alias("path"), F.col("begin").alias("off"), F.lit(depth + 1).alias("depth"), F.lit(0).alias("last"), "at")
+    stay = rows.join(F.broadcast(named.select("path").distinct()), "path", "left_anti").select(child.columns)
+    top = spark.createDataFrame([(b["path"], b["n"], 0, depth, b["off"], [b[f"lo{i}"] for i in range(size)], [b[f"hi{i}"] for i in range(size)], False) for b in nodes], "path string, n long, axis int, depth int, off long, bb_min array<double>, bb_max array<double>, is_leaf boolean")
+    return settle(stay.unionByName(child)), top
+
+
+def _distributed_levels(rows: DataFrame, algo: Clustering, task_points: int) -> tuple[DataFrame, list[DataFrame], dict[str, tuple]]:
     """Splits of nodes beyond ``task_points`` by medians (any number of children, shuffled, void) or equal distances, level by level, as ``split`` makes them in one task.
 
     A node's order (group, place on the axis, former order) is never sorted in one task: the extent is cut into 4,096 equal
     parts, rows are ranked inside their group and part, and moved by the counts of those before.  The driver
     holds one row for each node and cut.
     """
-    top, size = [], rows.select(F.size("coord")).first()[0]
+    top, cubes, size = [], {}, rows.select(F.size("coord")).first()[0]
     grouped = rows.where("group_id >= 0").limit(1).count() > 0
     for depth in range(algo.max_depth):
         here = algo.at(depth)
         boxes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.first("last").alias("last"), F.first("off").alias("off"), *[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(size)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(size)]).where(F.col("n") > max(task_points, here.max_leaf))
         split_nodes = [r.asDict() for r in boxes.collect()]  # at most total / task_points rows
         if not split_nodes:
-            return rows, top
-        if here.kind not in ("median", "shuffle", "void", "geometric") or (grouped and here.kind == "geometric"):
+            return rows, top, cubes
+        if here.kind == "octree":
+            rows, level = _octant_level(rows, split_nodes, size, depth, cubes)
+            top.append(level)
+            continue
+        if here.kind not in ("median", "shuffle", "void", "geometric", "hybrid") or (grouped and here.kind in ("geometric", "hybrid")):
             raise NotImplementedError(f"{here.kind} beyond task_points" + " with groups" * grouped)
         divider = here.cycle[0] + depth % (here.cycle[1] - here.cycle[0] + 1) if here.kind == "shuffle" else here.divider
         empty = here.kind == "void" and depth % 2
@@ -333,9 +405,12 @@ def _distributed_levels(rows: DataFrame, algo: Clustering, task_points: int) ->
         cuts = {b["path"]: [b["n"] * (i + 1) // divider for i in range(divider - 1)] for b in split_nodes}
         if empty:
             cuts = {b["path"]: [] for b in split_nodes}
-        elif here.kind == "geometric":
+        elif here.kind in ("geometric", "hybrid"):
             below = went.groupBy("path").agg(*[F.sum((F.col("x") < F.col("marks")[i]).cast("long")).alias(f"m{i}") for i in range(divider - 1)])
-            cuts = {r["path"]: sorted(r[f"m{i}"] for i in range(divider - 1)) for r in below.collect()}
+            equal = {r["path"]: sorted(r[f"m{i}"] for i in range(divider - 1)) for r in below.collect()}
+            if here.kind == "hybrid":  # equal distances only where a half by numbers has most of the volume
+                equal = {p: c for p, c in equal.items() if p in _bulky(went, counts, place, split_nodes, cuts, size)}
+            cuts |= equal
         elif grouped:
             wanted = rows.sparkSession.createDataFrame([(p, c) for p, cs in cuts.items() for c in cs], "path string, cut long")
             bounds = counts.where("group_id >= 0").groupBy("path", "group_id").agg(F.min("before").alias("begin"), (F.min("before") + F.sum("m")).alias("end"))
@@ -344,16 +419,13 @@ def _distributed_levels(rows: DataFrame, algo: Clustering, task_points: int) ->
             n_of = {b["path"]: b["n"] for b in split_nodes}
             cuts = {p: [off_group(c, of.get((p, c)), n_of[p]) for c in cs] for p, cs in cuts.items()}
         ends = {p: np.maximum.accumulate([0, *cs]).tolist() for p, cs in cuts.items()}
-        if here.kind == "geometric":  # there children without points do not count
+        if here.kind in ("geometric", "hybrid"):  # there children without points do not count
             n_of = {b["path"]: b["n"] for b in split_nodes}
-            ends = {p: sorted({e for e in es if e < n_of[p]}) for p, es in ends.items()}
+            ends = {p: sorted({e for e in es if e < n_of[p]}) if p in equal else es for p, es in ends.items()}
             if all(len(e) == 1 for e in ends.values()):
                 raise ValueError("a node beyond task_points has all its points in one place")
         begins = rows.sparkSession.createDataFrame([(p, e) for p, e in ends.items()], "path string, ends array<long>")
-        went = went.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("x", "at"))).join(counts.drop("m"), place)
-        went = went.withColumn("rank", F.col("before") + F.col("rank") - 1).join(F.broadcast(begins), "path")
-        number = F.size(F.filter("ends", lambda e: e <= F.col("rank"))) - 1
-        went = went.withColumn("number", number)
+        went = _numbered(went, counts, place, begins)
         name = F.substring(F.lit(DIGITS), F.col("number") + 1, F.lit(1))
         child = went.select("dof", "coord", "lo", "hi", "group_id", F.concat("path", name).alias("path"), (F.col("off") + F.get("ends", F.col("number"))).alias("off"), F.lit(depth + 1).alias("depth"), F.col("axis").alias("last"), F.col("rank").alias("at"))
         stay = rows.join(F.broadcast(table.select("path")), "path", "left_anti").select(child.columns)
@@ -361,4 +433,4 @@ def _distributed_levels(rows: DataFrame, algo: Clustering, task_points: int) ->
         if empty:
             sides = [(b["path"] + DIGITS[i], 0, -1, depth + 1, b["off"] + b["n"], [b[f"lo{k}"] for k in range(size)], [b[f"lo{k}"] for k in range(size)], True) for b in split_nodes for i in range(1, here.divider)]
             top.append(rows.sparkSession.createDataFrame(sides, "path string, n long, axis int, depth int, off long, bb_min array<double>, bb_max array<double>, is_leaf boolean"))
-    return rows, top
+    return rows, top, cubes

@@ -99,12 +99,12 @@ def cluster_geometric(spark, d):
 
 
 def cluster_octree(spark, d):
-    nodes, _ = build_tree(parts(spark, d), Clustering("octree", max_depth=2))
+    nodes, _ = build_tree(parts(spark, d), Clustering("octree", max_depth=2), task_points=100)
     return nodes.where("is_leaf").select("off", "n")
 
 
 def cluster_hybrid(spark, d):
-    nodes, _ = build_tree(suppliers(spark, d), Clustering("hybrid", max_leaf=1, max_depth=1))
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("hybrid", max_leaf=1, max_depth=1), task_points=20)
     return nodes.where("is_leaf").select("path", "off", "n")
 
 
