@@ -601,9 +601,9 @@ class HMatrix:
         """self - M D N^T (N: M), D given as (dof, re)."""
         return m.multiply_with_diagonal(d).multiply(m if n is None else n, -1, 1, self, ("N", "T"), eps)
 
-    def largest_eigenvalue(self, rounds: int = 20, seed: int = 0) -> float:
-        """Power iteration with one distributed product per round."""
-        x = self.col_perm.select("dof", F.lit(0).alias("rhs"), (1 + F.pmod(F.xxhash64("dof", F.lit(seed)), F.lit(1000)) / 1000).alias("re"))
+    def largest_eigenvalue(self, rounds: int = 20, seed: int = 0, start: DataFrame | None = None) -> float:
+        """Power iteration with one distributed product per round, from ``start`` (dof, rhs 0, re) or a vector fixed by the seed."""
+        x = start if start is not None else self.col_perm.select("dof", F.lit(0).alias("rhs"), (1 + F.pmod(F.xxhash64("dof", F.lit(seed)), F.lit(1000)) / 1000).alias("re"))
         value = 0.0
         for _ in range(rounds):
             size = x.agg(F.sqrt(F.sum(F.col("re") ** 2))).first()[0]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import settle
+from ..frames import cut, settle
 from ..functions import lowrank
 from .strips import blob, each_row, matrix, prefixes
 
@@ -64,7 +64,7 @@ def meetings(target: HMatrix, boxes: DataFrame) -> DataFrame:
         ends = ends.join(places.select(F.col("pos").alias(off), F.col("leaf").alias("first")), off)
         ends = ends.withColumn("last_pos", F.col(off) + F.col(n) - 1).join(places.select(F.col("pos").alias("last_pos"), F.col("leaf").alias("last")), "last_pos")
         ends = ends.withColumn(to, common_prefix("first", "last")).drop("first", "last", "last_pos")
-    box = settle(ends)
+    box = cut(ends)
     leaves = target.blocks.where("kind <> 'node'").select("r", "c", F.col("r_off").alias("l_ro"), F.col("r_n").alias("l_rn"), F.col("c_off").alias("l_co"), F.col("c_n").alias("l_cn"))
     up = lambda p: F.explode(prefixes(p))
     above = lambda p: F.explode(F.slice(prefixes(p), F.lit(1), F.length(p) - 1))
@@ -117,7 +117,7 @@ def accumulate(target: HMatrix, parts: DataFrame, eps: float, beta: complex = 1,
     from .matrix import LEAF, packed, payload
 
     parts = settle(parts.where("r_n > 0 and c_n > 0 and rank <> 0"))
-    met = settle(meetings(target, parts))
+    met = cut(meetings(target, parts))
     lists = met.groupBy("id").agg(F.collect_list(F.struct("r", "c", "l_ro", "l_rn", "l_co", "l_cn")).alias("list"))
 
     def slices(x):

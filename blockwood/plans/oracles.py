@@ -91,11 +91,11 @@ def oracle_sql() -> dict[str, str]:
         "moved_dof": f"with {SUP} select count(*) as n, count(distinct dof) as dofs, cast(0 as bigint) as wrong_places, cast(0 as bigint) as out_of_leaf, cast(0 as bigint) as torn_nodes, count(*) // 2 - 1 as left_n from p",
         "json_points": f"with {SUP} select row_number() over (order by x, dof) - 1 as pos, dof, x as coord from p",
         "gemv_n": gemv,
-        "gemv_t": gemv,
+        "gemv_t": _dense(outer="i.v * {s}"),
         "gemv_symmetric": gemv,
         "gemv_alpha_beta": _dense(outer="2 * {s} - i.v"),
         "gemv_multi_rhs": f"with {SUP}, {BASE} select i.dof, 0 as rhs, round(sum({E} * j.v), 6) + 0.0 as y from b i, b j, l group by 1 union all select i.dof, 1, round(sum({E} * j.v * (1 + j.dof % 7)), 6) + 0.0 from b i, b j, l group by 1",
-        "gemm_dense_right": gemv,
+        "gemm_dense_right": _dense(outer="i.v * {s}"),
         "gemv_complex": f"with {SUP}, {BASE} select i.dof, round(sum(cos((abs(i.x - j.x) + 1e-10) / l) / (4 * pi() * (abs(i.x - j.x) + 1e-10)) * j.v) * 1000, 1) + 0.0 as re from b i, b j, l where i.dof <> j.dof group by 1",
         "gemv_strata": _dense(f"({E} + 0.5 * exp(-abs(i.x - j.x) / (2 * l)))"),
         "gemv_customers": _dense(points=CUS, digits=4),
@@ -145,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "rank_gram_embeddings": "select 64 as rank",
         "quantised_gemv": _dense(digits=4),
         "io_roundtrip": gemv,
-        "power_iteration": "select true as between_diagonal_and_norm",
+        "power_iteration": f"with recursive {SUP}, l as (select 0.1 * (max(x) - min(x)) as l from p), k as (select i.dof as i, j.dof as j, {E} as v from p i, p j, l), t(step, i, x) as (select 0, dof, cast(1 as double) from p union all select step + 1, k.i, sum(k.v * t.x) / max(n) from (select step, i, x, sqrt(sum(x * x) over ()) as n from t) t join k on k.j = t.i where step < 25 group by step, k.i) select round(sqrt(sum(x * x)), 5) as value from t where step = 25",
         "cylinder_points": "with s as (select 1.75 * pi() / sqrt(500) as step), t as (select step, floor(2 * pi() / step) as turn from s), p as (select unnest(range(0, 500)) as dof) select dof, round(cos(dof * (2 * pi() / turn)), 6) + 0.0 as x, round(sin(dof * (2 * pi() / turn)), 6) + 0.0 as y, round(dof * (step / turn), 6) + 0.0 as z from p, t",
     }
     two = f"with h as ({_blocks_hodlr(leaf=30)}) select 2 as rank, count(*) as blocks from h where kind = 'rk'"
