@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from . import lowrank
 
@@ -76,6 +78,42 @@ class Kernel:
         out = self.scale * out
         return out + self.nugget * (rows[:, None] == cols[None, :]) if self.nugget else out
 
+    @property
+    def has_columns(self) -> bool:
+        """Whether ``column`` can evaluate the kernel and its strata: no user function and no hints."""
+        plain = self.name in ("exp", "laplace", "helmholtz", "gram") and self.null_rows is None and self.null_cols is None
+        return plain and all(k.has_columns for k in self.strata)
+
+    def column(self, p: list[Column], q: list[Column], same: Column) -> tuple[Column, Column | None]:
+        """Real and imaginary part (None: real kernel) for one pair of points, strata included; ``same``: the pair is on the diagonal."""
+        total = lambda terms: sum(terms[1:], terms[0])
+        if self.name == "gram":
+            re, im = total([a * b for a, b in zip(p, q, strict=True)]), None
+        else:
+            r = F.sqrt(total([(a - b) * (a - b) for a, b in zip(p, q, strict=True)]))
+            if self.name == "exp":
+                re, im = F.exp(-r / self.length), None
+            elif self.name == "laplace":
+                re, im = 1 / (r + 1e-10), None
+            elif self.name == "helmholtz":
+                re, im = (f(self.wave * (r + 1e-10)) / (4 * np.pi * (r + 1e-10)) for f in (F.cos, F.sin))
+            else:
+                raise ValueError(self.name)
+        re, im = self.scale * re, None if im is None else self.scale * im
+        if self.nugget:
+            re = re + F.when(same, F.lit(float(self.nugget))).otherwise(0.0)
+        for more in self.strata:
+            a, b = more.column(p, q, same)
+            re, im = re + a, im if b is None else b if im is None else im + b
+        return re, im
+
+    def panels(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray, method: str, eps: float, seed: int, least_svd: int = 0):
+        """The block of the kernel and all its strata as a low-rank pair, truncated after each."""
+        value = self.compressed(p, q, rows, cols, method, eps, seed, least_svd)
+        for more in self.strata:
+            value = lowrank.add([(1, value), (1, more.compressed(p, q, rows, cols, method, eps, seed, least_svd))], eps)
+        return value
+
     def compressed(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray, method: str, eps: float, seed: int, least_svd: int = 0):
         """The block as a low-rank pair; cross methods evaluate the rows and columns they need, never the whole block."""
         shape = (len(rows), len(cols))

@@ -57,6 +57,11 @@ def dense_of(value) -> np.ndarray:
     return value[0] @ value[1].T if isinstance(value, tuple) else value
 
 
+def seed_of(x) -> int:
+    """The seed of a block's random choices."""
+    return x.r_off * 1_000_003 + x.c_off
+
+
 def segments(perm: DataFrame, paths: DataFrame) -> DataFrame:
     """(path, pos[], dof[], coord[]) of the clusters ``paths``, in internal order."""
     up = perm.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("leaf")), lambda k: F.substring("leaf", F.lit(1), k))))
@@ -118,10 +123,7 @@ class HMatrix:
                     where = (p, q, np.asarray(x.r_dofs), np.asarray(x.c_dofs))
                     parts = (kernel, *kernel.strata)
                     if x.kind == "rk" and not dense:
-                        seed = x.r_off * 1_000_003 + x.c_off
-                        value = kernel.compressed(*where, method, eps, seed, least_svd)
-                        for more in kernel.strata:
-                            value = lowrank.add([(1, value), (1, more.compressed(*where, method, eps, seed, least_svd))], eps)
+                        value = kernel.panels(*where, method, eps, seed_of(x), least_svd)
                     else:
                         value = sum(k.block(*where) for k in parts)
                     row = {n: getattr(x, n) for n in names[:6]} | {"eps": eps, "dtype": scalar if not dense else "Z" if np.iscomplexobj(value) else "D"}

@@ -13,6 +13,7 @@ from ..functions.kernels import Kernel
 from ..operators.blocks import Admissibility
 from ..operators import trees as T
 from ..operators.cluster import Clustering, build_tree
+from ..operators.direct import kernel_product
 from ..operators.factor import Factor
 from ..operators.matrix import HMatrix, reordered, restored
 from ..sources import points as P
@@ -232,12 +233,21 @@ def gemv_strata(spark, d):
     return _y(m.gemv(b))
 
 
+def _once(cloud: DataFrame, admissibility: Admissibility) -> DataFrame:
+    length = P.correlation_length(cloud)
+    return _y(kernel_product(cloud, Kernel("exp", length), P.right_hand_side(cloud, length), clustering=Clustering("median", max_leaf=200), admissibility=admissibility, eps=1e-10), 4)
+
+
 def gemv_customers(spark, d):
-    m, b = _setting(spark, d, "cus", leaf=200, method="aca_plus", eps=1e-10)
-    return _y(m.gemv(b), 4)
+    return _once(customers(spark, d), Admissibility("hodlr"))
 
 
 def gemv_parts(spark, d):
+    return _once(parts(spark, d), STANDARD)
+
+
+def gemv_parts_stored(spark, d):
+    """The same product from stored leaves."""
     m, b = _setting(spark, d, "prt", leaf=200, admissibility=STANDARD, method="aca_plus", eps=1e-10)
     return _y(m.gemv(b), 4)
 
@@ -595,7 +605,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         cluster_median_nodes, cluster_median_k3, cluster_median_distributed, cluster_perm, cluster_geometric, cluster_octree, cluster_hybrid, cluster_ntiles, cluster_span,
         cluster_grouped, cluster_boxes, perm_roundtrip, blocks_hodlr, blocks_standard, blocks_lower_symmetric, blocks_always, blocks_never, matrix_info, matrix_profile,
-        json_dump, gemv_n, gemv_t, gemv_symmetric, gemv_alpha_beta, gemv_multi_rhs, gemm_dense_right, gemv_complex, gemv_strata, gemv_customers, gemv_parts,
+        json_dump, gemv_n, gemv_t, gemv_symmetric, gemv_alpha_beta, gemv_multi_rhs, gemm_dense_right, gemv_complex, gemv_strata, gemv_customers, gemv_parts, gemv_parts_stored,
         gemv_embeddings, norm_fro, diagonal, eval_dense, get_values, get_block, scale, axpy, add_identity, transpose, truncate, coarsen, copy_struct, gemm_hh,
         lu_solve, llt_solve, ldlt_solve, hodlr_solve, solve_customers_nugget, chol_lower_1d, logdet_lu, logdet_llt, logdet_ldlt, logdet_hodlr, inverse_diagonal,
         *[_rank(m) for m in METHODS], *[_rank_two(m) for m in METHODS], cluster_void, cluster_shuffle, diagonal_blocks, child_gemv, multiply_diagonal, subtract_mdmt, matrix_checks,
