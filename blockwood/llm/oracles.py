@@ -67,22 +67,27 @@ def _canonical(url: str) -> str:
 
 
 def _revisits() -> str:
-    assert {"etag", "date"} <= set(PERMITTED)
+    assert {"etag", "date", "expires", "last-modified"} <= set(PERMITTED)
     return f"""
-with g as (select page_id as p, {_canonical("url")} as u, md5(coalesce(html, '')) as d from pages),
-f as (select *, 2 * p as rid from g where p % 4 <> 3),
-r as (select g.*, (select max_by(struct_pack(rid := f.rid, d := f.d), f.p) from f where f.u = g.u and f.p <= g.p) as o from g),
-o as (select *, case when o is null then 'no_original'
-        when p % 7 = 0 then case when d = o.d then 'resolved' else 'mismatch' end
-        when p % 5 = 0 then 'mismatch'
-        when substr(d, 1, 16) = substr(o.d, 1, 16) then 'resolved' else 'mismatch' end as outcome from r)
-select 2 * p + 1 as record_id, u as url_key, o.rid as refers_to, outcome,
-  case when outcome = 'resolved' and p % 7 = 0 then 'cache-control=max-age=60;content-type=text/html;date=t' || (2 * p + 1) || ';etag="' || substr(o.d, 1, 16) || '"'
-       when outcome = 'resolved' then 'cache-control=max-age=60;content-type=text/html;date=t' || (2 * p + 1) || ';etag=W/"' || substr(d, 1, 16) || '"'
-       when p % 7 = 0 then 'date=t' || (2 * p + 1) || ';server=edge'
-       else 'content-type=ignored;date=t' || (2 * p + 1) || ';etag=' || case when p % 5 = 0 then '"stale"' else 'W/"' || substr(d, 1, 16) || '"' end || ';server=edge' end as headers,
-  case when outcome = 'resolved' then o.d when p % 7 = 0 then d end as digest
-from o
+with g as (select page_id as p, {_canonical("url")} as u, md5(coalesce(html, '')) as b, 1600000000 + page_id * 7919 % 100000 as s from pages where page_id is not null),
+k(k, late, v) as (values (0, 0, 0), (1, 20, 1), (2, 20, 2), (3, 40, 3), (4, 10, 0), (5, 20, 2), (6, 50, 3), (7, 60, 3)),
+w as (select p, u, b, k, s + late as t, case when (k = 5 and p % 7 = 0) or (k = 6 and p % 5 = 1) then 1 else v end as v from g, k),
+x as (select p, u, k, t, 8 * p + k as rid, case when v = 1 and p % 3 = 0 then 0 else v end as v, md5(b || cast(case when v = 1 and p % 3 = 0 then 0 else v end as varchar)) as d from w),
+f as (select u, t, rid, d, '"' || substr(d, 1, 16) || '"' as etag, 'm' || v as lm, case when k in (0, 2) then 'max-age=60' end as cache
+      from x where k < 4 and p % 4 <> 3 and not (k = 2 and p % 2 = 1) and not (k = 3 and p % 6 = 1)),
+r as (select u, t, rid, case when k = 4 and p % 5 = 0 then '"stale"' when k in (4, 6) then 'W/"' || substr(d, 1, 16) || '"' end as etag,
+        case when k = 5 and p % 7 <> 0 then 'm' || v end as lm, case when k = 6 then 'e' || t end as expires,
+        case when (k = 5 and p % 7 = 0) or (k = 7 and p % 9 <> 0) then d end as d from x where k > 3),
+o as (select r.*, f.rid as o_rid, f.d as o_d, f.etag as o_etag, f.lm as o_lm, f.cache as o_cache, row_number() over (partition by r.rid order by f.t desc nulls last, f.rid desc) as place
+      from r left join f on f.u = r.u and (f.t < r.t or (f.t = r.t and f.rid < r.rid))),
+c as (select *, case when o_rid is null then 'no_original' when etag is not null then case when replace(etag, 'W/', '') = o_etag then 'resolved' else 'mismatch' end
+        when lm is not null then case when lm = o_lm then 'resolved' else 'mismatch' end
+        when d is not null then case when d = o_d then 'resolved' else 'mismatch' end else 'unvalidated' end as outcome from o where place = 1)
+select rid as record_id, u as url_key, o_rid as refers_to, outcome,
+  case when outcome = 'resolved' then concat_ws(';', 'cache-control=' || o_cache, 'content-type=text/html', 'date=t' || t, 'etag=' || coalesce(etag, o_etag), 'expires=' || expires, 'last-modified=' || coalesce(lm, o_lm))
+       else concat_ws(';', 'content-type=ignored', 'date=t' || t, 'etag=' || etag, 'expires=' || expires, 'last-modified=' || lm, 'server=edge') end as headers,
+  case when outcome = 'resolved' then o_d else d end as digest
+from c
 """
 
 

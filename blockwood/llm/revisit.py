@@ -56,8 +56,8 @@ def resolve_revisits(records: DataFrame, *, chunks: int | None = None) -> DataFr
     repeated rows give repeated results.
 
     A URL may hold a third of all rows, so its history is not sorted in one task: times
-    are cut into ``chunks`` parts of about as many records (default: one for each 50,000,
-    16 to 4,096), each part is searched for itself, and the
+    are cut into ``chunks`` parts of about as many records (default: of at most 50,000, a power
+    of two from 16 to 4,096), each part is searched for itself, and the
     last response of earlier parts comes from one row per URL and part.
     Header names are compared in lower case (``lower_names``).
     """
@@ -69,9 +69,12 @@ def resolve_revisits(records: DataFrame, *, chunks: int | None = None) -> DataFr
     revisit = (F.col("kind") == "revisit") & (F.col("status").isNull() | (F.col("status") == 304))
     rows = rows.where(full | revisit).withColumn("is_full", full)
     lost = F.col("url_key").isNull() | F.col("at").isNull()
-    if chunks is None:
-        chunks = min(4096, max(16, -(-rows.count() // 50_000)))
-    cuts = rows.agg(F.percentile_approx("at", [i / chunks for i in range(1, chunks)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
+    if chunks is None:  # times at 4,096 equal shares; a power of two of them is used
+        found = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("at", [i / 4096 for i in range(1, 4096)], 10_000).alias("cuts")).first()
+        step = 4096 // min(4096, max(16, 1 << max(0, (found["n"] - 1) // 50_000).bit_length()))
+        cuts = (found["cuts"] or [])[step - 1 :: step]
+    else:
+        cuts = rows.agg(F.percentile_approx("at", [i / chunks for i in range(1, chunks)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
     edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
     # a sorted list of at most 4,095 times: the number of those at or before the record's, by halving
     known = rows.where(~lost).withColumn("chunk", _at_or_before(edges, len(set(cuts)), F.col("at")))
@@ -111,28 +114,60 @@ def _at_or_before(edges: Column, n: int, value: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda done, s: F.when((s > 0) & (done + s <= n) & (F.coalesce(F.get(edges, done + s - 1), value + 1) <= value), done + s).otherwise(done))
 
 
-def captures_of_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """A crawl log over the whole pages table, as records for ``resolve_revisits``.
+def respelled(url: Column, way: Column) -> Column:
+    """Six spellings of a URL (``way`` 0 to 5) that share its canonical form."""
+    bare = F.regexp_replace(url, r"#.*$", "")
+    start = r"^[A-Za-z]+://[^/?#]*"
+    ways = {
+        1: F.regexp_replace(url, r"^[A-Za-z]+://((www|m)\.)?", "https://www."),
+        2: F.concat(bare, F.when(F.contains(bare, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit("utm_source=news")),
+        3: F.concat(bare, F.lit("#again")),
+        4: F.concat(F.upper(F.regexp_extract(url, start, 0)), F.regexp_replace(url, start, "")),
+        5: F.regexp_replace(url, r"^([A-Za-z]+://[^/?#:]*)", "$1:443"),
+    }
+    out = url
+    for number, other in ways.items():
+        out = F.when(way == number, other).otherwise(out)
+    return out
+
 
-    Page p was fetched in full at second 2 * p, with an etag made of its body, and asked
-    for again, conditionally, at second 2 * p + 1; the server's 304 names the etag the
-    crawler had sent (every fifth time a stale one), or no validator but the digest (every
-    seventh time).  Pages with id 3 mod 4 are asked for under their URL but were never stored in full.
+def captures_of_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """A crawl log over the whole pages table, as records for ``resolve_revisits``: up to four responses and four revisits of every page.
+
+    Record 8 p + k is number k of page p, and the numbers are not in the order of time.  Responses: 0 (first version), 1 (second; the body
+    of every third page is unchanged), 2 (third, in the same second as 1; for odd pages an error 503), 3 (fourth; every sixth page has lost its
+    time).  Revisits: 4 lies between 0 and 1 and names an etag (each fifth page a stale one); 5 falls in the second of 1 and 2 and
+    names a last-modified (each seventh page only the digest of the second version); 6 follows 3 with an etag (each fifth page that of
+    the second version) and a new expiry; 7 has a digest alone, each ninth page no validator.  Pages with id 3 mod 4 were never
+    stored in full.  Every record spells its URL in one of six ways (``respelled``).
     """
-    page = pages.select(F.col(key).cast("long").alias("p"), F.col(url).alias("url"), F.md5(F.coalesce(F.col(html), F.lit(""))).alias("digest")).where(F.col("p").isNotNull())
+    page = pages.select(F.col(key).cast("long").alias("p"), F.col(url).alias("url"), F.md5(F.coalesce(F.col(html), F.lit(""))).alias("body")).where(F.col("p").isNotNull())
+    log = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("late"), F.lit(v).alias("v")) for k, at, v in ((0, 0, 0), (1, 20, 1), (2, 20, 2), (3, 40, 3), (4, 10, 0), (5, 20, 2), (6, 50, 3), (7, 60, 3))])
+    rows = page.select("*", F.inline(log)).where("k > 3 or p % 4 <> 3")
+    old = ((F.col("k") == 5) & (F.col("p") % 7 == 0)) | ((F.col("k") == 6) & (F.col("p") % 5 == 1))
+    rows = rows.withColumn("v", F.when(old, 1).otherwise(F.col("v")))
+    rows = rows.withColumn("v", F.when((F.col("v") == 1) & (F.col("p") % 3 == 0), 0).otherwise(F.col("v")))
+    rows = rows.withColumns({"digest": F.md5(F.concat("body", F.col("v").cast("string"))), "at": 1_600_000_000 + F.col("p") * 7919 % 100_000 + F.col("late")})
+    full, k, p = F.col("k") < 4, F.col("k"), F.col("p")
     etag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
-    date = lambda s: F.timestamp_seconds(F.lit(1_600_000_000) + s)
-    text = lambda s: F.concat(F.lit("t"), s.cast("string"))
-    m = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
-    first, second = 2 * F.col("p"), 2 * F.col("p") + 1
-    full = page.where("p % 4 <> 3").select(
-        (2 * F.col("p")).alias("record_id"), F.lit("response").alias("kind"), "url", date(first).alias("captured"), F.lit(200).alias("status"),
-        m("ETag", etag, "Date", text(first), "Content-Type", "text/html", "Cache-Control", "max-age=60").alias("headers"), "digest",
-    )
-    sent = F.when(F.col("p") % 5 == 0, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), etag))
-    headers = F.when(F.col("p") % 7 == 0, m("Date", text(second), "Server", "edge")).otherwise(m("ETag", sent, "Date", text(second), "Server", "edge", "Content-Type", "ignored"))
-    again = page.select(
-        (2 * F.col("p") + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", date(second).alias("captured"), F.lit(304).alias("status"),
-        headers.alias("headers"), F.when(F.col("p") % 7 == 0, F.col("digest")).alias("digest"),
+    sent = F.when((k == 4) & (p % 5 == 0), F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), etag))
+    text = lambda mark, n: F.concat(F.lit(mark), n.cast("string"))
+    names = {
+        "ETag": F.when(full, etag).when(k.isin(4, 6), sent),
+        "Last-Modified": F.when(full | ((k == 5) & (p % 7 != 0)), text("m", F.col("v"))),
+        "Date": text("t", F.col("at")),
+        "Content-Type": F.when(full, "text/html").otherwise("ignored"),
+        "Cache-Control": F.when(full & (k % 2 == 0), "max-age=60"),
+        "Expires": F.when(k == 6, text("e", F.col("at"))),
+        "Server": F.when(~full, "edge"),
+    }
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in names.items()]), lambda e: e["value"].isNotNull())
+    return rows.select(
+        (8 * p + k).alias("record_id"),
+        F.when(full, "response").otherwise("revisit").alias("kind"),
+        respelled(F.col("url"), F.pmod(p + k, F.lit(6))).alias("url"),
+        F.when(~((k == 3) & (p % 6 == 1)), F.timestamp_seconds("at")).alias("captured"),
+        F.when(~full, 304).when((k == 2) & (p % 2 == 1), 503).otherwise(200).alias("status"),
+        F.map_from_entries(pairs).alias("headers"),
+        F.when(full | ((k == 5) & (p % 7 == 0)) | ((k == 7) & (p % 9 != 0)), F.col("digest")).alias("digest"),
     )
-    return full.unionByName(again)

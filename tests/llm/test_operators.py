@@ -568,6 +568,23 @@ def test_revisits(spark):
     assert revisit.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_crawl_log_makes_revisits_choose(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    log = revisit.captures_of_pages(pages)
+    spellings = log.select("url", revisit.canonical_url(F.col("url")).alias("u"), F.expr("record_id div 8").alias("p")).groupBy("p").agg(F.countDistinct("url").alias("n"), F.countDistinct("u").alias("same"))
+    assert spellings.where("n >= 4 and same = 1").count() == pages.count()
+    full = [r for r in log.where("kind = 'response' and status = 200 and captured is not null").select("record_id", revisit.canonical_url(F.col("url")).alias("u"), "captured").collect()]
+    when = {r.record_id: r.captured for r in log.collect()}
+    rows = revisit.resolve_revisits(log).collect()
+    assert len(rows) == 4 * pages.count()
+    for r in rows:
+        before = [(f.captured, f.record_id) for f in full if f.u == r.url_key and (f.captured, f.record_id) < (when[r.record_id], r.record_id)]
+        assert r.refers_to == (max(before)[1] if before else None)
+    found = [r for r in rows if r.refers_to is not None]
+    assert all(r.refers_to != r.record_id - 1 for r in found) and {r.outcome for r in rows} == {"resolved", "mismatch", "unvalidated", "no_original"}
+    assert len({r.record_id - r.refers_to for r in found}) >= 6
+
+
 # ---------------------------------------------------------------- 7
 
 
