@@ -81,12 +81,11 @@ def resolve_revisits(records: DataFrame, *, chunks: int | None = None) -> DataFr
     answer = F.when(F.col("is_full"), F.struct("at", "record_id", "headers", "digest"))
     inside = Window.partitionBy("url_key", "chunk").orderBy("at", "record_id", F.desc("is_full")).rowsBetween(Window.unboundedPreceding, -1)
     near = known.withColumn("near", F.last(answer, ignorenulls=True).over(inside)).where(~F.col("is_full"))
-    tops = known.where("is_full").groupBy("url_key", "chunk").agg(F.max_by(F.struct("at", "record_id", "headers", "digest"), F.struct("at", "record_id")).alias("top"))
-    parts = tops.unionByName(near.select("url_key", "chunk").distinct().withColumn("top", F.lit(None).cast(tops.schema["top"].dataType))).groupBy("url_key", "chunk").agg(F.first("top", ignorenulls=True).alias("top"))
+    parts = known.groupBy("url_key", "chunk").agg(F.max_by(answer, F.when(F.col("is_full"), F.struct("at", "record_id"))).alias("top"))
     before = Window.partitionBy("url_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("url_key").alias("p_key"), F.col("chunk").alias("p_chunk"), F.last("top", ignorenulls=True).over(before).alias("far"))
     found = near.join(parts, (F.col("url_key") == F.col("p_key")) & (F.col("chunk") == F.col("p_chunk")), "left").withColumn("o", F.coalesce("near", "far"))
-    none = rows.where(lost & ~F.col("is_full")).withColumn("o", F.lit(None).cast(tops.schema["top"].dataType))
+    none = rows.where(lost & ~F.col("is_full")).withColumn("o", F.lit(None).cast(near.schema["near"].dataType))
     columns = ["record_id", "url_key", "headers", "digest", "o"]
     found = found.select(columns).unionByName(none.select(columns))
     strong = lambda c: F.regexp_replace(c, r"^W/", "")
