@@ -150,5 +150,8 @@ def oracle_sql() -> dict[str, str]:
     }
     two = f"with h as ({_blocks_hodlr(leaf=30)}) select 2 as rank, count(*) as blocks from h where kind = 'rk'"
     out["gemv_parts_stored"] = out["gemv_parts"]
+    out["gemv_ratio"] = out["gemv_n"]
+    out["blocks_width"] = "select cast(count(*) * count(*) as bigint) as cells, true as narrow from supplier"
+    out["perturbed_rows"] = "select s_suppkey as row_dof, (select count(*) from supplier) as cells, (select count(*) from supplier) as inside, true as changed from supplier"
     methods = ("svd", "aca_full", "aca_partial", "aca_plus", "aca_random", "rrqr")
     return out | {f"rank_{m}": rank for m in methods} | {f"rank_two_{m}": two for m in methods}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..frames import shared_dir
 from ..functions.kernels import Kernel
-from ..operators.blocks import Admissibility
+from ..operators.blocks import Admissibility, build_blocks
 from ..operators import trees as T
 from ..operators.cluster import Clustering, build_tree
 from ..operators.direct import kernel_product
@@ -252,6 +252,30 @@ def gemv_parts_stored(spark, d):
     return _y(m.gemv(b), 4)
 
 
+def gemv_ratio(spark, d):
+    """Sides of more than 30 points are always split, and a side of twice the other's size is split alone."""
+    cloud = suppliers(spark, d)
+    length = P.correlation_length(cloud)
+    m = HMatrix.build(cloud, Kernel("exp", length), clustering=Clustering("median", max_leaf=12), admissibility=Admissibility("standard", ratio=0.5, max_width=30), eps=EPS)
+    return _y(m.gemv(P.right_hand_side(cloud, length)))
+
+
+def blocks_width(spark, d):
+    """The blocks of that tree: all cells once, none wider than 30."""
+    nodes, _ = build_tree(suppliers(spark, d), Clustering("median", max_leaf=12))
+    leaves = build_blocks(nodes, nodes, Admissibility("standard", ratio=0.5, max_width=30)).where("kind <> 'node'")
+    return leaves.agg(F.sum(F.col("r_n") * F.col("c_n")).alias("cells"), (F.max(F.greatest("r_n", "c_n")) <= 30).alias("narrow"))
+
+
+def perturbed_rows(spark, d):
+    """Random relative changes of at most a thousandth, in every row."""
+    m, _ = _setting(spark, d, admissibility=Admissibility("never", max_block=1000))
+    other = m.perturbed(1e-3, seed=7).values().withColumnRenamed("re", "noisy").select("row_dof", "col_dof", "noisy")
+    gap = F.abs(F.col("noisy") - F.col("re"))
+    rows = m.values().join(other, ["row_dof", "col_dof"]).groupBy("row_dof")
+    return rows.agg(F.count(F.lit(1)).alias("cells"), F.sum((gap <= 1.000001e-3 * F.abs("re")).cast("long")).alias("inside"), (F.max(gap) > 0).alias("changed"))
+
+
 def gemv_embeddings(spark, d):
     m, b = _setting(spark, d, "emb", leaf=100, admissibility=Admissibility("hodlr"), kernel="gram", method="rrqr")
     return _y(m.gemv(b), 5)
@@ -605,7 +629,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         cluster_median_nodes, cluster_median_k3, cluster_median_distributed, cluster_perm, cluster_geometric, cluster_octree, cluster_hybrid, cluster_ntiles, cluster_span,
         cluster_grouped, cluster_boxes, perm_roundtrip, blocks_hodlr, blocks_standard, blocks_lower_symmetric, blocks_always, blocks_never, matrix_info, matrix_profile,
-        json_dump, gemv_n, gemv_t, gemv_symmetric, gemv_alpha_beta, gemv_multi_rhs, gemm_dense_right, gemv_complex, gemv_strata, gemv_customers, gemv_parts, gemv_parts_stored,
+        json_dump, gemv_n, gemv_t, gemv_symmetric, gemv_alpha_beta, gemv_multi_rhs, gemm_dense_right, gemv_complex, gemv_strata, gemv_customers, gemv_parts, gemv_parts_stored, gemv_ratio, blocks_width, perturbed_rows,
         gemv_embeddings, norm_fro, diagonal, eval_dense, get_values, get_block, scale, axpy, add_identity, transpose, truncate, coarsen, copy_struct, gemm_hh,
         lu_solve, llt_solve, ldlt_solve, hodlr_solve, solve_customers_nugget, chol_lower_1d, logdet_lu, logdet_llt, logdet_ldlt, logdet_hodlr, inverse_diagonal,
         *[_rank(m) for m in METHODS], *[_rank_two(m) for m in METHODS], cluster_void, cluster_shuffle, diagonal_blocks, child_gemv, multiply_diagonal, subtract_mdmt, matrix_checks,
