@@ -574,7 +574,8 @@ def test_crawl_log_makes_revisits_choose(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     log = revisit.captures_of_pages(pages)
     spellings = log.select("url", revisit.canonical_url(F.col("url")).alias("u"), F.expr("record_id div 8").alias("p")).groupBy("p").agg(F.countDistinct("url").alias("n"), F.countDistinct("u").alias("same"))
-    assert spellings.where("n >= 4 and same = 1").count() == pages.count()
+    # four to eight records a page; two of the six ways may spell a URL alike
+    assert spellings.where("n >= 3 and same = 1").count() == pages.count()
     full = [r for r in log.where("kind = 'response' and status = 200 and captured is not null").select("record_id", revisit.canonical_url(F.col("url")).alias("u"), "captured").collect()]
     when = {r.record_id: r.captured for r in log.collect()}
     rows = revisit.resolve_revisits(log).collect()
