@@ -18,10 +18,12 @@ from .common import by_group, settle
 
 # ---------------------------------------------------------------- the grammar and its chart
 
-# a conversation: maybe a system turn, then pairs of user and assistant.  Terminals are the roles' initials.
-RULES = (("conversation", ("pairs",)), ("pairs", ("head",)), ("pairs", ("pairs", "u", "a")), ("head", ()), ("head", ("s",)))
+# a conversation: nothing, or maybe a system turn and then at least one pair of user and assistant, or (if ``lone_system``) a system turn alone.
+# Terminals are the roles' initials.
+RULES = (("conversation", ()), ("conversation", ("pairs",)), ("pairs", ("head", "u", "a")), ("pairs", ("pairs", "u", "a")), ("head", ()), ("head", ("s",)), ("conversation", ("s",)))
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
-_WHOLE = (0, 1, 0)
+_ALONE = (6, 0, 0)
+_WHOLE = ((0, 0, 0), (1, 1, 0), (6, 1, 0))
 _BLOCK = 256
 
 Item = tuple[int, int, int]  # rule, dot, origin
@@ -60,17 +62,17 @@ def closed(kernel: dict[Item, Weight], first: dict[Item, Weight] | None, at: int
     return done
 
 
-_FIRST = closed({(0, 0, 0): (0, "")}, None, 0)
+_FIRST = closed(dict.fromkeys(((0, 0, 0), (1, 0, 0), _ALONE), (0, "")), None, 0)
 
 
 def _waits(item: Item) -> bool:
     """Whether an item can take rows: a terminal is next, or the conversation is whole and rows are deleted after it."""
     rule, dot, _ = item
     right = RULES[rule][1]
-    return item == _WHOLE or right[dot : dot + 1] in (("s",), ("u",), ("a",))
+    return item in _WHOLE or right[dot : dot + 1] in (("s",), ("u",), ("a",))
 
 
-ENTRIES = tuple(i for i in sorted({*_FIRST, (2, 2, 0)}) if _waits(i))
+ENTRIES = tuple(i for i in sorted({*_FIRST, *_WHOLE}) if _waits(i))
 
 
 @functools.lru_cache(maxsize=1 << 14)
@@ -93,7 +95,7 @@ def parsed(signs: str, entry: Item) -> dict[Item, Weight]:
                 continue
             put(item, cost + DELETE, audit + "D")
             rule, dot, origin = item
-            if item == _WHOLE or sign == "d":
+            if item in _WHOLE or sign == "d":
                 continue
             if RULES[rule][1][dot] == sign.lower():
                 put((rule, dot + 1, origin), cost + late, audit + "K")
@@ -121,7 +123,13 @@ def after_rows(weights: dict[Item, Weight], signs: str) -> dict[Item, Weight]:
     return weights
 
 
+def accepted(weights: dict[Item, Weight]) -> Weight:
+    """The least of the repairs that leave nothing, pairs or a system turn."""
+    return min(weights[i] for i in _WHOLE if i in weights)
+
+
 START = {i: w for i, w in _FIRST.items() if i in ENTRIES}
+PAIRED = {i: w for i, w in START.items() if i != _ALONE}
 
 # ---------------------------------------------------------------- rows of one stretch
 
@@ -198,7 +206,7 @@ def damaged(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return changed.select("conv_id", "turn", "role", "text", (F.col("code") != 0).alias("present"), copies.alias("copy")).drop("copy")
 
 
-def repaired(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", present: str | None = None, most_rows: int = 20_000) -> DataFrame:
+def repaired(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", present: str | None = None, most_rows: int = 20_000, lone_system: bool = True) -> DataFrame:
     """The cheapest repair of every conversation: ``conv_id``, ``gaps``, ``blank``, ``duplicate``, ``truncated``, ``illegal``, ``cost``, ``audit``, ``pieces``, ``piece``, ``turns``.
 
     A conversation's rows come by turn (nulls first; ties by role, then text).  Null roles and texts are one space.  Rows that are
@@ -206,7 +214,8 @@ def repaired(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
     TRUNCATED (an unfinished text that stays) for the costs.  ``audit`` has a letter for each edit (K, R, D, I), the
     ASCII-least of the cheapest.  ``gaps`` counts turns that are missing between the first and the last, ``illegal`` neighbours that
     are not su, ua or au.  ``turns`` is what is left.  Rows that are not ``present`` only name their conversation; one without any
-    other row has zeros and no turns.  Rows without conv_id form a conversation.  Extra columns are not read.
+    other row has zeros and no turns.  Rows without conv_id form a conversation.  Extra columns are not read.  A system turn may be all
+    that is left, unless ``lone_system`` is false.
 
     Conversations of up to ``most_rows`` rows are parsed in one task each and are one row.  Larger ones are dealt by range of turns over the
     cluster: every stretch of rows is parsed from each item that may enter it, the tables are chained, and each stretch is edited
@@ -214,6 +223,7 @@ def repaired(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
     """
     ship(rows.sparkSession)
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    start = START if lone_system else PAIRED
     given = F.col(present) if present else F.lit(True)
     plain = rows.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), space(role).alias("role"), space(text).alias("text"), F.coalesce(given, F.lit(False)).alias("present"))
     plain = plain.withColumn("group", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
@@ -231,7 +241,7 @@ def repaired(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
         at = sorted((i for i in range(len(turns)) if there[i]), key=lambda i: (turns[i] is not None, turns[i] or 0, roles[i].encode(), texts[i].encode()))
         turns, roles, texts = ([x[i] for i in at] for x in (turns, roles, texts))
         found = faults(roles, texts)
-        cost, audit = after_rows(START, signed(roles, found))[_WHOLE] if at else (0, "")
+        cost, audit = accepted(after_rows(start, signed(roles, found))) if at else (0, "")
         c = _counts(turns, roles, found)
         gaps = c["high"] - c["low"] + 1 - c["distinct"] if c["distinct"] else 0
         system = (len(audit) - audit.count("D")) % 2 == 1
@@ -239,11 +249,11 @@ def repaired(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
 
     out = by_group(small, "group", ["conv_id", "turn", "role", "text", "present"], one, kind, types, _RESULT)
     if n_large:
-        out = out.unionByName(_in_stretches(plain.where("present").join(large.select("group"), "group", "left_semi"), n_large, most_rows, kind))
+        out = out.unionByName(_in_stretches(plain.where("present").join(large.select("group"), "group", "left_semi"), n_large, most_rows, kind, start))
     return out
 
 
-def _in_stretches(rows: DataFrame, n: int, size: int, kind: str) -> DataFrame:
+def _in_stretches(rows: DataFrame, n: int, size: int, kind: str, start: dict[Item, Weight]) -> DataFrame:
     """Rows of large conversations, dealt by range of (conversation, turn, role, text) into stretches of about ``size``; equal rows share one."""
     order = ["group", F.asc_nulls_first("turn"), "role", "text"]
     dealt = rows.repartitionByRange(max(2, -(-n // size)), *order).withColumn("piece", F.spark_partition_id())
@@ -281,7 +291,7 @@ def _in_stretches(rows: DataFrame, n: int, size: int, kind: str) -> DataFrame:
 
     def chained(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("piece")
-        weights, high, gaps, illegal, last = START, None, 0, 0, None
+        weights, high, gaps, illegal, last = start, None, 0, 0, None
         for x in frame.itertuples():
             table: dict = {}
             for e, leave, c, a in zip(x.entries, x.exits, x.costs, x.audits, strict=True):
@@ -293,7 +303,7 @@ def _in_stretches(rows: DataFrame, n: int, size: int, kind: str) -> DataFrame:
                 low = int(x.low)
                 gaps += int(x.high) - low + 1 - int(x.distinct) + (low - high - 1 if high is not None and low > high else 0)
                 high = int(x.high)
-        cost, audit = weights[_WHOLE]
+        cost, audit = accepted(weights)
         system, at, place, out = (len(audit) - audit.count("D")) % 2 == 1, 0, 0, []
         for k, x in enumerate(frame.itertuples()):
             rows_left, begin = int(x.n_rows), at

@@ -100,7 +100,7 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import damaged, digest, repaired
 
-    return digest(repaired(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), present="present"))
+    return digest(repaired(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), present="present", lone_system=False))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import itertools
 import hashlib
 import random
 import re
@@ -212,3 +213,50 @@ def test_long_conversation_in_blocks():
     signs = "".join(random.choice("suaxSUAd") for _ in range(700))
     whole = conversations.then(conversations.START, {e: conversations.parsed(signs, e) for e in conversations.START})
     assert conversations.after_rows(conversations.START, signs) == whole
+
+
+def repair_by_language(roles, late):
+    """The cheapest edits over every string of the language s?(ua)+ or nothing, up to a length that no cheapest repair exceeds."""
+    found = []
+    for target in ["", *(head + "ua" * k for k in range(1, len(roles) + 2) for head in ("", "s"))]:
+        table = {(0, 0): (0, "")}
+        for i in range(len(roles) + 1):
+            for j in range(len(target) + 1):
+                ways = [(0, "")] if (i, j) == (0, 0) else []
+                if i and (i - 1, j) in table:
+                    ways.append((table[i - 1, j][0] + 4, table[i - 1, j][1] + "D"))
+                if j and target[j - 1] != "s" and (i, j - 1) in table:
+                    ways.append((table[i, j - 1][0] + 3, table[i, j - 1][1] + "I"))
+                if i and j and (i - 1, j - 1) in table and (roles[i - 1] == target[j - 1] or target[j - 1] != "s"):
+                    cost, audit = table[i - 1, j - 1]
+                    kept = roles[i - 1] == target[j - 1]
+                    ways.append((cost + 3 * (not kept) + 3 * late[i - 1], audit + ("K" if kept else "R")))
+                if ways:
+                    table[i, j] = min(ways)
+        if (len(roles), len(target)) in table:
+            found.append(table[len(roles), len(target)])
+    return min(found)
+
+
+def test_what_repairs_leave():
+    """Nothing, or at least one pair: a system turn alone does not stay (contract of op13: (s?(ua)+)?)."""
+    for n in range(1, 5):
+        for signs in map("".join, itertools.product("suaxSA", repeat=n)):
+            got = conversations.accepted(conversations.after_rows(conversations.PAIRED, signs))
+            assert got == repair_by_language(signs.lower(), [s.isupper() for s in signs]), signs
+
+
+def test_system_turn_alone(spark, tmp_path):
+    from blockwood.llm.queries import op13_conversation_repair
+
+    alone = next(c for c in range(2000, 3000) if zlib.crc32(f"{c}:0".encode()) % 20 > 4)
+    pair = next(c for c in range(3000, 4000) if all(zlib.crc32(f"{c}:{t}".encode()) % 20 > 4 for t in (0, 1)))
+    rows = [(alone, 0, "system", "a."), (pair, 0, "system", "a."), (pair, 1, "user", "b.")]
+    want = {alone: (0, 0, 0, 0, 0, 4, "D", sha("")), pair: (0, 0, 0, 0, 0, 3, "KKI", sha("system:a.\nuser:b.\nassistant:"))}
+    path = tmp_path / "conversations.parquet"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(path))
+    assert {r[0]: tuple(r)[1:] for r in op13_conversation_repair(spark, str(tmp_path)).collect()} == want
+    long_ = [(pair, t, "system" if t == 0 else "user", "" if t else "a.") for t in range(90)]
+    kept = next(c for c in repairs(spark, long_, most_rows=20, lone_system=False).values())
+    assert kept == next(c for c in repairs(spark, long_, lone_system=False).values()) and "K" not in kept[6]
+    assert "K" in next(c for c in repairs(spark, long_, most_rows=20).values())[6]
