@@ -174,8 +174,11 @@ def aca_plus(row_of: Callable, col_of: Callable, shape: tuple[int, int], eps: fl
         pivot, (row, col) = proposed(side)
         if row[pivot[1]] == 0:
             break
+        top = max(top, float(np.abs(row[pivot[1]])))
         row = row / row[pivot[1]]
         last = found.step(col, row, eps)
+        if found.step(col, row, max(1e-3 * eps, 1e-14)):  # rounding of the crosses before: no rank of its own
+            break
         found.add(col, row)
         for k in (0, 1):
             unused[k][pivot[k]] = False

@@ -106,3 +106,21 @@ def test_packed_leaves(spark, scalar):
     a, b = entries(m), entries(q)
     assert sum(abs(a[k] - b[k]) ** 2 for k in a) ** 0.5 <= 1e-5 * m.norm()
     assert entries(q.scale(2.0)) == {k: pytest.approx(2 * v) for k, v in b.items()} and entries(q.transpose()) == {(j, i): pytest.approx(v) for (i, j), v in b.items()}
+
+
+@pytest.mark.parametrize("copies", [1, 2, 6])
+@pytest.mark.parametrize("terms", [1, 2])
+def test_rounding_has_no_rank(copies, terms):
+    """Off the diagonal one exponential on a line has rank 1 and two have rank 2, also by aca_plus, where a block's entries are far apart in size."""
+    rng = np.random.default_rng(2)
+    at = np.sort(np.tile(rng.uniform(-999, 9999, 1000).round(2), copies))[:, None]
+    length = 0.1 * float(np.ptp(at))
+    k = Kernel("exp", length, strata=()) if terms == 1 else Kernel("user", user=lambda p, q, i, j: np.exp(-np.abs(p - q.T) / length) + 0.5 * np.exp(-np.abs(p - q.T) / (2 * length)))
+    todo, ranks = [(0, len(at))], set()
+    while todo:
+        off, n = todo.pop()
+        if n > 12:
+            a, b = np.arange(off, off + n // 2), np.arange(off + n // 2, off + n)
+            ranks |= {k.panels(at[i], at[j], i, j, "aca_plus", 1e-9, 0)[0].shape[1] for i, j in ((a, b), (b, a))}
+            todo += [(off, n // 2), (off + n // 2, n - n // 2)]
+    assert ranks == {terms}
