@@ -1,10 +1,13 @@
 """Dense and low-rank kernels, and packed leaves."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from blockwood.functions import bits, dense, lowrank
 from blockwood.functions.kernels import Kernel
+from blockwood.operators.blocks import Admissibility
 from blockwood.operators.cluster import Clustering
 from blockwood.operators.matrix import HMatrix
 from blockwood.sources import points as P
@@ -124,3 +127,48 @@ def test_rounding_has_no_rank(copies, terms):
             ranks |= {k.panels(at[i], at[j], i, j, "aca_plus", 1e-9, 0)[0].shape[1] for i, j in ((a, b), (b, a))}
             todo += [(off, n // 2), (off + n // 2, n - n // 2)]
     assert ranks == {terms}
+
+
+@pytest.mark.parametrize("method", ["svd", "rrqr", "aca_full"])
+def test_large_blocks_by_tiles(monkeypatch, method):
+    """A block of more entries than ``TILE`` is never evaluated whole, but every entry of it is: one odd entry is found."""
+    monkeypatch.setattr(lowrank, "TILE", 400)
+    asked = np.zeros((150, 91), int)
+
+    def odd(p, q, rows, cols):
+        assert len(rows) * len(cols) <= 400
+        asked[np.ix_(rows, cols)] += 1
+        out = np.exp(-np.abs(p - q.T))
+        out[(rows[:, None] == 77) & (cols[None, :] == 13)] += 3.0
+        return out
+
+    rng = np.random.default_rng(4)
+    p, q, i, j = np.sort(rng.random((150, 1)), 0), 1 + rng.random((91, 1)), np.arange(150), np.arange(91)
+    a, b = Kernel("user", user=odd).panels(p, q, i, j, method, 1e-10, 0)
+    m = np.exp(-np.abs(p - q.T))
+    m[77, 13] += 3.0
+    assert (asked == 1).all() and a.shape[1] == 2
+    assert np.linalg.norm(a @ b.T - m) <= 3e-10 * np.linalg.norm(m)
+    z = Kernel("helmholtz", 1.0, wave=2.0).panels(p, q, i, j, method, 1e-8, 0)
+    assert np.linalg.norm(z[0] @ z[1].T - Kernel("helmholtz", 1.0, wave=2.0).block(p, q, i, j)) <= 3e-8 * np.linalg.norm(z[0] @ z[1].T)
+
+
+def test_entries_are_expanded_in_pieces(spark):
+    """A rectangle, the squares on the diagonal and all entries; a large leaf is cut before it is expanded."""
+    import blockwood.operators.matrix as M
+
+    at = np.sort(np.random.default_rng(3).random(90))
+    cloud = spark.createDataFrame([(i, [float(x)], [float(x)], [float(x)], None) for i, x in enumerate(at)], "dof long, coord array<double>, lo array<double>, hi array<double>, group_id int")
+    m = HMatrix.build(cloud, Kernel("exp", 0.3), clustering=Clustering("median", max_leaf=12), admissibility=Admissibility("hodlr"), eps=1e-12)
+    want = np.exp(-np.abs(at[:, None] - at) / 0.3)
+    got = {(r.row_pos, r.col_pos): r.re for r in m.block(40, 10, 3, 50).collect()}
+    assert set(got) == {(i, j) for i in range(40, 50) for j in range(3, 53)} and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+    got = {(7 * r.block + r.i, 7 * r.block + r.j): r.re for r in m.diagonal_blocks(7).collect()}
+    assert set(got) == {(i, j) for i in range(90) for j in range(90) if i // 7 == j // 7} and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+    assert m.entries().count() == 8100
+    # a leaf of 3e9 entries (24 GB if expanded) gives the rectangle asked for
+    n = 55_000
+    ones = np.ones(n).tobytes()
+    big = spark.createDataFrame([("r0", "r1", 0, n, n, n, "rk", 1, 0.0, "D", ones, ones, None)], M.LEAF)
+    wide = replace(m, leaves=big)
+    assert wide.block(n - 2, 5, n, 3).count() == 6 and wide.diagonal_blocks(7).count() == (n % 7) * (7 - n % 7)
