@@ -85,13 +85,17 @@ class HMatrix:
     # -------------------------------------------------------- building
 
     @staticmethod
-    def build(points: DataFrame, kernel: Kernel, *, columns: DataFrame | None = None, clustering: Clustering = Clustering(), admissibility: Admissibility = Admissibility(), symmetric: bool = False, method: str = "svd", eps: float = 1e-4, scalar: str = "D", least_svd: int = 0, validate: bool = False, task_points: int = 1_000_000) -> HMatrix:
-        """Trees, block tree and assembled leaves of k(p, q) over ``points`` (rows) and ``columns`` (default: the same); ``task_points``: see ``assembled``."""
+    def structure(points: DataFrame, *, columns: DataFrame | None = None, clustering: Clustering = Clustering(), admissibility: Admissibility = Admissibility(), symmetric: bool = False) -> HMatrix:
+        """Trees and block tree alone: a matrix without leaves, for what needs no values."""
         ship(points.sparkSession)
         row_nodes, row_perm = build_tree(points, clustering)
         col_nodes, col_perm = (row_nodes, row_perm) if columns is None else build_tree(columns, clustering)
-        blocks = build_blocks(row_nodes, col_nodes, admissibility, symmetric)
-        empty = HMatrix(row_nodes, row_perm, col_nodes, col_perm, blocks, None, symmetric)
+        return HMatrix(row_nodes, row_perm, col_nodes, col_perm, build_blocks(row_nodes, col_nodes, admissibility, symmetric), None, symmetric)
+
+    @staticmethod
+    def build(points: DataFrame, kernel: Kernel, *, columns: DataFrame | None = None, clustering: Clustering = Clustering(), admissibility: Admissibility = Admissibility(), symmetric: bool = False, method: str = "svd", eps: float = 1e-4, scalar: str = "D", least_svd: int = 0, validate: bool = False, task_points: int = 1_000_000) -> HMatrix:
+        """Trees, block tree and assembled leaves of k(p, q) over ``points`` (rows) and ``columns`` (default: the same); ``task_points``: see ``assembled``."""
+        empty = HMatrix.structure(points, columns=columns, clustering=clustering, admissibility=admissibility, symmetric=symmetric)
         out = replace(empty, leaves=settle(empty.assembled(kernel, method, eps, scalar, least_svd, task_points=task_points)))
         if validate:
             worst = out.validated(kernel).where(F.col("error") > 10 * eps * F.col("norm")).orderBy(F.desc("error")).first()
