@@ -90,10 +90,17 @@ def discard(*tables: DataFrame) -> None:
 
 
 def cut_rows(df: DataFrame, most: int = 20_000, bound: int | None = None) -> tuple[DataFrame, pa.Table | None]:
-    """As ``cut``, and the rows themselves if they are local.  A known ``bound`` on their number saves the jobs of a limit."""
+    """As ``cut``, and the rows themselves if they are local.  A known ``bound`` on their number saves the jobs of a limit.
+
+    Written tables ask for merge joins: Spark would go by the size of their files, which hold repeated values in a fraction of what the
+    rows take in memory, and send them whole through the driver.
+    """
     rows = (df if bound is not None and bound <= most else df.limit(most + 1)).toArrow()
     if rows.num_rows > most:
-        return settle(df), None
+        out = settle(df)
+        where, out = out._settled_at, out.hint("merge")
+        out._settled_at = where
+        return out, None
     return df.sparkSession.createDataFrame(rows, df.schema), rows
 
 

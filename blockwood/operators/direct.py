@@ -63,14 +63,15 @@ def near_field(m: HMatrix, kernel: Kernel, x: DataFrame) -> DataFrame:
     """Partial products (pos, rhs, re, im) of the dense blocks of ``m``.
 
     A row point meets the columns of each dense block of its cluster: as many pairs as the dense blocks have entries. Pairs
-    are summed by row before anything is shuffled, and no task holds more than the pairs that it streams.
+    are summed by row before anything is shuffled, and no task holds more than the pairs that it streams.  Points and vectors meet in
+    merge joins: none of them goes through the driver, however small its file.
     """
     first = m.row_perm.select(F.size("coord").alias("n")).first()
     size = first["n"] if first else 0
     blocks = m.blocks.select("r", "c")
     rows = blocks.join(_members(m.row_perm, blocks, "r", size), "r").drop("r")
-    cols = _members(m.col_perm, blocks, "c", size).join(x.select(F.col("dof").alias("c_dof"), "rhs", F.col("re").alias("x_re"), F.col("im").alias("x_im")), "c_dof")
-    pairs = rows.join(cols, "c")
+    cols = _members(m.col_perm, blocks, "c", size).join(x.select(F.col("dof").alias("c_dof"), "rhs", F.col("re").alias("x_re"), F.col("im").alias("x_im")).hint("merge"), "c_dof")
+    pairs = rows.hint("merge").join(cols, "c")
     re, im = kernel.column([F.col(f"r{i}") for i in range(size)], [F.col(f"c{i}") for i in range(size)], F.col("r_dof") == F.col("c_dof"))
     a, b = F.col("x_re"), F.col("x_im")
     if im is None:
@@ -97,4 +98,4 @@ def far_field(m: HMatrix, kernel: Kernel, x: DataFrame, method: str, eps: float,
                 rhs = np.asarray(z.x_rhs)[:: z.c_n]
                 yield pd.DataFrame({"pos": np.tile(z.r_off + np.arange(z.r_n), len(rhs)), "rhs": np.repeat(rhs, z.r_n), "re": y.real.ravel(), "im": y.imag.ravel() if np.iscomplexobj(y) else np.zeros(y.size)})
 
-    return blocks.join(rows, "r").join(cols, "c").join(values, "c").mapInPandas(apply, _PARTS)
+    return blocks.join(rows.hint("merge"), "r").join(cols.hint("merge"), "c").join(values.hint("merge"), "c").mapInPandas(apply, _PARTS)

@@ -511,7 +511,7 @@ class HMatrix:
         """(side path, rhs[], re[], im[]) of vectors (dof, rhs, re[, im]) on the clusters ``paths``: all right-hand sides of a cluster in one row, by rhs and position."""
         if "im" not in x.columns:
             x = x.withColumn("im", F.lit(0.0))
-        up = perm.join(x, "dof").withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("leaf")), lambda k: F.substring("leaf", F.lit(1), k)))).join(paths.distinct(), "path", "left_semi")
+        up = perm.join(x.hint("merge"), "dof").withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("leaf")), lambda k: F.substring("leaf", F.lit(1), k)))).join(paths.distinct(), "path", "left_semi")
         s = F.sort_array(F.collect_list(F.struct("rhs", "pos", "re", "im")))
         return up.groupBy("path").agg(s.alias("s")).select(F.col("path").alias(side), F.col("s.rhs").alias("x_rhs"), F.col("s.re").alias("x_re"), F.col("s.im").alias("x_im"))
 

@@ -1,5 +1,7 @@
 """Products without stored leaves against dense NumPy."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +52,17 @@ def test_near_field_stays_in_the_jvm(spark):
     x = P.right_hand_side(cloud, 1.0).withColumn("im", F.lit(0.0))
     plan = near_field(m, Kernel("exp", 1.0), x)._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and "Python" not in plan
+
+
+def test_points_and_vectors_are_not_broadcast(spark):
+    """Tables with a row for each point meet in merge joins, although their files are far below Spark's limit for broadcasts."""
+    n = 24_000
+    cloud = spark.range(n).select(F.col("id").alias("dof"), F.array((F.col("id") % 3000).cast("double")).alias("coord"))
+    cloud = cloud.select("dof", "coord", F.col("coord").alias("lo"), F.col("coord").alias("hi"), F.lit(None).cast("int").alias("group_id"))
+    x = spark.range(n).select(F.col("id").alias("dof"), F.lit(0).alias("rhs"), F.lit(1.0).alias("re"))
+    out = kernel_product(cloud, Kernel("exp", 50.0), x, clustering=Clustering("median", max_leaf=400), admissibility=Admissibility("hodlr"), eps=1e-8)
+    assert out.count() == n
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    by_point = [line for line in joins if re.search(r"dof#\d+L? =|pos#\d+L? =", line)]
+    assert by_point and all("strategy=merge" in line for line in by_point)
