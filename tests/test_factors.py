@@ -214,3 +214,32 @@ def test_blocks_beyond_a_task(spark):
     panels = [np.concatenate([np.frombuffer(r.panel).reshape(r.n, r["rank"]) for r in sorted(cut, key=lambda r: r.num) if r.side == side]) for side in (0, 1)]
     one = lowrank.truncate((a, b), 1e-5)
     assert panels[0].shape == one[0].shape and panels[1].shape == one[1].shape and np.allclose(panels[0] @ panels[1].T, one[0] @ one[1].T, atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["lu", "llt", "ldlt", "hodlr", "hodlrsym"])
+def test_factors_over_points_that_occur_three_times(spark, kind):
+    """The matrix is singular: null pivots are skipped, b = A v still has a solution, and the factors still multiply to A."""
+    cloud = P.points(spark.range(N).selectExpr("id", "double((id % 20) * (id % 20) * (id % 20) % 23) AS x"), "id", ["x"])
+    m = HMatrix.build(cloud, Kernel("exp", 6.0), clustering=Clustering(max_leaf=8), admissibility=Admissibility("hodlr"), eps=1e-13, symmetric=kind != "lu")
+    a, v = whole(m), np.random.default_rng(1).normal(size=(N, 2))
+    assert np.linalg.matrix_rank(a) == 20 < N
+    f = m.factorize(kind, strip_points=16, null_pivots=1e-8)
+    b = a @ v
+    assert np.allclose(a @ array(f.solve(vectors(spark, b))), b, atol=1e-8)
+    if kind != "hodlr":
+        assert np.allclose(array(f.times(vectors(spark, v))), b, atol=1e-8)
+
+
+def test_null_pivots_of_dense_blocks():
+    g = np.random.default_rng(2).normal(size=(6, 3))
+    s = g @ g.T
+    low, d = dense.ldlt(s, 1e-10)
+    assert (d == 0).sum() == 3 and np.allclose(low * d @ low.T, s)
+    assert np.allclose(dense.llt(s, 1e-10) @ dense.llt(s, 1e-10).T, s)
+    lu, order = dense.lu(s, 1e-10)
+    assert np.allclose(s[order], (np.tril(lu, -1) + np.eye(6)) @ np.triu(lu))
+    assert np.allclose(s @ dense.lu_solve((lu, order), s), s)
+    inverse, order, log = dense.lu_or_pinv(s, 1e-10)
+    assert log == -np.inf and np.allclose(s @ dense.lu_solve((inverse, order), s), s)
+    with pytest.raises(ZeroDivisionError):  # not semidefinite: nothing can be skipped
+        dense.ldlt(np.array([[0.0, 1.0], [1.0, 0.0]]), 1e-10)
