@@ -356,6 +356,12 @@ def classes(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
+def _parts(rows: DataFrame, part_bytes: int) -> int:
+    """A part for each ``part_bytes`` of text, at least as many as Spark would take."""
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+
+
 def similarity_classes(
     docs: DataFrame,
     *,
@@ -365,6 +371,7 @@ def similarity_classes(
     percent: int = 90,
     task_shingles: int = 4_000_000,
     sampled: int = 512,
+    part_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
 
@@ -376,7 +383,8 @@ def similarity_classes(
     The first pivots come from ``sampled`` texts of at most 65,536 characters; which ones changes the work, not the result.
 
     Regions of up to ``task_shingles`` shingles are joined in one task; larger ones are
-    first split over the cluster (``_split_regions``) until they fit.
+    first split over the cluster (``_split_regions``) until they fit.  Cells are dealt to a part for each ``part_bytes`` of text, so
+    that a part is sorted in memory at any size.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_row"))
@@ -446,7 +454,7 @@ def similarity_classes(
             yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64)), pa.array(cell.view(np.int64))], names=["key", "cell"])
 
     # the cells, 16 bytes to every second to fifth shingle, are dealt as they are found and never written as a table
-    met = rows.select("_text").mapInArrow(deal, "key long, cell long")
+    met = rows.select("_text").mapInArrow(deal, "key long, cell long").repartition(_parts(rows, part_bytes), "cell")
     least = met.withColumn("least", F.min("key").over(Window.partitionBy("cell")))  # a cell has one key for each batch at most
     links = least.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     regions = classes(links).withColumnRenamed("class", "region")

@@ -49,3 +49,18 @@ def test_a_tiny_source_comes_again_from_all_tasks(spark, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=str) == want
     tiny = out.where("source = 'tiny'").rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
     assert sum(tiny) == 1599 and max(tiny) < 900 and sum(n > 0 for n in tiny) > 2
+
+
+def test_cells_of_the_jaccard_join_are_dealt_by_the_size_of_the_text(spark, monkeypatch):
+    """More text, more parts: none outgrows the memory of its task; the classes are the same."""
+    from blockwood.llm import jaccard_join
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:10])), "doc_id long, text string")
+    found, parts = [], jaccard_join._parts
+    monkeypatch.setattr(jaccard_join, "_parts", lambda rows, size: found.append(parts(rows, size)) or found[-1])
+    few, many = ({tuple(r) for r in jaccard_join.similarity_classes(docs, part_bytes=b).collect()} for b in (16 << 20, 1000))
+    total = sum(len(t) for t in texts + texts[:10])
+    assert found == [4, -(-total // 1000)] and few == many
+    assert {r[2] for r in few} == set(range(30))
