@@ -19,13 +19,23 @@ def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _once(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points without their copies, by first occurrence, the roots of their numbers of copies, and the place of each point among them."""
+    _, first, turn, copies = np.unique(p + 0.0, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return p[first[order]], np.sqrt(copies[order]), place[turn.ravel()]
+
+
 @dataclass(frozen=True)
 class Kernel:
     """``name``: exp, laplace, helmholtz, gram or a user's block function (coordinates and ids of rows and columns).
 
     ``strata``: further kernels whose blocks are added one by one.  ``nugget`` stands on the diagonal.
     ``null_rows`` and ``null_cols`` (coordinates and ids -> booleans) name rows and columns that are known to be zero:
-    they are never evaluated, or, with ``check_nulls``, evaluated and held against zero.
+    they are never evaluated, or, with ``check_nulls``, evaluated and held against zero.  ``places_alone`` tells of a user's function
+    that it looks at coordinates only.  ``weighted``: the ids are factors of rows and columns (see ``panels``).
     """
 
     name: str
@@ -38,6 +48,8 @@ class Kernel:
     null_rows: Callable | None = None
     null_cols: Callable | None = None
     check_nulls: bool = False
+    places_alone: bool = False
+    weighted: bool = False
 
     def _kept(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the rows and columns that no hint calls zero."""
@@ -76,8 +88,16 @@ class Kernel:
             else:
                 raise ValueError(self.name)
         out = self.scale * out
+        if self.weighted:
+            out = out * rows[:, None] * cols[None, :]
         return out + self.nugget * (rows[:, None] == cols[None, :]) if self.nugget else out
 
+    @property
+    def _by_place(self) -> bool:
+        """Whether points of equal coordinates have equal rows and columns, in all strata."""
+        mine = (self.name != "user" or self.places_alone) and not self.nugget and self.null_rows is None and self.null_cols is None and not self.weighted
+        return mine and all(k._by_place for k in self.strata)
+
     @property
     def has_columns(self) -> bool:
         """Whether ``column`` can evaluate the kernel and its strata: no user function and no hints."""
@@ -108,7 +128,17 @@ class Kernel:
         return re, im
 
     def panels(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray, method: str, eps: float, seed: int, least_svd: int = 0):
-        """The block of the kernel and all its strata as a low-rank pair, truncated after each."""
+        """The block of the kernel and all its strata as a low-rank pair, truncated after each.
+
+        Points that occur more than once are taken once, each row and column times the root of its copies: that block has the singular values
+        and the norm of the whole one, whose panels repeat its rows.
+        """
+        if self._by_place:
+            (p1, u, turn_p), (q1, v, turn_q) = _once(p), _once(q)
+            if len(p1) < len(p) or len(q1) < len(q):
+                once = replace(self, weighted=True, strata=tuple(replace(k, weighted=True) for k in self.strata))
+                a, b = once.panels(p1, q1, u, v, method, eps, seed, 0 if max(len(p), len(q)) >= least_svd else 1 << 62)
+                return (a / u[:, None])[turn_p], (b / v[:, None])[turn_q]
         value = self.compressed(p, q, rows, cols, method, eps, seed, least_svd)
         for more in self.strata:
             value = lowrank.add([(1, value), (1, more.compressed(p, q, rows, cols, method, eps, seed, least_svd))], eps)

@@ -129,6 +129,33 @@ def test_rounding_has_no_rank(copies, terms):
     assert ranks == {terms}
 
 
+@pytest.mark.parametrize("method", lowrank.METHODS)
+def test_points_that_occur_more_than_once_are_taken_once(monkeypatch, method):
+    """Copies, of different numbers, cost no entries, and change neither rank nor precision."""
+    from blockwood.functions import kernels
+
+    asked, plain = [], kernels.distances
+    monkeypatch.setattr(kernels, "distances", lambda p, q: asked.append(len(p) * len(q)) or plain(p, q))
+    rng = np.random.default_rng(5)
+    p, q = rng.random((30, 2)), 3 + rng.random((20, 2))
+    p, q = p[rng.permutation(np.repeat(np.arange(30), rng.integers(1, 40, 30)))], q[rng.permutation(np.repeat(np.arange(20), rng.integers(1, 40, 20)))]
+    i, j = np.arange(len(p)), len(p) + np.arange(len(q))
+    for k in (Kernel("exp", 1.0), Kernel("helmholtz", 1.0, wave=2.0), Kernel("exp", 1.0, strata=(Kernel("laplace"),))):
+        asked.clear()
+        a, b = k.panels(p, q, i, j, method, 1e-8, 0)
+        assert sum(asked) <= 4 * 30 * 20 * (1 + len(k.strata))
+        m = k.block(p, q, i, j) + sum(s.block(p, q, i, j) for s in k.strata)
+        s = np.linalg.svd(m, compute_uv=False)
+        assert a.shape == (len(p), a.shape[1]) and b.shape == (len(q), a.shape[1]) and a.shape[1] <= (s > 1e-11 * s[0]).sum()
+        assert np.linalg.norm(a @ b.T - m) <= 1e-6 * np.linalg.norm(m)
+    # ids, a nugget and hints tell copies apart
+    told = Kernel("user", user=lambda p, q, rows, cols: np.exp(-plain(p, q)) * (1.0 + rows[:, None] % 2))
+    for k in (told, Kernel("exp", 1.0, nugget=3.0), Kernel("exp", 1.0, null_rows=lambda at, ids: ids % 3 == 0)):
+        a, b = k.panels(p, q, i, j, method, 1e-10, 0)
+        m = k.block(p, q, i, j)
+        assert np.linalg.norm(a @ b.T - m) <= 1e-7 * np.linalg.norm(m)
+
+
 @pytest.mark.parametrize("method", ["svd", "rrqr", "aca_full"])
 def test_large_blocks_by_tiles(monkeypatch, method):
     """A block of more entries than ``TILE`` is never evaluated whole, but every entry of it is: one odd entry is found."""
