@@ -145,7 +145,10 @@ class Kernel:
         return value
 
     def compressed(self, p: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray, method: str, eps: float, seed: int, least_svd: int = 0):
-        """The block as a low-rank pair; cross methods evaluate the rows and columns they need, never the whole block, the others all entries, tile by tile."""
+        """The block as a low-rank pair; cross methods evaluate the rows and columns they need, never the whole block, the others all entries, tile by tile.
+
+        A Gram block is a product of coordinates as it stands: the other methods take it from there, without its entries.
+        """
         shape = (len(rows), len(cols))
         i, j = self._kept(p, q, rows, cols)
         if (len(i), len(j)) != shape and not self.check_nulls:
@@ -155,6 +158,9 @@ class Kernel:
             out = tuple(np.zeros((n, x.shape[1]), x.dtype) for n, x in zip(shape, some, strict=True))
             out[0][i], out[1][j] = some
             return out
+        if self.name == "gram" and method not in lowrank.LAZY and not self.nugget and (len(i), len(j)) == shape and min(shape) > p.shape[1]:
+            a, b = (p * rows[:, None], q * cols[:, None]) if self.weighted else (p, q)
+            return lowrank.of_product((self.scale * a, b), "svd" if max(shape) < least_svd else method, eps)
         if method not in lowrank.LAZY or max(shape) < least_svd:
             one = lambda r, c: self.block(p[r], q[c], rows[r], cols[c])
             if shape[0] * shape[1] <= lowrank.TILE:

@@ -247,6 +247,13 @@ def joined(halves: list[Rk], side: int) -> Rk:
     return (tall, flat) if side == 0 else (flat, tall)
 
 
+def of_product(x: Rk, method: str, eps: float) -> Rk:
+    """a b^T by the named method: on the small middle between orthonormal bases of both panels, which has its singular values and norm."""
+    (qa, ra), (qb, rb) = (np.linalg.qr(p) for p in x)
+    a, b = compress(ra @ rb.T, method, eps)
+    return qa @ a, qb @ b
+
+
 def truncate(x: Rk, eps: float) -> Rk:
     """QR of both panels, SVD of the small middle, cut; negative eps leaves the block as it is."""
     a, b = x

@@ -199,3 +199,18 @@ def test_entries_are_expanded_in_pieces(spark):
     big = spark.createDataFrame([("r0", "r1", 0, n, n, n, "rk", 1, 0.0, "D", ones, ones, None)], M.LEAF)
     wide = replace(m, leaves=big)
     assert wide.block(n - 2, 5, n, 3).count() == 6 and wide.diagonal_blocks(7).count() == (n % 7) * (7 - n % 7)
+
+
+def test_gram_blocks_are_compressed_without_their_entries(monkeypatch):
+    """By each method that looks at all entries; also with copies of points and a block below the number of coordinates."""
+    rng = np.random.default_rng(8)
+    p, q = rng.normal(size=(3000, 6)), rng.normal(size=(500, 6))
+    q[100:200] = q[0]
+    dense, entries, values = p @ q.T, [], Kernel._values
+    monkeypatch.setattr(Kernel, "_values", lambda k, a, b, *ids: entries.append(len(a) * len(b)) or values(k, a, b, *ids))
+    for method in ("svd", "rrqr", "aca_full"):
+        a, b = Kernel("gram").panels(p, q, np.arange(3000), np.arange(500), method, 1e-10, 0)
+        assert a.shape[1] == 6 and np.linalg.norm(a @ b.T - dense) < 1e-9 * np.linalg.norm(dense)
+    assert not entries
+    a, b = Kernel("gram", nugget=1.0).panels(p[:4], q[:5], np.arange(4), np.arange(10, 15), "rrqr", 1e-10, 0)
+    assert np.allclose(a @ b.T, dense[:4, :5])
