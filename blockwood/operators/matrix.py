@@ -60,6 +60,17 @@ def dense_of(value) -> np.ndarray:
     return value[0] @ value[1].T if isinstance(value, tuple) else value
 
 
+def noise(epsilon: float, seed: int) -> Callable:
+    """A change of leaves: see ``HMatrix.perturbed``."""
+
+    def change(x, v):
+        rng = np.random.default_rng((seed, x.r_off, x.c_off))
+        f = lambda m: m * (1 + epsilon * rng.uniform(-1, 1, m.shape))
+        return (f(v[0]), v[1]) if isinstance(v, tuple) else f(v)
+
+    return change
+
+
 def seed_of(x) -> int:
     """The seed of a block's random choices."""
     return x.r_off * 1_000_003 + x.c_off
@@ -188,13 +199,35 @@ class HMatrix:
 
     def perturbed(self, epsilon: float, seed: int = 0) -> HMatrix:
         """Every entry (of panels: of a) times 1 + epsilon * u, u uniform in [-1, 1] from a seed and the block."""
+        return self.map_leaves(noise(epsilon, seed))
+
+    def row_changes(self, change: Callable, bound: float) -> DataFrame:
+        """What ``change(row, payload) -> payload`` on every leaf does to each row of the matrix: (row_dof, cells, inside, largest), the row's
+        entries, those that move by at most ``bound`` of themselves, and the largest move.
+
+        A leaf is changed and summed by rows in the task that has it: neither matrix is stored, no entry is shuffled or joined.
+        """
+        if self.symmetric:
+            raise ValueError("changes by row need both halves of the matrix")
 
-        def noise(x, v):
-            rng = np.random.default_rng((seed, x.r_off, x.c_off))
-            f = lambda m: m * (1 + epsilon * rng.uniform(-1, 1, m.shape))
-            return (f(v[0]), v[1]) if isinstance(v, tuple) else f(v)
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for x in frame.itertuples():
+                    v = payload(x)
+                    w = change(x, v)
+                    step = max(1, lowrank.TILE // max(1, int(x.c_n)))  # rows of the leaf that are expanded at once
+                    for at in range(0, int(x.r_n), step):
+                        m, n = (dense_of((y[0][at : at + step], y[1]) if isinstance(y, tuple) else y[at : at + step]) for y in (v, w))
+                        gap = np.abs(n - m)
+                        out.append((x.r_off + at + np.arange(len(m)), np.full(len(m), m.shape[1]), (gap <= bound * np.abs(m)).sum(1), gap.max(1)))
+                if out:
+                    part = pd.DataFrame({n: np.concatenate(c) for n, c in zip(("pos", "cells", "inside", "largest"), zip(*out), strict=True)})
+                    yield part.groupby("pos", as_index=False).agg({"cells": "sum", "inside": "sum", "largest": "max"})
 
-        return self.map_leaves(noise)
+        parts = self.leaves.mapInPandas(run, "pos long, cells long, inside long, largest double")
+        rows = parts.groupBy("pos").agg(F.sum("cells").alias("cells"), F.sum("inside").alias("inside"), F.max("largest").alias("largest"))
+        return rows.join(self.row_perm.select("pos", F.col("dof").alias("row_dof")), "pos").select("row_dof", "cells", "inside", "largest")
 
     def transpose(self) -> HMatrix:
         flip = {"r": "c", "c": "r", "r_off": "c_off", "r_n": "c_n", "c_off": "r_off", "c_n": "r_n"}
